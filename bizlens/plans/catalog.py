@@ -57,3 +57,299 @@ def q_k1(spark, sf_dir):
     fv = V.finance_view(spark, sf_dir)
     fe, m = kpi.synthesize_profit(fv, V.FINANCE_MAPPING)
     return kpi.compute_kpis(fe, m, by=["region"], order_by=V.BV_ORDER)
+
+
+# ---------------------------------------------------------------------------
+# Schema and type inference (C)
+# ---------------------------------------------------------------------------
+
+from bizlens.operators import clean as D  # noqa: E402
+from bizlens.operators import relate as R  # noqa: E402
+from bizlens.operators import schema as C  # noqa: E402
+
+_TEXT_COLS = ["date_txt", "iso_txt", "region", "revenue_txt", "quantity_txt", "rate_txt"]
+
+
+@register("C4")
+def q_c4(spark, sf_dir):
+    return C.numeric_conversion(V.view_text(spark, sf_dir), _TEXT_COLS)
+
+
+@register("C5")
+def q_c5(spark, sf_dir):
+    return C.datetime_conversion(V.view_text(spark, sf_dir), _TEXT_COLS)
+
+
+@register("C6")
+def q_c6(spark, sf_dir):
+    return C.is_datetime_like(V.view_text(spark, sf_dir), _TEXT_COLS)
+
+
+@register("C7")
+def q_c7(spark, sf_dir):
+    return C.chart_date_format(V.view_text(spark, sf_dir), _TEXT_COLS)
+
+
+@register("C9")
+def q_c9(spark, sf_dir):
+    return C.type_partition(V.business_view(spark, sf_dir))
+
+
+@register("C11")
+def q_c11(spark, sf_dir):
+    t = V.view_text(spark, sf_dir)
+    return t.select("customer", "product", "iso_txt", "revenue_txt",
+                    F.round(C.accounting_number("revenue_txt"), 2).alias("revenue"),
+                    C.accounting_number("rate_txt").alias("rate"))
+
+
+# ---------------------------------------------------------------------------
+# Cleaning (D)
+# ---------------------------------------------------------------------------
+
+_HOLE_COLS = ["date", "region", "segment", "product", "customer", "revenue", "expenses", "quantity"]
+
+
+def _holes(spark, sf_dir):
+    return V.view_holes(spark, sf_dir).select(*_HOLE_COLS)
+
+
+@register("D1")
+def q_d1(spark, sf_dir):
+    return D.drop_duplicates(V.view_dups(spark, sf_dir))
+
+
+@register("D2")
+def q_d2(spark, sf_dir):
+    return D.drop_empty_columns(V.view_holes(spark, sf_dir))
+
+
+@register("D3")
+def q_d3(spark, sf_dir):
+    h = V.view_holes(spark, sf_dir).select("customer", "product", "revenue", "expenses", "quantity")
+    return D.drop_empty_rows(h, subset=["revenue", "expenses", "quantity"])
+
+
+@register("D4")
+def q_d4(spark, sf_dir):
+    return D.drop_incomplete_rows(_holes(spark, sf_dir))
+
+
+@register("D5")
+def q_d5(spark, sf_dir):
+    return _r(D.fill_numeric(_holes(spark, sf_dir), by=["region"], columns=["revenue", "expenses", "quantity"]), 6)
+
+
+@register("D6")
+def q_d6(spark, sf_dir):
+    return D.fill_categorical(_holes(spark, sf_dir), by=["region"], columns=["segment"])
+
+
+@register("D7")
+def q_d7(spark, sf_dir):
+    return D.fill_datetime(_holes(spark, sf_dir), by=["region"], order_by=V.BV_ORDER, columns=["date"])
+
+
+@register("D8")
+def q_d8(spark, sf_dir):
+    ex = V.view_extreme(spark, sf_dir)
+    inf = D.count_infinities(ex, by=["region"], columns=["revenue"])
+    rep = D.replace_infinities(ex, columns=["revenue"])
+    nulls = rep.groupBy("region").agg(
+        F.sum(F.when(F.col("revenue").isNull(), 1).otherwise(0)).cast("long").alias("null_after"),
+        F.sum(F.when(F.isnan("revenue"), 1).otherwise(0)).cast("long").alias("nan_after"))
+    return inf.join(nulls, "region")
+
+
+@register("D9")
+def q_d9(spark, sf_dir):
+    out = D.interpolate(_holes(spark, sf_dir), by=["product"], order_by=V.BV_ORDER,
+                        columns=["revenue", "expenses", "quantity"])
+    return _r(out, 6)
+
+
+@register("D10")
+def q_d10(spark, sf_dir):
+    docs = table_(spark, sf_dir, "documents").select("doc_id", "text", "lang", "source")
+    return D.normalize_text(docs, ["text", "lang", "source"])
+
+
+@register("D11")
+def q_d11(spark, sf_dir):
+    bv = V.business_view(spark, sf_dir).select("date", "region", "product", "revenue", "expenses", "quantity")
+    return _r(D.merge_duplicate_dates(bv, "date", by=["region"], order_by=["date", "region", "product", "revenue",
+                                                                             "expenses", "quantity"]), 4)
+
+
+@register("D12")
+def q_d12(spark, sf_dir):
+    t = V.view_text(spark, sf_dir).select("date_txt", "customer", "product", "quantity_txt")
+    return D.drop_bad_rows(t, "date_txt", "quantity_txt", date_format="yyyy-MM-dd")
+
+
+@register("D14")
+def q_d14(spark, sf_dir):
+    return D.quality_report(V.view_holes(spark, sf_dir), by=["region"])
+
+
+def table_(spark, sf_dir, name):
+    return V.table(spark, sf_dir, name)
+
+
+# ---------------------------------------------------------------------------
+# Profiling (P)
+# ---------------------------------------------------------------------------
+
+@register("P1")
+def q_p1(spark, sf_dir):
+    return profile.table_profile(V.view_holes(spark, sf_dir), by=["region"])
+
+
+@register("P2")
+def q_p2(spark, sf_dir):
+    return profile.column_profile(V.view_holes(spark, sf_dir), by=["region"])
+
+
+@register("P3")
+def q_p3(spark, sf_dir):
+    return _r(profile.numeric_stats(V.view_holes(spark, sf_dir), by=["region"]), 4)
+
+
+@register("P4")
+def q_p4(spark, sf_dir):
+    return profile.datetime_range(V.view_holes(spark, sf_dir), by=["region"])
+
+
+@register("P5")
+def q_p5(spark, sf_dir):
+    return _r(profile.describe(V.business_view(spark, sf_dir), by=["region"]), 4)
+
+
+@register("P6")
+def q_p6(spark, sf_dir):
+    return profile.distributions(V.business_view(spark, sf_dir), by=["region"])
+
+
+@register("P7")
+def q_p7(spark, sf_dir):
+    return profile.top_values(V.business_view(spark, sf_dir), ["segment", "product"], by=["region"], k=10)
+
+
+@register("P8")
+def q_p8(spark, sf_dir):
+    return profile.missing_values(V.view_holes(spark, sf_dir), by=["region"])
+
+
+@register("P9")
+def q_p9(spark, sf_dir):
+    return profile.duplicate_rows(V.view_dups(spark, sf_dir), by=["region"])
+
+
+@register("P10")
+def q_p10(spark, sf_dir):
+    return profile.quality_score(V.view_holes(spark, sf_dir), V.BUSINESS_MAPPING, by=["region"])
+
+
+@register("P12")
+def q_p12(spark, sf_dir):
+    return profile.descriptive_stats(V.view_holes(spark, sf_dir), by=["region"])
+
+
+# ---------------------------------------------------------------------------
+# Correlation, drivers, trends (R, T)
+# ---------------------------------------------------------------------------
+
+_RCOLS = ["quantity", "revenue", "expenses"]
+
+
+@register("R1")
+def q_r1(spark, sf_dir):
+    return R.correlation_matrix(V.business_view(spark, sf_dir), by=["region"], columns=_RCOLS, places=4)
+
+
+@register("R2")
+def q_r2(spark, sf_dir):
+    return _r(R.ranked_pairs(V.business_view(spark, sf_dir), by=["region"], columns=_RCOLS), 4)
+
+
+@register("R3")
+def q_r3(spark, sf_dir):
+    return R.feature_importance(V.business_view(spark, sf_dir), "revenue", by=["region"],
+                                columns=["quantity", "revenue", "expenses", "customer"])
+
+
+@register("R4")
+def q_r4(spark, sf_dir):
+    return R.driver_analysis(V.business_view(spark, sf_dir), "revenue", by=["region"],
+                             columns=["quantity", "revenue", "expenses", "customer"])
+
+
+@register("R6")
+def q_r6(spark, sf_dir):
+    return R.recommended_kpi(V.business_view(spark, sf_dir), by=["region"])
+
+
+@register("R7")
+def q_r7(spark, sf_dir):
+    return _r(R.regression_line(V.business_view(spark, sf_dir), "quantity", "revenue", by=["region"]), 4)
+
+
+@register("T1")
+def q_t1(spark, sf_dir):
+    return R.trends(V.business_view(spark, sf_dir), time_col="date", by=["region"], columns=_RCOLS,
+                    tie_break=["segment", "product", "customer"])
+
+
+@register("T3")
+def q_t3(spark, sf_dir):
+    return _r(R.kpi_by_segment(V.business_view(spark, sf_dir), "revenue", "segment"), 4)
+
+
+@register("T4")
+def q_t4(spark, sf_dir):
+    return _r(R.kpi_over_time(V.business_view(spark, sf_dir), "revenue", "date", by=["region"]), 4)
+
+
+@register("T5")
+def q_t5(spark, sf_dir):
+    return _r(R.monthly_rollup(V.business_view(spark, sf_dir), "date", by=["region"], columns=_RCOLS), 2)
+
+
+@register("T6")
+def q_t6(spark, sf_dir):
+    return _r(R.top_by_sum(V.business_view(spark, sf_dir), "product", "revenue", by=["region"], k=5), 2)
+
+
+# ---------------------------------------------------------------------------
+# Features (F)
+# ---------------------------------------------------------------------------
+
+@register("F1")
+def q_f1(spark, sf_dir):
+    h = _holes(spark, sf_dir)
+    out, m = kpi.synthesize_profit(h, {"revenue": "revenue", "expenses": "expenses"})
+    return out.select("customer", "product", "date", "revenue", "expenses", F.round(m["profit"], 6).alias("profit"))
+
+
+def _features(spark, sf_dir):
+    bv = V.business_view(spark, sf_dir)
+    return kpi.engineer_features(bv, V.BUSINESS_MAPPING, by=["region"], order_by=V.BV_ORDER)[0]
+
+
+@register("F2")
+def q_f2(spark, sf_dir):
+    return _features(spark, sf_dir).select("customer", "product", "date", "revenue",
+                                           F.round("_profit_margin_pct", 6).alias("profit_margin_pct"))
+
+
+@register("F3")
+def q_f3(spark, sf_dir):
+    return _features(spark, sf_dir).select("customer", "product", "date", F.col("_year").alias("year"),
+                                           F.col("_month").alias("month"), F.col("_year_month").alias("year_month"))
+
+
+@register("F4")
+def q_f4(spark, sf_dir):
+    return _features(spark, sf_dir).select("region", "customer", "product", "date", "revenue",
+                                           F.col("_revenue_lag1").alias("revenue_lag1"),
+                                           F.round("_revenue_growth_pct", 6).alias("revenue_growth_pct"))

@@ -99,3 +99,306 @@ SELECT region, round(rev, 2) AS total_revenue, round(rev - exp, 2) AS total_prof
          WHEN hs < 75 OR revenue_growth < 0 THEN 'Medium' ELSE 'Low' END AS risk_level,
     round(least(greatest(dq, 0), 100), 1) AS data_quality_score
 FROM f JOIN g USING (region)"""
+
+
+# ---------------------------------------------------------------------------
+# Schema and type inference (C)
+# ---------------------------------------------------------------------------
+
+from bizlens.plans.views import DUPS_SQL, EXTREME_SQL, HOLES_SQL, TEXT_SQL  # noqa: E402
+
+_TEXT_COLS = ["date_txt", "iso_txt", "region", "revenue_txt", "quantity_txt", "rate_txt"]
+_PATTERNS = [r"^\d{4}-\d{2}-\d{2}$", r"^\d{2}/\d{2}/\d{4}$", r"^\d{4}/\d{2}/\d{2}$", r"^\d{2}-\d{2}-\d{4}$"]
+_STRICT = ["%Y-%m-%d", "%d/%m/%Y", "%Y/%m/%d", "%d-%m-%Y"]
+_STRICT_SPARK = ["yyyy-MM-dd", "dd/MM/yyyy", "yyyy/MM/dd", "dd-MM-yyyy"]
+_CHART = ["%Y-%m-%d", "%d-%m-%Y", "%m/%d/%Y", "%d/%m/%Y", "%Y/%m/%d", "%Y-%m", "%b-%Y", "%B-%Y"]
+_CHART_SPARK = ["yyyy-MM-dd", "dd-MM-yyyy", "MM/dd/yyyy", "dd/MM/yyyy", "yyyy/MM/dd", "yyyy-MM", "MMM-yyyy",
+                "MMMM-yyyy"]
+
+
+def _stats_sql(c: str) -> str:
+    pat = " OR ".join(f"coalesce(regexp_matches(CAST({c} AS VARCHAR), '{p}'), false)" for p in _PATTERNS)
+    fmts = ", ".join(f"count(try_strptime(CAST({c} AS VARCHAR), '{f}')) AS \"{f}\"" for f in sorted(set(_STRICT + _CHART)))
+    return (f"SELECT '{c}' AS \"column\", count(*) AS rows, count({c}) AS non_null, "
+            f"count(TRY_CAST(trim(CAST({c} AS VARCHAR)) AS DOUBLE)) AS numeric, "
+            f"sum(CASE WHEN {pat} THEN 1 ELSE 0 END) AS pattern, {fmts} FROM t")
+
+
+_STATS = "WITH t AS " + TEXT_SQL + ", s AS (" + " UNION ALL ".join(_stats_sql(c) for c in _TEXT_COLS) + ")\n"
+
+SQL["C4"] = _STATS + """SELECT "column", round(numeric / rows, 4) AS valid_ratio, numeric / rows >= 0.7 AS converted FROM s"""
+
+_gate = "(non_null > 0 AND pattern / greatest(non_null, 1) >= 0.6)"
+_c5_choice = "CASE WHEN \"%Y-%m-%d\" / greatest(rows, 1) >= 0.7 THEN 'yyyy-MM-dd' " + " ".join(
+    f"WHEN {_gate} AND \"{f}\" / greatest(rows, 1) >= 0.7 THEN '{sf}'" for f, sf in zip(_STRICT, _STRICT_SPARK)) + " END"
+_c5_ratio = "CASE WHEN \"%Y-%m-%d\" / greatest(rows, 1) >= 0.7 THEN \"%Y-%m-%d\" / greatest(rows, 1) " + " ".join(
+    f"WHEN {_gate} AND \"{f}\" / greatest(rows, 1) >= 0.7 THEN \"{f}\" / greatest(rows, 1)" for f in _STRICT) + " END"
+SQL["C5"] = _STATS + f'SELECT "column", {_c5_choice} AS format, round({_c5_ratio}, 4) AS valid_ratio FROM s'
+
+SQL["C6"] = _STATS + """SELECT "column", (non_null > 0 AND CASE WHEN non_null > 0 THEN pattern / non_null ELSE 0 END >= 0.6
+    AND "%Y-%m-%d" / greatest(rows, 1) >= 0.6) AS is_datetime FROM s"""
+
+SQL["C7"] = _STATS + 'SELECT "column", CASE '  + " ".join(
+    f"WHEN \"{f}\" >= greatest(3.0, rows * 0.5) THEN '{sf}'" for f, sf in zip(_CHART, _CHART_SPARK)) + " END AS format FROM s"
+
+SQL["C9"] = f"""WITH v AS {BV_SQL}, n AS (SELECT count(*) AS rows, count(DISTINCT region) AS dr, count(DISTINCT segment) AS ds,
+    count(DISTINCT product) AS dp FROM v)
+SELECT 'date' AS "column", 'datetime' AS kind, CAST(NULL AS DOUBLE) AS unique_ratio FROM n
+UNION ALL SELECT 'region', CASE WHEN dr / rows > 0.7 THEN 'other' ELSE 'categorical' END, round(dr / rows, 4) FROM n
+UNION ALL SELECT 'segment', CASE WHEN ds / rows > 0.7 THEN 'other' ELSE 'categorical' END, round(ds / rows, 4) FROM n
+UNION ALL SELECT 'product', CASE WHEN dp / rows > 0.7 THEN 'other' ELSE 'categorical' END, round(dp / rows, 4) FROM n
+UNION ALL SELECT 'customer', 'numeric', NULL FROM n UNION ALL SELECT 'revenue', 'numeric', NULL FROM n
+UNION ALL SELECT 'expenses', 'numeric', NULL FROM n UNION ALL SELECT 'quantity', 'numeric', NULL FROM n"""
+
+
+def _acct(c: str) -> str:
+    v = f"TRY_CAST(regexp_replace(trim({c}), '[\\$,%\\(\\)\\s]', '', 'g') AS DOUBLE)"
+    return f"CASE WHEN regexp_matches(trim({c}), '^\\(.*\\)$') THEN -{v} ELSE {v} END"
+
+
+SQL["C11"] = f"""SELECT customer, product, iso_txt, revenue_txt, round({_acct('revenue_txt')}, 2) AS revenue,
+    {_acct('rate_txt')} AS rate FROM {TEXT_SQL} t"""
+
+# ---------------------------------------------------------------------------
+# Cleaning (D)
+# ---------------------------------------------------------------------------
+
+_H8 = "date, region, segment, product, customer, revenue, expenses, quantity"
+
+SQL["D1"] = f"SELECT DISTINCT * FROM {DUPS_SQL} d"
+SQL["D2"] = f"SELECT {_H8} FROM {HOLES_SQL} h"
+SQL["D3"] = f"""SELECT customer, product, revenue, expenses, quantity FROM {HOLES_SQL} h
+    WHERE NOT (revenue IS NULL AND expenses IS NULL AND quantity IS NULL)"""
+SQL["D4"] = f"SELECT {_H8} FROM {HOLES_SQL} h WHERE " + " AND ".join(f"{c} IS NOT NULL" for c in _H8.split(", "))
+SQL["D5"] = f"""WITH h AS {HOLES_SQL}, m AS (SELECT region, median(revenue) AS mr, median(expenses) AS me,
+    median(quantity) AS mq FROM h GROUP BY region)
+SELECT date, region, segment, product, customer, round(coalesce(revenue, mr), 6) AS revenue,
+    round(coalesce(expenses, me), 6) AS expenses, round(coalesce(quantity, mq), 6) AS quantity
+FROM h LEFT JOIN m USING (region)"""
+SQL["D6"] = f"""WITH h AS {HOLES_SQL}, c AS (SELECT region, segment, count(*) AS n FROM h WHERE segment IS NOT NULL GROUP BY ALL),
+    m AS (SELECT region, segment AS ms FROM c QUALIFY row_number() OVER (PARTITION BY region ORDER BY n DESC, segment) = 1)
+SELECT date, region, coalesce(segment, ms, 'unknown') AS segment, product, customer, revenue, expenses, quantity
+FROM h LEFT JOIN m USING (region)"""
+SQL["D7"] = f"""WITH h AS {HOLES_SQL}, m AS (SELECT region, min(date) AS md FROM h GROUP BY region)
+SELECT coalesce(date, md) AS date, region, segment, product, customer, revenue, expenses, quantity
+FROM h LEFT JOIN m USING (region)"""
+SQL["D8"] = f"""SELECT region, CAST(sum(CASE WHEN isinf(revenue) THEN 1 ELSE 0 END) AS BIGINT) AS infinite_values,
+    CAST(sum(CASE WHEN revenue IS NULL OR isinf(revenue) THEN 1 ELSE 0 END) AS BIGINT) AS null_after,
+    CAST(sum(CASE WHEN isnan(revenue) THEN 1 ELSE 0 END) AS BIGINT) AS nan_after
+FROM {EXTREME_SQL} e GROUP BY region"""
+
+_D9_ORDER = ", ".join(f"{c} NULLS FIRST" for c in _H8.split(", "))
+
+
+def _interp(c: str) -> str:
+    back = f"OVER (PARTITION BY product ORDER BY {_D9_ORDER} ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW)"
+    fwd = f"OVER (PARTITION BY product ORDER BY {_D9_ORDER} ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING)"
+    return f"""last_value({c} IGNORE NULLS) {back} AS {c}_pv,
+        last_value(CASE WHEN {c} IS NOT NULL THEN rn END IGNORE NULLS) {back} AS {c}_pr,
+        first_value({c} IGNORE NULLS) {fwd} AS {c}_nv,
+        first_value(CASE WHEN {c} IS NOT NULL THEN rn END IGNORE NULLS) {fwd} AS {c}_nr"""
+
+
+def _interp_out(c: str) -> str:
+    lin = f"CASE WHEN {c}_nr = {c}_pr THEN {c}_pv ELSE {c}_pv + ({c}_nv - {c}_pv) * (rn - {c}_pr) / ({c}_nr - {c}_pr) END"
+    return (f"round(CASE WHEN {c} IS NOT NULL THEN {c} WHEN {c}_pv IS NOT NULL AND {c}_nv IS NOT NULL THEN {lin} "
+            f"ELSE coalesce({c}_pv, {c}_nv) END, 6) AS {c}")
+
+
+SQL["D9"] = f"""WITH h AS (SELECT *, CAST(row_number() OVER (PARTITION BY product ORDER BY {_D9_ORDER}) AS DOUBLE) AS rn
+    FROM {HOLES_SQL} h0),
+    w AS (SELECT *, {_interp('revenue')}, {_interp('expenses')}, {_interp('quantity')} FROM h)
+SELECT date, region, segment, product, customer, {_interp_out('revenue')}, {_interp_out('expenses')},
+    {_interp_out('quantity')} FROM w"""
+
+SQL["D10"] = "SELECT doc_id, lower(trim(text)) AS text, lower(trim(lang)) AS lang, lower(trim(source)) AS source FROM documents"
+SQL["D11"] = f"""SELECT region, date, round(sum(revenue), 4) AS revenue, round(sum(expenses), 4) AS expenses,
+    round(sum(quantity), 4) AS quantity, min(product) AS product FROM {BV_SQL} v GROUP BY region, date"""
+SQL["D12"] = f"""SELECT * FROM (SELECT try_strptime(date_txt, '%Y-%m-%d') AS date_txt, customer, product,
+    TRY_CAST(quantity_txt AS DOUBLE) AS quantity_txt FROM {TEXT_SQL} t) x
+    WHERE date_txt IS NOT NULL AND quantity_txt IS NOT NULL"""
+
+_D14_COLS = ["date", "segment", "product", "customer", "revenue", "expenses", "quantity", "empty"]
+_D14_ALLNULL = " AND ".join(f"{c} IS NULL" for c in _D14_COLS)
+SQL["D14"] = f"""WITH h AS {HOLES_SQL},
+    c AS (SELECT *, count(*) AS _n FROM h GROUP BY ALL),
+    g AS (SELECT region, sum(_n) AS initial_rows, sum(_n) - count(*) AS duplicates_removed,
+        sum(CASE WHEN {_D14_ALLNULL} THEN 1 ELSE 0 END) AS empty_rows_removed,
+        {", ".join(f"sum(CASE WHEN {c} IS NOT NULL THEN 1 ELSE 0 END) AS nn_{c}, sum(CASE WHEN {c} IS NULL AND NOT ({_D14_ALLNULL}) THEN 1 ELSE 0 END) AS nl_{c}" for c in _D14_COLS)}
+        FROM c GROUP BY region),
+    s AS (SELECT *, {" + ".join(f"CASE WHEN nn_{c} = 0 THEN 1 ELSE 0 END" for c in _D14_COLS)} AS empty_cols,
+        {" + ".join(f"CASE WHEN nn_{c} > 0 THEN nl_{c} ELSE 0 END" for c in _D14_COLS)} AS before,
+        CASE WHEN nn_date > 0 THEN nl_date ELSE 0 END AS after,
+        initial_rows - duplicates_removed - empty_rows_removed AS rows_after FROM g),
+    z AS (SELECT *, least(greatest(round(1.0 - CASE WHEN rows_after * ({len(_D14_COLS)} - empty_cols) > 0
+        THEN after / (rows_after * ({len(_D14_COLS)} - empty_cols)) ELSE 0 END
+        - least(0.05, duplicates_removed / greatest(initial_rows, 1)), 2), 0.0), 1.0) AS quality_score FROM s)
+SELECT region, initial_rows, duplicates_removed, empty_rows_removed, CAST(empty_cols AS BIGINT) AS empty_columns_removed,
+    CAST(before AS BIGINT) AS missing_values_before, CAST(before - after AS BIGINT) AS missing_values_imputed,
+    CAST(after AS BIGINT) AS missing_values_remaining, CAST(0 AS BIGINT) AS infinite_values_replaced,
+    quality_score, quality_score >= 0.70 AS is_clean FROM z"""
+
+# ---------------------------------------------------------------------------
+# Profiling (P)
+# ---------------------------------------------------------------------------
+
+_HCOLS = {"date": "timestamp_ntz", "segment": "string", "product": "string", "customer": "bigint",
+          "revenue": "double", "expenses": "double", "quantity": "double", "empty": "double"}
+_NULLSUM = " + ".join(f"CAST({c} IS NULL AS BIGINT)" for c in _HCOLS)
+
+SQL["P1"] = f"""SELECT region, count(*) AS rows, CAST(8 AS BIGINT) AS columns, count(*) * 8 AS total_cells,
+    CAST(sum(nulls) AS BIGINT) AS total_missing_values, round(sum(nulls) / (count(*) * 8) * 100.0, 2) AS overall_missing_percentage
+FROM (SELECT region, {_NULLSUM} AS nulls FROM {HOLES_SQL} h) x GROUP BY region"""
+
+SQL["P2"] = f"WITH h AS {HOLES_SQL}\n" + "\nUNION ALL ".join(
+    f"""SELECT region, '{c}' AS "column", '{t}' AS dtype, count(*) - count({c}) AS null_count,
+    round((count(*) - count({c})) / count(*) * 100.0, 4) AS null_percentage, count(DISTINCT {c}) AS unique_values,
+    {str(t in ('bigint', 'double')).lower()} AS is_numeric, false AS is_boolean, {str(t == 'timestamp_ntz').lower()} AS is_datetime
+    FROM h GROUP BY region""" for c, t in _HCOLS.items())
+
+
+def _num_long(view: str, cols: list[str]) -> str:
+    return " UNION ALL ".join(f"SELECT region, '{c}' AS \"column\", CAST({c} AS DOUBLE) AS x FROM {view} v{i}"
+                              for i, c in enumerate(cols))
+
+
+_P3 = ["customer", "revenue", "expenses", "quantity", "empty"]
+SQL["P3"] = f"""SELECT region, "column", count(x) AS count, round(avg(x), 4) AS mean,
+    round(CASE WHEN count(x) > 1 THEN stddev_samp(x) WHEN count(x) = 1 THEN 0.0 END, 4) AS std,
+    round(min(x), 4) AS min, round(quantile_cont(x, 0.25), 4) AS p25, round(quantile_cont(x, 0.5), 4) AS median,
+    round(quantile_cont(x, 0.75), 4) AS p75, round(max(x), 4) AS max,
+    round(CASE WHEN count(x) > 2 THEN coalesce(skewness(x), 0.0) WHEN count(x) > 0 THEN 0.0 END, 4) AS skewness
+FROM ({_num_long(HOLES_SQL, _P3)}) l GROUP BY region, "column" HAVING count(x) > 0"""
+
+SQL["P4"] = f"""SELECT region, 'date' AS "column", min(date) AS min_date, max(date) AS max_date
+FROM {HOLES_SQL} h GROUP BY region"""
+
+_P5 = ["customer", "revenue", "expenses", "quantity"]
+SQL["P5"] = f"""SELECT region, "column", CAST(count(x) AS DOUBLE) AS count, round(coalesce(avg(x), 0), 4) AS mean,
+    round(coalesce(stddev_samp(x), 0), 4) AS std, round(coalesce(min(x), 0), 4) AS min,
+    round(coalesce(quantile_cont(x, 0.25), 0), 4) AS p25, round(coalesce(quantile_cont(x, 0.5), 0), 4) AS p50,
+    round(coalesce(quantile_cont(x, 0.75), 0), 4) AS p75, round(coalesce(max(x), 0), 4) AS max
+FROM ({_num_long(BV_SQL, _P5)}) l GROUP BY region, "column\""""
+
+SQL["P6"] = f"""SELECT region, "column", round(avg(x), 4) AS mean, round(median(x), 4) AS median,
+    round(stddev_samp(x), 4) AS std, round(skewness(x), 4) AS skewness, round(min(x), 4) AS min, round(max(x), 4) AS max
+FROM ({_num_long(BV_SQL, _P5)}) l GROUP BY region, "column" HAVING count(x) > 3"""
+
+SQL["P7"] = f"""WITH v AS {BV_SQL},
+    l AS (SELECT region, 'segment' AS "column", segment AS value FROM v UNION ALL
+          SELECT region, 'product', product FROM v),
+    c AS (SELECT region, "column", value, count(*) AS count FROM l WHERE value IS NOT NULL GROUP BY ALL)
+SELECT region, "column", value, count, CAST(row_number() OVER (PARTITION BY region, "column" ORDER BY count DESC, value) AS INTEGER) AS rank
+FROM c QUALIFY rank <= 10"""
+
+SQL["P8"] = f"WITH h AS {HOLES_SQL}\n" + "\nUNION ALL ".join(
+    f"SELECT region, '{c}' AS \"column\", count(*) - count({c}) AS missing FROM h GROUP BY region" for c in _HCOLS)
+
+SQL["P9"] = f"""SELECT region, sum(n) AS rows, sum(n) - count(*) AS duplicate_rows
+FROM (SELECT *, count(*) AS n FROM {DUPS_SQL} d GROUP BY ALL) x GROUP BY region"""
+
+SQL["P10"] = f"""WITH c AS (SELECT *, count(*) AS n FROM {HOLES_SQL} h GROUP BY ALL),
+    g AS (SELECT region, sum(n) AS rows, sum(n) - count(*) AS duplicate_rows,
+        sum(({_NULLSUM}) * n) AS null_cells FROM c GROUP BY region),
+    s AS (SELECT *, (rows * 8 - null_cells) / (rows * 8) * 100.0 AS comp,
+        greatest(0.0, 100.0 - duplicate_rows / rows * 100.0) AS uniq FROM g)
+SELECT region, rows, CAST(8 AS BIGINT) AS columns, CAST(null_cells AS BIGINT) AS null_cells, duplicate_rows,
+    round(comp, 1) AS completeness_pct, 25.0 AS canonical_coverage_pct,
+    round(comp * 0.35 + comp * 0.35 + uniq * 0.15 + 25.0 * 0.15, 1) AS data_quality_score FROM s"""
+
+SQL["P12"] = f"""SELECT region, "column", round(avg(x), 2) AS mean, round(coalesce(stddev_samp(x), 0), 2) AS std,
+    round(min(x), 2) AS min, round(max(x), 2) AS max, round(median(x), 2) AS median
+FROM ({_num_long(HOLES_SQL, _P3)}) l GROUP BY region, "column" HAVING count(x) > 0"""
+
+# ---------------------------------------------------------------------------
+# Correlation, drivers, trends (R, T)
+# ---------------------------------------------------------------------------
+
+_RC = ["quantity", "revenue", "expenses"]
+_PAIRS = [(i, j) for i in range(3) for j in range(i + 1, 3)]
+_NS = {"quantity": 0, "revenue": 100, "expenses": 0, "customer": 0}
+
+SQL["R1"] = f"WITH v AS {BV_SQL}\n" + "\nUNION ALL ".join(
+    [f"SELECT region, '{_RC[i]}' AS row, '{_RC[j]}' AS col, round(coalesce(corr({_RC[i]}, {_RC[j]}), 0), 4) AS r FROM v GROUP BY region"
+     for i, j in _PAIRS]
+    + [f"SELECT region, '{_RC[j]}', '{_RC[i]}', round(coalesce(corr({_RC[i]}, {_RC[j]}), 0), 4) FROM v GROUP BY region"
+       for i, j in _PAIRS]
+    + [f"SELECT region, '{c}', '{c}', 1.0 FROM v GROUP BY region" for c in _RC])
+
+SQL["R2"] = f"""WITH v AS {BV_SQL}, p AS (""" + " UNION ALL ".join(
+    f"SELECT region, '{_RC[i]}' AS f1, '{_RC[j]}' AS f2, {k} AS ord, corr({_RC[i]}, {_RC[j]}) AS r, "
+    f"{_NS[_RC[i]] + _NS[_RC[j]]} AS ns FROM v GROUP BY region" for k, (i, j) in enumerate(_PAIRS)) + """),
+    s AS (SELECT *, round(abs(r) * 1000 + ns, 2) AS bs FROM p WHERE r IS NOT NULL AND NOT isnan(r))
+SELECT region, f1 AS feature_1, f2 AS feature_2, CAST(ord AS INTEGER) AS ordinal, round(r, 4) AS r,
+    round(abs(r), 4) AS correlation,
+    CASE WHEN abs(r) >= 0.7 THEN 'strong' WHEN abs(r) >= 0.4 THEN 'moderate' ELSE 'weak' END AS strength,
+    bs AS business_score, CAST(row_number() OVER (PARTITION BY region ORDER BY bs DESC, ord) AS INTEGER) AS rank
+FROM s QUALIFY rank <= 10"""
+
+_R3_OTHERS = ["quantity", "expenses", "customer"]
+_R3_LONG = f"WITH v AS {BV_SQL}, l AS (" + " UNION ALL ".join(
+    f"SELECT region, '{c}' AS feature, {k} AS ord, corr({c}, revenue) AS r, stddev_samp({c}) AS sd, count(*) AS n "
+    f"FROM v GROUP BY region" for k, c in enumerate(_R3_OTHERS)) + ")\n"
+
+SQL["R3"] = _R3_LONG + """SELECT region, feature, CAST(ord AS INTEGER) AS ordinal, round(abs(r), 4) AS importance,
+    CAST(row_number() OVER (PARTITION BY region ORDER BY round(abs(r), 4) DESC, ord) AS INTEGER) AS rank
+FROM l WHERE r IS NOT NULL AND NOT isnan(r)"""
+
+SQL["R4"] = _R3_LONG + """, c AS (SELECT region, feature, ord, n, coalesce(round(r, 3), 0.0) AS c FROM l WHERE sd > 0),
+    k AS (SELECT *, CAST(row_number() OVER (PARTITION BY region ORDER BY abs(c) DESC, ord) AS INTEGER) AS rank FROM c)
+SELECT region, feature AS driver, rank, round(c, 2) AS correlation,
+    CASE WHEN c > 0.7 THEN 'Strong Positive' WHEN c > 0.3 THEN 'Moderate Positive' WHEN c < -0.7 THEN 'Strong Negative'
+         WHEN c < -0.3 THEN 'Moderate Negative' ELSE 'Weak/Neutral' END AS relationship_strength,
+    round(least(100.0, greatest(0.0, c * c * 100.0)), 1) AS impact_score,
+    round(least(99.0, greatest(20.0, abs(c) * 70.0 + least(30.0, n * 0.5))), 1) AS confidence
+FROM k WHERE rank <= 5"""
+
+_R6 = ["customer", "revenue", "expenses", "quantity"]
+SQL["R6"] = f"WITH v AS {BV_SQL}, l AS (" + " UNION ALL ".join(
+    f"SELECT region, '{c}' AS col, {_NS[c]} AS s, coalesce(abs(avg({c})), -1.0) AS a, {-k} AS o FROM v GROUP BY region"
+    for k, c in enumerate(_R6)) + ")\nSELECT region, arg_max(col, (s, a, o)) AS recommended_kpi FROM l GROUP BY region"
+
+SQL["R7"] = f"""SELECT region, regr_count(revenue, quantity) AS points, round(regr_slope(revenue, quantity), 4) AS slope,
+    round(regr_intercept(revenue, quantity), 4) AS intercept, round(regr_r2(revenue, quantity), 4) AS r2
+FROM {BV_SQL} v GROUP BY region"""
+
+SQL["T1"] = f"""WITH v AS {BV_SQL}, l AS (""" + " UNION ALL ".join(
+    f"SELECT region, '{c}' AS \"column\", date, segment, product, customer, {c} AS value FROM v" for c in _RC) + """),
+    r AS (SELECT *, row_number() OVER (PARTITION BY region, "column" ORDER BY date, segment, product, customer, value) AS rn
+          FROM l WHERE date IS NOT NULL AND value IS NOT NULL),
+    g AS (SELECT region, "column", count(*) AS points, coalesce(regr_slope(value, rn), 0.0) AS s FROM r GROUP BY ALL)
+SELECT region, "column", CASE WHEN s > 0 THEN 'increasing' WHEN s < 0 THEN 'decreasing' ELSE 'stable' END AS trend,
+    round(s, 6) AS slope, points FROM g WHERE points >= 6"""
+
+SQL["T3"] = f"""SELECT segment, round(avg(revenue), 4) AS mean_value FROM {BV_SQL} v GROUP BY segment
+ORDER BY avg(revenue) DESC, segment LIMIT 10"""
+
+SQL["T4"] = f"""SELECT region, date AS ts, round(avg(revenue), 4) AS mean_value FROM {BV_SQL} v
+WHERE date IS NOT NULL GROUP BY region, date"""
+
+SQL["T5"] = f"""WITH v AS {BV_SQL},
+    s AS (SELECT region, CAST(date_trunc('month', date) AS DATE) AS month, sum(quantity) AS quantity,
+          sum(revenue) AS revenue, sum(expenses) AS expenses FROM v WHERE date IS NOT NULL GROUP BY ALL),
+    cal AS (SELECT region, CAST(unnest(generate_series(min(month), max(month), INTERVAL 1 MONTH)) AS DATE) AS month
+            FROM s GROUP BY region)
+SELECT region, month, round(coalesce(quantity, 0), 2) AS quantity, round(coalesce(revenue, 0), 2) AS revenue,
+    round(coalesce(expenses, 0), 2) AS expenses FROM cal LEFT JOIN s USING (region, month)"""
+
+SQL["T6"] = f"""SELECT region, product AS key, round(sum(revenue), 2) AS total,
+    CAST(row_number() OVER (PARTITION BY region ORDER BY sum(revenue) DESC, product) AS INTEGER) AS rank
+FROM {BV_SQL} v GROUP BY region, product QUALIFY rank <= 5"""
+
+# ---------------------------------------------------------------------------
+# Features (F)
+# ---------------------------------------------------------------------------
+
+SQL["F1"] = f"""SELECT customer, product, date, revenue, expenses,
+    round(coalesce(revenue, 0) - coalesce(expenses, 0), 6) AS profit FROM {HOLES_SQL} h"""
+SQL["F2"] = f"""SELECT customer, product, date, revenue,
+    round(CASE WHEN revenue > 0 THEN (revenue - expenses) / revenue * 100.0 ELSE 0.0 END, 6) AS profit_margin_pct
+FROM {BV_SQL} v"""
+SQL["F3"] = f"""SELECT customer, product, date, CAST(year(date) AS INTEGER) AS year, CAST(month(date) AS INTEGER) AS month,
+    CAST(date_trunc('month', date) AS DATE) AS year_month FROM {BV_SQL} v"""
+SQL["F4"] = f"""SELECT region, customer, product, date, revenue, revenue_lag1,
+    round(CASE WHEN revenue_lag1 > 0 THEN (revenue - revenue_lag1) / revenue_lag1 * 100.0 ELSE 0.0 END, 6) AS revenue_growth_pct
+FROM (SELECT *, lag(revenue) OVER (PARTITION BY region ORDER BY {_ORDER}) AS revenue_lag1 FROM {BV_SQL} v) x"""

@@ -132,7 +132,10 @@ def view_extreme(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _money_text(c):
-    amount = F.abs(c).cast("decimal(18,2)").cast("string")
+    # Whole cents by floor, then integer text: identical in every engine.
+    cents = F.floor(F.abs(c) * 100).cast("bigint")
+    amount = F.concat((cents / 100).cast("bigint").cast("string"), F.lit("."),
+                      F.lpad((cents % 100).cast("string"), 2, "0"))
     return F.when(c < 0, F.concat(F.lit("($"), amount, F.lit(")"))).otherwise(
         F.concat(F.lit("$"), amount))
 
@@ -219,10 +222,11 @@ TEXT_SQL = f"""(SELECT CASE WHEN customer % 10 = 0 THEN 'n/a'
        strftime(date, '%Y-%m-%d') AS iso_txt,
        region, segment, product, customer,
        CASE WHEN customer % 10 = 0 THEN '--'
-            WHEN customer % 29 = 0 AND revenue > 0 THEN '($' || CAST(CAST(revenue AS DECIMAL(18,2)) AS VARCHAR) || ')'
-            WHEN customer % 29 = 0 THEN '$' || CAST(CAST(abs(revenue) AS DECIMAL(18,2)) AS VARCHAR)
-            WHEN revenue < 0 THEN '($' || CAST(CAST(abs(revenue) AS DECIMAL(18,2)) AS VARCHAR) || ')'
-            ELSE '$' || CAST(CAST(revenue AS DECIMAL(18,2)) AS VARCHAR) END AS revenue_txt,
+            WHEN (CASE WHEN customer % 29 = 0 THEN -revenue ELSE revenue END) < 0
+            THEN '($' || CAST(CAST(floor(abs(revenue) * 100) AS BIGINT) // 100 AS VARCHAR) || '.'
+                 || lpad(CAST(CAST(floor(abs(revenue) * 100) AS BIGINT) % 100 AS VARCHAR), 2, '0') || ')'
+            ELSE '$' || CAST(CAST(floor(abs(revenue) * 100) AS BIGINT) // 100 AS VARCHAR) || '.'
+                 || lpad(CAST(CAST(floor(abs(revenue) * 100) AS BIGINT) % 100 AS VARCHAR), 2, '0') END AS revenue_txt,
        CAST(CAST(quantity AS BIGINT) AS VARCHAR) AS quantity_txt,
        CAST(CAST(quantity AS BIGINT) AS VARCHAR) || '%' AS rate_txt
 FROM {BV_SQL} bv0)"""
