@@ -353,3 +353,233 @@ def q_f4(spark, sf_dir):
     return _features(spark, sf_dir).select("region", "customer", "product", "date", "revenue",
                                            F.col("_revenue_lag1").alias("revenue_lag1"),
                                            F.round("_revenue_growth_pct", 6).alias("revenue_growth_pct"))
+
+
+# ---------------------------------------------------------------------------
+# KPI variants, dashboard, anomalies (K, A)
+# ---------------------------------------------------------------------------
+
+from bizlens.operators import anomaly as A  # noqa: E402
+from bizlens.operators import forecast as M  # noqa: E402
+from bizlens.operators import series as S  # noqa: E402
+
+
+def _finance_kpis(spark, sf_dir):
+    fv = V.finance_view(spark, sf_dir)
+    fe, m = kpi.synthesize_profit(fv, V.FINANCE_MAPPING)
+    return kpi.compute_kpis(fe, m, by=["region"], order_by=V.BV_ORDER)
+
+
+@register("K5")
+def q_k5(spark, sf_dir):
+    bv = V.business_view(spark, sf_dir)
+    k = kpi.compute_kpis(bv, V.BUSINESS_MAPPING, by=["product"], order_by=V.BV_ORDER)
+    return k.select("product", "total_revenue", "revenue_growth")
+
+
+@register("K6")
+def q_k6(spark, sf_dir):
+    bv = V.business_view(spark, sf_dir)
+    k = kpi.compute_kpis(bv, {"date": "date", "revenue": "revenue", "active_customers": "quantity"},
+                         by=["segment"], order_by=V.BV_ORDER)
+    return k.select("segment", "customer_growth")
+
+
+@register("K15")
+def q_k15(spark, sf_dir):
+    fv = V.finance_view(spark, sf_dir)
+    k = _finance_kpis(spark, sf_dir)
+    cust = fv.groupBy("region").agg(F.count_distinct("customer").alias("total_customers"))
+    return kpi.build_dashboard(k, by=["region"], customers=cust)
+
+
+@register("K1_rollup")
+def q_k1_rollup(spark, sf_dir):
+    bv = V.business_view(spark, sf_dir)
+    g = bv.rollup("region", "segment").agg(F.sum("revenue").alias("rev"), F.sum("expenses").alias("exp"),
+                                           F.count(F.lit(1)).alias("rows"))
+    return g.select("region", "segment", "rows", F.round("rev", 2).alias("total_revenue"),
+                    F.round("exp", 2).alias("total_expenses"), F.round(F.col("rev") - F.col("exp"), 2).alias("total_profit"),
+                    F.when(F.col("rev") > 0, F.round((F.col("rev") - F.col("exp")) / F.col("rev") * 100.0, 2))
+                    .otherwise(0.0).alias("net_profit_margin"))
+
+
+def _daily(spark, sf_dir):
+    bv = V.business_view(spark, sf_dir)
+    return bv.groupBy("region", "date").agg(F.sum("revenue").alias("revenue"), F.sum("expenses").alias("expenses"))
+
+
+@register("A1")
+def q_a1(spark, sf_dir):
+    return A.zscore_outliers(_daily(spark, sf_dir), {"revenue": "revenue", "expenses": "expenses"},
+                             by=["region"], date="date")
+
+
+@register("A4")
+def q_a4(spark, sf_dir):
+    return A.kpi_alerts(_finance_kpis(spark, sf_dir), by=["region"])
+
+
+@register("A5")
+def q_a5(spark, sf_dir):
+    return A.opportunities(_finance_kpis(spark, sf_dir), by=["region"], has_marketing=True)
+
+
+@register("A3")
+def q_a3(spark, sf_dir):
+    d = _daily(spark, sf_dir)
+    out = A.isolation_forest(d, ["revenue", "expenses"], trees=100, subsample=256, contamination=0.05)
+    return out.select("region", "date", F.round("anomaly_score", 4).alias("anomaly_score"), "is_outlier")
+
+
+# ---------------------------------------------------------------------------
+# Series and forecasting (V, M)
+# ---------------------------------------------------------------------------
+
+def monthly_series(spark, sf_dir):
+    """Zero-filled monthly revenue per region as (region, ts, y)."""
+    bv = V.business_view(spark, sf_dir)
+    m = R.monthly_rollup(bv, "date", by=["region"], columns=["revenue", "expenses"])
+    # Cents: the series every forecaster sees is exact in any engine.
+    return m.select("region", F.col("month").cast("timestamp_ntz").alias("ts"), F.round("revenue", 2).alias("y"))
+
+
+_H = 6
+_CANDIDATES = [M.LinearTrend(), M.SeasonalNaive(12), M.HistoricalMean()]
+
+
+@register("V2")
+def q_v2(spark, sf_dir):
+    s = S.to_series(V.business_view(spark, sf_dir), "date", "revenue", by=["region"], period="month")
+    return S.detect_frequency(s, by=["region"])
+
+
+@register("V3")
+def q_v3(spark, sf_dir):
+    return _r(S.calendar_features(monthly_series(spark, sf_dir)), 6)
+
+
+@register("V5")
+def q_v5(spark, sf_dir):
+    return _r(S.lag_features(monthly_series(spark, sf_dir), by=["region"]), 4)
+
+
+@register("V7")
+def q_v7(spark, sf_dir):
+    return _r(S.lag_features(monthly_series(spark, sf_dir), by=["region"], fill="bfill"), 4)
+
+
+@register("V8")
+def q_v8(spark, sf_dir):
+    return S.future_dates(monthly_series(spark, sf_dir), 12, by=["region"], freq="MS")
+
+
+def _monthly(spark, sf_dir):
+    bv = V.business_view(spark, sf_dir)
+    return R.monthly_rollup(bv, "date", by=["region"], columns=["revenue", "expenses"])
+
+
+@register("M1")
+def q_m1(spark, sf_dir):
+    p = M.linear_trend_forecast(_monthly(spark, sf_dir), by=["region"], periods=12)
+    return p.drop("revenue_slope", "std_error")
+
+
+@register("M2")
+def q_m2(spark, sf_dir):
+    return M.horizon_summary(M.linear_trend_forecast(_monthly(spark, sf_dir), by=["region"]), by=["region"])
+
+
+@register("M3")
+def q_m3(spark, sf_dir):
+    p = M.linear_trend_forecast(_monthly(spark, sf_dir), by=["region"]).filter(F.col("step") == 1)
+    return p.select("region", F.round("revenue_slope", 4).alias("revenue_slope"),
+                    M.trend_label(F.col("revenue_slope")).alias("trend"))
+
+
+@register("M9")
+def q_m9(spark, sf_dir):
+    return M.holdout_split(monthly_series(spark, sf_dir), _H, by=["region"]).select(
+        "region", "ts", "t", "n", "test_size", "role")
+
+
+@register("M12")
+def q_m12(spark, sf_dir):
+    return M.rolling_origin_folds(monthly_series(spark, sf_dir), _H, by=["region"]).drop("y")
+
+
+@register("M13")
+def q_m13(spark, sf_dir):
+    bt = M.backtest(monthly_series(spark, sf_dir), [M.LinearTrend()], _H, by=["region"])
+    return M.metrics(bt, by=["region", "model"])
+
+
+@register("M14")
+def q_m14(spark, sf_dir):
+    bt = M.backtest(monthly_series(spark, sf_dir), [M.LinearTrend()], _H, by=["region"])
+    return _r(M.residuals(bt).select("region", "ts", "y", "forecast", "residual"), 4)
+
+
+@register("M10")
+def q_m10(spark, sf_dir):
+    return M.select_best_model(monthly_series(spark, sf_dir), _CANDIDATES, _H, by=["region"])
+
+
+@register("M7_naive")
+def q_m7_naive(spark, sf_dir):
+    s = monthly_series(spark, sf_dir)
+    sn = M.SeasonalNaive(12)
+    return _r(sn.predict(sn.fit(s, ["region"]), 12, ["region"]), 4)
+
+
+def _final_forecast(spark, sf_dir, horizon=12):
+    s = monthly_series(spark, sf_dir)
+    lt = M.LinearTrend()
+    pred = lt.predict(lt.fit(s, ["region"]), horizon, ["region"])
+    pred = M.attach_dates(pred, s, horizon, by=["region"], freq="MS")
+    bt = M.residuals(M.backtest(s, [lt], _H, by=["region"]))
+    return s, pred, bt
+
+
+@register("M15")
+def q_m15(spark, sf_dir):
+    s, pred, bt = _final_forecast(spark, sf_dir)
+    return _r(M.intervals(pred, s, by=["region"], resid=bt), 2)
+
+
+def _scenarios(spark, sf_dir):
+    s, pred, bt = _final_forecast(spark, sf_dir)
+    return s, bt, M.scenarios(M.intervals(pred, s, by=["region"], resid=bt), s, by=["region"])
+
+
+@register("M16")
+def q_m16(spark, sf_dir):
+    return _scenarios(spark, sf_dir)[2]
+
+
+def _mape(bt):
+    return M.metrics(bt, by=["region"]).select("region", "MAPE")
+
+
+@register("M18")
+def q_m18(spark, sf_dir):
+    s, bt, sc = _scenarios(spark, sf_dir)
+    return M.forecast_summary(sc, s, _mape(bt), by=["region"])
+
+
+@register("M20")
+def q_m20(spark, sf_dir):
+    s, bt, sc = _scenarios(spark, sf_dir)
+    return M.assess_risks(sc, _mape(bt), by=["region"])
+
+
+@register("M21")
+def q_m21(spark, sf_dir):
+    s, bt, sc = _scenarios(spark, sf_dir)
+    return M.generate_actions(M.forecast_summary(sc, s, _mape(bt), by=["region"]), sc, by=["region"])
+
+
+@register("M22")
+def q_m22(spark, sf_dir):
+    s, bt, sc = _scenarios(spark, sf_dir)
+    return _r(M.chart_series(s, sc, by=["region"]), 2)

@@ -402,3 +402,279 @@ SQL["F3"] = f"""SELECT customer, product, date, CAST(year(date) AS INTEGER) AS y
 SQL["F4"] = f"""SELECT region, customer, product, date, revenue, revenue_lag1,
     round(CASE WHEN revenue_lag1 > 0 THEN (revenue - revenue_lag1) / revenue_lag1 * 100.0 ELSE 0.0 END, 6) AS revenue_growth_pct
 FROM (SELECT *, lag(revenue) OVER (PARTITION BY region ORDER BY {_ORDER}) AS revenue_lag1 FROM {BV_SQL} v) x"""
+
+# ---------------------------------------------------------------------------
+# KPI variants, dashboard, anomalies (K, A)
+# ---------------------------------------------------------------------------
+
+_OKEY = "(date, region, segment, product, customer, revenue, expenses, quantity)"
+
+SQL["K5"] = f"""WITH v AS {BV_SQL},
+    m AS (SELECT product, date_trunc('month', date) AS month, sum(revenue) AS rev, count(*) AS n, count(revenue) AS rev_n
+          FROM v GROUP BY ALL),
+    g AS (SELECT product, coalesce(sum(rev), 0) AS rev, sum(n) AS n, sum(rev_n) AS rev_n, count(month) AS n_months,
+          arg_min(rev, month) AS first_m, arg_max(rev, month) AS last_m FROM m GROUP BY product)
+SELECT product, round(rev, 2) AS total_revenue,
+    CASE WHEN n <= 1 OR rev_n < 2 THEN 0.0 WHEN n_months >= 2 AND first_m > 0
+         THEN round((last_m - first_m) / first_m * 100.0, 2) ELSE 0.0 END AS revenue_growth FROM g"""
+
+SQL["K6"] = f"""WITH v AS {BV_SQL},
+    g AS (SELECT segment, count(*) AS n, count(quantity) AS ac_n, arg_min(quantity, {_OKEY}) AS f,
+          arg_max(quantity, {_OKEY}) AS l FROM v GROUP BY segment)
+SELECT segment, CASE WHEN n > 1 AND ac_n >= 2 AND f > 0 THEN round((l - f) / f * 100.0, 2) ELSE 0.0 END AS customer_growth
+FROM g"""
+
+SQL["K15"] = f"""WITH k AS ({SQL["K1"]}),
+    c AS (SELECT region, count(DISTINCT customer) AS tc FROM {FV_SQL} f GROUP BY region)
+SELECT region, total_revenue, total_expenses, total_profit AS net_profit, net_profit_margin,
+    round(coalesce(gross_margin, least(greatest(net_profit_margin + 25.0, 0.0), 85.0)), 2) AS gross_margin,
+    round(coalesce(ebitda_margin, net_profit_margin * 1.15), 2) AS ebitda_margin,
+    round(coalesce(operating_margin, net_profit_margin * 1.05), 2) AS operating_margin,
+    revenue_growth, CAST(tc AS DOUBLE) AS total_customers,
+    round(coalesce(customer_growth, least(greatest(revenue_growth * 0.65, -50.0), 100.0)), 2) AS customer_growth,
+    round(coalesce(churn_rate, greatest(0.5, 5.0 - revenue_growth * 0.1)), 2) AS churn_rate,
+    CASE WHEN tc > 0 THEN round(total_revenue / tc, 2) ELSE 0.0 END AS customer_lifetime_value,
+    CASE WHEN total_expenses > 0 THEN round(total_profit / total_expenses * 100.0, 2) ELSE 0.0 END AS roi,
+    round(coalesce(current_ratio, 1.5), 2) AS current_ratio, round(coalesce(debt_ratio, 0.2), 2) AS debt_ratio,
+    round(coalesce(inventory_turnover, 5.0), 2) AS inventory_turnover,
+    list_filter([CASE WHEN gross_margin IS NULL THEN 'gross_margin' END,
+                 CASE WHEN ebitda_margin IS NULL THEN 'ebitda_margin' END,
+                 CASE WHEN operating_margin IS NULL THEN 'operating_margin' END,
+                 CASE WHEN customer_growth IS NULL THEN 'customer_growth' END,
+                 CASE WHEN churn_rate IS NULL THEN 'churn_rate' END,
+                 CASE WHEN current_ratio IS NULL THEN 'current_ratio' END,
+                 CASE WHEN debt_ratio IS NULL THEN 'debt_ratio' END,
+                 CASE WHEN inventory_turnover IS NULL THEN 'inventory_turnover' END], lambda x: x IS NOT NULL) AS imputed
+FROM k JOIN c USING (region)"""
+
+SQL["K1_rollup"] = f"""SELECT region, segment, count(*) AS rows, round(sum(revenue), 2) AS total_revenue,
+    round(sum(expenses), 2) AS total_expenses, round(sum(revenue) - sum(expenses), 2) AS total_profit,
+    CASE WHEN sum(revenue) > 0 THEN round((sum(revenue) - sum(expenses)) / sum(revenue) * 100.0, 2) ELSE 0.0 END
+        AS net_profit_margin
+FROM {BV_SQL} v GROUP BY ROLLUP (region, segment)"""
+
+_DAILY = f"(SELECT region, date, sum(revenue) AS revenue, sum(expenses) AS expenses FROM {BV_SQL} v GROUP BY region, date)"
+
+
+def _z_sql(col: str, label: str, lower: bool) -> str:
+    z = f"(({col} - mu) / sd)"
+    cond = f"{z} < -2.0" if lower else f"{z} > 2.0"
+    crit = f"abs({z}) > 3.0" + (f" OR {col} < mu * 0.5" if lower else "")
+    return f"""SELECT region, date, 'statistical_outlier' AS type,
+        CASE WHEN {crit} THEN 'Critical' WHEN abs({z}) > 2.5 THEN 'High' WHEN abs({z}) > 2.0 THEN 'Medium' ELSE 'Low' END AS severity,
+        '{label}' AS metric, round({col}, 2) AS value, round(mu, 2) AS historical_average, round({z}, 4) AS z_score
+    FROM d JOIN (SELECT region, avg({col}) AS mu, stddev_samp({col}) AS sd, count({col}) AS n FROM d GROUP BY region) s
+    USING (region) WHERE n >= 3 AND sd > 0 AND {col} IS NOT NULL AND {cond}"""
+
+
+SQL["A1"] = f"WITH d AS {_DAILY}\n" + _z_sql("revenue", "Revenue Dropped Significantly", True) + \
+    "\nUNION ALL " + _z_sql("expenses", "Expense Spike Detected", False)
+
+SQL["A4"] = f"""WITH k AS ({SQL["K1"]})
+SELECT region, 'liquidity_risk' AS type, 'Critical' AS severity, 'Current Ratio' AS metric, current_ratio AS value
+FROM k WHERE current_ratio < 1.0
+UNION ALL SELECT region, 'retention_risk', 'High', 'Customer Churn', churn_rate FROM k WHERE churn_rate > 10.0"""
+
+SQL["A5"] = f"""WITH k AS ({SQL["K1"]}),
+    l AS (SELECT region, list_filter([CASE WHEN revenue_growth > 5.0 THEN 'scale_acquisition' END,
+        CASE WHEN total_revenue > 0 AND total_expenses / total_revenue > 0.70 THEN 'restructure_costs'
+             WHEN total_revenue > 0 THEN 'reinvest_margin' END, 'optimize_cac'], lambda x: x IS NOT NULL) AS ops FROM k)
+SELECT region, CAST(unnest(range(0, len(ops))) AS INTEGER) AS ordinal, unnest(ops) AS opportunity FROM l"""
+
+# ---------------------------------------------------------------------------
+# Series and forecasting (V, M)
+# ---------------------------------------------------------------------------
+
+_MS = f"""(SELECT region, CAST(month AS TIMESTAMP) AS ts, round(revenue, 2) AS y FROM ({SQL["T5"]}) t5)"""
+_MS_RAW = f"""(WITH v AS {BV_SQL},
+    s AS (SELECT region, CAST(date_trunc('month', date) AS DATE) AS month, sum(revenue) AS revenue,
+          sum(expenses) AS expenses FROM v WHERE date IS NOT NULL GROUP BY ALL),
+    cal AS (SELECT region, CAST(unnest(generate_series(min(month), max(month), INTERVAL 1 MONTH)) AS DATE) AS month
+            FROM s GROUP BY region)
+SELECT region, month, coalesce(revenue, 0) AS revenue, coalesce(expenses, 0) AS expenses
+FROM cal LEFT JOIN s USING (region, month))"""
+_MS = f"(SELECT region, CAST(month AS TIMESTAMP) AS ts, round(revenue, 2) AS y FROM {_MS_RAW} m0)"
+_X = f"""(SELECT *, CAST(row_number() OVER (PARTITION BY region ORDER BY ts) - 1 AS BIGINT) AS t,
+    count(*) OVER (PARTITION BY region) AS n FROM {_MS} s0)"""
+
+SQL["V2"] = f"""WITH s AS (SELECT region, date_trunc('month', date) AS ts, sum(revenue) AS y FROM {BV_SQL} v
+        WHERE date IS NOT NULL AND revenue IS NOT NULL GROUP BY ALL),
+    g AS (SELECT region, date_diff('day', lag(CAST(ts AS DATE)) OVER (PARTITION BY region ORDER BY ts), CAST(ts AS DATE)) AS gap FROM s),
+    m AS (SELECT region, CAST(median(gap) AS DOUBLE) AS median_gap_days FROM g GROUP BY region)
+SELECT region, median_gap_days, CASE WHEN median_gap_days IS NULL THEN 'D' WHEN median_gap_days <= 1 THEN 'D'
+    WHEN median_gap_days BETWEEN 6 AND 8 THEN 'W' WHEN median_gap_days BETWEEN 27 AND 32 THEN 'MS'
+    WHEN median_gap_days BETWEEN 88 AND 93 THEN 'QS' WHEN median_gap_days BETWEEN 360 AND 366 THEN 'YS' ELSE 'D' END AS freq
+FROM m"""
+
+SQL["V3"] = f"""SELECT region, ts, round(y, 6) AS y, CAST(year(ts) AS INTEGER) AS year, CAST(month(ts) AS INTEGER) AS month,
+    CAST(day(ts) AS INTEGER) AS day, CAST(isodow(ts) - 1 AS INTEGER) AS dayofweek, CAST(quarter(ts) AS INTEGER) AS quarter,
+    CAST(last_day(CAST(ts AS DATE)) = CAST(ts AS DATE) AS INTEGER) AS is_month_end,
+    round(sin(2 * pi() * month(ts) / 12.0), 6) + 0.0 AS sin_month, round(cos(2 * pi() * month(ts) / 12.0), 6) + 0.0 AS cos_month
+FROM {_MS} s"""
+
+
+def _roll(k: int, use: str) -> str:
+    fr = f"OVER (PARTITION BY region ORDER BY ts ROWS BETWEEN {k} PRECEDING AND 1 PRECEDING)"
+    full = f"count(y) {fr} = {k}"
+    return (f"CASE WHEN {full} AND {use} THEN avg(y) {fr} END AS y_rolling_mean_{k}, "
+            f"CASE WHEN {full} AND {use} THEN stddev_samp(y) {fr} END AS y_rolling_std_{k}")
+
+
+_LAGS = f"""(SELECT region, ts, y,
+    lag(y, 1) OVER w AS y_lag_1, lag(y, 2) OVER w AS y_lag_2, lag(y, 3) OVER w AS y_lag_3,
+    CASE WHEN n >= 24 THEN lag(y, 6) OVER w END AS y_lag_6, CASE WHEN n >= 24 THEN lag(y, 12) OVER w END AS y_lag_12,
+    {_roll(2, 'n < 12')}, {_roll(3, 'true')}, {_roll(6, 'n >= 12')}
+FROM {_X} x WINDOW w AS (PARTITION BY region ORDER BY ts))"""
+_FEATS = ["y_lag_1", "y_lag_2", "y_lag_3", "y_lag_6", "y_lag_12", "y_rolling_mean_2", "y_rolling_std_2",
+          "y_rolling_mean_3", "y_rolling_std_3", "y_rolling_mean_6", "y_rolling_std_6"]
+
+SQL["V5"] = f"SELECT region, ts, round(y, 4) AS y, " + ", ".join(f"round({c}, 4) AS {c}" for c in _FEATS) + f" FROM {_LAGS} l"
+
+SQL["V7"] = f"SELECT region, ts, round(y, 4) AS y, " + ", ".join(
+    f"round(coalesce(first_value({c} IGNORE NULLS) OVER (PARTITION BY region ORDER BY ts ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING), "
+    f"last_value({c} IGNORE NULLS) OVER (PARTITION BY region ORDER BY ts ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW)), 4) AS {c}"
+    for c in _FEATS) + f" FROM {_LAGS} l"
+
+SQL["V8"] = f"""SELECT region, CAST(step AS INTEGER) AS step, CAST(CAST(last AS DATE) + to_months(step) AS TIMESTAMP) AS ts
+FROM (SELECT region, max(ts) AS last FROM {_MS} s GROUP BY region) l, range(1, 13) r(step)"""
+
+_LT = f"""(WITH x AS (SELECT *, CAST(row_number() OVER (PARTITION BY region ORDER BY month) - 1 AS DOUBLE) AS t FROM {_MS_RAW} m),
+    f AS (SELECT region, count(*) AS n, max(month) AS last, regr_slope(revenue, t) AS b_rev, regr_intercept(revenue, t) AS a_rev,
+          regr_slope(expenses, t) AS b_exp, regr_intercept(expenses, t) AS a_exp, sum(expenses) AS s_exp FROM x GROUP BY region
+          HAVING count(*) >= 2),
+    e AS (SELECT region, coalesce(stddev_pop(revenue - (a_rev + b_rev * t)), 0.0) AS std_error FROM x JOIN f USING (region)
+          GROUP BY region)
+SELECT region, CAST(step AS INTEGER) AS step, strftime(CAST(last AS DATE) + to_months(step), '%Y-%m') AS period,
+    round(greatest(a_rev + b_rev * (n + step - 1), 0.0), 2) AS projected_revenue,
+    CASE WHEN s_exp > 0 THEN round(greatest(a_exp + b_exp * (n + step - 1), 0.0), 2) END AS projected_expenses,
+    CASE WHEN s_exp > 0 THEN round((a_rev + b_rev * (n + step - 1)) - (a_exp + b_exp * (n + step - 1)), 2) END AS projected_profit,
+    b_rev AS revenue_slope, std_error
+FROM f JOIN e USING (region), range(1, 13) r(step))"""
+
+SQL["M1"] = f"SELECT region, step, period, projected_revenue, projected_expenses, projected_profit FROM {_LT} p"
+
+SQL["M2"] = f"""WITH p AS {_LT},
+    g AS (SELECT region, sum(CASE WHEN step <= 1 THEN projected_revenue END) AS rev1,
+          sum(CASE WHEN step <= 3 THEN projected_revenue END) AS rev3, sum(CASE WHEN step <= 12 THEN projected_revenue END) AS rev12,
+          sum(CASE WHEN step <= 1 THEN coalesce(projected_profit, 0) END) AS prof1,
+          sum(CASE WHEN step <= 3 THEN coalesce(projected_profit, 0) END) AS prof3,
+          sum(CASE WHEN step <= 12 THEN coalesce(projected_profit, 0) END) AS prof12, first(std_error) AS sd FROM p GROUP BY region)
+SELECT region, 'next_month' AS horizon, 1 AS months, round(rev1, 2) AS revenue, round(prof1, 2) AS profit,
+    round(greatest(0.0, round(rev1, 2) - 1.96 * sd * sqrt(1)), 2) AS lower_bound_revenue, round(round(rev1, 2) + 1.96 * sd * sqrt(1), 2) AS upper_bound_revenue FROM g
+UNION ALL SELECT region, 'next_quarter', 3, round(rev3, 2), round(prof3, 2),
+    round(greatest(0.0, round(rev3, 2) - 1.96 * sd * sqrt(3)), 2), round(round(rev3, 2) + 1.96 * sd * sqrt(3), 2) FROM g
+UNION ALL SELECT region, 'next_year', 12, round(rev12, 2), round(prof12, 2),
+    round(greatest(0.0, round(rev12, 2) - 1.96 * sd * sqrt(12)), 2), round(round(rev12, 2) + 1.96 * sd * sqrt(12), 2) FROM g"""
+
+SQL["M3"] = f"""SELECT region, round(revenue_slope, 4) AS revenue_slope,
+    CASE WHEN revenue_slope < -50 THEN 'Downward Trajectory' WHEN revenue_slope > 50 THEN 'Upward Acceleration'
+         ELSE 'Stable / Horizontal' END AS trend FROM {_LT} p WHERE step = 1"""
+
+_SPLIT = f"""(SELECT *, CAST(least(6, greatest(1, floor(n * 0.25))) AS BIGINT) AS test_size FROM {_X} x)"""
+
+SQL["M9"] = f"""SELECT region, ts, t, n, test_size, CASE WHEN t >= n - test_size THEN 'test' ELSE 'train' END AS role
+FROM {_SPLIT} s"""
+
+SQL["M12"] = f"""WITH x AS {_X},
+    p AS (SELECT DISTINCT region, n, CASE WHEN n - 18 < 12 THEN 12 ELSE n - 18 END AS start FROM x),
+    q AS (SELECT *, CAST(greatest(1, floor((n - start - 6) / 2)) AS BIGINT) AS stp FROM p),
+    folds AS (SELECT region, CAST(i AS INTEGER) AS fold,
+        CAST(CASE WHEN n < 18 THEN greatest(1, n - 6) ELSE start + i * stp END AS BIGINT) AS split,
+        CAST(CASE WHEN n < 18 THEN n ELSE least(start + i * stp + 6, n) END AS BIGINT) AS test_end
+        FROM q, range(0, 3) r(i)
+        WHERE (n < 18 AND i = 0) OR (n >= 18 AND start + i * stp < n AND start + i * stp >= 12))
+SELECT region, ts, fold, split, test_end, CASE WHEN t < split THEN 'train' ELSE 'test' END AS role
+FROM x JOIN folds USING (region) WHERE t < test_end"""
+
+# Holdout predictions of the three SQL forecasters (h = 6).
+_BT = f"""(WITH s AS {_SPLIT},
+    tr AS (SELECT * FROM s WHERE t < n - test_size),
+    te AS (SELECT region, ts, y, t - (n - test_size) + 1 AS step FROM s WHERE t >= n - test_size),
+    lf AS (SELECT region, count(*) AS nt, coalesce(regr_slope(y, t), 0.0) AS b, coalesce(regr_intercept(y, t), avg(y)) AS a
+           FROM tr GROUP BY region),
+    sn AS (SELECT region, list(y ORDER BY t) AS season, count(*) AS m FROM
+           (SELECT *, count(*) OVER (PARTITION BY region) AS nt FROM tr) z WHERE t >= nt - 12 GROUP BY region),
+    mu AS (SELECT region, avg(y) AS mu FROM tr GROUP BY region)
+SELECT te.region, 'linear_trend' AS model, 0 AS ordinal, ts, y, a + b * (nt + step - 1) AS forecast FROM te JOIN lf USING (region)
+UNION ALL SELECT te.region, 'seasonal_naive_12', 1, ts, y, season[CAST((step - 1) % m AS BIGINT) + 1] FROM te JOIN sn USING (region)
+UNION ALL SELECT te.region, 'historical_mean', 2, ts, y, mu FROM te JOIN mu USING (region))"""
+
+
+def _metrics_sql(keys: str, src: str) -> str:
+    return f"""SELECT {keys}, count(*) AS n,
+    round(coalesce(avg(CASE WHEN y <> 0 THEN abs((y - forecast) / y) END), 0.0), 4) AS MAPE,
+    round(sqrt(avg((y - forecast) * (y - forecast))), 2) AS RMSE, round(avg(abs(y - forecast)), 2) AS MAE,
+    round(coalesce(avg(CASE WHEN (abs(y) + abs(forecast)) / 2.0 <> 0 THEN abs(y - forecast) / ((abs(y) + abs(forecast)) / 2.0) END), 0.0), 4) AS sMAPE,
+    round(CASE WHEN var_pop(y) * count(y) > 0 THEN 1.0 - sum((y - forecast) * (y - forecast)) / (var_pop(y) * count(y)) ELSE 0.0 END, 4) AS R2,
+    round(max(abs(y - forecast)), 2) AS MAX_ERROR FROM {src} b GROUP BY {keys}"""
+
+
+SQL["M13"] = _metrics_sql("region, model", f"(SELECT * FROM {_BT} b0 WHERE model = 'linear_trend')")
+SQL["M14"] = f"""SELECT region, ts, round(y, 4) AS y, round(forecast, 4) AS forecast, round(y - forecast, 4) AS residual
+FROM {_BT} b WHERE model = 'linear_trend'"""
+SQL["M10"] = f"""WITH m AS ({_metrics_sql("region, model, ordinal", _BT)})
+SELECT region, model, CAST(ordinal AS INTEGER) AS ordinal, n, MAPE, RMSE, MAE, sMAPE, R2, MAX_ERROR,
+    row_number() OVER (PARTITION BY region ORDER BY MAPE, ordinal) = 1 AS is_best FROM m"""
+
+SQL["M7_naive"] = f"""WITH sn AS (SELECT region, list(y ORDER BY t) AS season, count(*) AS m FROM {_X} x WHERE t >= n - 12 GROUP BY region)
+SELECT region, CAST(step AS INTEGER) AS step, round(season[CAST((step - 1) % m AS BIGINT) + 1], 4) AS forecast
+FROM sn, range(1, 13) r(step)"""
+
+# Final linear forecast (12 months) with intervals from the holdout residuals.
+_FC = f"""(WITH x AS {_X},
+    lf AS (SELECT region, count(*) AS nt, max(ts) AS last, coalesce(regr_slope(y, t), 0.0) AS b,
+           coalesce(regr_intercept(y, t), avg(y)) AS a FROM x GROUP BY region),
+    rs AS (SELECT region, stddev_pop(y - forecast) AS rsd, count(*) AS rn FROM {_BT} b WHERE model = 'linear_trend' GROUP BY region),
+    hs AS (SELECT region, stddev_pop(y) AS hsd, count(y) AS hn, min(y) AS hmin, avg(y) AS hmu FROM x GROUP BY region),
+    p AS (SELECT region, CAST(step AS INTEGER) AS step, a + b * (nt + step - 1) AS forecast,
+          CAST(CAST(last AS DATE) + to_months(step) AS TIMESTAMP) AS ts FROM lf, range(1, 13) r(step)),
+    st AS (SELECT *, CASE WHEN rn > 2 THEN rsd WHEN hn > 0 THEN hsd * 0.10 ELSE 1.0 END AS sigma FROM hs LEFT JOIN rs USING (region))
+SELECT region, step, forecast, ts, hn, hsd, hmu,
+    CASE WHEN hmin >= 0 THEN greatest(round(forecast - 1.96 * sigma * sqrt(step), 2), 0.0)
+         ELSE round(forecast - 1.96 * sigma * sqrt(step), 2) END AS lower_bound,
+    round(forecast + 1.96 * sigma * sqrt(step), 2) AS upper_bound FROM p JOIN st USING (region))"""
+
+SQL["M15"] = f"SELECT region, step, round(forecast, 2) AS forecast, ts, lower_bound, upper_bound FROM {_FC} f"
+
+_SC = f"""(SELECT region, step, ts, lower_bound, upper_bound, round(forecast, 2) AS forecast,
+    round(least(forecast * (1.0 - (0.08 + 0.01 * v * step)), lower_bound), 2) AS conservative,
+    round(greatest(forecast * (1.0 + (0.08 + 0.01 * v * step)), upper_bound), 2) AS optimistic
+FROM (SELECT *, CASE WHEN hn > 1 AND hmu <> 0 THEN hsd / hmu ELSE 0.05 END AS v FROM {_FC} f) z)"""
+
+SQL["M16"] = f"SELECT * FROM {_SC} s"
+
+_MAPE = f"(SELECT region, MAPE FROM ({_metrics_sql('region', f'(SELECT * FROM {_BT} b0 WHERE model = {chr(39)}linear_trend{chr(39)})')}) mm)"
+
+SQL["M18"] = f"""WITH last AS (SELECT region, arg_max(y, ts) AS lv FROM {_MS} s GROUP BY region),
+    f AS (SELECT region, sum(forecast) AS tot, avg(forecast) AS av, arg_max(ts, forecast) AS best_period, count(*) AS horizon
+          FROM {_SC} sc GROUP BY region),
+    j AS (SELECT *, CASE WHEN lv > 0 THEN (av - lv) / lv * 100.0 ELSE 0.0 END AS g FROM f JOIN last USING (region)
+          LEFT JOIN {_MAPE} mp USING (region))
+SELECT region, round(lv, 2) AS current_period_baseline, round(tot, 2) AS projected_horizon_total,
+    round(av, 2) AS projected_period_average, round(g, 2) AS growth_rate_pct,
+    CASE WHEN g > 2 THEN 'UPWARD GROWTH' WHEN g < -2 THEN 'DOWNWARD SLUMP' ELSE 'STABLE / FLAT' END AS trend_direction,
+    CASE WHEN coalesce(MAPE, 0) < 0.05 THEN 'High (MAPE < 5%)' WHEN coalesce(MAPE, 0) < 0.15 THEN 'Moderate (MAPE < 15%)'
+         ELSE 'Low confidence' END AS forecast_confidence, best_period, horizon FROM j"""
+
+SQL["M20"] = f"""WITH g AS (SELECT region, sum(forecast) AS f, sum(conservative) AS c, arg_min(forecast, step) AS first_f,
+        arg_max(forecast, step) AS last_f, count(*) AS h FROM {_SC} sc GROUP BY region),
+    j AS (SELECT *, CASE WHEN f > 0 THEN (f - c) / f * 100.0 ELSE 0.0 END AS gap FROM g LEFT JOIN {_MAPE} mp USING (region)),
+    l AS (SELECT region, gap, list_filter([CASE WHEN coalesce(MAPE, 0) > 0.15 THEN 'high_forecast_variance' END,
+        CASE WHEN gap > 10.0 THEN 'downside_exposure' END,
+        CASE WHEN h > 1 AND last_f < first_f THEN 'negative_horizon_drift' END], lambda x: x IS NOT NULL) AS r FROM j),
+    l2 AS (SELECT region, gap, CASE WHEN len(r) > 0 THEN r ELSE ['low_operational_risk'] END AS r FROM l)
+SELECT region, CAST(unnest(range(0, len(r))) AS INTEGER) AS ordinal, unnest(r) AS risk, round(gap, 1) AS downside_gap_pct FROM l2"""
+
+SQL["M21"] = f"""WITH s AS ({SQL["M18"]}),
+    mc AS (SELECT region, min(conservative) AS mc FROM {_SC} sc GROUP BY region),
+    l AS (SELECT region, mc, list_filter([CASE WHEN growth_rate_pct > 5 THEN 'capital_commitment'
+        WHEN growth_rate_pct < -2 THEN 'cost_realignment' END, 'risk_mitigation', 'continuous_monitoring'],
+        lambda x: x IS NOT NULL) AS a FROM s JOIN mc USING (region))
+SELECT region, CAST(unnest(range(0, len(a))) AS INTEGER) AS ordinal, unnest(a) AS action, round(mc, 2) AS min_conservative FROM l"""
+
+SQL["M22"] = f"""SELECT region, 'history' AS series, ts, round(y, 2) AS value FROM {_MS} s
+UNION ALL SELECT region, 'forecast', ts, forecast FROM {_SC} a
+UNION ALL SELECT region, 'lower_bound', ts, lower_bound FROM {_SC} b
+UNION ALL SELECT region, 'upper_bound', ts, upper_bound FROM {_SC} c
+UNION ALL SELECT region, 'conservative', ts, conservative FROM {_SC} d
+UNION ALL SELECT region, 'optimistic', ts, optimistic FROM {_SC} e"""
