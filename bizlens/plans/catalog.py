@@ -583,3 +583,104 @@ def q_m21(spark, sf_dir):
 def q_m22(spark, sf_dir):
     s, bt, sc = _scenarios(spark, sf_dir)
     return _r(M.chart_series(s, sc, by=["region"]), 2)
+
+
+# ---------------------------------------------------------------------------
+# Drift, entitlement joins, similarity (G, B, N)
+# ---------------------------------------------------------------------------
+
+from bizlens.operators import drift as G  # noqa: E402
+from bizlens.operators import entitle as B  # noqa: E402
+from bizlens.operators import similar as N  # noqa: E402
+from bizlens.plans import tenancy as TN  # noqa: E402
+
+DRIFT_SPLIT = "2024-01-16 00:00:00"
+
+
+def _event_sides(spark, sf_dir):
+    ev = V.table(spark, sf_dir, "events").select(
+        "event_type", "ts", "value", F.get_json_object("props", "$.k").cast("double").alias("k"))
+    cut = F.lit(DRIFT_SPLIT).cast("timestamp_ntz")
+    return ev.filter(F.col("ts") < cut), ev.filter(F.col("ts") >= cut)
+
+
+def _drift(spark, sf_dir):
+    base, cur = _event_sides(spark, sf_dir)
+    return G.column_drift(base, cur, ["value", "k"], by=["event_type"])
+
+
+@register("G1")
+def q_g1(spark, sf_dir):
+    return _r(_drift(spark, sf_dir), 6)
+
+
+@register("G2")
+def q_g2(spark, sf_dir):
+    return G.drift_summary(_drift(spark, sf_dir), by=["event_type"])
+
+
+@register("G3")
+def q_g3(spark, sf_dir):
+    bv = V.business_view(spark, sf_dir)
+    cut = F.lit("1998-06-01 00:00:00").cast("timestamp_ntz")
+    return _r(G.seasonality_shift(bv.filter(F.col("date") < cut), bv.filter(F.col("date") >= cut),
+                                  "date", "revenue"), 4)
+
+
+def _ten(spark, sf_dir):
+    return TN.users(spark, sf_dir), TN.tenants(spark, sf_dir), TN.user_tenant(spark, sf_dir)
+
+
+@register("B1")
+def q_b1(spark, sf_dir):
+    u, t, ut = _ten(spark, sf_dir)
+    return B.tenant_memberships(t, ut)
+
+
+@register("B2")
+def q_b2(spark, sf_dir):
+    u, t, ut = _ten(spark, sf_dir)
+    return B.user_tenants(u, ut, t)
+
+
+@register("B3")
+def q_b3(spark, sf_dir):
+    u, t, ut = _ten(spark, sf_dir)
+    return B.tenant_members(t, ut, u)
+
+
+@register("B4")
+def q_b4(spark, sf_dir):
+    u, t, ut = _ten(spark, sf_dir)
+    return B.effective_plan(u, ut, as_of=TN.AS_OF)
+
+
+@register("B5")
+def q_b5(spark, sf_dir):
+    u, t, ut = _ten(spark, sf_dir)
+    return B.entitlements(B.effective_plan(u, ut, as_of=TN.AS_OF), TN.plans(spark), TN.features(spark))
+
+
+@register("B6")
+def q_b6(spark, sf_dir):
+    return B.latest_subscription(TN.subscriptions(spark, sf_dir))
+
+
+@register("B7")
+def q_b7(spark, sf_dir):
+    return B.price_subscriptions(TN.subscriptions(spark, sf_dir), B.plan_prices(TN.plans(spark)))
+
+
+@register("N1")
+def q_n1(spark, sf_dir):
+    emb = V.table(spark, sf_dir, "embeddings")
+    queries = N.centroids(emb, "label").withColumnRenamed("label", "query_id")
+    return _r(N.cosine_top_k(emb, queries, k=5), 6)
+
+
+@register("N2")
+def q_n2(spark, sf_dir):
+    docs = V.table(spark, sf_dir, "documents").select("doc_id", "text", "source")
+    bench = V.table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("doc_id"), "text",
+                                                        F.lit("benchmark").alias("source"))
+    return N.upsert_by_text(docs, bench)

@@ -678,3 +678,92 @@ UNION ALL SELECT region, 'lower_bound', ts, lower_bound FROM {_SC} b
 UNION ALL SELECT region, 'upper_bound', ts, upper_bound FROM {_SC} c
 UNION ALL SELECT region, 'conservative', ts, conservative FROM {_SC} d
 UNION ALL SELECT region, 'optimistic', ts, optimistic FROM {_SC} e"""
+
+# ---------------------------------------------------------------------------
+# Drift, entitlement joins, similarity (G, B, N)
+# ---------------------------------------------------------------------------
+
+from bizlens.plans.tenancy import (AS_OF, FEATURES_SQL, PLANS_SQL, SUBSCRIPTIONS_SQL, TENANTS_SQL,  # noqa: E402
+                                   USER_TENANT_SQL, USERS_SQL)
+
+
+def _fin(c: str) -> str:
+    return f"CASE WHEN isnan({c}) OR isinf({c}) THEN NULL ELSE {c} END"
+
+
+_DRIFT = f"""(WITH e AS (SELECT event_type, CASE WHEN ts < TIMESTAMP '2024-01-16' THEN 1 ELSE 2 END AS side,
+        {_fin('value')} AS value, {_fin("CAST(json_extract_string(props, '$.k') AS DOUBLE)")} AS k FROM events),
+    l AS (SELECT event_type, 'value' AS "column", value AS v, side FROM e WHERE value IS NOT NULL
+          UNION ALL SELECT event_type, 'k', k, side FROM e WHERE k IS NOT NULL),
+    m AS (SELECT event_type, "column", sum(CASE WHEN side = 1 THEN 1 ELSE 0 END) AS n1,
+          sum(CASE WHEN side = 2 THEN 1 ELSE 0 END) AS n2,
+          avg(CASE WHEN side = 1 THEN v END) AS reference_mean, avg(CASE WHEN side = 2 THEN v END) AS current_mean,
+          stddev_samp(CASE WHEN side = 1 THEN v END) AS reference_std, stddev_samp(CASE WHEN side = 2 THEN v END) AS current_std
+          FROM l GROUP BY ALL),
+    c AS (SELECT event_type, "column", v, sum(CASE WHEN side = 1 THEN 1 ELSE 0 END) AS c1,
+          sum(CASE WHEN side = 2 THEN 1 ELSE 0 END) AS c2 FROM l GROUP BY ALL),
+    cdf AS (SELECT *, sum(c1) OVER w AS cum1, sum(c2) OVER w AS cum2, lead(v) OVER w AS nv FROM c
+            WINDOW w AS (PARTITION BY event_type, "column" ORDER BY v ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW)),
+    s AS (SELECT event_type, "column", max(abs(cum1 / n1 - cum2 / n2)) AS ks,
+          coalesce(sum(abs(cum1 / n1 - cum2 / n2) * (nv - v)), 0.0) AS w FROM cdf JOIN m USING (event_type, "column")
+          GROUP BY ALL),
+    j AS (SELECT *, sqrt(n1 * n2 / (n1 + n2)) AS en FROM m JOIN s USING (event_type, "column")),
+    p AS (SELECT *, (en + 0.12 + 0.11 / en) * ks AS lam FROM j)
+SELECT event_type, "column", CAST(n1 AS BIGINT) AS n1, CAST(n2 AS BIGINT) AS n2, ks AS ks_statistic,
+    CASE WHEN n1 > 0 AND n2 > 0 THEN least(greatest(CASE WHEN lam < 1e-3 THEN 1.0 ELSE
+        2.0 * list_sum(list_transform(range(1, 101), lambda j: pow(-1.0, j - 1) * exp(-2.0 * j * j * lam * lam))) END, 0.0), 1.0)
+    END AS ks_pvalue, w AS wasserstein_distance, reference_mean, current_mean, reference_std, current_std FROM p)"""
+
+SQL["G1"] = f"""SELECT event_type, "column", n1, n2, round(ks_statistic, 6) AS ks_statistic, round(ks_pvalue, 6) AS ks_pvalue,
+    round(wasserstein_distance, 6) AS wasserstein_distance, round(reference_mean, 6) AS reference_mean,
+    round(current_mean, 6) AS current_mean, round(reference_std, 6) AS reference_std, round(current_std, 6) AS current_std,
+    (n1 > 0 AND n2 > 0 AND ks_pvalue < 0.05) AS drift_detected FROM {_DRIFT} d"""
+
+SQL["G2"] = f"""SELECT event_type, true AS success, sum(CAST(ks_pvalue < 0.05 AS INTEGER)) > 0 AS drift_detected,
+    round(sum(CAST(ks_pvalue < 0.05 AS INTEGER)) / count(*) * 100.0, 2) AS drift_percentage,
+    CAST(count(*) AS INTEGER) AS total_columns_checked, CAST(sum(CAST(ks_pvalue < 0.05 AS INTEGER)) AS INTEGER) AS drifted_columns
+FROM {_DRIFT} d GROUP BY event_type"""
+
+SQL["G3"] = f"""WITH s AS (SELECT CAST(month(date) AS INTEGER) AS month_of_year,
+        avg(CASE WHEN date < TIMESTAMP '1998-06-01' THEN revenue END) AS b, avg(CASE WHEN date >= TIMESTAMP '1998-06-01' THEN revenue END) AS c
+        FROM {BV_SQL} v GROUP BY ALL)
+SELECT month_of_year, round(b, 4) AS baseline_mean, round(c, 4) AS current_mean,
+    round(CASE WHEN b <> 0 THEN (c - b) / abs(b) * 100.0 END, 4) AS shift_pct,
+    coalesce(abs(CASE WHEN b <> 0 THEN (c - b) / abs(b) * 100.0 END) > 20.0, false) AS shifted FROM s"""
+
+SQL["B1"] = f"""SELECT ut.user_id, ut.tenant_id, t.name AS tenant_name, ut.role FROM {USER_TENANT_SQL} ut
+JOIN {TENANTS_SQL} t ON ut.tenant_id = t.id"""
+SQL["B2"] = f"""SELECT u.id AS user_id, u.email, ut.tenant_id, t.name AS tenant_name, ut.role, ut.subscription_plan
+FROM {USERS_SQL} u JOIN {USER_TENANT_SQL} ut ON ut.user_id = u.id JOIN {TENANTS_SQL} t ON ut.tenant_id = t.id"""
+SQL["B3"] = f"""SELECT t.id AS tenant_id, t.name AS tenant_name, ut.user_id, u.email, ut.role
+FROM {TENANTS_SQL} t JOIN {USER_TENANT_SQL} ut ON ut.tenant_id = t.id JOIN {USERS_SQL} u ON ut.user_id = u.id"""
+_EFF = f"""(SELECT u.id AS user_id, ut.tenant_id,
+    CASE WHEN ut.id IS NULL THEN 'Starter' WHEN ut.subscription_expiry < TIMESTAMP '{AS_OF}' THEN 'Starter'
+         ELSE coalesce(ut.subscription_plan, 'Starter') END AS effective_plan
+FROM {USERS_SQL} u LEFT JOIN {USER_TENANT_SQL} ut ON ut.user_id = u.id)"""
+SQL["B4"] = f"SELECT * FROM {_EFF} e"
+SQL["B5"] = f"""SELECT e.effective_plan, e.user_id, e.tenant_id, p.rank, f.feature
+FROM {_EFF} e JOIN {PLANS_SQL} p ON p.plan = e.effective_plan JOIN {FEATURES_SQL} f ON f.min_rank <= p.rank"""
+SQL["B6"] = f"""SELECT tenant_id, id, plan, status, start_date FROM {SUBSCRIPTIONS_SQL} s
+QUALIFY row_number() OVER (PARTITION BY tenant_id ORDER BY start_date DESC, id DESC) = 1"""
+SQL["B7"] = f"""WITH pr AS (SELECT plan, 'USD' AS currency, price_usd AS price FROM {PLANS_SQL} p
+    UNION ALL SELECT plan, 'NGN', price_usd * 800 FROM {PLANS_SQL} p2)
+SELECT s.id, s.tenant_id, s.plan, s.currency, pr.price, s.amount = pr.price AS amount_matches
+FROM {SUBSCRIPTIONS_SQL} s JOIN pr ON s.plan = pr.plan AND s.currency = pr.currency"""
+
+SQL["N1"] = """WITH ex AS (SELECT label, unnest(range(0, len(embedding))) AS pos, unnest(embedding) AS x FROM embeddings),
+    c AS (SELECT label AS query_id, list(m ORDER BY pos) AS q FROM
+          (SELECT label, pos, avg(CAST(x AS DOUBLE)) AS m FROM ex GROUP BY ALL) z GROUP BY label),
+    s AS (SELECT c.query_id, e.vec_id,
+          list_sum(list_transform(list_zip(CAST(e.embedding AS DOUBLE[]), c.q), lambda p: p[1] * p[2]))
+          / (sqrt(list_sum(list_transform(CAST(e.embedding AS DOUBLE[]), lambda x: x * x)))
+             * sqrt(list_sum(list_transform(c.q, lambda x: x * x)))) AS similarity
+          FROM embeddings e, c)
+SELECT query_id, vec_id, round(similarity, 6) AS similarity,
+    CAST(row_number() OVER (PARTITION BY query_id ORDER BY similarity DESC, vec_id) AS INTEGER) AS rank
+FROM s QUALIFY rank <= 5"""
+
+SQL["N2"] = """WITH b AS (SELECT doc_id, text, source, 0 AS batch FROM documents
+    UNION ALL SELECT item_id, text, 'benchmark', 1 FROM benchmark)
+SELECT md5(text) AS key, doc_id, text, source FROM b
+QUALIFY row_number() OVER (PARTITION BY md5(text) ORDER BY batch DESC, doc_id DESC) = 1"""

@@ -41,3 +41,41 @@ def global_row_number(df: DataFrame, order_by: Sequence[str], *, name: str = "rn
     return (tagged.join(F.broadcast(offsets), "__pid")
             .withColumn(name, F.col("__off") + F.col("__pos") + 1)
             .drop("__pid", "__pos", "__off"))
+
+
+def running_totals(df: DataFrame, group: Sequence[str], order: Sequence[str], sums: Sequence[str], *,
+                   next_of: str | None = None, partitions: int | None = None) -> DataFrame:
+    """Inclusive running sums of ``sums`` inside each ``group`` in ``order`` order,
+    plus (optionally) the next row's ``next_of`` value in the same group.
+
+    Exact and skew-proof: rows are range-partitioned on (group, order), so a
+    huge group spans many partitions; each partition-slice of a group is
+    summed by a window over (group, partition) - bounded by the partition
+    size - and the totals of the preceding slices (one row per group and
+    partition) are added back. The partition ids are pinned by a
+    checkpoint first, because range boundaries come from a random sample.
+    """
+    spark = df.sparkSession
+    n = partitions or int(spark.conf.get("spark.sql.shuffle.partitions"))
+    g = [F.col(q(c)) for c in group]
+    o = [F.col(q(c)) for c in order]
+    ranged = df.repartitionByRange(n, *g, *o).withColumn("__pid", F.spark_partition_id())
+    ranged = cut_lineage(ranged)
+    w = Window.partitionBy(*g, "__pid").orderBy(*o)
+    cum = w.rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    local = ranged.select("*", *[F.sum(F.col(q(c))).over(cum).alias(f"__l_{c}") for c in sums],
+                          *([F.lead(F.col(q(next_of))).over(w).alias("__next")] if next_of else []))
+    okey = F.struct(*o)
+    part = ranged.groupBy(*g, "__pid").agg(*[F.sum(F.col(q(c))).alias(f"__t_{c}") for c in sums],
+                                           *([F.min_by(F.col(q(next_of)), okey).alias("__first")] if next_of else []))
+    # One row per (group, partition): bounded by the partition count per group.
+    wp = Window.partitionBy(*g).orderBy("__pid")
+    before = wp.rowsBetween(Window.unboundedPreceding, -1)
+    offs = part.select(*g, "__pid", *[F.coalesce(F.sum(f"__t_{c}").over(before), F.lit(0)).alias(f"__o_{c}")
+                                      for c in sums],
+                       *([F.lead("__first").over(wp).alias("__nf")] if next_of else []))
+    out = local.join(offs, [*group, "__pid"])
+    cols = [F.col(q(c)) for c in df.columns] + [(F.col(f"__l_{c}") + F.col(f"__o_{c}")).alias(f"cum_{c}") for c in sums]
+    if next_of:
+        cols.append(F.coalesce(F.col("__next"), F.col("__nf")).alias(f"next_{next_of}"))
+    return out.select(*cols)
