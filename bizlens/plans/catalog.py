@@ -684,3 +684,101 @@ def q_n2(spark, sf_dir):
     bench = V.table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("doc_id"), "text",
                                                         F.lit("benchmark").alias("source"))
     return N.upsert_by_text(docs, bench)
+
+
+# ---------------------------------------------------------------------------
+# Insights, rules and narrative rows (J)
+# ---------------------------------------------------------------------------
+
+from bizlens.operators import insight as J  # noqa: E402
+
+
+def _insight_inputs(spark, sf_dir):
+    bv = V.business_view(spark, sf_dir)
+    pairs = R.ranked_pairs(bv, by=["region"], columns=_RCOLS)
+    imp = R.feature_importance(bv, "revenue", by=["region"], columns=["quantity", "revenue", "expenses", "customer"])
+    order = F.create_map(*[x for i, c in enumerate(_RCOLS) for x in (F.lit(c), F.lit(i))])
+    tr = R.trends(bv, time_col="date", by=["region"], columns=_RCOLS, tie_break=["segment", "product", "customer"]) \
+        .withColumn("column_order", order[F.col("column")])
+    miss = profile.missing_values(bv, by=["region"]).groupBy("region").agg(F.sum("missing").alias("missing"))
+    dups = profile.duplicate_rows(bv, by=["region"]).select("region", F.col("duplicate_rows").alias("duplicates"))
+    return pairs, imp, tr, miss.join(dups, "region")
+
+
+def _j1(spark, sf_dir):
+    pairs, imp, tr, qual = _insight_inputs(spark, sf_dir)
+    return J.rank_insights(pairs, imp, tr, qual, by=["region"])
+
+
+@register("J1")
+def q_j1(spark, sf_dir):
+    return _j1(spark, sf_dir)
+
+
+@register("J2")
+def q_j2(spark, sf_dir):
+    return J.deduplicate_exact(_j1(spark, sf_dir), by=["region"])
+
+
+@register("J3")
+def q_j3(spark, sf_dir):
+    return J.merge_similar(J.deduplicate_exact(_j1(spark, sf_dir), by=["region"]), by=["region"])
+
+
+def _reasons(spark, sf_dir):
+    pairs, imp, tr, qual = _insight_inputs(spark, sf_dir)
+    ins = J.merge_similar(J.deduplicate_exact(J.rank_insights(pairs, imp, tr, qual, by=["region"]), by=["region"]),
+                          by=["region"])
+    return pairs, imp, tr, J.reasoning(ins, pairs, imp, tr, qual, by=["region"], kpi="revenue")
+
+
+@register("J4")
+def q_j4(spark, sf_dir):
+    return _reasons(spark, sf_dir)[3]
+
+
+@register("J5")
+def q_j5(spark, sf_dir):
+    pairs, imp, tr, rs = _reasons(spark, sf_dir)
+    return J.recommendations(pairs, imp, tr, rs, by=["region"], kpi="revenue")
+
+
+def _rules(spark, sf_dir):
+    k = _finance_kpis(spark, sf_dir)
+    fv = V.finance_view(spark, sf_dir)
+    cust = fv.groupBy("region").agg(F.count_distinct("customer").alias("total_customers"))
+    dash = kpi.build_dashboard(k, by=["region"], customers=cust).join(k.select("region", "marketing_roi"), "region")
+    an = A.zscore_outliers(_daily(spark, sf_dir), {"revenue": "revenue", "expenses": "expenses"},
+                           by=["region"], date="date")
+    an = an.select("region", "metric", F.date_format("date", "yyyy-MM-dd").alias("period"),
+                   F.struct("date", "metric").alias("anomaly_order"))
+    return dash, J.apply_rules(dash, an, by=["region"])
+
+
+@register("J6")
+def q_j6(spark, sf_dir):
+    return _rules(spark, sf_dir)[1].select("region", "ordinal", "_sub", "category", "finding", "action", "impact",
+                                           "time_horizon")
+
+
+@register("J7")
+def q_j7(spark, sf_dir):
+    dash, rules = _rules(spark, sf_dir)
+    return J.action_plan(rules, dash, by=["region"])
+
+
+@register("J8")
+def q_j8(spark, sf_dir):
+    dash, _ = _rules(spark, sf_dir)
+    bv = V.business_view(spark, sf_dir)
+    drivers = R.driver_analysis(bv, "revenue", by=["region"], columns=["quantity", "revenue", "expenses", "customer"])
+    proj = M.linear_trend_forecast(_monthly(spark, sf_dir), by=["region"])
+    last = proj.groupBy("region").agg(F.max_by("projected_revenue", "step").alias("last_projection"),
+                                      F.max("period").alias("last_period"),
+                                      M.trend_label(F.first("revenue_slope")).alias("trend"))
+    return J.observations(dash, drivers, last, by=["region"])
+
+
+@register("J9")
+def q_j9(spark, sf_dir):
+    return J.health_narrative(region_health(spark, sf_dir), by=["region"])

@@ -767,3 +767,77 @@ SQL["N2"] = """WITH b AS (SELECT doc_id, text, source, 0 AS batch FROM documents
     UNION ALL SELECT item_id, text, 'benchmark', 1 FROM benchmark)
 SELECT md5(text) AS key, doc_id, text, source FROM b
 QUALIFY row_number() OVER (PARTITION BY md5(text) ORDER BY batch DESC, doc_id DESC) = 1"""
+
+# ---------------------------------------------------------------------------
+# Insights and rules (J)
+# ---------------------------------------------------------------------------
+
+from bizlens.operators.insight import PLAN_DEFAULTS, RULE_METRIC_DEFAULTS, RULES  # noqa: E402
+
+_J1 = f"""(WITH p AS ({SQL["R2"]}), i AS ({SQL["R3"]}),
+    t AS (SELECT *, CASE "column" WHEN 'quantity' THEN 0 WHEN 'revenue' THEN 1 ELSE 2 END AS column_order FROM ({SQL["T1"]}) t0),
+    u AS (SELECT region, 'correlation' AS type, printf('%s strongly influences %s (corr=%.2f)', feature_1, feature_2, abs(correlation)) AS insight,
+            [feature_1, feature_2] AS features, least(greatest(abs(correlation), 0.0), 1.0) AS strength,
+            CASE WHEN abs(correlation) > 0.6 THEN 0.7 ELSE 0.4 END AS business_impact, 1.0 AS confidence, 0 AS src, rank AS ord FROM p
+          UNION ALL SELECT region, 'feature_importance', printf('%s is a key driver of performance', feature), [feature],
+            least(greatest(abs(importance), 0.0), 1.0), CASE WHEN least(greatest(abs(importance), 0.0), 1.0) > 0.5 THEN 0.8 ELSE 0.5 END,
+            1.0, 1, rank FROM i
+          UNION ALL SELECT region, 'trend', printf('%s is %s over time', "column", trend), ["column"],
+            least(greatest(abs(slope), 0.0), 1.0), 0.6, 1.0, 2, column_order FROM t),
+    u2 AS (SELECT region, type, insight, features, CAST(strength AS DOUBLE) AS strength,
+            CAST(business_impact AS DOUBLE) AS business_impact, CAST(confidence AS DOUBLE) AS confidence, src, ord FROM u),
+    s AS (SELECT region, type, insight, features, round(strength, 3) AS strength, round(business_impact, 3) AS business_impact,
+            round(confidence, 3) AS confidence, round(0.5 * strength + 0.3 * business_impact + 0.2 * confidence, 3) AS score, src, ord FROM u2)
+SELECT region, type, insight, features, strength, business_impact, confidence, score,
+    CAST(row_number() OVER (PARTITION BY region ORDER BY score DESC, src, ord) AS INTEGER) AS rank
+FROM s WHERE score > 0.5 QUALIFY rank <= 10)"""
+
+SQL["J1"] = f"SELECT * FROM {_J1} j"
+SQL["J2"] = f"""SELECT region, type || ':' || array_to_string(list_sort(features), '-') AS key, min(rank) OVER k AS first_rank,
+    type, insight, features, strength, business_impact, confidence, score, rank FROM {_J1} j
+WINDOW k AS (PARTITION BY region, type || ':' || array_to_string(list_sort(features), '-'))
+QUALIFY row_number() OVER (PARTITION BY region, type || ':' || array_to_string(list_sort(features), '-') ORDER BY score DESC, rank) = 1"""
+
+_RULES_SQL = "(SELECT * FROM (VALUES " + ", ".join(
+    "({}, '{}', {}, {}, '{}', '{}', '{}', '{}', '{}', '{}', '{}', '{}')".format(
+        o, m, "'-inf'::DOUBLE" if lo == float('-inf') else lo, "'inf'::DOUBLE" if hi == float('inf') else hi,
+        cat, hz, tpl.replace("'", "''"), act.replace("'", "''"), imp.replace("'", "''"), pp, fn, fp)
+    for (o, m, lo, hi, cat, hz, tpl, act, imp, pp, fn, fp) in RULES) + \
+    ") t(ordinal, metric, low, high, category, time_horizon, finding_template, action, impact, plan_prefix, functional, functional_prefix))"
+
+_J6 = f"""(WITH d AS ({SQL["K15"]}), k1 AS ({SQL["K1"]}),
+    mv AS (SELECT d.region, {", ".join(f"coalesce(CAST({'k1.' if m == 'marketing_roi' else 'd.'}{m} AS DOUBLE), {v}) AS {m}" for m, v in RULE_METRIC_DEFAULTS.items())}
+           FROM d JOIN k1 USING (region)),
+    l AS (UNPIVOT mv ON {", ".join(RULE_METRIC_DEFAULTS)} INTO NAME metric VALUE value),
+    fired AS (SELECT l.region, r.ordinal, 0 AS sub, r.category, printf(r.finding_template, l.value) AS finding, r.action, r.impact,
+              r.time_horizon, r.plan_prefix, r.functional, r.functional_prefix FROM l JOIN {_RULES_SQL} r
+              ON l.metric = r.metric AND l.value > r.low AND l.value < r.high),
+    an AS (SELECT region, metric, strftime(date, '%Y-%m-%d') AS period,
+           row_number() OVER (PARTITION BY region ORDER BY date, metric) AS k FROM ({SQL["A1"]}) a0),
+    ar AS (SELECT region, 1 AS ordinal, k AS sub, 'Risk Mitigation' AS category,
+           printf('Flagged risk event: %s on %s.', metric, period) AS finding,
+           printf('Investigate root cause of variance spike in %s during period %s.', metric, period) AS action,
+           'Prevents recurring operational cost leakage.' AS impact, '30 Days' AS time_horizon, 'Risk Audit' AS plan_prefix,
+           'risk_reduction' AS functional, printf('Investigate %s outlier to prevent margin erosion.', metric) AS functional_prefix
+           FROM an WHERE k <= 2)
+SELECT * FROM fired UNION ALL SELECT * FROM ar)"""
+
+SQL["J6"] = f"""SELECT region, CAST(ordinal AS INTEGER) AS ordinal, CAST(sub AS INTEGER) AS _sub, category, finding, action,
+    impact, time_horizon FROM {_J6} j"""
+
+
+def _plan_list(cond: str, item: str, key: str) -> str:
+    lst = f"list({item} ORDER BY ordinal, sub) FILTER (WHERE {cond})"
+    return f"CASE WHEN len(coalesce({lst}, [])) > 0 THEN {lst} ELSE ['{PLAN_DEFAULTS[key]}'] END"
+
+
+_FUNC = ("CASE WHEN functional = 'risk_reduction' AND category = 'Risk Mitigation' THEN functional_prefix "
+         "ELSE functional_prefix || ': ' || action END")
+SQL["J7"] = f"""SELECT region,
+    {_plan_list("time_horizon = '30 Days'", "plan_prefix || ': ' || action", "30 Days")} AS immediate_30_days,
+    {_plan_list("time_horizon = '90 Days'", "plan_prefix || ': ' || action", "90 Days")} AS medium_term_90_days,
+    {_plan_list("time_horizon = '12 Months'", "plan_prefix || ': ' || action", "12 Months")} AS long_term_12_months,
+    {_plan_list("functional = 'revenue_improvement'", _FUNC, "revenue_improvement")} AS revenue_improvement,
+    {_plan_list("functional = 'profit_improvement'", _FUNC, "profit_improvement")} AS profit_improvement,
+    {_plan_list("functional = 'risk_reduction'", _FUNC, "risk_reduction")} AS risk_reduction
+FROM {_J6} j GROUP BY region"""
