@@ -135,16 +135,19 @@ def interpolate(df: DataFrame, *, order_by: Sequence[str], by: Sequence[str] = (
     cols = list(columns) if columns is not None else numeric_columns(df, exclude=list(by) + list(order_by))
     w = Window.partitionBy(*_b(by)).orderBy(*[F.col(q(c)) for c in order_by])
     back = w.rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    fwd = w.rowsBetween(Window.currentRow, Window.unboundedFollowing)
+    # "Next non-NULL" = "last non-NULL" in reversed order: a growing frame is
+    # linear, while an unbounded-following frame is re-evaluated per row.
     out = df.withColumn("__rn", F.row_number().over(w).cast("double"))
+    rev = Window.partitionBy(*_b(by)).orderBy(F.col("__rn").desc())
+    fwd = rev.rowsBetween(Window.unboundedPreceding, Window.currentRow)
     rn = F.col("__rn")
     exprs = {}
     for c in cols:
         v = F.col(q(c)).cast("double")
         pv = F.last(v, ignorenulls=True).over(back)
         pr = F.last(F.when(v.isNotNull(), rn), ignorenulls=True).over(back)
-        nv = F.first(v, ignorenulls=True).over(fwd)
-        nr = F.first(F.when(v.isNotNull(), rn), ignorenulls=True).over(fwd)
+        nv = F.last(v, ignorenulls=True).over(fwd)
+        nr = F.last(F.when(v.isNotNull(), rn), ignorenulls=True).over(fwd)
         lin = F.when(nr == pr, pv).otherwise(pv + (nv - pv) * (rn - pr) / (nr - pr))
         exprs[c] = (F.when(v.isNotNull(), v).when(pv.isNotNull() & nv.isNotNull(), lin)
                     .otherwise(F.coalesce(pv, nv)))

@@ -95,12 +95,15 @@ _LAST_FIELDS = ["cash_balance", "debt", "equity"]
 
 
 def compute_kpis(df: DataFrame, mapping: Mapping[str, str], *, by: Sequence[str] = (),
-                 order_by: Sequence[str] | None = None) -> DataFrame:
+                 order_by: Sequence[str] | None = None, weight: str | None = None) -> DataFrame:
     """K1-K13 for every group of ``by`` in two aggregates.
 
     ``mapping`` maps canonical fields (revenue, expenses, profit, date, ...)
     to columns. Rows are ordered by date, then ``order_by`` for "last value"
     metrics; without a date column ``order_by`` is the row order.
+    ``weight`` names a multiplicity column (rows already collapsed to
+    distinct rows with counts, e.g. by the quality profile): sums and
+    counts are weighted, first / last values are unaffected.
     """
     m = {k: v for k, v in mapping.items() if v in df.columns}
     if "active_customers" not in m and "customers" in m:
@@ -116,30 +119,44 @@ def compute_kpis(df: DataFrame, mapping: Mapping[str, str], *, by: Sequence[str]
                     *[_c(c).alias(f"_o{i}") for i, c in enumerate(order_cols)])
     month = F.date_trunc("month", _c(date)) if date else F.lit(None).cast("timestamp")
 
+    wt = _c(weight) if weight else None
+
+    def wsum(v):
+        return F.sum(v * wt) if wt is not None else F.sum(v)
+
+    def wcount(v):
+        return F.sum(F.when(v.isNotNull(), wt)) if wt is not None else F.count(v)
+
     pre = []
     for f in _SUM_FIELDS:
         if f in m:
-            pre.append(F.sum(finite(_c(m[f]))).alias(f"{f}__s"))
+            pre.append(wsum(finite(_c(m[f]))).alias(f"{f}__s"))
     for f in _MEAN_FIELDS:
         if f in m:
             v = finite(_c(m[f]))
-            pre += [F.sum(v).alias(f"{f}__s"), F.count(v).alias(f"{f}__n")]
+            pre += [wsum(v).alias(f"{f}__s"), wcount(v).alias(f"{f}__n")]
     for f in _LAST_FIELDS:
         if f in m:
             pre.append(F.max_by(finite(_c(m[f])), okey).alias(f"{f}__last"))
     if "revenue" in m:
         rv = finite(_c(m["revenue"]))
-        pre += [F.count(rv).alias("rev__n"), F.min_by(rv, F.when(rv.isNotNull(), okey)).alias("rev__first"),
-                F.max_by(rv, F.when(rv.isNotNull(), okey)).alias("rev__lastv"),
-                F.min(F.when(rv.isNotNull(), okey)).alias("rev__fo"),
-                F.max(F.when(rv.isNotNull(), okey)).alias("rev__lo")]
+        pre.append(wcount(rv).alias("rev__n"))
+        # First / last row values serve growth only without dates; struct-ordered
+        # min_by / max_by force a sort-based aggregate, so they are added only then.
+        if not date:
+            pre += [F.min_by(rv, F.when(rv.isNotNull(), okey)).alias("rev__first"),
+                    F.max_by(rv, F.when(rv.isNotNull(), okey)).alias("rev__lastv"),
+                    F.min(F.when(rv.isNotNull(), okey)).alias("rev__fo"),
+                    F.max(F.when(rv.isNotNull(), okey)).alias("rev__lo")]
     if "active_customers" in m:
         ac = finite(_c(m["active_customers"]))
         pre += [F.min_by(ac, F.when(ac.isNotNull(), okey)).alias("ac__first"),
                 F.max_by(ac, F.when(ac.isNotNull(), okey)).alias("ac__lastv"),
                 F.min(F.when(ac.isNotNull(), okey)).alias("ac__fo"),
                 F.max(F.when(ac.isNotNull(), okey)).alias("ac__lo")]
-    pre += [F.count(F.lit(1)).alias("n__rows"), F.max(okey).alias("okey__max")]
+    pre.append((F.sum(wt) if wt is not None else F.count(F.lit(1))).alias("n__rows"))
+    if any(f in m for f in _LAST_FIELDS):
+        pre.append(F.max(okey).alias("okey__max"))
 
     monthly = df.groupBy(*[_c(b) for b in by], month.alias("_month")).agg(*pre)
 
@@ -157,23 +174,18 @@ def compute_kpis(df: DataFrame, mapping: Mapping[str, str], *, by: Sequence[str]
     if "revenue" in m:
         mrev = F.when(F.col("_month").isNotNull(), F.coalesce(F.col("revenue__s"), F.lit(0.0)))
         agg += [F.sum("rev__n").alias("rev_n"),
-                F.min_by("rev__first", "rev__fo").alias("rev_first_row"),
-                F.max_by("rev__lastv", "rev__lo").alias("rev_last_row"),
+                (F.min_by("rev__first", "rev__fo") if not date else F.lit(None).cast("double")).alias("rev_first_row"),
+                (F.max_by("rev__lastv", "rev__lo") if not date else F.lit(None).cast("double")).alias("rev_last_row"),
                 F.count(F.col("_month")).alias("n_months"),
                 F.min_by(mrev, F.col("_month")).alias("rev_first_month"),
                 F.max_by(mrev, F.col("_month")).alias("rev_last_month")]
     if "active_customers" in m:
         agg += [F.min_by("ac__first", "ac__fo").alias("ac_first"),
                 F.max_by("ac__lastv", "ac__lo").alias("ac_last"),
-                F.sum(F.when(F.col("ac__fo").isNotNull(), 1).otherwise(0)).alias("ac_months")]
+                F.sum("active_customers__n").alias("ac_n")]
     has_dates = F.count(F.col("_month")) > 0
     agg.append(has_dates.alias("has_dates"))
     g = monthly.groupBy(*[_c(b) for b in by]).agg(*agg)
-    if "active_customers" in m:
-        # non-null count of active customers for the >=2 rule
-        cnt = monthly.groupBy(*[_c(b) for b in by]).agg(
-            F.sum("active_customers__n").alias("ac_n"))
-        g = g.join(cnt, by, "left") if by else g.crossJoin(cnt)
 
     return g.select(*[_c(b) for b in by], *_kpi_exprs(m, date is not None))
 
@@ -367,7 +379,7 @@ def _piecewise_scores(margin: Column, growth: Column, ebitda: Column, current: C
 
 
 def health_score(kpis: DataFrame, *, quality: Column | str | float = "data_quality_score",
-                 by: Sequence[str] = ()) -> DataFrame:
+                 by: Sequence[str] = (), keep: Sequence[str] = ()) -> DataFrame:
     """H1-H4: score, status, confidence and risk for every KPI row.
 
     Sub-scores are skipped when their metric is NULL and the weights are
@@ -402,7 +414,7 @@ def health_score(kpis: DataFrame, *, quality: Column | str | float = "data_quali
     medium = (f < 75) | nz(churn, churn > 7) | nz(growth, growth < 0)
     risk = (F.when(critical, "Critical").when(high, "High").when(medium, "Medium").otherwise("Low"))
     return out.select(
-        *[F.col(b) for b in by],
+        *[F.col(b) for b in by], *[F.col(c) for c in keep],
         F.col("_final").alias("health_score"),
         status.alias("status"),
         conf.alias("confidence_score"),

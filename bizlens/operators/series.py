@@ -103,10 +103,12 @@ def lag_features(series: DataFrame, *, by: Sequence[str] = (), ts: str = "ts", y
         out = out.withColumn(f"{y}_rolling_std_{k}", F.when(full & use, F.stddev_samp(yv).over(frame)))
     feats = [c for c in out.columns if c.startswith(f"{y}_lag_") or c.startswith(f"{y}_rolling_")]
     if fill == "bfill":
-        fw = w.rowsBetween(Window.currentRow, Window.unboundedFollowing)
+        # next non-NULL = last non-NULL in reversed order (a linear, growing frame)
+        fw = Window.partitionBy(*_b(by)).orderBy(F.col(q(ts)).desc()).rowsBetween(
+            Window.unboundedPreceding, Window.currentRow)
         bw = w.rowsBetween(Window.unboundedPreceding, Window.currentRow)
         for c in feats:
-            out = out.withColumn(c, F.coalesce(F.first(F.col(c), ignorenulls=True).over(fw),
+            out = out.withColumn(c, F.coalesce(F.last(F.col(c), ignorenulls=True).over(fw),
                                                F.last(F.col(c), ignorenulls=True).over(bw)))
     elif fill == "drop":
         out = out.dropna(subset=[f"{y}_lag_1", f"{y}_lag_2", f"{y}_lag_3"])

@@ -37,14 +37,20 @@ def _r(df: DataFrame, places: int = 4, skip: tuple[str, ...] = ()) -> DataFrame:
 # ---------------------------------------------------------------------------
 
 def region_health(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Flagship: quality profile + KPIs + health score per region.
+
+    The business view is read and joined once: its distinct rows with
+    multiplicities (the one full shuffle, needed anyway for the exact
+    duplicate count) feed both the quality score and the weighted KPIs.
+    """
     bv = V.business_view(spark, sf_dir)
     mapping = V.BUSINESS_MAPPING
-    quality = profile.quality_score(bv, mapping, by=["region"]).select("region", "data_quality_score")
-    fe, m = kpi.synthesize_profit(bv, mapping)
-    k = kpi.compute_kpis(fe, m, by=["region"], order_by=V.BV_ORDER)
-    scored = kpi.health_score(k.join(quality, "region"), by=["region"])
-    return k.select("region", "total_revenue", "total_profit", "net_profit_margin", "revenue_growth") \
-        .join(scored, "region")
+    counted = profile.distinct_counts(bv)
+    quality = profile.quality_score(bv, mapping, by=["region"], counted=counted).select("region", "data_quality_score")
+    fe, m = kpi.synthesize_profit(counted, mapping)
+    k = kpi.compute_kpis(fe, m, by=["region"], order_by=V.BV_ORDER, weight="_n")
+    return kpi.health_score(k.join(quality, "region"), by=["region"],
+                            keep=["total_revenue", "total_profit", "net_profit_margin", "revenue_growth"])
 
 
 @register("H1")
