@@ -788,3 +788,259 @@ def q_j8(spark, sf_dir):
 @register("J9")
 def q_j9(spark, sf_dir):
     return J.health_narrative(region_health(spark, sf_dir), by=["region"])
+
+
+# ---------------------------------------------------------------------------
+# Spark ML and Arrow operators
+# ---------------------------------------------------------------------------
+
+from bizlens.operators import mlforecast as ML  # noqa: E402
+from bizlens.operators import stationarity as ST  # noqa: E402
+
+
+@register("D15")
+def q_d15(spark, sf_dir):
+    return _r(ST.stationarity(_daily(spark, sf_dir), order_by=["date"], by=["region"]), 6)
+
+
+@register("M5")
+def q_m5(spark, sf_dir):
+    s = monthly_series(spark, sf_dir)
+    rf = ML.random_forest()
+    return _r(rf.predict(rf.fit(s, ["region"]), 12, ["region"]), 2)
+
+
+@register("M6")
+def q_m6(spark, sf_dir):
+    s = monthly_series(spark, sf_dir)
+    gb = ML.gradient_boosting()
+    return _r(gb.predict(gb.fit(s, ["region"]), 12, ["region"]), 2)
+
+
+@register("M7")
+def q_m7(spark, sf_dir):
+    s = monthly_series(spark, sf_dir)
+    ar = M.SeasonalAR(12)
+    return _r(ar.predict(ar.fit(s, ["region"]), 12, ["region"]), 2)
+
+
+@register("M8")
+def q_m8(spark, sf_dir):
+    s = monthly_series(spark, sf_dir)
+    return _r(ML.feature_importance(ML.random_forest().fit(s, ["region"])), 4)
+
+
+@register("M10_ml")
+def q_m10_ml(spark, sf_dir):
+    return M.select_best_model(monthly_series(spark, sf_dir), [ML.random_forest(), ML.gradient_boosting()], _H,
+                               by=["region"])
+
+
+@register("M11")
+def q_m11(spark, sf_dir):
+    cands = [M.LinearTrend(), M.SeasonalNaive(12), M.HistoricalMean(), M.SeasonalAR(12)]
+    return M.select_best_model(monthly_series(spark, sf_dir), cands, _H, by=["region"])
+
+
+@register("M17")
+def q_m17(spark, sf_dir):
+    s = ML.multi_target_series(V.business_view(spark, sf_dir), "date", ["revenue", "expenses"], by=["region"])
+    return M.select_best_model(s, _CANDIDATES, _H, by=["region", "target"])
+
+
+@register("M23")
+def q_m23(spark, sf_dir):
+    d = _daily(spark, sf_dir).withColumn("dow", F.dayofweek("date").cast("double")) \
+        .withColumn("month_no", F.month("date").cast("double"))
+    model, path = ML.train_tenant_model(d, ["expenses", "dow", "month_no"], "revenue", "region")
+    pred = ML.load_tenant_model(path).transform(d)
+    return pred.groupBy("region").agg(F.count(F.lit(1)).alias("rows"),
+                                      F.round(F.avg("prediction"), 2).alias("mean_prediction"),
+                                      F.round(F.avg(F.abs(F.col("prediction") - F.col("revenue"))), 2).alias("mae"))
+
+
+# ---------------------------------------------------------------------------
+# Sources and sinks (S)
+# ---------------------------------------------------------------------------
+
+import os as _os  # noqa: E402
+import uuid as _uuid  # noqa: E402
+
+from bizlens.session import checkpoint_dir as _ckpt  # noqa: E402
+from bizlens.sources import readers as IO  # noqa: E402
+
+
+def _scratch(spark, kind):
+    return _os.path.join(_ckpt(spark), "io", f"{kind}-{_uuid.uuid4().hex}")
+
+
+@register("S5")
+def q_s5(spark, sf_dir):
+    li = IO.load(spark, f"{sf_dir}/lineitem.parquet")
+    return li.groupBy("l_returnflag", "l_linestatus").agg(
+        F.count(F.lit(1)).alias("rows"), F.round(F.sum("l_quantity"), 2).alias("sum_qty"),
+        F.round(F.sum(F.col("l_extendedprice") * (1 - F.col("l_discount"))), 2).alias("revenue"))
+
+
+@register("S8")
+def q_s8(spark, sf_dir):
+    docs = V.table(spark, sf_dir, "documents").select("doc_id", "text", "lang")
+    bench = V.table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("doc_id"), "text")
+    return IO.union_all([docs, bench])
+
+
+@register("S9")
+def q_s9(spark, sf_dir):
+    return IO.validate(V.table(spark, sf_dir, "lineitem"), min_rows=5, min_columns=2)
+
+
+@register("S11")
+def q_s11(spark, sf_dir):
+    return IO.preview(V.business_view(spark, sf_dir), 10, order_by=V.BV_ORDER)
+
+
+def _csv_roundtrip(spark, sf_dir, sep):
+    bv = V.business_view(spark, sf_dir).select(
+        F.date_format("date", "yyyy-MM-dd").alias("date"), "region", "segment", "product", "customer",
+        F.round("revenue", 2).alias("revenue"), F.round("expenses", 2).alias("expenses"), "quantity")
+    path = _scratch(spark, "csv")
+    bv.write.option("header", True).option("sep", sep).csv(path)
+    return path
+
+
+def _typed_summary(df):
+    return df.groupBy("region").agg(F.count(F.lit(1)).alias("rows"), F.round(F.sum("revenue"), 2).alias("revenue"),
+                                    F.min("date").alias("first_date"), F.max("date").alias("last_date"))
+
+
+@register("S2")
+def q_s2(spark, sf_dir):
+    path = _csv_roundtrip(spark, sf_dir, ",")
+    return _typed_summary(IO.read_csv(spark, path, infer=True))
+
+
+@register("S3")
+def q_s3(spark, sf_dir):
+    path = _csv_roundtrip(spark, sf_dir, ";")
+    return _typed_summary(IO.read_delimited(spark, path, infer=True))
+
+
+@register("S4")
+def q_s4(spark, sf_dir):
+    bv = V.business_view(spark, sf_dir)
+    path = _scratch(spark, "json")
+    IO.write_results(bv, path, fmt="json")
+    return _typed_summary(IO.read_json(spark, path).withColumn("date", F.col("date").cast("timestamp_ntz")))
+
+
+@register("S10")
+def q_s10(spark, sf_dir):
+    k = _finance_kpis(spark, sf_dir)
+    path = _scratch(spark, "sink")
+    IO.write_results(IO.to_json_records(k), path, fmt="parquet")
+    return spark.read.parquet(path)
+
+
+# ---------------------------------------------------------------------------
+# Streaming (W)
+# ---------------------------------------------------------------------------
+
+from bizlens.streaming import kpis as WS  # noqa: E402
+from bizlens.streaming import payments as WP  # noqa: E402
+
+
+@register("W2")
+def q_w2(spark, sf_dir):
+    out = WS.run_available(WS.windowed_kpis(WS.event_stream(spark, sf_dir)), kind="kpis")
+    return _r(out, 4)
+
+
+@register("W3")
+def q_w3(spark, sf_dir):
+    base = V.table(spark, sf_dir, "events")
+    return WS.run_available(WS.stream_anomalies(WS.event_stream(spark, sf_dir), base), kind="anomalies")
+
+
+@register("W4")
+def q_w4(spark, sf_dir):
+    base, _ = _event_sides(spark, sf_dir)
+    ev = WS.event_stream(spark, sf_dir).withColumn("k", F.get_json_object("props", "$.k").cast("double"))
+    return _r(WS.drift_per_batch(ev, base.withColumn("ts", F.col("ts").cast("timestamp")), ["value", "k"],
+                                 by=["event_type"]), 6)
+
+
+@register("W1")
+def q_w1(spark, sf_dir):
+    # payment events derived from orders land as monthly files; the stream reads them in order
+    ev = WP.payment_events(spark, sf_dir).withColumn("month", F.date_format("event_time", "yyyy-MM"))
+    src = _scratch(spark, "payments")
+    ev.repartition("month").write.partitionBy("month").parquet(src)
+    schema = "event string, transaction_id long, tx_ref string, status string, event_time timestamp"
+    stream = spark.readStream.schema(schema).option("maxFilesPerTrigger", 8).parquet(src)
+    subs = TN.subscriptions(spark, sf_dir)
+    return WS.run_available(WP.subscription_state(stream, subs), kind="subscriptions")
+
+
+# ---------------------------------------------------------------------------
+# Names, schema, context
+# ---------------------------------------------------------------------------
+
+@register("C1")
+def q_c1(spark, sf_dir):
+    fv = V.finance_view(spark, sf_dir)
+    messy = fv.toDF(*[f"  {c.title().replace('_', ' ')}- " for c in fv.columns])
+    return C.standardize_columns(messy, style="strict")
+
+
+@register("C2")
+def q_c2(spark, sf_dir):
+    bv = V.business_view(spark, sf_dir)
+    dup = bv.select("date", "revenue", "expenses", F.col("quantity").alias("revenue"))
+    return C.standardize_columns(dup)
+
+
+@register("C3")
+def q_c3(spark, sf_dir):
+    return C.detect_schema(V.finance_view(spark, sf_dir))
+
+
+@register("C10")
+def q_c10(spark, sf_dir):
+    fv = V.finance_view(spark, sf_dir)
+    std, mapping = C.map_canonical(fv)
+    return std.select(*[F.col(c).alias(f) for f, c in mapping.items()])
+
+
+@register("C12")
+def q_c12(spark, sf_dir):
+    fv = V.finance_view(spark, sf_dir)
+    d, t = C.resolve_series_columns(fv.columns, "Date", "REVENUE")
+    return S.to_series(fv, d, t, by=["region"], period="month")
+
+
+@register("C13")
+def q_c13(spark, sf_dir):
+    return C.priority_table(spark, V.finance_view(spark, sf_dir).columns)
+
+
+@register("C14")
+def q_c14(spark, sf_dir):
+    from bizlens.operators import context as CX
+    bv = V.business_view(spark, sf_dir)
+    return CX.business_context(bv, C.type_partition(bv), R.ranked_pairs(bv, columns=_RCOLS))
+
+
+@register("V1")
+def q_v1(spark, sf_dir):
+    return S.detect_structure(V.view_text(spark, sf_dir), "iso_txt")
+
+
+@register("T2")
+def q_t2(spark, sf_dir):
+    return R.best_category(profile.column_profile(V.business_view(spark, sf_dir)))
+
+
+@register("R5")
+def q_r5(spark, sf_dir):
+    pairs = R.ranked_pairs(V.business_view(spark, sf_dir), by=["region"], columns=_RCOLS)
+    return R.best_correlation(pairs, kpi="revenue", by=["region"])

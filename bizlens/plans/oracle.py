@@ -841,3 +841,44 @@ SQL["J7"] = f"""SELECT region,
     {_plan_list("functional = 'profit_improvement'", _FUNC, "profit_improvement")} AS profit_improvement,
     {_plan_list("functional = 'risk_reduction'", _FUNC, "risk_reduction")} AS risk_reduction
 FROM {_J6} j GROUP BY region"""
+
+# ---------------------------------------------------------------------------
+# Sources and streams (S, W)
+# ---------------------------------------------------------------------------
+
+SQL["S5"] = """SELECT l_returnflag, l_linestatus, count(*) AS rows, round(sum(l_quantity), 2) AS sum_qty,
+    round(sum(l_extendedprice * (1 - l_discount)), 2) AS revenue FROM lineitem GROUP BY ALL"""
+SQL["S8"] = """SELECT doc_id, text, lang FROM documents UNION ALL SELECT item_id, text, NULL FROM benchmark"""
+SQL["S11"] = f"SELECT * FROM {BV_SQL} v ORDER BY {_ORDER} LIMIT 10"
+_ROUNDTRIP = f"""SELECT region, count(*) AS rows, round(sum(round(revenue, 2)), 2) AS revenue,
+    min(date) AS first_date, max(date) AS last_date FROM {BV_SQL} v GROUP BY region"""
+SQL["S2"] = _ROUNDTRIP
+SQL["S3"] = _ROUNDTRIP
+SQL["S4"] = f"""SELECT region, count(*) AS rows, round(sum(revenue), 2) AS revenue,
+    min(date) AS first_date, max(date) AS last_date FROM {BV_SQL} v GROUP BY region"""
+
+SQL["W2"] = """SELECT date_trunc('day', ts) AS window_start, date_trunc('day', ts) + INTERVAL 1 DAY AS window_end,
+    event_type, count(*) AS events, round(sum(value), 4) AS value_sum FROM events GROUP BY ALL
+HAVING date_trunc('day', ts) + INTERVAL 1 DAY <= (SELECT max(ts) FROM events) - INTERVAL 1 DAY"""
+SQL["W3"] = """WITH s AS (SELECT event_type, avg(value) AS mu, stddev_samp(value) AS sd FROM events GROUP BY event_type)
+SELECT event_id, event_type, ts, value, round((value - mu) / sd, 4) AS z_score FROM events JOIN s USING (event_type)
+WHERE sd > 0 AND abs((value - mu) / sd) > 2.0"""
+
+SQL["C12"] = f"""SELECT region, CAST(date_trunc('month', date) AS TIMESTAMP) AS ts, sum(revenue) AS y FROM {FV_SQL} f
+WHERE date IS NOT NULL AND revenue IS NOT NULL GROUP BY ALL"""
+SQL["T2"] = f"""WITH v AS {BV_SQL}, d AS (SELECT 'region' AS "column", count(DISTINCT region) AS unique_values FROM v
+    UNION ALL SELECT 'segment', count(DISTINCT segment) FROM v UNION ALL SELECT 'product', count(DISTINCT product) FROM v)
+SELECT "column", unique_values FROM d WHERE unique_values BETWEEN 2 AND 12
+ORDER BY CASE WHEN "column" LIKE '%region%' OR "column" LIKE '%segment%' OR "column" LIKE '%category%'
+    OR "column" LIKE '%product%' OR "column" LIKE '%department%' OR "column" LIKE '%channel%' THEN 1 ELSE 0 END DESC,
+    "column" LIMIT 1"""
+SQL["R5"] = f"""SELECT * EXCLUDE (tier) FROM (SELECT *, CASE WHEN lower(feature_1) = 'revenue' OR lower(feature_2) = 'revenue' THEN 0
+    WHEN regexp_matches(lower(feature_1), 'revenue|sales|profit|income|purchase|conversion|score|spend')
+     AND regexp_matches(lower(feature_2), 'revenue|sales|profit|income|purchase|conversion|score|spend')
+    THEN 1 ELSE 2 END AS tier FROM ({SQL["R2"]}) p)
+QUALIFY row_number() OVER (PARTITION BY region ORDER BY tier, rank) = 1"""
+SQL["V1"] = f"""SELECT count(*) AS rows, count(TRY_CAST(iso_txt AS TIMESTAMP)) AS parsed,
+    round(1.0 - count(TRY_CAST(iso_txt AS TIMESTAMP)) / greatest(count(*), 1), 4) AS bad_share,
+    1.0 - count(TRY_CAST(iso_txt AS TIMESTAMP)) / greatest(count(*), 1) <= 0.30 AS valid FROM {TEXT_SQL} t"""
+SQL["S9"] = """SELECT CAST(11 AS INTEGER) AS columns, CAST(least(count(*), 5) AS BIGINT) AS rows_seen, true AS enough_columns,
+    count(*) >= 5 AS enough_rows, count(*) >= 5 AS valid FROM lineitem"""
