@@ -976,7 +976,7 @@ def q_w1(spark, sf_dir):
     src = _scratch(spark, "payments")
     ev.repartition("month").write.partitionBy("month").parquet(src)
     schema = "event string, transaction_id long, tx_ref string, status string, event_time timestamp"
-    stream = spark.readStream.schema(schema).option("maxFilesPerTrigger", 8).parquet(src)
+    stream = spark.readStream.schema(schema).option("maxFilesPerTrigger", 40).parquet(src)
     subs = TN.subscriptions(spark, sf_dir)
     return WS.run_available(WP.subscription_state(stream, subs), kind="subscriptions")
 
@@ -1043,4 +1043,4 @@ def q_t2(spark, sf_dir):
 @register("R5")
 def q_r5(spark, sf_dir):
     pairs = R.ranked_pairs(V.business_view(spark, sf_dir), by=["region"], columns=_RCOLS)
-    return R.best_correlation(pairs, kpi="revenue", by=["region"])
+    return _r(R.best_correlation(pairs, kpi="revenue", by=["region"]), 4)

@@ -857,9 +857,10 @@ SQL["S3"] = _ROUNDTRIP
 SQL["S4"] = f"""SELECT region, count(*) AS rows, round(sum(revenue), 2) AS revenue,
     min(date) AS first_date, max(date) AS last_date FROM {BV_SQL} v GROUP BY region"""
 
-SQL["W2"] = """SELECT date_trunc('day', ts) AS window_start, date_trunc('day', ts) + INTERVAL 1 DAY AS window_end,
-    event_type, count(*) AS events, round(sum(value), 4) AS value_sum FROM events GROUP BY ALL
-HAVING date_trunc('day', ts) + INTERVAL 1 DAY <= (SELECT max(ts) FROM events) - INTERVAL 1 DAY"""
+SQL["W2"] = """SELECT * FROM (SELECT date_trunc('day', ts) AS window_start,
+    date_trunc('day', ts) + INTERVAL 1 DAY AS window_end, event_type, count(*) AS events,
+    round(sum(value), 4) AS value_sum FROM events GROUP BY 1, 2, 3) w
+WHERE window_end <= (SELECT max(ts) FROM events) - INTERVAL 1 DAY"""
 SQL["W3"] = """WITH s AS (SELECT event_type, avg(value) AS mu, stddev_samp(value) AS sd FROM events GROUP BY event_type)
 SELECT event_id, event_type, ts, value, round((value - mu) / sd, 4) AS z_score FROM events JOIN s USING (event_type)
 WHERE sd > 0 AND abs((value - mu) / sd) > 2.0"""

@@ -52,14 +52,19 @@ def payment_events(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ev.unionByName(ev.filter(k % 13 == 0))
 
 
+def _expired_row(sub_id: int, deadline_ms: int) -> dict:
+    return {"subscription_id": sub_id, "event_time": pd.Timestamp(deadline_ms, unit="ms"), "transaction_id": None,
+            "status": "expired", "plan": "Starter", "expiry": None}
+
+
 def _step(key, pdfs: Iterator[pd.DataFrame], state):
     sub_id = int(key[0])
+    grace_ms = int(GRACE.value // 10**6)
+    term_ms = int(TERM.value // 10**6)
     if state.hasTimedOut:
         st = state.get
         state.remove()
-        fire = pd.Timestamp(int(st[3]), unit="ms") + GRACE
-        yield pd.DataFrame([{"subscription_id": sub_id, "event_time": fire, "transaction_id": None,
-                             "status": "expired", "plan": "Starter", "expiry": None}])
+        yield pd.DataFrame([_expired_row(sub_id, int(st[3]) + grace_ms)])
         return
     status, plan, expiry, past_due = state.get if state.exists else ("none", "Starter", None, None)
     rows = []
@@ -67,11 +72,14 @@ def _step(key, pdfs: Iterator[pd.DataFrame], state):
     for r in events.itertuples(index=False):
         t = pd.Timestamp(r.event_time)
         tms = int(t.value // 10**6)
+        if status == "past_due" and past_due is not None and tms >= past_due + grace_ms:
+            rows.append(_expired_row(sub_id, past_due + grace_ms))  # the grace period ran out first
+            status, plan, expiry, past_due = "expired", "Starter", None, None
         if r.status == "successful":
             if status == "active" and expiry is not None and expiry > tms:
-                expiry = expiry + int(TERM.value // 10**6)
+                expiry = expiry + term_ms
             else:
-                expiry = tms + int(TERM.value // 10**6)
+                expiry = tms + term_ms
             status, plan, past_due = "active", r.plan, None
         elif r.status == "failed":
             if status != "past_due":
@@ -82,9 +90,17 @@ def _step(key, pdfs: Iterator[pd.DataFrame], state):
         rows.append({"subscription_id": sub_id, "event_time": t, "transaction_id": int(r.transaction_id),
                      "status": status, "plan": plan,
                      "expiry": pd.Timestamp(expiry, unit="ms") if expiry is not None else None})
-    state.update((status, plan, expiry, past_due))
     if status == "past_due" and past_due is not None:
-        state.setTimeoutTimestamp(int(past_due + GRACE.value // 10**6))
+        deadline = past_due + grace_ms
+        if deadline <= state.getCurrentWatermarkMs():
+            rows.append(_expired_row(sub_id, deadline))
+            status, plan, expiry, past_due = "expired", "Starter", None, None
+            state.update((status, plan, expiry, past_due))
+        else:
+            state.update((status, plan, expiry, past_due))
+            state.setTimeoutTimestamp(deadline)
+    else:
+        state.update((status, plan, expiry, past_due))
     if rows:
         yield pd.DataFrame(rows)
 
