@@ -53,8 +53,13 @@ def drop_incomplete_rows(df: DataFrame, *, subset: Sequence[str] | None = None)
 # D5-D7 fills ----------------------------------------------------------------
 
 def fill_numeric(df: DataFrame, *, by: Sequence[str] = (), columns: Sequence[str] | None = None,
-                 method: str = "median", approx: bool = False) -> DataFrame:
-    """NULLs in numeric columns become the group median (default), mean or 0."""
+                 method: str = "median", approx: bool = False, quantiles: str = "auto") -> DataFrame:
+    """NULLs in numeric columns become the group median (default), mean or 0.
+
+    Medians are exact: in memory for groups with few distinct values, else the
+    distributed method of ``profile.distributed_quantiles`` (``quantiles``).
+    """
+    from bizlens.operators.profile import choose_quantile_method, distributed_quantiles, long_numeric
     cols = list(columns) if columns is not None else numeric_columns(df, exclude=by)
     if not cols:
         return df
@@ -67,7 +72,16 @@ def fill_numeric(df: DataFrame, *, by: Sequence[str] = (), columns: Sequence[str
             return F.avg(v)
         return F.percentile_approx(v, 0.5, 100000).cast("double") if approx else F.median(v)
 
-    stats = df.groupBy(*_b(by)).agg(*[stat(c).alias(f"__fill_{i}") for i, c in enumerate(cols)])
+    qm = "in-memory"
+    if method == "median" and not approx:
+        long = long_numeric(df, by=by, columns=cols)
+        qm = choose_quantile_method(long, [*by, "column"], quantiles)
+    if qm == "distributed":
+        med = distributed_quantiles(long, [*by, "column"], [0.5])
+        stats = med.groupBy(*_b(by)).pivot("column", cols).agg(F.first("q0"))
+        stats = stats.select(*_b(by), *[F.col(q(c)).alias(f"__fill_{i}") for i, c in enumerate(cols)])
+    else:
+        stats = df.groupBy(*_b(by)).agg(*[stat(c).alias(f"__fill_{i}") for i, c in enumerate(cols)])
     j = _join_stats(df, stats, by)
     return j.select(*[F.coalesce(F.col(q(c)), F.col(f"__fill_{cols.index(c)}")).cast(df.schema[c].dataType).alias(c)
                       if c in cols else F.col(q(c)) for c in df.columns])

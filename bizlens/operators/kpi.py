@@ -421,3 +421,13 @@ def health_score(kpis: DataFrame, *, quality: Column | str | float = "data_quali
         risk.alias("risk_level"),
         F.round(F.col("_squal"), 1).alias("data_quality_score"),
     )
+
+
+def with_empty_defaults(kpis: DataFrame, groups: DataFrame, *, by: Sequence[str]) -> DataFrame:
+    """Every group of ``groups`` gets a KPI row; groups without data get the
+    empty-input defaults (zero totals, margin and growth; other metrics NULL)."""
+    zero = {"total_revenue", "total_expenses", "total_profit", "net_profit_margin", "revenue_growth"}
+    j = groups.select(*[_c(b) for b in by]).distinct().join(kpis, list(by), "left")
+    return j.select(*[_c(b) for b in by],
+                    *[(F.coalesce(F.col(c), F.lit(0.0)) if c in zero else F.col(c)).alias(c) for c in KPI_COLUMNS],
+                    F.col("total_revenue").isNull().alias("empty_input"))

@@ -127,18 +127,33 @@ def _quantiles(v: Column, probs: list[float], approx: bool) -> Column:
     return F.percentile(v, F.array(*[F.lit(p) for p in probs]))
 
 
+def _with_quantiles(long: DataFrame, keys: Sequence[str], aggs: list, probs: Sequence[float], *,
+                    approx: bool, method: str) -> DataFrame:
+    """Grouped moments plus an array column ``_q`` of quantiles for ``probs``,
+    by the chosen method (see ``choose_quantile_method``)."""
+    keys = list(keys)
+    m = "approx" if approx else choose_quantile_method(long, keys, method)
+    v = F.col("value")
+    if m in ("exact", "approx"):
+        return long.groupBy(*_bycols(keys)).agg(*aggs, _quantiles(v, list(probs), m == "approx").alias("_q"))
+    g = long.groupBy(*_bycols(keys)).agg(*aggs)
+    qd = distributed_quantiles(long, keys, probs)
+    return g.join(qd, keys, "left").withColumn("_q", F.array(*[F.col(f"q{i}") for i in range(len(probs))])) \
+        .drop(*[f"q{i}" for i in range(len(probs))])
+
+
 def numeric_stats(df: DataFrame, *, by: Sequence[str] = (), columns: Sequence[str] | None = None,
-                  approx: bool = False) -> DataFrame:
+                  approx: bool = False, method: str = "auto") -> DataFrame:
     """Mean, std (n-1), min, p25, median, p75, max, skewness; inf/NaN excluded."""
     long = long_numeric(df, by=by, columns=columns)
     v = F.col("value")
     n = F.count(v)
-    g = long.groupBy(*_bycols(by), "column").agg(
+    g = _with_quantiles(long, [*by, "column"], [
         n.alias("count"), F.avg(v).alias("mean"),
         F.when(n > 1, F.stddev_samp(v)).when(n == 1, 0.0).alias("std"),
-        F.min(v).alias("min"), _quantiles(v, [0.25, 0.5, 0.75], approx).alias("_q"),
-        F.max(v).alias("max"),
-        F.when(n > 2, F.coalesce(skewness_adjusted(v), F.lit(0.0))).when(n > 0, 0.0).alias("skewness"))
+        F.min(v).alias("min"), F.max(v).alias("max"),
+        F.when(n > 2, F.coalesce(skewness_adjusted(v), F.lit(0.0))).when(n > 0, 0.0).alias("skewness")],
+        [0.25, 0.5, 0.75], approx=approx, method=method)
     return g.filter(F.col("count") > 0).select(
         *_bycols(by), "column", "count", "mean", "std", "min",
         F.col("_q")[0].alias("p25"), F.col("_q")[1].alias("median"), F.col("_q")[2].alias("p75"),
@@ -146,13 +161,13 @@ def numeric_stats(df: DataFrame, *, by: Sequence[str] = (), columns: Sequence[st
 
 
 def describe(df: DataFrame, *, by: Sequence[str] = (), columns: Sequence[str] | None = None,
-             approx: bool = False) -> DataFrame:
+             approx: bool = False, method: str = "auto") -> DataFrame:
     """P5: count, mean, std, min, 25%, 50%, 75%, max with inf / NaN / undefined as 0."""
     long = long_numeric(df, by=by, columns=columns)
     v = F.col("value")
-    g = long.groupBy(*_bycols(by), "column").agg(
+    g = _with_quantiles(long, [*by, "column"], [
         F.count(v).cast("double").alias("count"), F.avg(v).alias("mean"), F.stddev_samp(v).alias("std"),
-        F.min(v).alias("min"), _quantiles(v, [0.25, 0.5, 0.75], approx).alias("_q"), F.max(v).alias("max"))
+        F.min(v).alias("min"), F.max(v).alias("max")], [0.25, 0.5, 0.75], approx=approx, method=method)
     z = lambda c: F.coalesce(c, F.lit(0.0))
     return g.select(*_bycols(by), "column", "count", z(F.col("mean")).alias("mean"),
                     z(F.col("std")).alias("std"), z(F.col("min")).alias("min"),
@@ -161,29 +176,28 @@ def describe(df: DataFrame, *, by: Sequence[str] = (), columns: Sequence[str] |
 
 
 def distributions(df: DataFrame, *, by: Sequence[str] = (), columns: Sequence[str] | None = None,
-                  approx: bool = False) -> DataFrame:
+                  approx: bool = False, method: str = "auto") -> DataFrame:
     """Mean, median, std, skewness, min, max to 4 places for columns with >3 values."""
     long = long_numeric(df, by=by, columns=columns, keep_nonfinite=False)
     v = F.col("value")
-    med = F.percentile_approx(v, 0.5, 100000) if approx else F.median(v)
-    g = long.groupBy(*_bycols(by), "column").agg(
-        F.count(v).alias("n"), F.avg(v).alias("mean"), med.alias("median"),
-        F.stddev_samp(v).alias("std"), skewness_adjusted(v).alias("skewness"),
-        F.min(v).alias("min"), F.max(v).alias("max"))
+    g = _with_quantiles(long, [*by, "column"], [
+        F.count(v).alias("n"), F.avg(v).alias("mean"), F.stddev_samp(v).alias("std"),
+        skewness_adjusted(v).alias("skewness"), F.min(v).alias("min"), F.max(v).alias("max")],
+        [0.5], approx=approx, method=method).withColumn("median", F.col("_q")[0])
     return g.filter(F.col("n") > 3).select(
         *_bycols(by), "column", *[F.round(F.col(c), 4).alias(c)
                                   for c in ["mean", "median", "std", "skewness", "min", "max"]])
 
 
 def descriptive_stats(df: DataFrame, *, by: Sequence[str] = (), columns: Sequence[str] | None = None,
-                      approx: bool = False) -> DataFrame:
+                      approx: bool = False, method: str = "auto") -> DataFrame:
     """Mean, std (0 if undefined), min, max, median to 2 places."""
     long = long_numeric(df, by=by, columns=columns)
     v = F.col("value")
-    med = F.percentile_approx(v, 0.5, 100000) if approx else F.median(v)
-    g = long.groupBy(*_bycols(by), "column").agg(
+    g = _with_quantiles(long, [*by, "column"], [
         F.count(v).alias("n"), F.avg(v).alias("mean"), F.stddev_samp(v).alias("std"),
-        F.min(v).alias("min"), F.max(v).alias("max"), med.alias("median"))
+        F.min(v).alias("min"), F.max(v).alias("max")], [0.5], approx=approx, method=method) \
+        .withColumn("median", F.col("_q")[0])
     return g.filter(F.col("n") > 0).select(
         *_bycols(by), "column", F.round("mean", 2).alias("mean"),
         F.round(F.coalesce(F.col("std"), F.lit(0.0)), 2).alias("std"),
@@ -268,3 +282,58 @@ def quality_score(df: DataFrame, mapping: Mapping[str, str], *, by: Sequence[str
                     F.round(completeness, 1).alias("completeness_pct"),
                     F.lit(round(coverage, 1)).alias("canonical_coverage_pct"),
                     F.when(cells > 0, score).otherwise(0.0).alias("data_quality_score"))
+
+
+# ----------------------------------------------------------------------------
+# Quantiles that scale: exact in memory, exact distributed, or sketch
+# ----------------------------------------------------------------------------
+
+IN_MEMORY_DISTINCT_LIMIT = 5_000_000
+
+
+def distributed_quantiles(long: DataFrame, keys: Sequence[str], probs: Sequence[float], *,
+                          value: str = "value") -> DataFrame:
+    """Exact linearly interpolated quantiles without holding a group in one task.
+
+    Distinct values are counted per key (partial aggregation), an exact
+    range-partitioned running count (``plans.order.running_totals``) gives each
+    value's rank interval, and only the <= 2 values per quantile that bracket
+    rank p (n - 1) are kept: (keys..., q0, q1, ...).
+    """
+    from bizlens.plans.order import running_totals
+    keys = list(keys)
+    counts = (long.filter(F.col(value).isNotNull()).groupBy(*_bycols(keys), F.col(value).alias("v"))
+              .agg(F.count(F.lit(1)).alias("c")))
+    cum = running_totals(counts, keys, ["v"], ["c"])
+    n = counts.groupBy(*_bycols(keys)).agg(F.sum("c").alias("n"))
+    j = cum.join(n, keys)
+    lo_hi = []
+    for i, p in enumerate(probs):
+        pos = (F.col("n") - 1) * float(p)
+        lo_hi.append((i, F.floor(pos), F.ceil(pos), pos - F.floor(pos)))
+    prev = F.col("cum_c") - F.col("c")
+    cands = []
+    for i, lo, hi, _ in lo_hi:
+        cands.append(F.when((prev <= lo) & (lo < F.col("cum_c")), F.struct(F.lit(i).alias("i"), F.lit(0).alias("side"))))
+        cands.append(F.when((prev <= hi) & (hi < F.col("cum_c")), F.struct(F.lit(i).alias("i"), F.lit(1).alias("side"))))
+    keep = F.filter(F.array(*cands), lambda x: x.isNotNull())  # a value is kept only where it brackets a rank
+    picked = j.select(*_bycols(keys), "v", "n", F.explode(keep).alias("h")).select(
+        *_bycols(keys), "v", "n", F.col("h.i").alias("i"), F.col("h.side").alias("side"))
+    g = picked.groupBy(*_bycols(keys), "i").agg(
+        F.max(F.when(F.col("side") == 0, F.col("v"))).alias("v_lo"),
+        F.max(F.when(F.col("side") == 1, F.col("v"))).alias("v_hi"), F.first("n").alias("n"))
+    frac = F.col("pos") - F.floor("pos")
+    g = g.withColumn("pos", (F.col("n") - 1) * F.element_at(F.array(*[F.lit(float(p)) for p in probs]),
+                                                         (F.col("i") + 1).cast("int")))
+    g = g.withColumn("q", F.col("v_lo") + (F.col("v_hi") - F.col("v_lo")) * frac)
+    wide = g.groupBy(*_bycols(keys)).pivot("i", list(range(len(probs)))).agg(F.first("q"))
+    return wide.select(*_bycols(keys), *[F.col(str(i)).alias(f"q{i}") for i in range(len(probs))])
+
+
+def choose_quantile_method(long: DataFrame, keys: Sequence[str], method: str, *, value: str = "value") -> str:
+    """``auto``: one sketch job; groups under the distinct limit use the in-memory
+    exact percentile, larger ones the distributed exact method."""
+    if method != "auto":
+        return method
+    mx = long.groupBy(*_bycols(keys)).agg(F.approx_count_distinct(value).alias("d")).agg(F.max("d")).first()[0]
+    return "exact" if (mx or 0) <= IN_MEMORY_DISTINCT_LIMIT else "distributed"

@@ -523,7 +523,7 @@ def q_m13(spark, sf_dir):
 @register("M14")
 def q_m14(spark, sf_dir):
     bt = M.backtest(monthly_series(spark, sf_dir), [M.LinearTrend()], _H, by=["region"])
-    return _r(M.residuals(bt).select("region", "ts", "y", "forecast", "residual"), 4)
+    return _r(M.residuals(bt).select("region", "ts", "y", "forecast", "residual"), 2)
 
 
 @register("M10")
@@ -1044,3 +1044,22 @@ def q_t2(spark, sf_dir):
 def q_r5(spark, sf_dir):
     pairs = R.ranked_pairs(V.business_view(spark, sf_dir), by=["region"], columns=_RCOLS)
     return _r(R.best_correlation(pairs, kpi="revenue", by=["region"]), 4)
+
+
+@register("D13")
+def q_d13(spark, sf_dir):
+    t = V.view_text(spark, sf_dir).select("date_txt", "iso_txt", "region", "segment", "product", "quantity_txt")
+    return D.clean(t, by=["region"], order_by=["iso_txt", "product", "quantity_txt"], text_columns=["segment"])
+
+
+@register("K14")
+def q_k14(spark, sf_dir):
+    # every nation gets a KPI row; nations without orders get the empty-input defaults
+    fv = V.finance_view(spark, sf_dir)
+    nat = V.table(spark, sf_dir, "nation").select(F.col("n_name").alias("nation"), "n_nationkey")
+    cust = V.table(spark, sf_dir, "customer").select("c_custkey", "c_nationkey")
+    withn = fv.join(cust, fv.customer == cust.c_custkey).join(F.broadcast(nat), F.col("c_nationkey") == F.col("n_nationkey"))
+    fe, m = kpi.synthesize_profit(withn, V.FINANCE_MAPPING)
+    k = kpi.compute_kpis(fe, m, by=["nation"], order_by=V.BV_ORDER)
+    return kpi.with_empty_defaults(k, nat, by=["nation"]).select("nation", "total_revenue", "total_profit",
+                                                                 "net_profit_margin", "revenue_growth", "empty_input")

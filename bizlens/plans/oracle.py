@@ -610,7 +610,7 @@ def _metrics_sql(keys: str, src: str) -> str:
 
 
 SQL["M13"] = _metrics_sql("region, model", f"(SELECT * FROM {_BT} b0 WHERE model = 'linear_trend')")
-SQL["M14"] = f"""SELECT region, ts, round(y, 4) AS y, round(forecast, 4) AS forecast, round(y - forecast, 4) AS residual
+SQL["M14"] = f"""SELECT region, ts, round(y, 2) AS y, round(forecast, 2) AS forecast, round(y - forecast, 2) AS residual
 FROM {_BT} b WHERE model = 'linear_trend'"""
 SQL["M10"] = f"""WITH m AS ({_metrics_sql("region, model, ordinal", _BT)})
 SELECT region, model, CAST(ordinal AS INTEGER) AS ordinal, n, MAPE, RMSE, MAE, sMAPE, R2, MAX_ERROR,
@@ -883,3 +883,18 @@ SQL["V1"] = f"""SELECT count(*) AS rows, count(TRY_CAST(iso_txt AS TIMESTAMP)) A
     1.0 - count(TRY_CAST(iso_txt AS TIMESTAMP)) / greatest(count(*), 1) <= 0.30 AS valid FROM {TEXT_SQL} t"""
 SQL["S9"] = """SELECT CAST(11 AS INTEGER) AS columns, CAST(least(count(*), 5) AS BIGINT) AS rows_seen, true AS enough_columns,
     count(*) >= 5 AS enough_rows, count(*) >= 5 AS valid FROM lineitem"""
+
+SQL["K14"] = f"""WITH v AS (SELECT f.*, n.n_name AS nation FROM {FV_SQL} f JOIN customer c ON f.customer = c.c_custkey
+        JOIN nation n ON c.c_nationkey = n.n_nationkey),
+    m AS (SELECT nation, date_trunc('month', date) AS month, sum(revenue) AS rev, sum(expenses) AS exp, count(*) AS n,
+          count(revenue) AS rev_n FROM v GROUP BY ALL),
+    g AS (SELECT nation, coalesce(sum(rev), 0) AS rev, coalesce(sum(exp), 0) AS exp, sum(n) AS n, sum(rev_n) AS rev_n,
+          count(month) AS n_months, arg_min(rev, month) AS first_m, arg_max(rev, month) AS last_m FROM m GROUP BY nation),
+    k AS (SELECT nation, round(rev, 2) AS total_revenue, round(rev - exp, 2) AS total_profit,
+          CASE WHEN rev > 0 THEN round((rev - exp) / rev * 100.0, 2) ELSE 0.0 END AS net_profit_margin,
+          CASE WHEN n <= 1 OR rev_n < 2 THEN 0.0 WHEN n_months >= 2 AND first_m > 0
+               THEN round((last_m - first_m) / first_m * 100.0, 2) ELSE 0.0 END AS revenue_growth FROM g)
+SELECT n.n_name AS nation, coalesce(total_revenue, 0.0) AS total_revenue, coalesce(total_profit, 0.0) AS total_profit,
+    coalesce(net_profit_margin, 0.0) AS net_profit_margin, coalesce(revenue_growth, 0.0) AS revenue_growth,
+    total_revenue IS NULL AS empty_input
+FROM (SELECT DISTINCT n_name FROM nation) n LEFT JOIN k ON k.nation = n.n_name"""
