@@ -135,8 +135,60 @@ def count_infinities(df: DataFrame, *, by: Sequence[str] = (), columns: Sequence
 
 # D9 interpolation -----------------------------------------------------------
 
+WINDOW_GROUP_LIMIT = 5_000_000
+
+
+def largest_group(df: DataFrame, by: Sequence[str]) -> int:
+    """Rows in the biggest group (one small aggregate job)."""
+    return df.groupBy(*_b(by)).count().agg(F.max("count")).first()[0] or 0
+
+
 def interpolate(df: DataFrame, *, order_by: Sequence[str], by: Sequence[str] = (),
-                columns: Sequence[str] | None = None) -> DataFrame:
+                columns: Sequence[str] | None = None, strategy: str = "auto") -> DataFrame:
+    """D9, choosing the plan: one window per group while the largest group is
+    small (``WINDOW_GROUP_LIMIT`` rows), else the range-partitioned scan of
+    ``interpolate_scan`` that never sorts a whole group in one task."""
+    if strategy == "auto":
+        strategy = "window" if largest_group(df, by) <= WINDOW_GROUP_LIMIT else "scan"
+    if strategy == "scan":
+        return interpolate_scan(df, order_by=order_by, by=by, columns=columns)
+    return interpolate_window(df, order_by=order_by, by=by, columns=columns)
+
+
+def interpolate_scan(df: DataFrame, *, order_by: Sequence[str], by: Sequence[str] = (),
+                     columns: Sequence[str] | None = None) -> DataFrame:
+    """D9 for skewed groups: positions from a range-partitioned global row
+    number; the previous non-NULL (position, value) is an exact prefix max
+    across partitions; the next non-NULL is found by joining each row to the
+    non-NULL row whose predecessor is that row's previous non-NULL."""
+    from bizlens.plans.order import global_row_number, prefix_max
+    by = list(by)
+    cols = list(columns) if columns is not None else numeric_columns(df, exclude=by + list(order_by))
+    ranked = global_row_number(df, [*by, *order_by], name="__rn", keep_partition=True)
+    out = ranked
+    for i, c in enumerate(cols):
+        v = F.col(q(c)).cast("double")
+        tagged = out.withColumn(f"__nn{i}", F.when(v.isNotNull(), F.struct(F.col("__rn").alias("p"), v.alias("v"))))
+        tagged = prefix_max(tagged, by, "__rn", f"__nn{i}", name=f"__prev{i}")
+        tagged = prefix_max(tagged, by, "__rn", f"__nn{i}", name=f"__prevx{i}", inclusive=False)
+        # next non-NULL: the non-NULL row whose own predecessor equals my previous non-NULL
+        nxt = tagged.filter(v.isNotNull()).select(
+            *_b(by), F.coalesce(F.col(f"__prevx{i}.p"), F.lit(0)).alias(f"__k{i}"),
+            F.col("__rn").alias(f"__np{i}"), v.alias(f"__nv{i}"))
+        key = F.coalesce(F.col(f"__prev{i}.p"), F.lit(0))
+        tagged = tagged.withColumn(f"__k{i}", F.when(v.isNull(), key))
+        out = tagged.join(nxt, [*by, f"__k{i}"], "left").drop(f"__k{i}", f"__nn{i}", f"__prevx{i}")
+        pv, pr = F.col(f"__prev{i}.v"), F.col(f"__prev{i}.p").cast("double")
+        nv, nr = F.col(f"__nv{i}"), F.col(f"__np{i}").cast("double")
+        rn = F.col("__rn").cast("double")
+        lin = F.when(nr == pr, pv).otherwise(pv + (nv - pv) * (rn - pr) / (nr - pr))
+        filled = F.when(v.isNotNull(), v).when(pv.isNotNull() & nv.isNotNull(), lin).otherwise(F.coalesce(pv, nv))
+        out = out.withColumn(c, filled).drop(f"__prev{i}", f"__np{i}", f"__nv{i}")
+    return out.select(*[F.col(q(c)) for c in df.columns])
+
+
+def interpolate_window(df: DataFrame, *, order_by: Sequence[str], by: Sequence[str] = (),
+                       columns: Sequence[str] | None = None) -> DataFrame:
     """Linear interpolation by row position inside each group, both directions.
 
     Interior gaps are linear between the neighbouring values; leading and

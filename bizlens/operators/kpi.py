@@ -55,12 +55,13 @@ def synthesize_profit(df: DataFrame, mapping: Mapping[str, str]) -> tuple[DataFr
 
 
 def engineer_features(df: DataFrame, mapping: Mapping[str, str], *, by: Sequence[str] = (),
-                      order_by: Sequence[str] | None = None) -> tuple[DataFrame, dict]:
+                      order_by: Sequence[str] | None = None, strategy: str = "auto") -> tuple[DataFrame, dict]:
     """Synthesised profit, margin %, calendar parts, lag-1 revenue growth.
 
-    The lag runs per ``by`` group ordered by date (then ``order_by`` for ties);
-    without groups it is a window over one series, so call it on a group
-    key or on an aggregated series at scale.
+    The lag runs per ``by`` group ordered by date (then ``order_by`` for ties):
+    a window per group while the largest group is small, else a
+    range-partitioned global row number and a join of each row to the row
+    one position earlier (no group is ever sorted in one task).
     """
     df, m = synthesize_profit(df, mapping)
     rev, prof, date = m.get("revenue"), m.get("profit"), m.get("date")
@@ -73,11 +74,22 @@ def engineer_features(df: DataFrame, mapping: Mapping[str, str], *, by: Sequence
         df = (df.withColumn("_year", F.year(d)).withColumn("_month", F.month(d))
               .withColumn("_year_month", F.date_trunc("month", d).cast("date")))
         if rev:
-            order = [d.asc_nulls_last()] + [_c(c) for c in (order_by or []) if c != date]
-            w = Window.partitionBy(*[_c(b) for b in by]).orderBy(*order)
             rv = F.coalesce(_c(rev).cast("double"), F.lit(0.0))
-            lag = F.lag(rv, 1).over(w)
-            df = df.withColumn("_revenue_lag1", lag)
+            if strategy == "auto":
+                from bizlens.operators.clean import WINDOW_GROUP_LIMIT, largest_group
+                strategy = "window" if largest_group(df, by) <= WINDOW_GROUP_LIMIT else "scan"
+            if strategy == "window":
+                order = [d.asc_nulls_last()] + [_c(c) for c in (order_by or []) if c != date]
+                w = Window.partitionBy(*[_c(b) for b in by]).orderBy(*order)
+                df = df.withColumn("_revenue_lag1", F.lag(rv, 1).over(w))
+            else:
+                from bizlens.plans.order import global_row_number
+                cols = df.columns
+                okeys = [*by, "__dnull", date, *[c for c in (order_by or []) if c != date and c not in by]]
+                ranked = global_row_number(df.withColumn("__dnull", d.isNull().cast("int")), okeys, name="__rn")
+                prev = ranked.select(*[_c(b) for b in by], (F.col("__rn") + 1).alias("__rn"),
+                                     rv.alias("_revenue_lag1"))
+                df = ranked.join(prev, [*by, "__rn"], "left").select(*[_c(c) for c in cols], "_revenue_lag1")
             g = F.when(F.col("_revenue_lag1") > 0,
                        (rv - F.col("_revenue_lag1")) / F.col("_revenue_lag1") * 100.0).otherwise(0.0)
             df = df.withColumn("_revenue_growth_pct", F.coalesce(finite(g), F.lit(0.0)))

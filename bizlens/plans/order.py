@@ -24,8 +24,11 @@ _LOW33 = (1 << 33) - 1
 
 
 def global_row_number(df: DataFrame, order_by: Sequence[str], *, name: str = "rn",
-                      partitions: int | None = None) -> DataFrame:
-    """Add ``name`` = 1..N in ``order_by`` order (ties broken by the listed columns only)."""
+                      partitions: int | None = None, keep_partition: bool = False) -> DataFrame:
+    """Add ``name`` = 1..N in ``order_by`` order (ties broken by the listed columns only).
+
+    With ``keep_partition`` the range-partition id stays as ``__pid`` (rows of
+    one partition are contiguous in the numbering)."""
     spark = df.sparkSession
     n = partitions or int(spark.conf.get("spark.sql.shuffle.partitions"))
     keys = [F.col(q(c)) for c in order_by]
@@ -38,9 +41,9 @@ def global_row_number(df: DataFrame, order_by: Sequence[str], *, name: str = "rn
     # thousand rows, so its single-partition window is bounded.
     offsets = counts.select("__pid", (F.sum("__cnt").over(Window.orderBy("__pid")) - F.col("__cnt"))
                             .alias("__off"))
-    return (tagged.join(F.broadcast(offsets), "__pid")
-            .withColumn(name, F.col("__off") + F.col("__pos") + 1)
-            .drop("__pid", "__pos", "__off"))
+    out = (tagged.join(F.broadcast(offsets), "__pid")  # one row per partition
+           .withColumn(name, F.col("__off") + F.col("__pos") + 1).drop("__pos", "__off"))
+    return out if keep_partition else out.drop("__pid")
 
 
 def running_totals(df: DataFrame, group: Sequence[str], order: Sequence[str], sums: Sequence[str], *,
@@ -79,3 +82,22 @@ def running_totals(df: DataFrame, group: Sequence[str], order: Sequence[str], su
     if next_of:
         cols.append(F.coalesce(F.col("__next"), F.col("__nf")).alias(f"next_{next_of}"))
     return out.select(*cols)
+
+
+def prefix_max(df: DataFrame, group: Sequence[str], order: str, value: str, *, pid: str = "__pid",
+               name: str = "prefix_max", inclusive: bool = True) -> DataFrame:
+    """Running max of ``value`` (any orderable type, e.g. a struct) inside each
+    group in ``order`` order, for rows already range-partitioned with ids in
+    ``pid`` (``global_row_number(keep_partition=True)``). Each (group,
+    partition) slice is scanned by a bounded window; the maxima of the
+    preceding slices (one row per group and partition) are folded in."""
+    g = [F.col(q(c)) for c in group]
+    w = Window.partitionBy(*g, pid).orderBy(order)
+    frame = w.rowsBetween(Window.unboundedPreceding, Window.currentRow if inclusive else -1)
+    local = df.withColumn("__lmax", F.max(F.col(value)).over(frame))
+    part = df.groupBy(*g, pid).agg(F.max(F.col(value)).alias("__pmax"))
+    wp = Window.partitionBy(*g).orderBy(pid).rowsBetween(Window.unboundedPreceding, -1)
+    offs = part.select(*g, pid, F.max("__pmax").over(wp).alias("__before"))
+    out = local.join(offs, [*group, pid], "left")
+    both = F.greatest(F.col("__lmax"), F.col("__before"))  # greatest skips NULLs
+    return out.withColumn(name, both).drop("__lmax", "__before")
