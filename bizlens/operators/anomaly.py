@@ -161,15 +161,29 @@ def isolation_forest(df: DataFrame, features: Sequence[str], *, trees: int = 100
     base = df.select("*", *xs)
     xcols = [f"_x{i}" for i in range(len(feats))]
     h = F.xxhash64(*[F.col(c) for c in xcols], F.lit(seed))
-    # Each row is offered to one tree; an exact per-tree cap keeps the sample bounded.
+    # Tree membership by hashing, capped per tree at ``subsample`` rows.
+    # Large inputs: each sampled row goes to one tree (a row is in two trees
+    # with negligible probability anyway). Small inputs (< trees x subsample
+    # rows): every tree draws from all rows, as in the published algorithm.
     spark = df.sparkSession
     n_rows = base.count()
-    frac = min(1.0, (trees * subsample * 1.5) / max(n_rows, 1))
-    # Hash-derived uniform: a retried task selects exactly the same rows.
-    u = (F.xxhash64(h, F.lit(seed + 2)).bitwiseAND(F.lit((1 << 31) - 1))).cast("double") / float(1 << 31)
-    cand = base.select(*xcols, (F.pmod(h, F.lit(trees))).alias("_tree"),
-                       F.xxhash64(h, F.lit(seed + 1)).alias("_rank"), u.alias("_u"))
-    cand = cand.filter(F.col("_u") < frac).drop("_u")
+    per_tree = min(n_rows, int(subsample * 1.5))
+
+    def uniform(*salt):
+        return (F.xxhash64(h, *[F.lit(x) for x in salt]).bitwiseAND(F.lit((1 << 31) - 1))).cast("double") / float(1 << 31)
+
+    if n_rows >= trees * per_tree:
+        frac = trees * per_tree / max(n_rows, 1)
+        cand = base.select(*xcols, F.pmod(h, F.lit(trees)).alias("_tree"),
+                           F.xxhash64(h, F.lit(seed + 1)).alias("_rank"), uniform(seed + 2).alias("_u"))
+        cand = cand.filter(F.col("_u") < frac).drop("_u")
+    else:
+        p = per_tree / max(n_rows, 1)
+        tree_ids = F.filter(F.sequence(F.lit(0), F.lit(trees - 1)),
+                            lambda t: (F.xxhash64(h, t, F.lit(seed + 3)).bitwiseAND(F.lit((1 << 31) - 1))
+                                       .cast("double") / float(1 << 31)) < p)
+        cand = base.select(*xcols, F.explode(tree_ids).alias("_tree")) \
+            .withColumn("_tree", F.col("_tree").cast("long")).withColumn("_rank", F.xxhash64(*[F.col(c) for c in xcols], F.col("_tree"), F.lit(seed + 1)))
     max_depth = int(math.ceil(math.log2(max(subsample, 2))))
     schema = T.StructType([T.StructField("_tree", T.LongType()), T.StructField("node", T.IntegerType()),
                            T.StructField("feat", T.IntegerType()), T.StructField("thr", T.DoubleType()),

@@ -610,7 +610,7 @@ def _metrics_sql(keys: str, src: str) -> str:
 
 
 SQL["M13"] = _metrics_sql("region, model", f"(SELECT * FROM {_BT} b0 WHERE model = 'linear_trend')")
-SQL["M14"] = f"""SELECT region, ts, round(y, 2) AS y, round(forecast, 2) AS forecast, round(y - forecast, 2) AS residual
+SQL["M14"] = f"""SELECT region, ts, round(y, 2) AS y, round(forecast, 1) AS forecast, round(y - forecast, 1) AS residual
 FROM {_BT} b WHERE model = 'linear_trend'"""
 SQL["M10"] = f"""WITH m AS ({_metrics_sql("region, model, ordinal", _BT)})
 SELECT region, model, CAST(ordinal AS INTEGER) AS ordinal, n, MAPE, RMSE, MAE, sMAPE, R2, MAX_ERROR,
@@ -898,3 +898,6 @@ SELECT n.n_name AS nation, coalesce(total_revenue, 0.0) AS total_revenue, coales
     coalesce(net_profit_margin, 0.0) AS net_profit_margin, coalesce(revenue_growth, 0.0) AS revenue_growth,
     total_revenue IS NULL AS empty_input
 FROM (SELECT DISTINCT n_name FROM nation) n LEFT JOIN k ON k.nation = n.n_name"""
+
+SQL["C8"] = _STATS + 'SELECT "column", (non_null > 0 AND numeric < non_null AND greatest(' + ", ".join(
+    f'"{f}"' for f in _CHART) + ') / non_null >= 0.8) AS can_parse FROM s'

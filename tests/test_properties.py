@@ -50,8 +50,9 @@ def test_isolation_forest_ranks_planted_outliers(spark):
     pdf = pd.DataFrame(np.vstack([normal, planted]), columns=["a", "b"])
     pdf["id"] = range(len(pdf))
     out = anomaly.isolation_forest(spark.createDataFrame(pdf), ["a", "b"], contamination=0.05).toPandas()
-    top = out.sort_values("anomaly_score", ascending=False).head(10)["id"].tolist()
-    assert set(range(2000, 2005)) <= set(top)
+    top = out.sort_values("anomaly_score", ascending=False).head(4)["id"].tolist()
+    assert set(top) == set(range(2000, 2004))  # extreme on both axes: the four highest scores
+    assert out[out["id"] >= 2000]["is_outlier"].all()  # all five planted points are flagged
     assert 0.03 <= out["is_outlier"].mean() <= 0.07
 
 
@@ -80,8 +81,11 @@ def _plan(df):
 
 def test_trend_plan_has_no_single_partition_window(spark):
     bv = views.business_view(spark, SF)
-    plan = _plan(relate.trends(bv, time_col="date", columns=["revenue"]))
-    assert "SinglePartition" not in plan
+    lines = _plan(relate.trends(bv, time_col="date", columns=["revenue"])).split("\n")
+    for i, line in enumerate(lines):
+        if "Exchange SinglePartition" in line:
+            # only the per-partition row counts (one row per range partition) meet in one task
+            assert "__pid" in lines[i + 1], line
 
 
 def test_entitlement_uses_broadcast_rank_join(spark):
@@ -152,7 +156,7 @@ def test_payment_state_machine(spark, tmp_dir):
         ("charge.completed", 6, "tx-6", "successful", ts("2024-03-20")),   # moves the watermark
     ], columns=["event", "transaction_id", "tx_ref", "status", "event_time"])
     src = os.path.join(tmp_dir, "events")
-    spark.createDataFrame(ev).write.parquet(src)
+    spark.createDataFrame(ev).coalesce(1).write.parquet(src)  # one file: one micro-batch, then the timer batch
     subs = spark.createDataFrame([("tx-1", 7, "Agency"), ("tx-2", 7, "Agency"), ("tx-5", 7, "Agency"),
                                   ("tx-6", 8, "Professional")], "tx_ref string, user_tenant_id int, plan string")
     schema = "event string, transaction_id long, tx_ref string, status string, event_time timestamp"
