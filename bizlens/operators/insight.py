@@ -140,17 +140,24 @@ def deduplicate_exact(ranked: DataFrame, *, by: Sequence[str] = ()) -> DataFrame
     return g.select(*_b(by), "key", "first_rank", "r.*")
 
 
-def _similar(a: Column, b: Column) -> Column:
+def _similar(a: Column, b: Column, ignore: Sequence[str] = ()) -> Column:
     la, lb = F.lower(a), F.lower(b)
-    shared = F.size(F.array_intersect(F.array_distinct(F.split(la, " ")), F.array_distinct(F.split(lb, " "))))
+
+    def words(t):
+        w = F.array_distinct(F.split(t, " "))
+        return F.array_except(w, F.array(*[F.lit(x) for x in ignore])) if ignore else w
+
+    shared = F.size(F.array_intersect(words(la), words(lb)))
     return F.contains(lb, la) | F.contains(la, lb) | (shared > 3)
 
 
-def merge_similar(unique: DataFrame, *, by: Sequence[str] = ()) -> DataFrame:
+def merge_similar(unique: DataFrame, *, by: Sequence[str] = (), ignore_words: Sequence[str] = ()) -> DataFrame:
     """Greedy merge in first-seen order: an insight whose text contains (or
     is contained in) an earlier kept one, or shares > 3 words with it, is
     merged into it - replacing it when its score is higher. The fold runs
-    over the group's <= 10 rows collected into one array."""
+    over the group's <= 10 rows collected into one array. By default every
+    "X is a key driver of performance" pair merges (the reference's
+    behaviour); ``ignore_words`` (e.g. the template words) stops that."""
     cols = ["type", "insight", "features", "strength", "business_impact", "confidence", "score"]
     st = F.struct(*[F.col(c) for c in cols])
     g = unique.groupBy(*_b(by)).agg(
@@ -158,7 +165,7 @@ def merge_similar(unique: DataFrame, *, by: Sequence[str] = ()) -> DataFrame:
                     lambda e: e["v"]).alias("items"))  # bounded: <= k rows per group
 
     def step(acc, x):
-        hits = F.filter(F.transform(acc, lambda e, i: F.when(_similar(x["insight"], e["insight"]), i)),
+        hits = F.filter(F.transform(acc, lambda e, i: F.when(_similar(x["insight"], e["insight"], ignore_words), i)),
                         lambda i: i.isNotNull())
         idx = F.array_min(hits)
         replaced = F.transform(acc, lambda e, i: F.when((i == idx) & (x["score"] > e["score"]), x).otherwise(e))

@@ -5,8 +5,9 @@ of the target, the seasonal position (sin / cos of the month), the trend
 index and the series id (indexed), so a thousand companies cost one fit,
 not a thousand. Forecasting is recursive: the state per series is its
 last three values; each step predicts one period for all series at once and
-shifts the state. Lineage is cut every ``checkpoint_every`` steps through
-the shared checkpoint folder.
+shifts the state. The state (one row per series) is checkpointed to the
+shared folder every ``checkpoint_every`` steps (default: each step), so
+step k does not recompute steps 1..k-1.
 """
 
 from __future__ import annotations
@@ -58,13 +59,15 @@ class _Fitted:
 class SparkMLForecaster(Forecaster):
     """Shared fit / recursive predict; subclasses choose the regressor."""
 
-    def __init__(self, name: str, regressor, *, checkpoint_every: int = 10):
+    def __init__(self, name: str, regressor, *, checkpoint_every: int = 1):
         super().__init__(name)
         self.regressor = regressor
         self.checkpoint_every = checkpoint_every
 
     def fit(self, train: DataFrame, by: Sequence[str]):
-        tf = training_frame(train, by=by)
+        # Boosting runs many jobs over the same rows: cut the lineage once so no
+        # iteration re-derives the series from the source tables.
+        tf = cut_lineage(training_frame(train, by=by))
         pipe = Pipeline(stages=[
             StringIndexer(inputCol="series_key", outputCol="series_idx", handleInvalid="keep"),
             VectorAssembler(inputCols=FEATURES, outputCol="features", handleInvalid="skip"),

@@ -975,9 +975,11 @@ def q_w4(spark, sf_dir):
 @register("W1")
 def q_w1(spark, sf_dir):
     # payment events derived from orders land as monthly files; the stream reads them in order
-    ev = WP.payment_events(spark, sf_dir).withColumn("month", F.date_format("event_time", "yyyy-MM"))
+    from bizlens.session import utc_session
     src = _scratch(spark, "payments")
-    ev.repartition("month").write.partitionBy("month").parquet(src)
+    with utc_session(spark):
+        ev = WP.payment_events(spark, sf_dir).withColumn("month", F.date_format("event_time", "yyyy-MM"))
+        ev.repartition("month").write.partitionBy("month").parquet(src)
     schema = "event string, transaction_id long, tx_ref string, status string, event_time timestamp"
     # the file source orders files by modification time, which parallel writers do not
     # keep chronological, so all files form one micro-batch (late-event rules stay exact)
@@ -1073,3 +1075,9 @@ def q_k14(spark, sf_dir):
 @register("C8")
 def q_c8(spark, sf_dir):
     return C.can_parse_datetime(V.view_text(spark, sf_dir), _TEXT_COLS)
+
+
+@register("M12_cv")
+def q_m12_cv(spark, sf_dir):
+    """M10 with rolling-origin validation instead of one holdout."""
+    return M.select_best_model(monthly_series(spark, sf_dir), _CANDIDATES, _H, by=["region"], validation="rolling")

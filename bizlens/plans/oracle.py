@@ -901,3 +901,33 @@ FROM (SELECT DISTINCT n_name FROM nation) n LEFT JOIN k ON k.nation = n.n_name""
 
 SQL["C8"] = _STATS + 'SELECT "column", (non_null > 0 AND numeric < non_null AND greatest(' + ", ".join(
     f'"{f}"' for f in _CHART) + ') / non_null >= 0.8) AS can_parse FROM s'
+
+_FOLDS = f"""(WITH x AS {_X},
+    p AS (SELECT DISTINCT region, n, CASE WHEN n - 18 < 12 THEN 12 ELSE n - 18 END AS start FROM x),
+    q AS (SELECT *, CAST(greatest(1, floor((n - start - 6) / 2)) AS BIGINT) AS stp FROM p)
+SELECT region, CAST(i AS INTEGER) AS fold,
+    CAST(CASE WHEN n < 18 THEN greatest(1, n - 6) ELSE start + i * stp END AS BIGINT) AS split,
+    CAST(CASE WHEN n < 18 THEN n ELSE least(start + i * stp + 6, n) END AS BIGINT) AS test_end
+FROM q, range(0, 3) r(i) WHERE (n < 18 AND i = 0) OR (n >= 18 AND start + i * stp < n AND start + i * stp >= 12))"""
+
+_CV_BT = f"""(WITH x AS {_X}, f AS {_FOLDS},
+    tr AS (SELECT x.region, x.ts, x.y, x.t, f.fold FROM x JOIN f USING (region) WHERE x.t < f.split),
+    te AS (SELECT x.region, f.fold, x.ts, x.y, x.t - f.split + 1 AS step FROM x JOIN f USING (region)
+           WHERE x.t >= f.split AND x.t < f.test_end),
+    lf AS (SELECT region, fold, count(*) AS nt, coalesce(regr_slope(y, t), 0.0) AS b,
+           coalesce(regr_intercept(y, t), avg(y)) AS a FROM tr GROUP BY region, fold),
+    sn AS (SELECT region, fold, list(y ORDER BY t) AS season, count(*) AS m FROM
+           (SELECT *, count(*) OVER (PARTITION BY region, fold) AS nt FROM tr) z WHERE t >= nt - 12 GROUP BY region, fold),
+    mu AS (SELECT region, fold, avg(y) AS mu FROM tr GROUP BY region, fold)
+SELECT te.region, te.fold, 'linear_trend' AS model, 0 AS ordinal, ts, y, a + b * (nt + step - 1) AS forecast
+    FROM te JOIN lf USING (region, fold)
+UNION ALL SELECT te.region, te.fold, 'seasonal_naive_12', 1, ts, y, season[CAST((step - 1) % m AS BIGINT) + 1]
+    FROM te JOIN sn USING (region, fold)
+UNION ALL SELECT te.region, te.fold, 'historical_mean', 2, ts, y, mu FROM te JOIN mu USING (region, fold))"""
+
+SQL["M12_cv"] = f"""WITH pf AS ({_metrics_sql("region, model, ordinal, fold", _CV_BT)}),
+    m AS (SELECT region, model, ordinal, CAST(sum(n) AS BIGINT) AS n, round(avg(MAPE), 4) AS MAPE, round(avg(RMSE), 4) AS RMSE,
+          round(avg(MAE), 4) AS MAE, round(avg(sMAPE), 4) AS sMAPE, round(avg(R2), 4) AS R2,
+          round(avg(MAX_ERROR), 4) AS MAX_ERROR FROM pf GROUP BY region, model, ordinal)
+SELECT region, model, CAST(ordinal AS INTEGER) AS ordinal, n, MAPE, RMSE, MAE, sMAPE, R2, MAX_ERROR,
+    row_number() OVER (PARTITION BY region ORDER BY MAPE, ordinal) = 1 AS is_best FROM m"""

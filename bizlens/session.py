@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import os
 import tempfile
+from contextlib import contextmanager
 
 from pyspark.sql import SparkSession
 
@@ -64,3 +65,16 @@ def cut_lineage(df, *, eager: bool = True):
     """Reliable checkpoint into the shared folder (never a local checkpoint)."""
     checkpoint_dir(df.sparkSession)
     return df.checkpoint(eager=eager)
+
+
+@contextmanager
+def utc_session(spark: SparkSession):
+    """Run with the session time zone at UTC (streams cast ``timestamp_ntz`` to
+    ``timestamp`` for watermarks; this pins that conversion), then restore it."""
+    key = "spark.sql.session.timeZone"
+    old = spark.conf.get(key)
+    spark.conf.set(key, "UTC")
+    try:
+        yield spark
+    finally:
+        spark.conf.set(key, old)

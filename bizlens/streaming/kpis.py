@@ -18,7 +18,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from bizlens.session import checkpoint_dir
+from bizlens.session import checkpoint_dir, utc_session
 
 EVENTS_SCHEMA = T.StructType([
     T.StructField("event_id", T.LongType()), T.StructField("ts", T.TimestampNTZType()),
@@ -52,12 +52,13 @@ def run_available(df: DataFrame, *, kind: str, mode: str = "append", out: str |
     spark = df.sparkSession
     o, c = _scratch(spark, kind)
     out, checkpoint = out or o, checkpoint or c
-    q = (df.writeStream.format("parquet").outputMode(mode).option("checkpointLocation", checkpoint)
-         .trigger(availableNow=True).start(out))
-    q.awaitTermination(timeout_s)
-    if q.isActive:
-        q.stop()
-        raise TimeoutError(f"stream {kind} did not finish in {timeout_s}s")
+    with utc_session(spark):
+        q = (df.writeStream.format("parquet").outputMode(mode).option("checkpointLocation", checkpoint)
+             .trigger(availableNow=True).start(out))
+        q.awaitTermination(timeout_s)
+        if q.isActive:
+            q.stop()
+            raise TimeoutError(f"stream {kind} did not finish in {timeout_s}s")
     return spark.read.parquet(out)
 
 
@@ -104,12 +105,13 @@ def drift_per_batch(events: DataFrame, baseline: DataFrame, columns: Sequence[st
         column_drift(baseline, batch, columns, by=by).withColumn("batch_id", F.lit(batch_id)) \
             .write.mode("append").parquet(out)
 
-    q = (events.writeStream.foreachBatch(per_batch).option("checkpointLocation", checkpoint)
-         .trigger(availableNow=True).start())
-    q.awaitTermination(timeout_s)
-    if q.isActive:
-        q.stop()
-        raise TimeoutError("drift stream did not finish")
+    with utc_session(spark):
+        q = (events.writeStream.foreachBatch(per_batch).option("checkpointLocation", checkpoint)
+             .trigger(availableNow=True).start())
+        q.awaitTermination(timeout_s)
+        if q.isActive:
+            q.stop()
+            raise TimeoutError("drift stream did not finish")
     return spark.read.parquet(out)
 
 
