@@ -948,38 +948,51 @@ def q_s10(spark, sf_dir):
 # Streaming (W)
 # ---------------------------------------------------------------------------
 
+from bizlens.session import utc_session  # noqa: E402
 from bizlens.streaming import kpis as WS  # noqa: E402
 from bizlens.streaming import payments as WP  # noqa: E402
 
 
+# Streams are built inside ``utc_session``: Spark binds the session zone into
+# timestamp casts when a DataFrame is analysed, and the watermarked event time
+# must be the UTC reading of the stored wall-clock times. Sinks hold
+# ``timestamp_ntz``, so the returned tables do not depend on the zone.
+
 @register("W2")
 def q_w2(spark, sf_dir):
-    out = WS.run_available(WS.windowed_kpis(WS.event_stream(spark, sf_dir)), kind="kpis")
+    with utc_session(spark):
+        out = WS.run_available(WS.windowed_kpis(WS.event_stream(spark, sf_dir)), kind="kpis")
     return _r(out, 4)
 
 
 @register("W3")
 def q_w3(spark, sf_dir):
-    base = V.table(spark, sf_dir, "events")
-    return WS.run_available(WS.stream_anomalies(WS.event_stream(spark, sf_dir), base), kind="anomalies")
+    with utc_session(spark):
+        base = V.table(spark, sf_dir, "events")
+        return WS.run_available(WS.stream_anomalies(WS.event_stream(spark, sf_dir), base), kind="anomalies")
 
 
 @register("W4")
 def q_w4(spark, sf_dir):
-    base, _ = _event_sides(spark, sf_dir)
-    ev = WS.event_stream(spark, sf_dir).withColumn("k", F.get_json_object("props", "$.k").cast("double"))
-    return _r(WS.drift_per_batch(ev, base.withColumn("ts", F.col("ts").cast("timestamp")), ["value", "k"],
-                                 by=["event_type"]), 6)
+    with utc_session(spark):
+        base, _ = _event_sides(spark, sf_dir)
+        ev = WS.event_stream(spark, sf_dir).withColumn("k", F.get_json_object("props", "$.k").cast("double"))
+        out = WS.drift_per_batch(ev, base.withColumn("ts", F.col("ts").cast("timestamp")), ["value", "k"],
+                                 by=["event_type"])
+    return _r(out, 6)
 
 
 @register("W1")
 def q_w1(spark, sf_dir):
+    with utc_session(spark):
+        return _w1(spark, sf_dir)
+
+
+def _w1(spark, sf_dir):
     # payment events derived from orders land as monthly files; the stream reads them in order
-    from bizlens.session import utc_session
     src = _scratch(spark, "payments")
-    with utc_session(spark):
-        ev = WP.payment_events(spark, sf_dir).withColumn("month", F.date_format("event_time", "yyyy-MM"))
-        ev.repartition("month").write.partitionBy("month").parquet(src)
+    ev = WP.payment_events(spark, sf_dir).withColumn("month", F.date_format("event_time", "yyyy-MM"))
+    ev.repartition("month").write.partitionBy("month").parquet(src)
     schema = "event string, transaction_id long, tx_ref string, status string, event_time timestamp"
     # the file source orders files by modification time, which parallel writers do not
     # keep chronological, so all files form one micro-batch (late-event rules stay exact)

@@ -36,7 +36,8 @@ def table_stream(spark: SparkSession, folder: str, name: str, schema: T.StructTy
 
 
 def event_stream(spark: SparkSession, folder: str, **kw) -> DataFrame:
-    """Events with ``ts`` as a session-zone ``timestamp`` (watermarks need it)."""
+    """Events with ``ts`` as a ``timestamp`` (watermarks need it). Build it inside
+    ``session.utc_session`` to read the stored wall-clock times as UTC."""
     s = table_stream(spark, folder, "events", EVENTS_SCHEMA, **kw)
     return s.withColumn("ts", F.col("ts").cast("timestamp"))
 
