@@ -3,7 +3,7 @@
 Correlations are built from covariance / variance aggregates (Welford
 updates inside Spark, numerically stable) over pairwise-complete rows, with
 ``try_divide`` so a constant column gives NULL instead of an ANSI error.
-All pairs are in ONE aggregate per group. Trends use a range-partitioned
+All pairs share one aggregate per group (chunked for wide tables). Trends use a range-partitioned
 global row number, so no series is ever sorted inside a single task.
 """
 
@@ -43,20 +43,27 @@ def _pair_r(a: Column, b: Column) -> Column:
 
 
 def correlation_pairs(df: DataFrame, *, by: Sequence[str] = (), columns: Sequence[str] | None = None,
-                      exclude_ids: bool = True) -> DataFrame:
+                      exclude_ids: bool = True, chunk: int = 200) -> DataFrame:
     """R1 in long form: (by..., feature_1, feature_2, ordinal, r) for every pair
-    in column order; r is NULL when undefined (constant or < 2 rows)."""
+    in column order; r is NULL when undefined (constant or < 2 rows).
+
+    All pairs of a chunk share one aggregate; wide tables (k (k-1) / 2 pairs)
+    are split into chunks of ``chunk`` pairs so no generated aggregate grows
+    without bound; the chunks are unioned."""
     cols = list(columns) if columns is not None else analysis_columns(df, by, exclude_ids=exclude_ids)
     pairs = [(i, j) for i in range(len(cols)) for j in range(i + 1, len(cols))]
     if not pairs:
         raise ValueError("need at least two numeric columns")
     vals = {c: finite(F.col(q(c))) for c in cols}
-    g = df.groupBy(*_b(by)).agg(*[_pair_r(vals[cols[i]], vals[cols[j]]).alias(f"p{k}")
-                                  for k, (i, j) in enumerate(pairs)])
-    structs = [F.struct(F.lit(cols[i]).alias("feature_1"), F.lit(cols[j]).alias("feature_2"),
-                        F.lit(k).alias("ordinal"), F.col(f"p{k}").alias("r"))
-               for k, (i, j) in enumerate(pairs)]
-    return g.select(*_b(by), F.inline(F.array(*structs)))
+    out = None
+    for start in range(0, len(pairs), chunk):
+        part = list(enumerate(pairs))[start:start + chunk]
+        g = df.groupBy(*_b(by)).agg(*[_pair_r(vals[cols[i]], vals[cols[j]]).alias(f"p{k}") for k, (i, j) in part])
+        structs = [F.struct(F.lit(cols[i]).alias("feature_1"), F.lit(cols[j]).alias("feature_2"),
+                            F.lit(k).alias("ordinal"), F.col(f"p{k}").alias("r")) for k, (i, j) in part]
+        piece = g.select(*_b(by), F.inline(F.array(*structs)))
+        out = piece if out is None else out.unionByName(piece)
+    return out
 
 
 def correlation_matrix(df: DataFrame, *, by: Sequence[str] = (), columns: Sequence[str] | None = None,

@@ -197,3 +197,11 @@ def test_lag_scan_equals_window(spark):
                                           strategy=s)[0].toPandas().sort_values(views.BV_ORDER).reset_index(drop=True)
     a, b = get("window"), get("scan")
     assert (a["_revenue_lag1"].fillna(-1) == b["_revenue_lag1"].fillna(-1)).all()
+
+
+def test_correlation_chunks_equal_single_aggregate(spark):
+    bv = views.business_view(spark, SF)
+    cols = ["quantity", "revenue", "expenses", "customer"]
+    a = sorted(relate.correlation_pairs(bv, by=["region"], columns=cols).collect())
+    b = sorted(relate.correlation_pairs(bv, by=["region"], columns=cols, chunk=2).collect())
+    assert a == b and len(a) == 5 * 6
