@@ -205,3 +205,15 @@ def test_correlation_chunks_equal_single_aggregate(spark):
     a = sorted(relate.correlation_pairs(bv, by=["region"], columns=cols).collect())
     b = sorted(relate.correlation_pairs(bv, by=["region"], columns=cols, chunk=2).collect())
     assert a == b and len(a) == 5 * 6
+
+
+def test_end_to_end_flows(spark):
+    from bizlens.plans import flows
+    from bizlens.plans.catalog import monthly_series
+    bv = views.business_view(spark, SF)
+    rec = flows.recommendation(bv, views.BUSINESS_MAPPING, by=["region"], order_by=views.BV_ORDER)
+    assert rec["health"].count() == 5 and rec["action_plan"].count() == 5 and rec["horizons"].count() == 15
+    pred = flows.prediction(monthly_series(spark, SF), horizon=6, by=["region"])
+    assert pred["forecast"].count() == 30 and pred["summary"].count() == 5
+    di = flows.data_intelligence(bv.drop("customer"), time_col="date", by=["region"])
+    assert di["insights"].count() > 0 and di["recommendations"].count() > 0
