@@ -44,8 +44,8 @@ def checkpoint_dir(spark: SparkSession) -> str:
     """The shared folder used to cut lineage.
 
     A cluster names it in ``spark.checkpoint.dir``; that value is always used.
-    Only a local session (tests, laptops) without it gets a fresh scratch
-    folder, because local mode has a single machine anyway.
+    Only a session in one process (tests, laptops) without it gets a fresh
+    scratch folder; ``local-cluster`` has executors of its own and must name one.
     """
     sc = spark.sparkContext
     current = sc.getCheckpointDir() or spark.conf.get("spark.checkpoint.dir", None)
@@ -54,7 +54,7 @@ def checkpoint_dir(spark: SparkSession) -> str:
             sc.setCheckpointDir(current)
         return current
     master = sc.master or ""
-    if not master.startswith("local"):
+    if master != "local" and not master.startswith("local["):
         raise RuntimeError("spark.checkpoint.dir is not set; a cluster must name a shared folder")
     path = tempfile.mkdtemp(prefix="bizlens-ckpt-", dir=os.environ.get("TMPDIR", "/tmp"))
     sc.setCheckpointDir(path)
