@@ -1,8 +1,8 @@
 """Quality rules (operator 7).
 
 Two multinomials over hashed word n-grams (1 and 2 words, ``2**BUCKET_BITS``
-buckets, lower-cased) are counted over all documents: the trusted target
-(labelled good and not toxic) and the raw corpus. A document's score is the
+buckets, lower-cased) are counted: the trusted target (documents labelled good
+and not toxic, a bounded sample of them) and the raw corpus (all documents). A document's score is the
 log-likelihood ratio of its n-grams between the two, divided by their number.
 The threshold is deterministic, so the same document always gets the same
 verdict: halfway between the ``keep_quantile`` quantile of the scores of the
@@ -32,6 +32,7 @@ from bizlens.llm.shared import free_name, read, stored
 BUCKET_BITS = 16
 MIN_WORDS = 50
 MAX_REPEAT_PERCENT = 50
+MAX_TRUSTED = 100_000
 
 _SYMBOL = np.zeros(256, bool)
 _SYMBOL[[ord(c) for c in "#*$%&|<>"]] = True
@@ -178,34 +179,31 @@ def threshold(scored: DataFrame, *, score: str, failed: str, trusted: str, distr
 
 
 def judge(docs: DataFrame, labels: DataFrame, *, key: str = "doc_id", text: str = "text",
-          keep_quantile: float = 0.001, name: str = "quality_of") -> DataFrame:
+          max_trusted: int = MAX_TRUSTED, keep_quantile: float = 0.001, name: str = "quality_of") -> DataFrame:
     """``docs`` plus a struct column ``name``: the base figures, score, base_failed and kept.
 
-    ``labels``: (doc_id, quality, toxic). The labels join is on the id, and
-    AQE splits a hot id; the measured rows are written to the shared folder
-    once, for the threshold and the result."""
+    ``labels``: (doc_id, quality, toxic). The target is fitted on about
+    ``max_trusted`` trusted documents at most, chosen by a hash of the id, whose
+    ids are broadcast; the raw counts cover all documents and the threshold all
+    labels, by a join of ids and scores without the texts. The measured rows
+    are written to the shared folder once, for the threshold and the result."""
     spark = docs.sparkSession
-    mark = labels.where("doc_id is not null").groupBy(F.col("doc_id").alias("__label_id")).agg(
-        F.min(F.coalesce((F.col("quality") == 1) & (F.col("toxic") == 0), F.lit(False))).alias("__good"),
-        F.max(F.coalesce(F.col("quality") == 0, F.lit(False))).alias("__bad"))
-    good, bad = free_name(docs, "good_label"), free_name(docs, "bad_label")
-    marked = docs.join(mark, F.col(key) == F.col("__label_id"), "left").select(
-        *[F.col(c) for c in docs.columns], F.coalesce("__good", F.lit(False)).alias(good),
-        F.coalesce("__bad", F.lit(False)).alias(bad))
-    table = ratio_table(*count_ngrams(marked, text=text, trusted=good))
-    return _judged(spark, marked, docs.columns, table, text, good, bad, keep_quantile, name)
-
-
-def _judged(spark, marked: DataFrame, columns: list[str], table: np.ndarray, text: str, good: str, bad: str,
-            keep_quantile: float, name: str) -> DataFrame:
-    scored = stored(marked.withColumn(name, measures(spark, table, F.col(text))), "quality")
-    flat = scored.select(F.col(name)["score"].alias("s"), F.col(good).alias("g"), F.col(bad).alias("b"),
-                         base_failed(F.col(name)["n_words"], F.col(name)["n_repeat_words"]).alias("f"))
-    cut = threshold(flat, score="s", failed="f", trusted="g", distrusted="b", keep_quantile=keep_quantile)
+    mark = stored(labels.where("doc_id is not null").groupBy(F.col("doc_id").alias("id")).agg(
+        F.min(F.coalesce((F.col("quality") == 1) & (F.col("toxic") == 0), F.lit(False))).alias("good"),
+        F.max(F.coalesce(F.col("quality") == 0, F.lit(False))).alias("bad")), "labels")
+    n_good = mark.where("good").count()
+    share = int(1_000_000 * min(1.0, max_trusted / max(1, n_good)))
+    some = mark.where("good").where(F.pmod(F.xxhash64("id"), F.lit(1_000_000)) < share).select("id")
+    marked = docs.select(F.col(key).alias("id"), F.col(text).alias("text")) \
+        .join(F.broadcast(some.withColumn("good", F.lit(True))), "id", "left")
+    table = ratio_table(*count_ngrams(marked, text="text", trusted="good"))
+    scored = stored(docs.withColumn(name, measures(spark, table, F.col(text))), "quality")
     failed = base_failed(F.col(name)["n_words"], F.col(name)["n_repeat_words"])
+    flat = scored.select(F.col(key).alias("id"), F.col(name)["score"].alias("s"), failed.alias("f")).join(mark, "id")
+    cut = threshold(flat, score="s", failed="f", trusted="good", distrusted="bad", keep_quantile=keep_quantile)
     kept = ~failed if cut is None else ~failed & (F.col(name)["score"] >= cut)
-    return scored.select(*columns, F.struct(F.col(f"{name}.*"), failed.alias("base_failed"),
-                                            kept.alias("kept")).alias(name))
+    return scored.select(*docs.columns, F.struct(F.col(f"{name}.*"), failed.alias("base_failed"),
+                                                 kept.alias("kept")).alias(name))
 
 
 def query(spark, sf_dir: str) -> DataFrame:
