@@ -15,13 +15,14 @@ escapes to (down to two bytes) share its shard, and the shorter ones have at
 most 65,536 leaves and go along. Texts are scored against one shard after the
 other and the parts are added, so memory is bounded and every leaf counts.
 
-The base score is an add-half unigram model of the words. The ``FREQUENT`` most
-frequent words are looked up in the tasks, all others by a join.
+The base score is an add-half unigram model of the words. Words that make up
+more than 1 / ``FREQUENT`` of all tokens (so fewer than ``FREQUENT`` words) are
+looked up in the tasks, all others by a join.
 
 Defined results: a null or blank text is the end token alone. Documents with a
 null id are scored, never learned from, and not held out. No training
-documents: base score 0, uniform bytes. Ties in word frequency are broken by
-the word. Repeated rows are scored (and learned from) row by row. An empty
+documents: base score 0, uniform bytes. Words of
+equal frequency are treated alike. Repeated rows are scored (and learned from) row by row. An empty
 table gives no row. Only the named columns are read.
 """
 
@@ -41,7 +42,8 @@ from bizlens.llm.shared import read, stored
 
 ORDER = 5
 MAX_ENTRIES = 3_000_000
-FREQUENT = 200_000
+FREQUENT = 400_000
+PIECE = 500_000
 BLOCK = 4 << 20
 END = 10  # a line feed is never inside a word
 
@@ -291,9 +293,11 @@ def score(docs: DataFrame, *, key: str = "doc_id", text: str = "text", max_entri
     n_train = train.count()
     row = words.agg(F.count(F.lit(1)), F.coalesce(F.sum("n"), F.lit(0))).first()
     total, distinct = row[1] + n_train, row[0] + (n_train > 0)
-    # at most n_frequent words reach the driver
-    top = words.orderBy(F.desc("n"), "word").limit(n_frequent).toPandas()
-    frequent = sc.broadcast({w.encode(): float(np.log10(c + 0.5)) for w, c in zip(top["word"], top["n"])})
+    # fewer than n_frequent words can have such a share of all tokens
+    top = words.where(F.col("n") * n_frequent > total).toArrow()
+    frequent = sc.broadcast({w.encode(): float(np.log10(c + 0.5)) for w, c in zip(
+        top.column("word").to_pylist(), top.column("n").to_pylist())})
+    del top
 
     entries = runs.count()
     shards = max(1, -(-entries // max_entries))
@@ -304,8 +308,15 @@ def score(docs: DataFrame, *, key: str = "doc_id", text: str = "text", max_entri
     rows = docs.select(F.col(key).alias("key"), F.col(text).alias("text"), F.xxhash64(F.col(text)).alias("hash"))
 
     def part(shard: int) -> DataFrame:
-        leaf = runs.where(_shard_of(F.col("run"), shards) == shard).toPandas()  # about max_entries rows
-        shared = sc.broadcast((leaf["run"].to_numpy(np.int64).view(np.uint64), leaf["n"].to_numpy(np.int64), pair))
+        # about max_entries rows, fetched in pieces
+        mine, leaf = runs.where(_shard_of(F.col("run"), shards) == shard), []
+        pieces = -(-min(entries, max_entries) // PIECE) or 1
+        for k in range(pieces):
+            got = mine.where(F.pmod(F.xxhash64("run"), F.lit(pieces)) == k).toArrow()
+            leaf.append([got.column(c).to_numpy() for c in ("run", "n")])
+        shared = sc.broadcast((np.concatenate([x[0] for x in leaf]).view(np.uint64),
+                               np.concatenate([x[1] for x in leaf]), pair))
+        del leaf, got
         m = _measures(spark, F.col("text"), shared, shard, shards, frequent)
         return stored(rows.select("key", "hash", m.alias("m"))
                       .select("key", "hash", F.monotonically_increasing_id().alias("uid"), "m.*"), "scores")
