@@ -35,6 +35,8 @@ def text_bytes(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     """(bytes, offsets) of a string array; null counts as empty."""
     if isinstance(column, pa.ChunkedArray):
         column = column.combine_chunks()
+    if pa.types.is_null(column.type):
+        column = column.cast(pa.string())
     if column.null_count:
         column = column.fill_null("")
     wide = pa.types.is_large_string(column.type)
