@@ -107,24 +107,26 @@ def threads(conversations: DataFrame, *, conv: str = "conv_id", turn: str = "tur
     rows = conversations.select(
         F.col(conv).alias("conv_id"), F.coalesce(F.concat(F.lit("c"), F.col(conv).cast("string")), F.lit("n")).alias("conv"),
         F.col(turn).cast("long").alias("turn"), F.col(role).alias("role"), F.coalesce(F.col(text), F.lit("")).alias("text"))
-    rows = stored(rows.withColumn("uid", F.monotonically_increasing_id()).withColumn("body", unquoted(F.col("text"))), "messages")
+    rows = stored(rows.withColumn("uid", F.monotonically_increasing_id()), "messages")
     timed = rows.where("turn is not null")
     quoted = stored(quotes(timed), "quotes")
     counted = quotes(rows).groupBy("uid").agg(F.count_distinct("level", "passage").alias("n_quotes"))
-    said = originals(timed.join(quoted.select("conv").distinct(), "conv", "left_semi"))
+    said = originals(timed.join(quoted.select("conv").distinct(), "conv", "left_semi")
+                     .withColumn("body", unquoted(F.col("text"))))
     linked = stored(link(quoted, said), "links")
     n_linked = linked.groupBy("uid").agg(F.count_distinct("level", "passage").alias("n_linked"))
     parent = linked.where("level = 1").groupBy("uid").agg(F.max(F.struct("to_turn", "to_uid")).alias("p")) \
         .select("uid", F.col("p.to_turn").alias("reply_to"), F.col("p.to_uid").alias("to_uid"))
     parent = stored(parent, "parents")
     top = roots(parent).join(rows.select(F.col("uid").alias("root"), F.col("turn").alias("thread_turn")), "root")
-    out = (rows.drop("text").join(parent.drop("to_uid"), "uid", "left").join(top, "uid", "left")
-           .join(counted, "uid", "left").join(n_linked, "uid", "left")
-           .withColumn("root", F.coalesce("root", "uid")).withColumn("thread_turn", F.coalesce("thread_turn", "turn")))
-    out = global_row_number(out, ["conv", "thread_turn", "root", "turn", "uid"])
-    first = out.groupBy("conv").agg(F.min("rn").alias("first"))
+    keys = (rows.select("uid", "conv", "turn").join(parent.drop("to_uid"), "uid", "left").join(top, "uid", "left")
+            .join(counted, "uid", "left").join(n_linked, "uid", "left")
+            .withColumn("root", F.coalesce("root", "uid")).withColumn("thread_turn", F.coalesce("thread_turn", "turn")))
+    keys = global_row_number(keys, ["conv", "thread_turn", "root", "turn", "uid"])  # without the texts
+    first = keys.groupBy("conv").agg(F.min("rn").alias("first"))
+    placed = keys.join(first, "conv").drop("conv", "turn")
     clean = F.trim(F.col("body"))
-    return out.join(first, "conv").select(
+    return rows.withColumn("body", unquoted(F.col("text"))).drop("text").join(placed, "uid").select(
         "conv_id", "turn", "role", (F.col("rn") - F.col("first")).cast("long").alias("position"), "thread_turn", "reply_to",
         F.coalesce("n_quotes", F.lit(0)).cast("long").alias("n_quotes"),
         F.coalesce("n_linked", F.lit(0)).cast("long").alias("n_linked"), clean.alias("text"),

@@ -30,7 +30,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from bizlens.llm import bytetext as bt
-from bizlens.llm.shared import free_name, read, stored
+from bizlens.llm.shared import read, stored
 
 SHINGLE = 3
 MAX_BITS = 27
@@ -232,11 +232,14 @@ def stage(spark, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Drop the documents that hold any window of the benchmark."""
     windows = windows_of(read(spark, sf_dir, "benchmark"))
     prefix = prefixes(docs, windows, "text")
-    uid, name = free_name(docs, "row_uid"), free_name(docs, "scan")
-    rows = stored(docs.withColumn(name, scan(spark, F.col("text"), _bitmaps(prefix), 10))
-                  .withColumn(uid, F.monotonically_increasing_id()), "docs")
-    bad = matches(rows, prefix, uid=uid, hits=name).select(F.col("uid").alias(uid)).distinct()
-    return rows.join(bad, uid, "left_anti").select(*docs.columns)
+    # rows of one id and text have the same verdict, so only ids, hashes and hits are written
+    scanned = stored(docs.select(F.col("doc_id").alias("key"), F.xxhash64("text").alias("h"),
+                                 scan(spark, F.col("text"), _bitmaps(prefix), 10).alias("scan"))
+                     .withColumn("uid", F.monotonically_increasing_id()), "scanned")
+    found = matches(scanned, prefix, uid="uid", hits="scan").select("uid").distinct()
+    bad = scanned.join(found, "uid", "left_semi").select(F.col("key").alias("__key"), F.col("h").alias("__h")).distinct()
+    same = docs["doc_id"].eqNullSafe(F.col("__key")) & (F.xxhash64(docs["text"]) == F.col("__h"))
+    return docs.join(bad, same, "left_anti").select(*docs.columns)
 
 
 ORACLE = r"""

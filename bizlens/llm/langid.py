@@ -156,9 +156,14 @@ def sample(docs: DataFrame, *, text: str, lang: str, key: str, docs_per_lang: in
     """(lang, text, held): segments of a bounded hash sample of the labelled documents."""
     rows = docs.select(F.col(lang).alias("lang"), F.col(key).alias("key"), F.col(text).alias("text")) \
         .where("lang is not null and text is not null")
+    # one row a language; a language's rows are thinned to about four times the
+    # number wanted before they meet in one task, which takes those ranked first
+    count = rows.groupBy("lang").agg(F.count(F.lit(1)).alias("of"))
     rank = F.xxhash64(F.lit(1), "key")
     first = Window.partitionBy("lang").orderBy("r", "key")
-    ids = (rows.select("lang", "key", rank.alias("r")).withColumn("n", F.row_number().over(first))
+    ids = (rows.select("lang", "key", rank.alias("r")).join(F.broadcast(count), "lang")
+           .where(F.pmod("r", F.lit(1 << 30)) * F.col("of") <= 4.0 * docs_per_lang * (1 << 30))
+           .withColumn("n", F.row_number().over(first))
            .where(F.col("n") <= docs_per_lang).select("lang", "key").distinct())
     # at most docs_per_lang rows for each language: safe to broadcast
     picked = rows.join(F.broadcast(ids), ["lang", "key"], "left_semi")

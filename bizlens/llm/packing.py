@@ -38,7 +38,7 @@ from bizlens.llm.shared import read, stored
 
 CAPACITY = 4096
 END_ID = 1
-CACHE_WORDS = 400_000
+CACHE_WORDS = 250_000
 
 # Characters whose normal form is known without the library: printable ASCII
 # but the apostrophe, and the letters of Latin-1.

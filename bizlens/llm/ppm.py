@@ -44,7 +44,7 @@ ORDER = 5
 MAX_ENTRIES = 3_000_000
 FREQUENT = 400_000
 PIECE = 500_000
-BLOCK = 4 << 20
+BLOCK = 1 << 20
 END = 10  # a line feed is never inside a word
 
 

@@ -179,8 +179,10 @@ def threshold(scored: DataFrame, *, score: str, failed: str, trusted: str, distr
 
 
 def judge(docs: DataFrame, labels: DataFrame, *, key: str = "doc_id", text: str = "text",
-          max_trusted: int = MAX_TRUSTED, keep_quantile: float = 0.001, name: str = "quality_of") -> DataFrame:
-    """``docs`` plus a struct column ``name``: the base figures, score, base_failed and kept.
+          max_trusted: int = MAX_TRUSTED, keep_quantile: float = 0.001, name: str = "quality_of",
+          columns: list[str] | None = None) -> DataFrame:
+    """``docs`` (or its ``columns``, with the key among them) plus a struct column
+    ``name``: the base figures, score, base_failed and kept.
 
     ``labels``: (doc_id, quality, toxic). The target is fitted on about
     ``max_trusted`` trusted documents at most, chosen by a hash of the id, whose
@@ -197,19 +199,20 @@ def judge(docs: DataFrame, labels: DataFrame, *, key: str = "doc_id", text: str
     marked = docs.select(F.col(key).alias("id"), F.col(text).alias("text")) \
         .join(F.broadcast(some.withColumn("good", F.lit(True))), "id", "left")
     table = ratio_table(*count_ngrams(marked, text="text", trusted="good"))
-    scored = stored(docs.withColumn(name, measures(spark, table, F.col(text))), "quality")
+    columns = columns or docs.columns
+    scored = stored(docs.withColumn(name, measures(spark, table, F.col(text))).select(*columns, name), "quality")
     failed = base_failed(F.col(name)["n_words"], F.col(name)["n_repeat_words"])
     flat = scored.select(F.col(key).alias("id"), F.col(name)["score"].alias("s"), failed.alias("f")).join(mark, "id")
     cut = threshold(flat, score="s", failed="f", trusted="good", distrusted="bad", keep_quantile=keep_quantile)
     kept = ~failed if cut is None else ~failed & (F.col(name)["score"] >= cut)
-    return scored.select(*docs.columns, F.struct(F.col(f"{name}.*"), failed.alias("base_failed"),
-                                                 kept.alias("kept")).alias(name))
+    return scored.select(*columns, F.struct(F.col(f"{name}.*"), failed.alias("base_failed"),
+                                            kept.alias("kept")).alias(name))
 
 
 def query(spark, sf_dir: str) -> DataFrame:
     """The texts are read twice (counts, then scores) and only figures are written."""
     docs, labels = read(spark, sf_dir, "documents").select("doc_id", "text"), read(spark, sf_dir, "labels")
-    out = judge(docs, labels)
+    out = judge(docs, labels, columns=["doc_id"])
     return out.select("doc_id", *[f"quality_of.{c}" for c in (
         "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "score")])
 

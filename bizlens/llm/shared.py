@@ -6,6 +6,7 @@ from __future__ import annotations
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from bizlens.session import checkpoint_dir
 
@@ -34,3 +35,15 @@ def free_name(df: DataFrame, base: str) -> str:
     while name.lower() in taken:
         name += "_"
     return name
+
+
+def join_by_weight(rows: DataFrame, table: DataFrame, key: str, weight: str, *, share: int = 1000) -> DataFrame:
+    """Inner join of ``rows`` with ``table``, which has one row a ``key`` and in
+    ``weight`` the number of ``rows`` with that key.
+
+    Keys with more than 1 / ``share`` of all rows are fewer than ``share``: they
+    are broadcast, so their rows stay where they are; the others are shuffled."""
+    total = table.agg(F.sum(weight)).first()[0] or 0
+    hot = F.broadcast(table.where(F.col(weight) * share > total).drop(weight))
+    rest = table.where(F.col(weight) * share <= total).drop(weight)
+    return rows.join(hot, key).unionByName(rows.join(hot.select(key), key, "left_anti").join(rest, key))

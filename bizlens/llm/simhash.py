@@ -34,7 +34,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from bizlens.llm.shared import free_name, read, stored
+from bizlens.llm.shared import free_name, join_by_weight, read, stored
 
 SEED = 42
 TREE_NODES = 4096
@@ -224,20 +224,20 @@ def components(edges: DataFrame, *, rounds: int = 60) -> DataFrame:
 
 
 def component_ids(prints: DataFrame, *, distance: int, tree_nodes: int = TREE_NODES) -> DataFrame:
-    """(fp, component_id) of every distinct fingerprint of ``prints`` (id, fp)."""
-    reps = stored(prints.groupBy("fp").agg(F.min("id").alias("rep")), "fingerprints")
+    """(fp, n, component_id) of every distinct fingerprint of ``prints`` (id, fp); n: its rows."""
+    reps = stored(prints.groupBy("fp").agg(F.min("id").alias("rep"), F.count(F.lit(1)).alias("n")), "fingerprints")
     member = stored(components(links(reps.select("fp"), distance=distance, tree_nodes=tree_nodes)), "members")
     best = member.join(reps, "fp").groupBy("root").agg(F.min("rep").alias("component_id"))
     linked = member.join(best, "root").select("fp", "component_id")
-    return reps.join(linked, "fp", "left").select("fp", F.coalesce("component_id", "rep").alias("component_id"))
+    return reps.join(linked, "fp", "left").select("fp", "n", F.coalesce("component_id", "rep").alias("component_id"))
 
 
 def near_duplicates(docs: DataFrame, *, key: str = "doc_id", text: str = "text", shingle: int = 3,
                     distance: int = 2, tree_nodes: int = TREE_NODES) -> DataFrame:
     """(key, fingerprint, component_id), one row a document."""
     prints = stored(docs.select(F.col(key).alias("id"), fingerprint(F.col(text), shingle).alias("fp")), "simhash")
-    # the small side is unique by fp; AQE splits a fingerprint that many documents share
-    out = prints.join(component_ids(prints, distance=distance, tree_nodes=tree_nodes), "fp")
+    groups = stored(component_ids(prints, distance=distance, tree_nodes=tree_nodes), "groups")
+    out = join_by_weight(prints, groups, "fp", "n")  # many documents may share a fingerprint
     return out.select(F.col("id").alias(key), F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"),
                       "component_id")
 
