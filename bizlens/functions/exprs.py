@@ -79,16 +79,6 @@ def q(name: str) -> str:
     return "`" + name.replace("`", "``") + "`"
 
 
-def unpivot_columns(df: DataFrame, by: Sequence[str], columns: Sequence[str], *,
-                    value_type: str = "double", name: str = "column",
-                    value: str = "value") -> DataFrame:
-    """Long form (by..., column, value): a narrow projection, no shuffle."""
-    if not columns:
-        raise ValueError("no columns to unpivot")
-    narrow = df.select(*by, *[F.col(q(c)).cast(value_type).alias(c) for c in columns])
-    return narrow.unpivot(list(by), list(columns), name, value)
-
-
 def skewness_adjusted(c: Column) -> Column:
     """Sample skewness as pandas reports it (bias corrected)."""
     n = F.count(c).cast("double")
@@ -96,6 +86,15 @@ def skewness_adjusted(c: Column) -> Column:
     return g1 * F.sqrt(n * (n - 1)) / (n - 2)
 
 
-def mode_value(c: Column) -> Column:
-    """Most frequent value, smallest among ties (pandas ``mode()[0]``)."""
-    return F.mode(c, True)
+def null_safe_join(left: DataFrame, right: DataFrame, keys: Sequence[str], how: str = "inner", *,
+                   equal: Sequence[str] = ()) -> DataFrame:
+    """Join on ``keys`` with NULL equal to NULL, and on ``equal`` by plain equality
+    (NULL meets nothing); the key columns of the left side are kept."""
+    names = [*keys, *equal]
+    other = right.select(*[F.col(q(c)).alias(f"__r_{c}") if c in names else F.col(q(c)) for c in right.columns])
+    on = F.lit(True)
+    for c in keys:
+        on = on & F.col(q(c)).eqNullSafe(F.col(q(f"__r_{c}")))
+    for c in equal:
+        on = on & (F.col(q(c)) == F.col(q(f"__r_{c}")))
+    return left.join(other, on, how).drop(*[f"__r_{c}" for c in names])

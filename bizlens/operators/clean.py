@@ -15,7 +15,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from bizlens.functions.exprs import datetime_columns, finite, numeric_columns, q, string_columns
+from bizlens.functions.exprs import datetime_columns, finite, null_safe_join, numeric_columns, q, string_columns
 
 
 def _b(by: Sequence[str]) -> list[Column]:
@@ -135,21 +135,11 @@ def count_infinities(df: DataFrame, *, by: Sequence[str] = (), columns: Sequence
 
 # D9 interpolation -----------------------------------------------------------
 
-WINDOW_GROUP_LIMIT = 5_000_000
-
-
-def largest_group(df: DataFrame, by: Sequence[str]) -> int:
-    """Rows in the biggest group (one small aggregate job)."""
-    return df.groupBy(*_b(by)).count().agg(F.max("count")).first()[0] or 0
-
-
 def interpolate(df: DataFrame, *, order_by: Sequence[str], by: Sequence[str] = (),
-                columns: Sequence[str] | None = None, strategy: str = "auto") -> DataFrame:
-    """D9, choosing the plan: one window per group while the largest group is
-    small (``WINDOW_GROUP_LIMIT`` rows), else the range-partitioned scan of
-    ``interpolate_scan`` that never sorts a whole group in one task."""
-    if strategy == "auto":
-        strategy = "window" if largest_group(df, by) <= WINDOW_GROUP_LIMIT else "scan"
+                columns: Sequence[str] | None = None, strategy: str = "scan") -> DataFrame:
+    """D9. ``scan`` (range-partitioned, never a whole group in one task) is the
+    one plan for any size; ``window`` sorts each group in one task and is for
+    callers who know their groups to be small. NULL is a group of its own."""
     if strategy == "scan":
         return interpolate_scan(df, order_by=order_by, by=by, columns=columns)
     return interpolate_window(df, order_by=order_by, by=by, columns=columns)
@@ -177,7 +167,7 @@ def interpolate_scan(df: DataFrame, *, order_by: Sequence[str], by: Sequence[str
             F.col("__rn").alias(f"__np{i}"), v.alias(f"__nv{i}"))
         key = F.coalesce(F.col(f"__prev{i}.p"), F.lit(0))
         tagged = tagged.withColumn(f"__k{i}", F.when(v.isNull(), key))
-        out = tagged.join(nxt, [*by, f"__k{i}"], "left").drop(f"__k{i}", f"__nn{i}", f"__prevx{i}")
+        out = null_safe_join(tagged, nxt, by, "left", equal=[f"__k{i}"]).drop(f"__k{i}", f"__nn{i}", f"__prevx{i}")
         pv, pr = F.col(f"__prev{i}.v"), F.col(f"__prev{i}.p").cast("double")
         nv, nr = F.col(f"__nv{i}"), F.col(f"__np{i}").cast("double")
         rn = F.col("__rn").cast("double")

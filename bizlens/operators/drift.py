@@ -18,7 +18,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from bizlens.functions.exprs import finite, q
+from bizlens.functions.exprs import finite, null_safe_join, q
 from bizlens.plans.order import running_totals
 
 
@@ -58,12 +58,12 @@ def column_drift(baseline: DataFrame, current: DataFrame, columns: Sequence[str]
     counts = both.groupBy(*_b(keys), "value").agg(
         F.sum((F.col("side") == 1).cast("long")).alias("c1"), F.sum((F.col("side") == 2).cast("long")).alias("c2"))
     cdf = running_totals(counts, keys, ["value"], ["c1", "c2"], next_of="value")
-    cdf = cdf.join(moments.select(*_b(keys), "n1", "n2"), keys)
+    cdf = null_safe_join(cdf, moments.select(*_b(keys), "n1", "n2"), keys)
     diff = F.abs(F.col("cum_c1") / F.col("n1") - F.col("cum_c2") / F.col("n2"))
     stats = cdf.groupBy(*_b(keys)).agg(
         F.max(diff).alias("ks_statistic"),
         F.coalesce(F.sum(diff * (F.col("next_value") - F.col("value"))), F.lit(0.0)).alias("wasserstein_distance"))
-    j = moments.join(stats, keys)
+    j = null_safe_join(moments, stats, keys)
     valid = (F.col("n1") > 0) & (F.col("n2") > 0)
     p = F.when(valid, ks_pvalue(F.col("ks_statistic"), F.col("n1").cast("double"), F.col("n2").cast("double")))
     return j.select(*_b(keys), "n1", "n2", F.col("ks_statistic"), p.alias("ks_pvalue"), "wasserstein_distance",

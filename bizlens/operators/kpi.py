@@ -13,7 +13,7 @@ from collections.abc import Mapping, Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from bizlens.functions.exprs import clamp, div, finite, lit_null, q
+from bizlens.functions.exprs import clamp, div, finite, lit_null, null_safe_join, q
 
 # Health weights and tiers (must equal the reference).
 HEALTH_WEIGHTS = {
@@ -55,13 +55,13 @@ def synthesize_profit(df: DataFrame, mapping: Mapping[str, str]) -> tuple[DataFr
 
 
 def engineer_features(df: DataFrame, mapping: Mapping[str, str], *, by: Sequence[str] = (),
-                      order_by: Sequence[str] | None = None, strategy: str = "auto") -> tuple[DataFrame, dict]:
+                      order_by: Sequence[str] | None = None, strategy: str = "scan") -> tuple[DataFrame, dict]:
     """Synthesised profit, margin %, calendar parts, lag-1 revenue growth.
 
     The lag runs per ``by`` group ordered by date (then ``order_by`` for ties):
-    a window per group while the largest group is small, else a
-    range-partitioned global row number and a join of each row to the row
-    one position earlier (no group is ever sorted in one task).
+    a range-partitioned global row number and a join of each row to the row
+    one position earlier (no group is ever sorted in one task). NULL is a
+    group of its own. ``strategy="window"`` is for groups known to be small.
     """
     df, m = synthesize_profit(df, mapping)
     rev, prof, date = m.get("revenue"), m.get("profit"), m.get("date")
@@ -75,9 +75,6 @@ def engineer_features(df: DataFrame, mapping: Mapping[str, str], *, by: Sequence
               .withColumn("_year_month", F.date_trunc("month", d).cast("date")))
         if rev:
             rv = F.coalesce(_c(rev).cast("double"), F.lit(0.0))
-            if strategy == "auto":
-                from bizlens.operators.clean import WINDOW_GROUP_LIMIT, largest_group
-                strategy = "window" if largest_group(df, by) <= WINDOW_GROUP_LIMIT else "scan"
             if strategy == "window":
                 order = [d.asc_nulls_last()] + [_c(c) for c in (order_by or []) if c != date]
                 w = Window.partitionBy(*[_c(b) for b in by]).orderBy(*order)
@@ -89,7 +86,7 @@ def engineer_features(df: DataFrame, mapping: Mapping[str, str], *, by: Sequence
                 ranked = global_row_number(df.withColumn("__dnull", d.isNull().cast("int")), okeys, name="__rn")
                 prev = ranked.select(*[_c(b) for b in by], (F.col("__rn") + 1).alias("__rn"),
                                      rv.alias("_revenue_lag1"))
-                df = ranked.join(prev, [*by, "__rn"], "left").select(*[_c(c) for c in cols], "_revenue_lag1")
+                df = null_safe_join(ranked, prev, [*by, "__rn"], "left").select(*[_c(c) for c in cols], "_revenue_lag1")
             g = F.when(F.col("_revenue_lag1") > 0,
                        (rv - F.col("_revenue_lag1")) / F.col("_revenue_lag1") * 100.0).otherwise(0.0)
             df = df.withColumn("_revenue_growth_pct", F.coalesce(finite(g), F.lit(0.0)))

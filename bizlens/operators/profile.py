@@ -16,7 +16,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from bizlens.functions.exprs import (datetime_columns, finite, numeric_columns, q,
+from bizlens.functions.exprs import (null_safe_join, datetime_columns, finite, numeric_columns, q,
                                      skewness_adjusted)
 
 DOMAIN_CHECKS = {
@@ -288,9 +288,6 @@ def quality_score(df: DataFrame, mapping: Mapping[str, str], *, by: Sequence[str
 # Quantiles that scale: exact in memory, exact distributed, or sketch
 # ----------------------------------------------------------------------------
 
-IN_MEMORY_DISTINCT_LIMIT = 5_000_000
-
-
 def distributed_quantiles(long: DataFrame, keys: Sequence[str], probs: Sequence[float], *,
                           value: str = "value") -> DataFrame:
     """Exact linearly interpolated quantiles without holding a group in one task.
@@ -306,7 +303,7 @@ def distributed_quantiles(long: DataFrame, keys: Sequence[str], probs: Sequence[
               .agg(F.count(F.lit(1)).alias("c")))
     cum = running_totals(counts, keys, ["v"], ["c"])
     n = counts.groupBy(*_bycols(keys)).agg(F.sum("c").alias("n"))
-    j = cum.join(n, keys)
+    j = null_safe_join(cum, n, keys)
     lo_hi = []
     for i, p in enumerate(probs):
         pos = (F.col("n") - 1) * float(p)
@@ -331,9 +328,6 @@ def distributed_quantiles(long: DataFrame, keys: Sequence[str], probs: Sequence[
 
 
 def choose_quantile_method(long: DataFrame, keys: Sequence[str], method: str, *, value: str = "value") -> str:
-    """``auto``: one sketch job; groups under the distinct limit use the in-memory
-    exact percentile, larger ones the distributed exact method."""
-    if method != "auto":
-        return method
-    mx = long.groupBy(*_bycols(keys)).agg(F.approx_count_distinct(value).alias("d")).agg(F.max("d")).first()[0]
-    return "exact" if (mx or 0) <= IN_MEMORY_DISTINCT_LIMIT else "distributed"
+    """``auto`` is the distributed exact method at any size; ``exact`` (in memory)
+    and ``approx`` only where a caller asks for them."""
+    return "distributed" if method == "auto" else method

@@ -172,13 +172,6 @@ def regression_line(df: DataFrame, x: str, y: str, *, by: Sequence[str] = ()) ->
         F.when(n >= 2, F.regr_r2(yv, xv)).alias("r2"))
 
 
-def scatter_points(df: DataFrame, x: str, y: str, *, fraction: float, seed: int = 7) -> DataFrame:
-    """R7 chart points: a sample of complete pairs (sampling is the feature)."""
-    return df.select(F.col(q(x)).alias("x"), F.col(q(y)).alias("y")).dropna().sample(fraction=fraction, seed=seed)
-
-
-# T1-T6 ---------------------------------------------------------------------
-
 def trends(df: DataFrame, *, time_col: str | None = None, by: Sequence[str] = (),
            columns: Sequence[str] | None = None, tie_break: Sequence[str] = (),
            min_points: int = 6) -> DataFrame:
@@ -211,14 +204,18 @@ def trends(df: DataFrame, *, time_col: str | None = None, by: Sequence[str] = ()
                     .alias("trend"), F.round(s, 6).alias("slope"), "points")
 
 
-def best_category(profile: DataFrame, *, preferred: Sequence[str] = ("region", "segment", "category", "product",
-                                                                     "department", "channel")) -> DataFrame:
-    """Categorical column with 2-12 distinct values, preferred names first (from P2 rows)."""
-    pref = F.array(*[F.lit(p) for p in preferred])
-    hit = F.exists(pref, lambda p: F.contains(F.lower("column"), p))
+# Words of preferred category columns.
+CATEGORY_WORDS = ("segment", "category", "region", "department", "gender", "group", "channel", "type")
+
+
+def best_category(profile: DataFrame, columns: Sequence[str], *, preferred: Sequence[str] = CATEGORY_WORDS) -> DataFrame:
+    """Categorical column with 2-12 distinct values (from P2 rows): the first in
+    the order of ``columns`` whose name holds a preferred word, else the first."""
+    hit = F.exists(F.array(*[F.lit(p) for p in preferred]), lambda p: F.contains(F.lower("column"), p))
+    place = F.array_position(F.array(*[F.lit(c) for c in columns]), F.col("column"))
     cand = profile.filter((F.col("unique_values") >= 2) & (F.col("unique_values") <= 12) & ~F.col("is_numeric")
                           & ~F.col("is_datetime"))
-    return cand.orderBy(F.desc(hit.cast("int")), F.asc("column")).limit(1).select("column", "unique_values")
+    return cand.orderBy(F.desc(hit.cast("int")), place).limit(1).select("column", "unique_values")
 
 
 def kpi_by_segment(df: DataFrame, kpi: str, segment: str, *, k: int = 10) -> DataFrame:

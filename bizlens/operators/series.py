@@ -20,7 +20,6 @@ from bizlens.functions.exprs import finite, q
 # Horizon labels (periods) and the gap rule (days -> frequency).
 HORIZON_LABELS = {"30 Days": 30, "90 Days": 90, "6 Months": 6, "12 Months": 12}
 GAP_RULES = [(None, 1, "D"), (6, 8, "W"), (27, 32, "MS"), (88, 93, "QS"), (360, 366, "YS")]
-TARGET_KEYWORDS = ["revenue", "sales", "amount", "value", "target", "price", "profit"]
 
 
 def _b(by: Sequence[str]) -> list[Column]:

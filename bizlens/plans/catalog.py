@@ -1057,7 +1057,8 @@ def q_v1(spark, sf_dir):
 
 @register("T2")
 def q_t2(spark, sf_dir):
-    return R.best_category(profile.column_profile(V.business_view(spark, sf_dir)))
+    view = V.business_view(spark, sf_dir)
+    return R.best_category(profile.column_profile(view), view.columns)
 
 
 @register("R5")

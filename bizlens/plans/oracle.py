@@ -870,9 +870,9 @@ WHERE date IS NOT NULL AND revenue IS NOT NULL GROUP BY ALL"""
 SQL["T2"] = f"""WITH v AS {BV_SQL}, d AS (SELECT 'region' AS "column", count(DISTINCT region) AS unique_values FROM v
     UNION ALL SELECT 'segment', count(DISTINCT segment) FROM v UNION ALL SELECT 'product', count(DISTINCT product) FROM v)
 SELECT "column", unique_values FROM d WHERE unique_values BETWEEN 2 AND 12
-ORDER BY CASE WHEN "column" LIKE '%region%' OR "column" LIKE '%segment%' OR "column" LIKE '%category%'
-    OR "column" LIKE '%product%' OR "column" LIKE '%department%' OR "column" LIKE '%channel%' THEN 1 ELSE 0 END DESC,
-    "column" LIMIT 1"""
+ORDER BY CASE WHEN regexp_matches("column", 'segment|category|region|department|gender|group|channel|type') THEN 1 ELSE 0 END DESC,
+    (SELECT min(place) FROM (SELECT column_name AS n, row_number() OVER () AS place FROM (DESCRIBE SELECT * FROM v)) x
+     WHERE x.n = d."column") LIMIT 1"""
 SQL["R5"] = f"""SELECT * EXCLUDE (tier) FROM (SELECT *, CASE WHEN lower(feature_1) = 'revenue' OR lower(feature_2) = 'revenue' THEN 0
     WHEN regexp_matches(lower(feature_1), 'revenue|sales|profit|income|purchase|conversion|score|spend')
      AND regexp_matches(lower(feature_2), 'revenue|sales|profit|income|purchase|conversion|score|spend')

@@ -17,7 +17,7 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from bizlens.functions.exprs import q
+from bizlens.functions.exprs import null_safe_join, q
 from bizlens.session import cut_lineage
 
 _LOW33 = (1 << 33) - 1
@@ -77,7 +77,7 @@ def running_totals(df: DataFrame, group: Sequence[str], order: Sequence[str], su
     offs = part.select(*g, "__pid", *[F.coalesce(F.sum(f"__t_{c}").over(before), F.lit(0)).alias(f"__o_{c}")
                                       for c in sums],
                        *([F.lead("__first").over(wp).alias("__nf")] if next_of else []))
-    out = local.join(offs, [*group, "__pid"])
+    out = null_safe_join(local, offs, [*group, "__pid"])
     cols = [F.col(q(c)) for c in df.columns] + [(F.col(f"__l_{c}") + F.col(f"__o_{c}")).alias(f"cum_{c}") for c in sums]
     if next_of:
         cols.append(F.coalesce(F.col("__next"), F.col("__nf")).alias(f"next_{next_of}"))
@@ -98,6 +98,6 @@ def prefix_max(df: DataFrame, group: Sequence[str], order: str, value: str, *, p
     part = df.groupBy(*g, pid).agg(F.max(F.col(value)).alias("__pmax"))
     wp = Window.partitionBy(*g).orderBy(pid).rowsBetween(Window.unboundedPreceding, -1)
     offs = part.select(*g, pid, F.max("__pmax").over(wp).alias("__before"))
-    out = local.join(offs, [*group, pid], "left")
+    out = null_safe_join(local, offs, [*group, pid], "left")
     both = F.greatest(F.col("__lmax"), F.col("__before"))  # greatest skips NULLs
     return out.withColumn(name, both).drop("__lmax", "__before")

@@ -165,7 +165,3 @@ def to_json_records(df: DataFrame, *, name: str = "json") -> DataFrame:
 def preview(df: DataFrame, n: int = 10, *, order_by: Sequence[str] | None = None) -> DataFrame:
     """The first n rows after an explicit sort (top-n, no full sort)."""
     return df.orderBy(*[F.col(f"`{c}`") for c in (order_by or df.columns)]).limit(n)
-
-
-def with_options(reader_options: Mapping[str, str]) -> dict[str, str]:
-    return {k: str(v) for k, v in reader_options.items()}

@@ -12,7 +12,7 @@ from __future__ import annotations
 
 import os
 import uuid
-from collections.abc import Callable, Sequence
+from collections.abc import Sequence
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -48,7 +48,7 @@ def _scratch(spark: SparkSession, kind: str) -> tuple[str, str]:
 
 
 def run_available(df: DataFrame, *, kind: str, mode: str = "append", out: str | None = None,
-                  checkpoint: str | None = None, timeout_s: int = 600) -> DataFrame:
+                  checkpoint: str | None = None) -> DataFrame:
     """Run a streaming DataFrame to a Parquet sink with the availableNow trigger; return the sink."""
     spark = df.sparkSession
     o, c = _scratch(spark, kind)
@@ -56,10 +56,7 @@ def run_available(df: DataFrame, *, kind: str, mode: str = "append", out: str |
     with utc_session(spark):
         q = (df.writeStream.format("parquet").outputMode(mode).option("checkpointLocation", checkpoint)
              .trigger(availableNow=True).start(out))
-        q.awaitTermination(timeout_s)
-        if q.isActive:
-            q.stop()
-            raise TimeoutError(f"stream {kind} did not finish in {timeout_s}s")
+        q.awaitTermination()
     return spark.read.parquet(out)
 
 
@@ -83,18 +80,19 @@ def windowed_kpis(events: DataFrame, *, window: str = "1 day", slide: str | None
 def stream_anomalies(events: DataFrame, baseline: DataFrame, *, key: str = "event_type",
                      value: str = "value", threshold: float = 2.0) -> DataFrame:
     """Z-score of every streamed value against a static per-key baseline
-    (mean, sample deviation); the baseline has one row per key and is broadcast."""
+    (mean, sample deviation; one row per key)."""
     stats = baseline.groupBy(key).agg(F.avg(value).alias("_mu"), F.stddev_samp(value).alias("_sd"))
-    j = events.join(F.broadcast(stats), key)
+    j = events.join(stats, key)
     z = (F.col(value) - F.col("_mu")) / F.col("_sd")
     return j.filter((F.col("_sd") > 0) & (F.abs(z) > threshold)).select(
         "event_id", key, F.col("ts").cast("timestamp_ntz").alias("ts"), value, F.round(z, 4).alias("z_score"))
 
 
 def drift_per_batch(events: DataFrame, baseline: DataFrame, columns: Sequence[str], *, by: Sequence[str] = (),
-                    out: str | None = None, checkpoint: str | None = None, timeout_s: int = 600) -> DataFrame:
+                    out: str | None = None, checkpoint: str | None = None) -> DataFrame:
     """For each micro-batch, the batch drift operator (G1) against the baseline,
-    appended to a Parquet table with the batch id."""
+    written to the batch's own partition of a Parquet table, so a replayed batch
+    replaces its rows."""
     from bizlens.operators.drift import column_drift
     spark = events.sparkSession
     o, c = _scratch(spark, "drift")
@@ -103,19 +101,10 @@ def drift_per_batch(events: DataFrame, baseline: DataFrame, columns: Sequence[st
     def per_batch(batch: DataFrame, batch_id: int) -> None:
         if batch.isEmpty():
             return
-        column_drift(baseline, batch, columns, by=by).withColumn("batch_id", F.lit(batch_id)) \
-            .write.mode("append").parquet(out)
+        column_drift(baseline, batch, columns, by=by).write.mode("overwrite").parquet(f"{out}/batch_id={batch_id}")
 
     with utc_session(spark):
         q = (events.writeStream.foreachBatch(per_batch).option("checkpointLocation", checkpoint)
              .trigger(availableNow=True).start())
-        q.awaitTermination(timeout_s)
-        if q.isActive:
-            q.stop()
-            raise TimeoutError("drift stream did not finish")
+        q.awaitTermination()
     return spark.read.parquet(out)
-
-
-def foreach_batch_sink(fn: Callable[[DataFrame, int], None]):
-    """Adapter for custom exactly-once sinks (idempotent writes keyed by batch id)."""
-    return fn
