@@ -1 +1 @@
-"""Operators for building language-model training data; see README.md in this folder."""
+"""Operators for building language-model training data. Nothing else in the library imports them."""
