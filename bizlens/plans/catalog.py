@@ -1034,7 +1034,17 @@ def q_c10(spark, sf_dir):
 @register("C12")
 def q_c12(spark, sf_dir):
     fv = V.finance_view(spark, sf_dir)
-    d, t = C.resolve_series_columns(fv.columns, "Date", "REVENUE")
+    d, t = C.resolve_series_columns(fv, "Date", "REVENUE")
+    return S.to_series(fv, d, t, by=["region"], period="month")
+
+
+@register("C12_values")
+def q_c12_values(spark, sf_dir):
+    """No name settles the date or the target: both are found by their values."""
+    fv = V.finance_view(spark, sf_dir).select(
+        "region", F.col("customer").alias("code"), F.col("date").cast("string").alias("booked"),
+        F.col("revenue").alias("cash_in"))
+    d, t = C.resolve_series_columns(fv)
     return S.to_series(fv, d, t, by=["region"], period="month")
 
 

@@ -867,6 +867,7 @@ WHERE sd > 0 AND abs((value - mu) / sd) > 2.0"""
 
 SQL["C12"] = f"""SELECT region, CAST(date_trunc('month', date) AS TIMESTAMP) AS ts, sum(revenue) AS y FROM {FV_SQL} f
 WHERE date IS NOT NULL AND revenue IS NOT NULL GROUP BY ALL"""
+SQL["C12_values"] = SQL["C12"]
 SQL["T2"] = f"""WITH v AS {BV_SQL}, d AS (SELECT 'region' AS "column", count(DISTINCT region) AS unique_values FROM v
     UNION ALL SELECT 'segment', count(DISTINCT segment) FROM v UNION ALL SELECT 'product', count(DISTINCT product) FROM v)
 SELECT "column", unique_values FROM d WHERE unique_values BETWEEN 2 AND 12

@@ -120,3 +120,14 @@ def test_near_duplicate_merge(spark):
     merged = J.merge_similar(u).orderBy("rank").collect()
     # the two "key driver" texts share > 3 words: the better one replaces the first
     assert [r["insight"] for r in merged] == ["b is a key driver of performance", "a strongly influences b (corr=0.90)"]
+
+
+def test_series_columns_by_name_then_by_values(spark):
+    from bizlens.operators.schema import resolve_series_columns as found
+    rows = [("2024-01-0%d" % k, "x%d" % k, k, float(k), 7.0) for k in range(1, 6)]
+    df = spark.createDataFrame(rows, "at_ string, name string, n long, cash double, same double")
+    assert found(df) == ("at_", "cash")
+    assert found(df.toDF("at_", "name", "n", "other", "same")) == ("at_", "n")
+    assert found(df.toDF("Period", "name", "Cash-Flow", "PROFIT", "same")) == ("Period", "PROFIT")
+    assert found(df.select("name", "same")) == (None, None)
+    assert found(df.limit(0)) == (None, None)
