@@ -3,8 +3,8 @@
 Model: every text is the average of the embeddings of its hashed byte n-grams
 (2 to 4 bytes inside a word, word boundaries included), followed by a linear
 softmax. Embeddings and softmax are trained together by stochastic gradient
-descent in numpy on a bounded sample of labelled rows (``docs_per_lang``
-documents a language, cut into ``segments_per_lang`` segments of whole texts).
+descent in numpy on a bounded sample of labelled rows (about ``docs_per_lang``
+documents a language, and about ``segments_per_lang`` segments of their texts).
 A part of the sampled documents is held back to calibrate: a temperature is
 fitted to their likelihood, and the rejection threshold is the ``reject_rate``
 quantile of their calibrated top probability, at most ``reject_cap``.
@@ -25,11 +25,11 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from bizlens.llm import bytetext as bt
-from bizlens.llm.shared import free_name, read
+from bizlens.llm.shared import free_name, read, stored
 
 UNDETERMINED = "und"
 BUCKET_BITS = 16
@@ -153,33 +153,32 @@ def calibrate(z: np.ndarray, y: np.ndarray, reject_rate: float, reject_cap: floa
 
 def sample(docs: DataFrame, *, text: str, lang: str, key: str, docs_per_lang: int, segments_per_lang: int,
            segment_chars: int) -> DataFrame:
-    """(lang, text, held): segments of a bounded hash sample of the labelled documents."""
+    """(lang, text, held): segments of a bounded hash sample of the labelled documents.
+
+    A document or segment is taken if the hash of its key is below the share
+    that is wanted of its language, so no language is ranked in one task."""
+    def share(r: Column, wanted: int) -> Column:
+        return F.pmod(r, F.lit(1 << 30)) * F.col("of") < float(wanted) * (1 << 30)
+
     rows = docs.select(F.col(lang).alias("lang"), F.col(key).alias("key"), F.col(text).alias("text")) \
         .where("lang is not null and text is not null")
-    # one row a language; a language's rows are thinned to about four times the
-    # number wanted before they meet in one task, which takes those ranked first
-    count = rows.groupBy("lang").agg(F.count(F.lit(1)).alias("of"))
-    rank = F.xxhash64(F.lit(1), "key")
-    first = Window.partitionBy("lang").orderBy("r", "key")
-    ids = (rows.select("lang", "key", rank.alias("r")).join(F.broadcast(count), "lang")
-           .where(F.pmod("r", F.lit(1 << 30)) * F.col("of") <= 4.0 * docs_per_lang * (1 << 30))
-           .withColumn("n", F.row_number().over(first))
-           .where(F.col("n") <= docs_per_lang).select("lang", "key").distinct())
-    # at most docs_per_lang rows for each language: safe to broadcast
-    picked = rows.join(F.broadcast(ids), ["lang", "key"], "left_semi")
+    count = F.broadcast(rows.groupBy("lang").agg(F.count(F.lit(1)).alias("of")))  # one row a language
+    # rows of one id and language meet as partial results, so a repeated id is one document
+    picked = stored(rows.join(count, "lang").where(share(F.xxhash64(F.lit(1), "key"), docs_per_lang))
+                    .groupBy("lang", "key").agg(F.min("text").alias("text")), "labelled")
+    count = F.broadcast(picked.groupBy("lang").agg(F.sum(F.ceil(F.length("text") / segment_chars)).alias("of")))
     cut = picked.select("lang", "key", F.posexplode(F.transform(
         F.sequence(F.lit(0), F.greatest(F.lit(0), (F.length("text") - 1).cast("int")), F.lit(segment_chars)),
         lambda p: F.substr("text", p + 1, F.lit(segment_chars)))).alias("seg", "text"))
-    some = Window.partitionBy("lang").orderBy("r", "key", "seg")
-    return (cut.where(F.col("text").rlike(r"\p{L}")).withColumn("r", F.xxhash64(F.lit(2), "key", "seg"))
-            .withColumn("n", F.row_number().over(some)).where(F.col("n") <= segments_per_lang)
+    return (cut.join(count, "lang").where(share(F.xxhash64(F.lit(2), "key", "seg"), segments_per_lang))
+            .where(F.col("text").rlike(r"\p{L}"))
             .select("lang", "text", (F.pmod(F.xxhash64(F.lit(3), "key"), F.lit(5)) == 0).alias("held")))
 
 
 def fit(docs: DataFrame, *, text: str = "text", lang: str = "lang", key: str = "doc_id",
         docs_per_lang: int = 2000, segments_per_lang: int = 2500, segment_chars: int = 300,
         reject_rate: float = 0.001, reject_cap: float = 0.4) -> dict:
-    """Train on the labelled rows of ``docs``; the driver receives at most
+    """Train on the labelled rows of ``docs``; the driver receives about
     ``segments_per_lang`` segments of ``segment_chars`` characters a language."""
     got = sample(docs, text=text, lang=lang, key=key, docs_per_lang=docs_per_lang,
                  segments_per_lang=segments_per_lang, segment_chars=segment_chars).toPandas()
