@@ -194,7 +194,7 @@ def links(prints: DataFrame, *, distance: int, tree_nodes: int = TREE_NODES) ->
     return units.mapInArrow(search, "u long, v long").distinct()
 
 
-def components(edges: DataFrame, *, rounds: int = 60) -> DataFrame:
+def components(edges: DataFrame) -> DataFrame:
     """(fp, root) of every node of ``edges`` (u, v): alternating large-star and
     small-star steps until nothing changes; each round is written out."""
     cur = stored(edges.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v"))
@@ -204,9 +204,7 @@ def components(edges: DataFrame, *, rounds: int = 60) -> DataFrame:
         return tuple(df.agg(F.count(F.lit(1)), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first())
 
     seen = mark(cur)
-    for _ in range(rounds):
-        if not seen[0]:
-            break
+    while seen[0]:
         both = cur.unionByName(cur.select(F.col("v").alias("u"), F.col("u").alias("v")))
         low = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
         large = both.join(low, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
