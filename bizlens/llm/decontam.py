@@ -84,11 +84,13 @@ def _bitmaps(shingles: DataFrame) -> dict[int, tuple[int, np.ndarray]]:
     out = {}
     for n, count in shingles.groupBy("n").agg(F.count_distinct("h")).collect():  # SHINGLE rows
         bits = min(MAX_BITS, max(16, int(count * 64).bit_length()))
+        # 64 slots a row: at most 2**(MAX_BITS - 6) rows reach the driver
         slots = shingles.where(F.col("n") == n).select(F.col("h").bitwiseAND(F.lit((1 << bits) - 1)).alias("b")) \
-            .distinct().toPandas()["b"].to_numpy(np.int64)
-        mask = np.zeros(1 << bits, bool)
-        mask[slots] = True
-        out[n] = ((1 << bits) - 1, np.packbits(mask))
+            .groupBy(F.shiftright("b", 6).alias("at")).agg(F.expr("bit_or(shiftleft(1L, cast(b & 63 as int)))").alias("on")) \
+            .toPandas()
+        mask = np.zeros(1 << (bits - 6), "<i8")
+        mask[slots["at"].to_numpy(np.int64)] = slots["on"].to_numpy(np.int64)
+        out[n] = ((1 << bits) - 1, mask.view(np.uint8))
     return out
 
 
@@ -96,7 +98,7 @@ def _member(maps: dict, n: int, s: np.ndarray, ok: np.ndarray) -> np.ndarray:
     """Places in ``s`` whose hash is in the bitmap for length ``n``."""
     mask, bits = maps[n]
     at = (s & np.uint64(mask)).astype(np.int64)
-    hit = (bits[at >> 3] >> (7 - (at & 7)).astype(np.uint8)) & 1
+    hit = (bits[at >> 3] >> (at & 7).astype(np.uint8)) & 1
     return np.flatnonzero((hit == 1) & ok)
 
 
