@@ -2,17 +2,18 @@
 
 A1/A2: per-group mean and sample deviation (one aggregate), joined back on
 the group key and filtered - no sort of the data. A3: a distributed
-isolation forest (Liu, Ting and Zhou, 2008): trees are grown on bounded
-subsamples inside ``applyInPandas`` (one small group per tree), the forest
-(<= trees x 2 x subsample nodes, a proven bound) is broadcast, and every row
-is scored by ``mapInPandas``; the contamination cut is a distributed
-percentile. A4/A5 are rules over KPI rows.
+isolation forest (Liu, Ting and Zhou, 2008) for every group: trees are grown
+on bounded subsamples in ``applyInPandas`` (one task group a tree), chunks of
+a group's rows meet its forest in a cogroup and are scored once, and the
+contamination cut is an exact percentile of scores with six decimals.
+A4/A5 are rules over KPI rows.
 """
 
 from __future__ import annotations
 
 import math
 from collections.abc import Mapping, Sequence
+from functools import reduce
 
 import numpy as np
 import pandas as pd
@@ -21,6 +22,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from bizlens.functions.exprs import finite, q
+from bizlens.session import cut_lineage
 
 # Metric labels of the z-score rules.
 REVENUE_LABEL = "Revenue Dropped Significantly"
@@ -148,77 +150,70 @@ def _path_lengths(x: np.ndarray, tree: Sequence[Sequence[float]]) -> np.ndarray:
     return depth + np.array([_c_factor(s) for s in size[node]])
 
 
-def isolation_forest(df: DataFrame, features: Sequence[str], *, trees: int = 100, subsample: int = 256,
-                     contamination: float = 0.05, seed: int = 42, id_cols: Sequence[str] = ()) -> DataFrame:
-    """A3: anomaly score in [0, 1] and ``is_outlier`` for the top ``contamination`` share.
+def isolation_forest(df: DataFrame, features: Sequence[str], *, by: Sequence[str] = (), trees: int = 100,
+                     subsample: int = 256, contamination: float = 0.05, seed: int = 42, min_rows: int = 10,
+                     chunk_rows: int = 250_000) -> DataFrame:
+    """A3: anomaly score in [0, 1] and ``is_outlier`` for the top ``contamination``
+    share of every group of ``by``, each with a forest of its own.
 
-    Training data is at most ``trees x subsample`` rows whatever the input
-    size: rows are hashed to a tree id and a rank inside it, and a tree
-    keeps its ``subsample`` lowest-ranked rows. NULL features count as 0.
+    A row is in each tree with the same chance, at any size: 1.5 x ``subsample``
+    rows a tree are expected, and a tree keeps the ``subsample`` lowest-ranked.
+    Rows and forests meet in chunks of about ``chunk_rows`` rows of a group.
+    NULL features count as 0. Groups below ``min_rows`` rows, or without a
+    feature that varies, have no score and no outlier; scores equal to the cut
+    are no outliers.
     """
-    feats = list(features)
-    xs = [F.coalesce(finite(F.col(q(c))), F.lit(0.0)).alias(f"_x{i}") for i, c in enumerate(feats)]
-    base = df.select("*", *xs)
-    xcols = [f"_x{i}" for i in range(len(feats))]
-    h = F.xxhash64(*[F.col(c) for c in xcols], F.lit(seed))
-    # Tree membership by hashing, capped per tree at ``subsample`` rows.
-    # Large inputs: each sampled row goes to one tree (a row is in two trees
-    # with negligible probability anyway). Small inputs (< trees x subsample
-    # rows): every tree draws from all rows, as in the published algorithm.
-    spark = df.sparkSession
-    n_rows = base.count()
-    per_tree = min(n_rows, int(subsample * 1.5))
-
-    def uniform(*salt):
-        return (F.xxhash64(h, *[F.lit(x) for x in salt]).bitwiseAND(F.lit((1 << 31) - 1))).cast("double") / float(1 << 31)
-
-    if n_rows >= trees * per_tree:
-        frac = trees * per_tree / max(n_rows, 1)
-        cand = base.select(*xcols, F.pmod(h, F.lit(trees)).alias("_tree"),
-                           F.xxhash64(h, F.lit(seed + 1)).alias("_rank"), uniform(seed + 2).alias("_u"))
-        cand = cand.filter(F.col("_u") < frac).drop("_u")
-    else:
-        p = per_tree / max(n_rows, 1)
-        tree_ids = F.filter(F.sequence(F.lit(0), F.lit(trees - 1)),
-                            lambda t: (F.xxhash64(h, t, F.lit(seed + 3)).bitwiseAND(F.lit((1 << 31) - 1))
-                                       .cast("double") / float(1 << 31)) < p)
-        cand = base.select(*xcols, F.explode(tree_ids).alias("_tree")) \
-            .withColumn("_tree", F.col("_tree").cast("long")).withColumn("_rank", F.xxhash64(*[F.col(c) for c in xcols], F.col("_tree"), F.lit(seed + 1)))
+    xcols = [f"_x{i}" for i in range(len(features))]
+    group = F.to_json(F.struct(*_b(by))) if by else F.lit("")
+    key = F.xxhash64(*[F.col(q(f.name)) for f in df.schema.fields if not isinstance(f.dataType, T.MapType)], F.lit(seed))
+    base = cut_lineage(df.select("*", *[F.coalesce(finite(F.col(q(c))), F.lit(0.0)).alias(x) for c, x in zip(features, xcols)],
+                                 group.alias("_g"), key.alias("_h"), F.monotonically_increasing_id().alias("_row")))
+    varies = [F.max(x) > F.min(x) for x in xcols]
+    size = base.groupBy("_g").agg(F.count(F.lit(1)).alias("_n"), reduce(lambda a, b: a | b, varies).alias("_v")) \
+        .where(F.col("_v") & (F.col("_n") >= min_rows)).drop("_v")
+
+    # a row's number of trees is its expectation, the fraction decided by hash;
+    # a stride without a factor in common with ``trees`` makes them distinct
+    want = F.lit(float(trees)) * F.least(F.lit(1.0), F.lit(1.5 * subsample) / F.col("_n"))
+    unit = F.pmod(F.xxhash64("_h", F.lit(1)), F.lit(1 << 30)) / float(1 << 30)
+    strides = F.array(*[F.lit(s) for s in range(1, trees + 1) if math.gcd(s, trees) == 1])
+    cand = (base.join(size, "_g").select("_g", "_h", *xcols, F.floor(want + unit).cast("int").alias("_k")).where("_k > 0")
+            .withColumn("_s", F.get(strides, F.pmod(F.xxhash64("_h", F.lit(2)), F.size(strides)).cast("int")))
+            .withColumn("_tree", F.explode(F.transform(
+                F.sequence(F.lit(0), F.least("_k", F.lit(trees)) - 1),
+                lambda i: F.pmod(F.pmod("_h", F.lit(trees)) + i * F.col("_s"), F.lit(trees)).cast("int"))))
+            .select("_g", "_tree", F.xxhash64("_h", "_tree", F.lit(3)).alias("_rank"), *xcols))
     max_depth = int(math.ceil(math.log2(max(subsample, 2))))
-    schema = T.StructType([T.StructField("_tree", T.LongType()), T.StructField("node", T.IntegerType()),
-                           T.StructField("feat", T.IntegerType()), T.StructField("thr", T.DoubleType()),
-                           T.StructField("left", T.IntegerType()), T.StructField("right", T.IntegerType()),
-                           T.StructField("size", T.DoubleType())])
 
     def grow(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values("_rank").head(subsample)
-        tid = int(pdf["_tree"].iloc[0])
-        rng = np.random.default_rng(seed + tid)
-        nodes = _grow_tree(pdf[xcols].to_numpy(dtype=np.float64), rng, max_depth)
-        return pd.DataFrame({"_tree": tid, "node": range(len(nodes)), "feat": [n[0] for n in nodes],
-                             "thr": [n[1] for n in nodes], "left": [n[2] for n in nodes],
-                             "right": [n[3] for n in nodes], "size": [float(n[4]) for n in nodes]})
-
-    forest_rows = cand.groupBy("_tree").applyInPandas(grow, schema).collect()  # <= trees * (2*subsample) rows
-    forest: dict[int, list] = {}
-    for r in forest_rows:
-        forest.setdefault(int(r["_tree"]), []).append((r["node"], r["feat"], r["thr"], r["left"], r["right"], r["size"]))
-    model = [[(f, t, l, rt, s) for _, f, t, l, rt, s in sorted(v)] for _, v in sorted(forest.items())]
-    bc = spark.sparkContext.broadcast(model)
-    cn = _c_factor(subsample)
-    out_schema = T.StructType(base.schema.fields + [T.StructField("anomaly_score", T.DoubleType())])
-
-    def score(it):
-        trees_ = bc.value
-        for pdf in it:
-            x = pdf[xcols].to_numpy(dtype=np.float64)
-            if len(x) == 0:
-                yield pdf.assign(anomaly_score=pd.Series(dtype="float64"))
-                continue
-            e = np.mean([_path_lengths(x, t) for t in trees_], axis=0)
-            yield pdf.assign(anomaly_score=np.power(2.0, -e / cn))
-
-    scored = base.mapInPandas(score, out_schema)
-    cut = scored.agg(F.percentile_approx("anomaly_score", 1.0 - contamination, 10000).alias("_cut"))
-    return (scored.crossJoin(cut).withColumn("is_outlier", F.col("anomaly_score") >= F.col("_cut"))
-            .drop("_cut", *xcols))
+        pdf = pdf.sort_values(["_rank", *xcols]).head(subsample)
+        tree = int(pdf["_tree"].iloc[0])
+        nodes = _grow_tree(pdf[xcols].to_numpy(dtype=np.float64), np.random.default_rng(seed + tree), max_depth)
+        return pd.DataFrame({"_g": [pdf["_g"].iloc[0]], "_tree": [tree], "nodes": [[list(map(float, n)) for n in nodes]]})
+
+    # one row a (group, tree), of at most 2 x subsample nodes
+    forest = cut_lineage(cand.groupBy("_g", "_tree").applyInPandas(grow, "_g string, _tree int, nodes array<array<double>>"))
+    chunks = F.ceil(F.col("_n") / chunk_rows).cast("int")
+    rows = base.drop("_h").join(size, "_g", "left") \
+        .withColumn("_chunk", F.pmod("_row", F.coalesce(chunks, F.lit(1))).cast("int"))
+    parts = size.select("_g", chunks.alias("_chunks"))
+    models = forest.join(parts, "_g").select("_g", "_tree", "nodes", F.explode(F.sequence(F.lit(0), F.col("_chunks") - 1))
+                                             .alias("_chunk"))
+    schema = T.StructType([*df.schema.fields, T.StructField("_g", T.StringType()), T.StructField("anomaly_score", T.DoubleType())])
+
+    def score(pdf: pd.DataFrame, model: pd.DataFrame) -> pd.DataFrame:
+        out = pdf[[f.name for f in schema.fields[:-1]]]
+        if not len(pdf) or not len(model):
+            return out.assign(anomaly_score=np.full(len(pdf), np.nan))
+        x = pdf[xcols].to_numpy(dtype=np.float64)
+        e = sum(_path_lengths(x, np.stack(t)) for t in model.sort_values("_tree")["nodes"]) / len(model)
+        mean = _c_factor(min(subsample, int(pdf["_n"].iloc[0])))
+        return out.assign(anomaly_score=np.round(np.power(2.0, -e / mean), 6))
+
+    scored = rows.groupBy("_g", "_chunk").cogroup(models.groupBy("_g", "_chunk")).applyInPandas(score, schema)
+    value = F.col("anomaly_score")
+    scored = cut_lineage(scored.withColumn("anomaly_score", F.when(~F.isnan(value), value)))
+    # scores have six decimals, so the exact percentile holds a bounded number of values
+    cut = scored.groupBy("_g").agg(F.percentile("anomaly_score", 1.0 - contamination).alias("_cut"))
+    return scored.join(cut, "_g").select(*[F.col(q(c)) for c in df.columns], "anomaly_score",
+                                         F.coalesce(value > F.col("_cut"), F.lit(False)).alias("is_outlier"))

@@ -433,8 +433,8 @@ def q_a5(spark, sf_dir):
 
 @register("A3")
 def q_a3(spark, sf_dir):
-    d = _daily(spark, sf_dir)
-    out = A.isolation_forest(d, ["revenue", "expenses"], trees=100, subsample=256, contamination=0.05)
+    d = _daily(spark, sf_dir).withColumn("profit", F.col("revenue") - F.col("expenses"))
+    out = A.isolation_forest(d, ["revenue", "expenses", "profit"], by=["region"])
     return out.select("region", "date", F.round("anomaly_score", 4).alias("anomaly_score"), "is_outlier")
 
 

@@ -217,3 +217,20 @@ def test_end_to_end_flows(spark):
     assert pred["forecast"].count() == 30 and pred["summary"].count() == 5
     di = flows.data_intelligence(bv.drop("customer"), time_col="date", by=["region"])
     assert di["insights"].count() > 0 and di["recommendations"].count() > 0
+
+
+def test_isolation_forest_by_group(spark):
+    rng = np.random.default_rng(5)
+    parts = [pd.DataFrame({"g": g, "a": rng.normal(m, 1, 200), "b": rng.normal(m, 1, 200)}) for g, m in (("x", 0), (None, 500))]
+    parts[1].loc[7, "a"] = 0.0  # ordinary among all rows, not in its group
+    parts.append(pd.DataFrame({"g": "same", "a": 1.0, "b": 2.0}, index=range(50)))
+    parts.append(pd.DataFrame({"g": "few", "a": range(9), "b": range(9)}))
+    pdf = pd.concat(parts).astype({"a": float, "b": float})
+    # a small chunk spreads every group over several tasks
+    out = anomaly.isolation_forest(spark.createDataFrame(pdf), ["a", "b"], by=["g"], chunk_rows=64).toPandas()
+    assert len(out) == len(pdf)
+    key = out["g"].fillna("none")
+    assert out[key.isin(["same", "few"])]["anomaly_score"].isna().all()
+    flagged = out[out["is_outlier"]].groupby(key).size()
+    assert set(flagged.index) == {"x", "none"} and flagged.max() <= 10
+    assert out[(key == "none") & (out["a"] == 0.0)]["is_outlier"].all()
