@@ -932,3 +932,12 @@ SQL["M12_cv"] = f"""WITH pf AS ({_metrics_sql("region, model, ordinal, fold", _C
           round(avg(MAX_ERROR), 4) AS MAX_ERROR FROM pf GROUP BY region, model, ordinal)
 SELECT region, model, CAST(ordinal AS INTEGER) AS ordinal, n, MAPE, RMSE, MAE, sMAPE, R2, MAX_ERROR,
     row_number() OVER (PARTITION BY region ORDER BY MAPE, ordinal) = 1 AS is_best FROM m"""
+SQL["C1"] = f"SELECT * FROM {FV_SQL} f"
+SQL["C2"] = f"SELECT date, revenue, expenses, quantity AS revenue_2 FROM {BV_SQL} v"
+SQL["C10"] = f"""SELECT date, revenue, expenses, new_customers, churn AS churn_rate, marketing AS marketing_spend, debt,
+    inventory, cash AS cash_balance, product, region FROM {FV_SQL} f"""
+SQL["J9"] = f"""SELECT region, 'The business ' || CASE WHEN health_score >= 70 THEN 'demonstrates strong financial health'
+    WHEN health_score >= 50 THEN 'shows moderate financial stability with room for improvement'
+    ELSE 'faces significant financial challenges that require immediate attention' END || ' with a health score of '
+    || printf('%.1f', health_score) || '/100 (' || status || ') and ' || lower(risk_level) || ' risk exposure.' AS summary
+FROM ({SQL["H1"]}) h"""
