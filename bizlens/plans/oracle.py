@@ -941,3 +941,8 @@ SQL["J9"] = f"""SELECT region, 'The business ' || CASE WHEN health_score >= 70 T
     ELSE 'faces significant financial challenges that require immediate attention' END || ' with a health score of '
     || printf('%.1f', health_score) || '/100 (' || status || ') and ' || lower(risk_level) || ' risk exposure.' AS summary
 FROM ({SQL["H1"]}) h"""
+_MT = "(SELECT key AS region, ts, round(sum(v), 2) AS y FROM (" + " UNION ALL ".join(
+    f"SELECT region || '|{c}' AS key, CAST(date_trunc('month', date) AS TIMESTAMP) AS ts, {c} AS v FROM {BV_SQL} v"
+    for c in ("revenue", "expenses")) + ") u WHERE ts IS NOT NULL AND v IS NOT NULL GROUP BY ALL)"
+SQL["M17"] = f"""SELECT split_part(region, '|', 1) AS region, split_part(region, '|', 2) AS target, * EXCLUDE (region)
+FROM ({SQL["M10"].replace(_MS, _MT)}) m"""
