@@ -8,18 +8,27 @@ The threshold is deterministic, so the same document always gets the same
 verdict: halfway between the ``keep_quantile`` quantile of the scores of the
 trusted documents and the ``1 - 10 * keep_quantile`` quantile of the distrusted
 ones, or just below the former where the two overlap.
+Toxic documents are made of the same words as clean ones but for a few, which
+the ratio over all n-grams does not show. A second ratio holds those few: the
+words (letters and digits, ``2**WORD_BITS`` buckets) that labelled toxic
+documents hold more often than trusted ones, where the likelihood-ratio
+statistic of the two document counts is at least ``WORD_EVIDENCE``. Their log
+ratios summed over a document's words and divided by the number of words are its
+toxicity. Its cut is the one with the fewest misjudged labelled documents
+(trusted ones above it, toxic ones below it), and these are scored by words
+fitted on the other half of the labels, so no document vouches for itself.
 Independent base rules (word count, share of repeated words) come first.
 
 Defined results: a null or blank text has no words, so it fails the base rule.
 Without trusted documents there is no target and the base rule alone decides;
-score 0. Labels without a document, or of null ids, are ignored; of several
+score 0. Without toxic ones toxicity is 0. Labels without a document, or of null ids, are ignored; of several
 labels of one id the worst counts. Repeated rows get equal answers. Only the
 named columns are read.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Iterator, Sequence
 
 import numpy as np
 import pyarrow as pa
@@ -33,6 +42,8 @@ BUCKET_BITS = 16
 MIN_WORDS = 50
 MAX_REPEAT_PERCENT = 50
 MAX_TRUSTED = 100_000
+WORD_BITS = 18
+WORD_EVIDENCE = 20.0
 
 _SYMBOL = np.zeros(256, bool)
 _SYMBOL[[ord(c) for c in "#*$%&|<>"]] = True
@@ -60,31 +71,70 @@ def _buckets(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndar
     return out, at
 
 
-def count_ngrams(docs: DataFrame, *, text: str, trusted: str) -> tuple[np.ndarray, np.ndarray]:
-    """(target, raw) counts of every bucket over all documents. Each task sends
-    one row a bucket, so the shuffle does not grow with the text."""
+def _word_buckets(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Buckets of the words of letters and digits of each text, and where each text's begin."""
+    low = bt.LOWER[data]
+    starts, ends, cut = bt.words(low, offsets, bt.ALNUM)
+    return (bt.word_hashes(low, starts, ends) >> np.uint64(64 - WORD_BITS)).astype(np.int64), cut
+
+
+def count_ngrams(docs: DataFrame, *, text: str, kind: str) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """(target, raw) counts of every bucket over all documents, and the number
+    of labelled documents of each kind, all of them and those with each word
+    bucket. ``kind``: half of the labels plus 2 for toxic ones, null elsewhere.
+    Each task sends one row a bucket, so the shuffle does not grow with the text."""
 
     def partial(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         count = np.zeros((2, 1 << BUCKET_BITS), np.int64)
+        word, n = np.zeros((4, 1 << WORD_BITS), np.int64), np.zeros(4, np.int64)
         for b in batches:
             data, offsets = bt.text_bytes(b.column(0))
-            good = b.column(1).fill_null(False).to_numpy(zero_copy_only=False).astype(bool)
+            kinds = b.column(1).fill_null(-1).to_numpy(zero_copy_only=False)
             for lo, hi, d, o in bt.blocks(data, offsets):
                 ids, at = _buckets(d, o)
+                mine = kinds[lo:hi]
                 count[1] += np.bincount(ids, minlength=1 << BUCKET_BITS)
-                mine = np.repeat(good[lo:hi], np.diff(at))
-                count[0] += np.bincount(ids[mine], minlength=1 << BUCKET_BITS)
-        some = np.flatnonzero(count[1])
-        yield pa.RecordBatch.from_arrays([pa.array(some), pa.array(count[0][some]), pa.array(count[1][some])],
-                                         ["bucket", "target", "raw"])
-
-    rows = docs.select(F.col(text).alias("text"), F.col(trusted).alias("good")) \
-        .mapInArrow(partial, "bucket long, target long, raw long")
-    # one row a bucket reaches the driver: 2**BUCKET_BITS rows whatever the corpus
-    got = rows.groupBy("bucket").agg(F.sum("target").alias("t"), F.sum("raw").alias("r")).toPandas()
-    target, raw = np.zeros(1 << BUCKET_BITS), np.zeros(1 << BUCKET_BITS)
-    target[got["bucket"]], raw[got["bucket"]] = got["t"], got["r"]
-    return target, raw
+                good = np.repeat((mine == 0) | (mine == 1), np.diff(at))
+                count[0] += np.bincount(ids[good], minlength=1 << BUCKET_BITS)
+                if (mine >= 0).any():
+                    ids, cut = _word_buckets(d, o)
+                    of = bt.text_of(cut)
+                    some = mine[of] >= 0
+                    once = np.unique(of[some].astype(np.int64) << WORD_BITS | ids[some])
+                    of, ids = once >> WORD_BITS, once & ((1 << WORD_BITS) - 1)
+                    for k in range(4):
+                        word[k] += np.bincount(ids[mine[of] == k], minlength=1 << WORD_BITS)
+                        n[k] += (mine == k).sum()
+        for first, rows in ((0, count), (1 << BUCKET_BITS, np.column_stack([word, n]))):
+            some = np.flatnonzero(rows.any(axis=0))
+            cols = [pa.array(x[some]) for x in rows] + [pa.array(np.zeros(len(some), np.int64))] * (4 - len(rows))
+            yield pa.RecordBatch.from_arrays([pa.array(some + first), *cols], ["bucket", "n0", "n1", "n2", "n3"])
+
+    rows = docs.select(F.col(text).alias("text"), F.col(kind).alias("kind")) \
+        .mapInArrow(partial, "bucket long, n0 long, n1 long, n2 long, n3 long")
+    # one row a bucket reaches the driver, of the words those in toxic documents and the number of documents
+    first, last = 1 << BUCKET_BITS, (1 << BUCKET_BITS) + (1 << WORD_BITS)
+    got = rows.groupBy("bucket").agg(*[F.sum(f"n{k}").alias(f"n{k}") for k in range(4)]) \
+        .where((F.col("bucket") < first) | (F.col("bucket") == last) | (F.col("n2") + F.col("n3") > 0)).toPandas()
+    every = np.zeros((4, last + 1))
+    every[:, got["bucket"]] = got[["n0", "n1", "n2", "n3"]].to_numpy().T
+    return every[0, :first], every[1, :first], every[:, first:last], every[:, last]
+
+
+def toxic_table(clean: np.ndarray, n_clean: float, toxic: np.ndarray, n_toxic: float) -> np.ndarray:
+    """log(toxic share / clean share) of the word buckets that toxic documents hold
+    more often, add-half smoothed; 0 where the evidence is too small."""
+    if not n_clean or not n_toxic:
+        return np.zeros(len(clean))
+    share = (clean + toxic) / (n_clean + n_toxic)
+
+    def part(seen: np.ndarray, expected: np.ndarray) -> np.ndarray:
+        return seen * np.log(np.where(seen > 0, seen, 1) / np.where(seen > 0, expected, 1))
+
+    evidence = 2 * (part(toxic, n_toxic * share) + part(n_toxic - toxic, n_toxic * (1 - share))
+                    + part(clean, n_clean * share) + part(n_clean - clean, n_clean * (1 - share)))
+    weight = np.log((toxic + 0.5) / (n_toxic + 1)) - np.log((clean + 0.5) / (n_clean + 1))
+    return np.where((evidence >= WORD_EVIDENCE) & (weight > 0), weight, 0.0)
 
 
 def ratio_table(target: np.ndarray, raw: np.ndarray) -> np.ndarray:
@@ -95,10 +145,10 @@ def ratio_table(target: np.ndarray, raw: np.ndarray) -> np.ndarray:
     return np.log((target + 1) / (target.sum() + b)) - np.log((raw + 1) / (raw.sum() + b))
 
 
-def _measure(column: pa.Array, table: np.ndarray) -> list[np.ndarray]:
+def _measure(column: pa.Array, table: np.ndarray, words: Sequence[np.ndarray]) -> list[np.ndarray]:
     data, offsets = bt.text_bytes(column)
     n = len(offsets) - 1
-    out = [np.zeros(n, np.int64) for _ in range(5)] + [np.zeros(n)]
+    out = [np.zeros(n, np.int64) for _ in range(5)] + [np.zeros(n) for _ in range(1 + len(words))]
     for lo, hi, d, o in bt.blocks(data, offsets):
         starts, ends, cut = bt.words(d, o, bt.NOT_BLANK)
         span = slice(lo, hi)
@@ -129,21 +179,26 @@ def _measure(column: pa.Array, table: np.ndarray) -> list[np.ndarray]:
         out[4][span] = bt.sums(hit[:len(starts)].astype(np.int64), cut)
         ids, at = _buckets(d, o)
         out[5][span] = np.round(bt.sums(table[ids], at) / np.maximum(np.diff(at), 1), 9)
+        ids, cut = _word_buckets(d, o)
+        for k, w in enumerate(words):
+            out[6 + k][span] = np.round(bt.sums(w[ids], cut) / np.maximum(np.diff(cut), 1), 9)
     return out
 
 
-_FIELDS = "n_words long, word_chars long, n_symbols long, n_dup_lines long, n_repeat_words long, score double"
+_FIELDS = "n_words long, word_chars long, n_symbols long, n_dup_lines long, n_repeat_words long, score double, " \
+          "toxicity double, toxicity_0 double, toxicity_1 double"
 
 
-def measures(spark, table: np.ndarray, text: Column) -> Column:
-    """Struct of the base figures and the score of a text column."""
-    shared = spark.sparkContext.broadcast(table)  # 2**BUCKET_BITS numbers
+def measures(spark, table: np.ndarray, words: Sequence[np.ndarray], text: Column) -> Column:
+    """Struct of the base figures, the score and the toxicities by ``words`` (all
+    labels, each half of them) of a text column."""
+    shared = spark.sparkContext.broadcast((table, words))  # 2**BUCKET_BITS + 3 * 2**WORD_BITS numbers
 
     @F.arrow_udf(f"struct<{_FIELDS.replace(' ', ':').replace(',:', ',')}>")
     def measure(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
         names = [x.split()[0] for x in _FIELDS.split(", ")]
         for col in batches:
-            yield pa.StructArray.from_arrays([pa.array(x) for x in _measure(col, shared.value)], names)
+            yield pa.StructArray.from_arrays([pa.array(x) for x in _measure(col, *shared.value)], names)
 
     return measure.asNondeterministic()(text)
 
@@ -178,35 +233,64 @@ def threshold(scored: DataFrame, *, score: str, failed: str, trusted: str, distr
     return (good + bad) / 20000 if bad < good else (good - 1) / 10000
 
 
+def toxic_threshold(scored: DataFrame, *, score: str, trusted: str, toxic: str) -> float | None:
+    """The cut with the fewest trusted documents above and toxic ones at or below
+    it; None without toxic ones. Counted on a grid as in ``threshold``."""
+    grid = (scored.where(F.col(trusted) | F.col(toxic))
+            .groupBy(F.round(F.col(score) * 10000).cast("long").alias("at"))
+            .agg(F.sum(F.col(trusted).cast("long")).alias("good"), F.sum(F.col(toxic).cast("long")).alias("bad"))
+            .orderBy("at").toPandas())
+    if not len(grid) or not grid["bad"].sum():
+        return None
+    at, good, bad = (grid[c].to_numpy() for c in ("at", "good", "bad"))
+    wrong = good.sum() - np.cumsum(good) + np.cumsum(bad)  # cut just above each grid point
+    k = len(at) - 1 - int(np.argmin(wrong[::-1]))  # of equal ones the highest, which keeps more
+    return (at[k] + at[k + 1]) / 20000 if k + 1 < len(at) else (at[k] + 1) / 10000
+
+
 def judge(docs: DataFrame, labels: DataFrame, *, key: str = "doc_id", text: str = "text",
           max_trusted: int = MAX_TRUSTED, keep_quantile: float = 0.001, name: str = "quality_of",
           columns: list[str] | None = None) -> DataFrame:
     """``docs`` (or its ``columns``, with the key among them) plus a struct column
-    ``name``: the base figures, score, base_failed and kept.
+    ``name``: the base figures, score, toxicity, base_failed and kept.
 
     ``labels``: (doc_id, quality, toxic). The target is fitted on about
-    ``max_trusted`` trusted documents at most, chosen by a hash of the id, whose
-    ids are broadcast; the raw counts cover all documents and the threshold all
-    labels, by a join of ids and scores without the texts. The measured rows
+    ``max_trusted`` trusted documents at most and the words on as many toxic ones,
+    chosen by a hash of the id, whose ids are broadcast; the raw counts cover all documents and the threshold all
+    labels, by a join of ids and scores without the texts (the two toxicities of
+    halves of the labels serve the cut alone). The measured rows
     are written to the shared folder once, for the threshold and the result."""
     spark = docs.sparkSession
     mark = stored(labels.where("doc_id is not null").groupBy(F.col("doc_id").alias("id")).agg(
         F.min(F.coalesce((F.col("quality") == 1) & (F.col("toxic") == 0), F.lit(False))).alias("good"),
-        F.max(F.coalesce(F.col("quality") == 0, F.lit(False))).alias("bad")), "labels")
-    n_good = mark.where("good").count()
-    share = int(1_000_000 * min(1.0, max_trusted / max(1, n_good)))
-    some = mark.where("good").where(F.pmod(F.xxhash64("id"), F.lit(1_000_000)) < share).select("id")
-    marked = docs.select(F.col(key).alias("id"), F.col(text).alias("text")) \
-        .join(F.broadcast(some.withColumn("good", F.lit(True))), "id", "left")
-    table = ratio_table(*count_ngrams(marked, text="text", trusted="good"))
+        F.max(F.coalesce(F.col("quality") == 0, F.lit(False))).alias("bad"),
+        F.max(F.coalesce(F.col("toxic") == 1, F.lit(False))).alias("toxic"))
+        .withColumn("half", F.pmod(F.xxhash64("id", F.lit(1)), F.lit(2)).cast("int")), "labels")
+    # what is bad anyway does not tell toxic words
+    fits = {0: F.col("good"), 2: F.col("toxic") & ~F.col("bad")}
+    n = mark.agg(*[F.count_if(c).alias(str(k)) for k, c in fits.items()]).first()
+    share = {k: int(1_000_000 * min(1.0, max_trusted / max(1, n[str(k)]))) for k in fits}
+    place = F.pmod(F.xxhash64("id"), F.lit(1_000_000))
+    chosen = [F.when(c & (place < share[k]), F.col("half") + k) for k, c in fits.items()]
+    some = mark.select("id", F.coalesce(*chosen).alias("kind")).where("kind is not null")
+    marked = docs.select(F.col(key).alias("id"), F.col(text).alias("text")).join(F.broadcast(some), "id", "left")
+    target, raw, word, n_word = count_ngrams(marked, text="text", kind="kind")
+    words = [toxic_table(word[g].sum(axis=0), n_word[g].sum(), word[t].sum(axis=0), n_word[t].sum())
+             for g, t in (([0, 1], [2, 3]), ([0], [2]), ([1], [3]))]
     columns = columns or docs.columns
-    scored = stored(docs.withColumn(name, measures(spark, table, F.col(text))).select(*columns, name), "quality")
+    scored = stored(docs.withColumn(name, measures(spark, ratio_table(target, raw), words, F.col(text)))
+                    .select(*columns, name), "quality")
     failed = base_failed(F.col(name)["n_words"], F.col(name)["n_repeat_words"])
-    flat = scored.select(F.col(key).alias("id"), F.col(name)["score"].alias("s"), failed.alias("f")).join(mark, "id")
+    flat = scored.select(F.col(key).alias("id"), F.col(name)["score"].alias("s"), failed.alias("f"),
+                         F.col(name)["toxicity_0"].alias("t0"), F.col(name)["toxicity_1"].alias("t1")).join(mark, "id")
     cut = threshold(flat, score="s", failed="f", trusted="good", distrusted="bad", keep_quantile=keep_quantile)
     kept = ~failed if cut is None else ~failed & (F.col(name)["score"] >= cut)
-    return scored.select(*columns, F.struct(F.col(f"{name}.*"), failed.alias("base_failed"),
-                                            kept.alias("kept")).alias(name))
+    passed = flat.where(~F.col("f") if cut is None else ~F.col("f") & (F.col("s") >= cut))
+    held_out = passed.withColumn("t", F.when(F.col("half") == 0, F.col("t1")).otherwise(F.col("t0")))
+    top = None if cut is None else toxic_threshold(held_out, score="t", trusted="good", toxic="toxic")
+    kept = kept if top is None else kept & (F.col(name)["toxicity"] <= top)
+    return scored.select(*columns, F.struct(F.col(f"{name}.*"), failed.alias("base_failed"), kept.alias("kept"))
+                         .dropFields("toxicity_0", "toxicity_1").alias(name))
 
 
 def query(spark, sf_dir: str) -> DataFrame:
@@ -214,7 +298,7 @@ def query(spark, sf_dir: str) -> DataFrame:
     docs, labels = read(spark, sf_dir, "documents").select("doc_id", "text"), read(spark, sf_dir, "labels")
     out = judge(docs, labels, columns=["doc_id"])
     return out.select("doc_id", *[f"quality_of.{c}" for c in (
-        "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "score")])
+        "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "score", "toxicity")])
 
 
 def stage(spark, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -87,6 +87,30 @@ def test_quality_figures_and_verdicts(spark, odd, none):
     assert alone.count() == 0  # without trusted documents the base rule decides
 
 
+def test_toxic_documents_are_rejected_and_clean_ones_kept(spark):
+    """Labels of half of the documents; the verdicts on the others count."""
+    rng = np.random.default_rng(5)
+    common = [f"{a}{b}" for a in "bdfgk" for b in ("a", "ei", "ust")]
+    rows, marks = [], []
+    for k in range(600):
+        words = list(rng.choice(common, 120))
+        if k % 5 == 0:
+            for j in rng.choice(120, 3, replace=False):
+                words[j] = ("zotz", "quark", "vrill", "wumpf")[rng.integers(4)]
+        rows.append((k, " ".join(words)))
+        marks.append((k, 1, int(k % 5 == 0)))
+    for k in range(600, 640):
+        rows.append((k, " ".join(f"#{x}" for x in rng.integers(0, 15, 120))))
+        marks.append((k, 0, 0))
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    labels = spark.createDataFrame([m for m in marks if m[0] % 2], "doc_id long, quality int, toxic int")
+    got = {r.doc_id: r.kept for r in quality.judge(docs, labels, name="q").select("doc_id", "q.kept").collect()}
+    for half in (0, 1):
+        toxic = [got[k] for k, good, x in marks if good and x and k % 2 == half]
+        clean = [got[k] for k, good, x in marks if good and not x and k % 2 == half]
+        assert sum(toxic) <= 0.05 * len(toxic) and sum(clean) >= 0.95 * len(clean)
+
+
 # --- SimHash
 
 def plain_print(text):
