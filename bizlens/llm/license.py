@@ -6,8 +6,12 @@ lines) if that holds one, and the whole text of a licence file. A unit and the
 templates become sparse TF-IDF vectors: inverse document frequencies of the
 template terms are counted over all files, terms that no template has weigh
 like an unseen term. The cosine is a join of the units' terms with the
-templates' postings (a table of fixed size). The best template at or above
-``min_cosine`` is the file's own licence.
+templates' postings (a table of fixed size). Longer passages (standard headers,
+SPDX tags, titles with a version, body passages) are compared with windows of
+their own number of terms, laid over each unit wherever it holds the passage's
+first key term. A template counts only where all its key terms (name and
+version) stand. Of the templates at or above ``min_cosine`` the one with the
+most matched terms (cosine times template terms) names the file's own licence.
 
 Files without one inherit from the licence files of the nearest ancestor
 directory: the distinct directories are joined with the licensed directories
@@ -48,6 +52,65 @@ TEMPLATES = {
     "Proprietary": "All rights reserved.",
     "Unlicense": "This is free and unencumbered software released into the public domain.",
 }
+# Key terms a sentence needs; the others need none.
+KEYS = {"Apache-2.0": "apache 2.0", "CC-BY-4.0": "attribution 4.0", "CC-BY-NC-4.0": "cc by nc 4.0", "GPL-2.0": "gnu 2",
+        "GPL-3.0": "gnu 3", "LGPL-3.0": "lesser 3", "MIT": "mit", "MPL-2.0": "mozilla 2.0"}
+_GNU = ("is free software; you can redistribute it and/or modify it under the terms of the GNU {0}General Public License "
+        "as published by the Free Software Foundation; either version {1} of the License, or (at your option) any later "
+        "version.")
+_WARRANTY = (" This program is distributed in the hope that it will be useful, but WITHOUT ANY WARRANTY; without even the "
+             "implied warranty of MERCHANTABILITY or FITNESS FOR A PARTICULAR PURPOSE. See the GNU {0}General Public License "
+             "for more details.")
+_BSD = ("Redistribution and use in source and binary forms, with or without modification, are permitted provided that the "
+        "following conditions are met: 1. Redistributions of source code must retain the above copyright notice, this list "
+        "of conditions and the following disclaimer. 2. Redistributions in binary form must reproduce the above copyright "
+        "notice, this list of conditions and the following disclaimer in the documentation and/or other materials provided "
+        "with the distribution.")
+_SPDX = {"Apache-2.0": "apache 2.0", "BSD-2-Clause": "bsd 2 clause", "BSD-3-Clause": "bsd 3 clause", "MIT": "mit",
+         "MIT-0": "mit 0", "MPL-2.0": "mpl 2.0", "GPL-2.0": "gpl 2.0", "GPL-3.0": "gpl 3.0", "LGPL-2.1": "lgpl 2.1",
+         "LGPL-3.0": "lgpl 3.0", "AGPL-3.0": "agpl 3.0", "ISC": "isc", "Unlicense": "unlicense", "CC0-1.0": "cc0 1.0",
+         "CC-BY-4.0": "cc by 4.0", "CC-BY-SA-4.0": "cc by sa 4.0", "CC-BY-NC-4.0": "cc by nc 4.0",
+         "CC-BY-ND-4.0": "cc by nd 4.0", "CC-BY-NC-SA-4.0": "cc by nc sa 4.0", "CC-BY-NC-ND-4.0": "cc by nc nd 4.0"}
+# (licence, passage, key terms, the first of which places the windows)
+PASSAGES = [
+    *[(name, f"SPDX-License-Identifier: {tag}", f"spdx {tag}".replace("cc0", "cc 0")) for name, tag in _SPDX.items()],
+    ("Apache-2.0", "Apache License Version 2.0", "apache 2.0"),
+    ("Apache-2.0", "Licensed under the Apache License, Version 2.0 (the \"License\"); you may not use this file except in "
+     "compliance with the License. You may obtain a copy of the License at http://www.apache.org/licenses/LICENSE-2.0 "
+     "Unless required by applicable law or agreed to in writing, software distributed under the License is distributed on "
+     "an \"AS IS\" BASIS, WITHOUT WARRANTIES OR CONDITIONS OF ANY KIND, either express or implied.", "apache 2.0"),
+    ("Apache-2.0", "Apache License Version 2.0, January 2004 http://www.apache.org/licenses/ TERMS AND CONDITIONS FOR USE, "
+     "REPRODUCTION, AND DISTRIBUTION", "apache 2.0"),
+    ("MIT", "The MIT License", "mit license"),
+    ("MIT", "Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated "
+     "documentation files (the \"Software\"), to deal in the Software without restriction, including without limitation the "
+     "rights to use, copy, modify, merge, publish, distribute, sublicense, and/or sell copies of the Software", "granted sublicense"),
+    ("ISC", "Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby "
+     "granted, provided that the above copyright notice and this permission notice appear in all copies", "fee granted"),
+    ("BSD-2-Clause", _BSD, "redistribution binary"),
+    ("BSD-3-Clause", _BSD + " 3. Neither the name of the copyright holder nor the names of its contributors may be used to "
+     "endorse or promote products derived from this software without specific prior written permission.",
+     "redistribution endorse"),
+    ("BSD-3-Clause", "BSD 3-Clause License", "bsd 3 clause"),
+    ("BSD-2-Clause", "BSD 2-Clause License", "bsd 2 clause"),
+    ("MPL-2.0", "Mozilla Public License Version 2.0", "mozilla 2.0"),
+    ("MPL-2.0", "This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0. If a copy of the MPL was "
+     "not distributed with this file, You can obtain one at http://mozilla.org/MPL/2.0/.", "mozilla 2.0"),
+    ("Unlicense", "This is free and unencumbered software released into the public domain. Anyone is free to copy, modify, "
+     "publish, use, compile, sell, or distribute this software", "unencumbered"),
+    *[(name, text, f"{key} {version}") for name, kind, key, version in (
+        ("GPL-2.0", "", "gnu", "2"), ("GPL-3.0", "", "gnu", "3"), ("LGPL-2.1", "Lesser ", "lesser", "2.1"),
+        ("LGPL-3.0", "Lesser ", "lesser", "3"), ("AGPL-3.0", "Affero ", "affero", "3"))
+      for text in (_GNU.format(kind, version), _GNU.format(kind, version) + _WARRANTY.format(kind),
+                   f"GNU {kind}General Public License version {version}",
+                   f"GNU {kind}General Public License Version {version} Copyright Free Software Foundation, Inc. Everyone is "
+                   "permitted to copy and distribute verbatim copies of this license document, but changing it is not allowed")],
+    *[(name, text, f"{text.split()[0].lower()} {number}") for name, short, number in (
+        ("GPL-2.0", "GPL", "2"), ("GPL-3.0", "GPL", "3"), ("LGPL-3.0", "LGPL", "3"), ("AGPL-3.0", "AGPL", "3"))
+      for text in (f"{short} version {number} license",)],
+    *[(name, f"{short}v{number} license", f"{short.lower()}v {number}") for name, short, number in (
+        ("GPL-2.0", "GPL", "2"), ("GPL-3.0", "GPL", "3"), ("LGPL-3.0", "LGPL", "3"), ("AGPL-3.0", "AGPL", "3"))],
+]
 CUE = ("licen[cs]e|copyright|spdx|all rights reserved|public domain|creative commons|permission is hereby granted"
        "|redistribution and use")
 TERM = "[a-z]+|[0-9]+(?:[.][0-9]+)*"
@@ -63,10 +126,15 @@ def template_terms() -> list[tuple[str, str, int]]:
     return [(name, t, n) for name, text in TEMPLATES.items() for t, n in Counter(re.findall(TERM, text.lower())).items()]
 
 
+def passage_terms() -> list[list[str]]:
+    """Terms of each passage, in order."""
+    return [re.findall(TERM, text.lower()) for _, text, _ in PASSAGES]
+
+
 def inverse_frequencies(files: DataFrame, text: str) -> tuple[DataFrame, float]:
     """(term, idf) of the template terms over all files, and the weight of a term never seen."""
-    vocabulary = sorted({t for _, t, _ in template_terms()})
-    seen = F.array_intersect(F.array_distinct(_terms(F.col(text))), F.array(*[F.lit(t) for t in vocabulary]))
+    vocabulary = sorted({t for _, t, _ in template_terms()} | {t for p in passage_terms() for t in p})
+    seen = F.array_intersect(F.array_distinct(_terms(F.col(text))), F.split(F.lit(" ".join(vocabulary)), " "))
     n = files.count()
     df = files.select(F.explode(seen).alias("term")).groupBy("term").agg(F.count(F.lit(1)).alias("df"))
     spark = files.sparkSession
@@ -86,27 +154,79 @@ def units(text: Column, is_licence: Column, header_lines: int) -> Column:
     return F.when(text.rlike(cue) | is_licence, F.array_distinct(found)).otherwise(F.array().cast("array<string>"))
 
 
+def passage_matches(each: DataFrame, *, idf: DataFrame, unseen: Column, min_cosine: float) -> DataFrame:
+    """(uid, licence, cosine, size) of the windows of the units that match a passage.
+
+    ``each``: (uid, no, body). A window has the passage's number of terms and
+    begins where the passage would, were the key term found its own."""
+    spark = each.sparkSession
+    place, weight = [], []
+    for k, ((licence, _, keys), terms) in enumerate(zip(PASSAGES, passage_terms())):
+        keys = keys.split()
+        assert set(keys) <= set(terms), (licence, keys)
+        place += [(keys[0], k, at, len(terms), licence, len(set(keys))) for at, t in enumerate(terms) if t == keys[0]]
+        weight += [(k, t, n, int(t in keys)) for t, n in Counter(terms).items()]
+    # tables of fixed size, as the templates are
+    place = spark.createDataFrame(place, "anchor string, passage int, at int, size int, licence string, n_keys int")
+    weight = spark.createDataFrame(weight, "passage int, term string, n int, key int").join(idf, "term") \
+        .select("passage", "term", "key", (F.col("n") * F.col("idf")).alias("p_w"))
+    norm = weight.groupBy("passage").agg(F.sqrt(F.sum(F.col("p_w") * F.col("p_w"))).alias("p_norm"))
+    anchors = sorted({k.split()[0] for _, _, k in PASSAGES})
+    toks = each.select("uid", "no", _terms(F.col("body")).alias("toks"))
+    hits = F.filter(F.transform("toks", lambda t, i: F.struct(t.alias("anchor"), i.alias("pos"))),
+                    lambda x: x["anchor"].isin(anchors))
+    found = toks.select("uid", "no", "toks", F.explode(hits).alias("hit")).select("uid", "no", "toks", "hit.*") \
+        .join(F.broadcast(place), "anchor")
+    start = F.greatest(F.col("pos") - F.col("at"), F.lit(0))
+    window = found.select("uid", "no", "passage", start.alias("start"),
+                          F.explode(F.slice("toks", start + 1, F.col("size"))).alias("term"), F.lit(1).alias("one"),
+                          F.col("at"))
+    by = ["uid", "no", "passage", "start", "at"]
+    terms = window.groupBy(*by, "term").agg(F.sum("one").alias("tf")).join(F.broadcast(idf), "term", "left") \
+        .join(F.broadcast(weight), ["passage", "term"], "left")
+    w = F.col("tf") * F.coalesce("idf", unseen)
+    scored = terms.groupBy(*by).agg(F.sum(w * F.coalesce("p_w", F.lit(0.0))).alias("dot"), F.sqrt(F.sum(w * w)).alias("norm"),
+                                    F.sum(F.coalesce("key", F.lit(0))).alias("keys"))
+    sizes = place.select("passage", "size", "licence", "n_keys").distinct()
+    return scored.join(F.broadcast(sizes), "passage").join(F.broadcast(norm), "passage") \
+        .where(F.col("keys") == F.col("n_keys")) \
+        .select("uid", "licence", F.round(F.col("dot") / (F.col("norm") * F.col("p_norm")), 6).alias("cosine"), "size") \
+        .where(F.col("cosine") >= min_cosine)
+
+
 def classify(files: DataFrame, *, uid: str, unit: str, idf: DataFrame, n_files: float,
              min_cosine: float) -> DataFrame:
     """(uid, own, cosine): the best template of every file that has one."""
     spark = files.sparkSession
     unseen = F.log(F.lit(1 + n_files)) + 1
-    idf = stored(idf, "idf")
+    every = stored(idf, "idf")
+    own_terms = spark.createDataFrame([(t,) for t in sorted({t for _, t, _ in template_terms()})], "term string")
+    idf = every.join(F.broadcast(own_terms), "term")
+    keys = [(name, t) for name, k in KEYS.items() for t in k.split()]
+    key = spark.createDataFrame(keys, "licence string, term string").withColumn("key", F.lit(1))
+    facts = spark.createDataFrame([(name, len(re.findall(TERM, t.lower())), len(KEYS.get(name, "").split()))
+                                   for name, t in TEMPLATES.items()], "licence string, size int, n_keys int")
     post = spark.createDataFrame(template_terms(), "licence string, term string, n int").join(idf, "term") \
         .select("licence", "term", (F.col("n") * F.col("idf")).alias("w"))
     norm = post.groupBy("licence").agg(F.sqrt(F.sum(F.col("w") * F.col("w"))).alias("t_norm"))
-    post = post.join(norm, "licence").select("term", "licence", (F.col("w") / F.col("t_norm")).alias("t_w"))
+    post = post.join(norm, "licence").join(key, ["licence", "term"], "left") \
+        .select("term", "licence", (F.col("w") / F.col("t_norm")).alias("t_w"), F.coalesce("key", F.lit(0)).alias("key"))
     each = files.select(F.col(uid).alias("uid"), F.posexplode(unit).alias("no", "body"))
     terms = each.select("uid", "no", F.explode(_terms(F.col("body"))).alias("term")) \
         .groupBy("uid", "no", "term").agg(F.count(F.lit(1)).alias("tf"))
     terms = stored(terms.join(F.broadcast(idf), "term", "left")  # one row a template term
                    .withColumn("w", F.col("tf") * F.coalesce("idf", unseen)), "terms")
     length = terms.groupBy("uid", "no").agg(F.sqrt(F.sum(F.col("w") * F.col("w"))).alias("norm"))
-    dot = terms.join(F.broadcast(post), "term").groupBy("uid", "no", "licence").agg(F.sum(F.col("w") * F.col("t_w")).alias("dot"))
+    dot = terms.join(F.broadcast(post), "term").groupBy("uid", "no", "licence") \
+        .agg(F.sum(F.col("w") * F.col("t_w")).alias("dot"), F.sum("key").alias("keys"))
     cosine = dot.join(length, ["uid", "no"]).withColumn("cosine", F.round(F.col("dot") / F.col("norm"), 6)) \
-        .where(F.col("cosine") >= min_cosine)
-    top = cosine.groupBy("uid").agg(F.max("cosine").alias("cosine"))
-    return cosine.join(top, ["uid", "cosine"]).groupBy("uid").agg(F.min("licence").alias("own"), F.max("cosine").alias("cosine"))
+        .where(F.col("cosine") >= min_cosine).join(F.broadcast(facts), "licence") \
+        .where(F.col("keys") == F.col("n_keys")).select("uid", "licence", "cosine", "size")
+    both = cosine.unionByName(passage_matches(each, idf=every, unseen=unseen, min_cosine=min_cosine))
+    best = both.groupBy("uid", "licence").agg(F.max("cosine").alias("cosine"),
+                                              F.max(F.round(F.col("cosine") * F.col("size"), 6)).alias("matched"))
+    first = F.min(F.struct((-F.col("matched")).alias("m"), (-F.col("cosine")).alias("c"), "licence", "cosine"))
+    return best.groupBy("uid").agg(first.alias("b")).select("uid", F.col("b.licence").alias("own"), F.col("b.cosine").alias("cosine"))
 
 
 def nearest_ancestor(dirs: DataFrame, licensed: DataFrame) -> DataFrame:

@@ -4,6 +4,7 @@ import hashlib
 import math
 import zlib
 from collections import Counter, defaultdict
+from pathlib import Path
 
 import duckdb
 import numpy as np
@@ -46,6 +47,28 @@ def test_licences_and_inheritance(spark):
     assert license.scan(files.limit(0), key="id", path=files["path"]).count() == 0
 
 
+def test_licence_headers_tags_and_files(spark):
+    spdx = {n: f"// SPDX-License-Identifier: {n}\nint x;" for n in ("Apache-2.0", "MIT", "BSD-3-Clause", "BSD-2-Clause", "MPL-2.0")}
+    cases = [(n, f"s/{k}.c", t) for k, (n, t) in enumerate(spdx.items())]
+    cases += [("GPL-2.0", "s/g.c", "// SPDX-License-Identifier: GPL-2.0-only"), (None, "s/z.c", "// SPDX-License-Identifier: Zlib"),
+              (None, "s/a.c", "# Licensed under the Apache License, Version 1.1.")]
+    for k, (name, text, _) in enumerate(license.PASSAGES):
+        if len(text) > 150 and "verbatim" not in text:
+            words = text.split()
+            wrapped = "\n".join(" * " + " ".join(words[j:j + 9]) for j in range(0, len(words), 9))
+            cases += [(name, f"h/{k}.c", f"/* Copyright 2020 A. Author\n{wrapped}\n */\nint main() {{}}\n"),
+                      (name, f"u/{k}.c", f"# {text}\ncode\n" + "more code\n" * 30)]
+    texts = Path("/usr/share/common-licenses")
+    for name, file in (("Apache-2.0", "Apache-2.0"), ("GPL-2.0", "GPL-2"), ("GPL-3.0", "GPL-3"), ("LGPL-3.0", "LGPL-3"),
+                       ("BSD-3-Clause", "BSD"), ("MPL-2.0", "MPL-2.0")):
+        if (texts / file).exists():
+            cases.append((name, f"{file}/LICENSE", (texts / file).read_text()))
+    cases += [(None, f"c/{k}.c", "plain code line\n" * 20) for k in range(30)]
+    files = spark.createDataFrame([(k, p, t) for k, (_, p, t) in enumerate(cases)], "id long, path string, text string")
+    got = {r.id: (r.own_license, r.path) for r in license.scan(files, key="id", path=files["path"]).collect()}
+    assert got == {k: (name, p) for k, (name, p, _) in enumerate(cases)}
+
+
 # --- WARC
 
 def test_warc_round_trip(spark):
