@@ -66,6 +66,39 @@ def test_adf_random_walk_vs_noise(spark):
     assert res["noise"]["is_stationary"] and res["noise"]["p_value"] < 0.01
 
 
+def plain_adf(x, lags):
+    dx = np.diff(x)
+
+    def fit(lag, skip):
+        y = dx[skip:]
+        z = np.column_stack([x[skip:-1], *[dx[skip - k:len(dx) - k] for k in range(1, lag + 1)], np.ones(len(y))])
+        beta = np.linalg.lstsq(z, y, rcond=None)[0]
+        ssr = ((y - z @ beta) ** 2).sum()
+        se = np.sqrt(ssr / (len(y) - z.shape[1]) * np.linalg.inv(z.T @ z)[0, 0])
+        return len(y) * np.log(ssr / len(y)) + 2 * z.shape[1], beta[0] / se, len(y)
+
+    best = min(range(lags + 1), key=lambda k: fit(k, lags)[0])
+    return fit(best, best)[1], best, fit(best, best)[2]
+
+
+def test_adf_takes_whole_series(spark):
+    rng = np.random.default_rng(8)
+    noise = lambda n: rng.normal(0, 1, n)
+    ar = [0.0, 0.0]
+    for e in noise(9000):
+        ar.append(0.5 * ar[-1] + 0.3 * ar[-2] + e)
+    series = {"walk": 1e6 + np.cumsum(noise(5000)), "ar": np.array(ar), "short": 5 + noise(30), None: np.cumsum(noise(1500)),
+              "few": noise(19), "flat": np.ones(50)}
+    pdf = pd.concat([pd.DataFrame({"k": k, "t": np.arange(len(x)), "v": x}) for k, x in series.items()])
+    got = {r.k: r for r in stationarity.stationarity(spark.createDataFrame(pdf, "k string, t long, v double"), by=["k"],
+                                                     order_by=["t"]).collect()}
+    assert set(got) == {"walk", "ar", "short", None}
+    for k, r in got.items():
+        stat, lag, n = plain_adf(series[k], min(12, len(series[k]) // 4))
+        assert (r.used_lag, r.observations) == (lag, n)
+        assert r.adf_statistic == pytest.approx(stat, rel=1e-6)
+
+
 def test_results_invariant_to_partitioning(spark):
     bv = views.business_view(spark, SF)
     base = sorted(relate.trends(bv, time_col="date", by=["region"], columns=["revenue"],
