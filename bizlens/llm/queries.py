@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 from bizlens.llm import (chat, decontam, langid, license, packing, ppm, quality, sharding, simhash,
-                         warc)
+                         substring, warc)
 
 QUERIES = {
     "op1_license_scan": license.query,
@@ -16,6 +16,7 @@ QUERIES = {
     "op8_quotation_linking": chat.query,
     "op9_sharding": sharding.query,
     "op10_ppm_scoring": ppm.query,
+    "op13_substring_dedup": substring.query,
 }
 
 SQL = {
@@ -23,4 +24,5 @@ SQL = {
     "op3_decontamination": decontam.ORACLE,
     "op4_warc_index": warc.ORACLE,
     "op8_quotation_linking": chat.ORACLE,
+    "op13_substring_dedup": substring.ORACLE,
 }
