@@ -2,8 +2,8 @@
 
 from __future__ import annotations
 
-from bizlens.llm import (chat, decontam, langid, license, packing, ppm, quality, sharding, simhash,
-                         substring, warc)
+from bizlens.llm import (chat, decontam, langid, license, merkle, packing, ppm, prefixtrie, quality, sharding,
+                         simhash, substring, warc)
 
 QUERIES = {
     "op1_license_scan": license.query,
@@ -16,6 +16,8 @@ QUERIES = {
     "op8_quotation_linking": chat.query,
     "op9_sharding": sharding.query,
     "op10_ppm_scoring": ppm.query,
+    "op11_merkle_manifest": merkle.query,
+    "op12_prefix_trie": prefixtrie.query,
     "op13_substring_dedup": substring.query,
 }
 
@@ -24,5 +26,7 @@ SQL = {
     "op3_decontamination": decontam.ORACLE,
     "op4_warc_index": warc.ORACLE,
     "op8_quotation_linking": chat.ORACLE,
+    "op11_merkle_manifest": merkle.ORACLE,
+    "op12_prefix_trie": prefixtrie.ORACLE,
     "op13_substring_dedup": substring.ORACLE,
 }
