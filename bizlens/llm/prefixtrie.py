@@ -132,15 +132,15 @@ def ends_hash(ends: DataFrame) -> DataFrame:
     """(key, ends_sha256) of the ids ``c`` of each ``key``, ascending and joined by commas.
 
     Ranges of sorted ids become pieces of text in many tasks; a key's pieces are hashed in order."""
-    n = int(ends.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    n, piece = int(ends.sparkSession.conf.get("spark.sql.shuffle.partitions")), PIECE
 
     def pieces(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         out: list[tuple[bytes, int, list[str]]] = []
         size = 0
         for b in batches:
             for key, c in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
-                if not out or out[-1][0] != key or size > PIECE:
-                    if len(out) > 1000 or size > PIECE:
+                if not out or out[-1][0] != key or size > piece:
+                    if len(out) > 1000 or size > piece:
                         yield flush(out)
                         out = []
                     out.append((key, c, []))

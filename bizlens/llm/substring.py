@@ -71,14 +71,10 @@ def _runs(h: np.ndarray, of: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray
     return s, of[:len(s)] == of[n - 1:] if len(s) else np.zeros(0, bool)
 
 
-def _slots(h: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """The two bitmap places of a hash."""
-    mask = np.uint64((1 << BITS) - 1)
-    return (h & mask).astype(np.int64), ((h >> np.uint64(32)) & mask).astype(np.int64)
-
-
 def _in(bits: np.ndarray, h: np.ndarray) -> np.ndarray:
-    a, b = _slots(h)
+    """Which hashes have both of their places set."""
+    mask = np.uint64(8 * len(bits) - 1)
+    a, b = (h & mask).astype(np.int64), ((h >> np.uint64(32)) & mask).astype(np.int64)
     return (((bits[a >> 3] >> (a & 7).astype(np.uint8)) & (bits[b >> 3] >> (b & 7).astype(np.uint8))) & 1) == 1
 
 
