@@ -17,7 +17,7 @@ from functools import reduce
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -150,70 +150,90 @@ def _path_lengths(x: np.ndarray, tree: Sequence[Sequence[float]]) -> np.ndarray:
     return depth + np.array([_c_factor(s) for s in size[node]])
 
 
+def tree_places(rows: DataFrame, xcols: Sequence[str], *, trees: int, subsample: int, seed: int) -> DataFrame:
+    """(__if_g, __if_tree, __if_rank, *xcols): the places of every tree, at most ``subsample`` each.
+
+    ``rows`` are the different rows of a group with their count ``__if_w`` and the group's size
+    ``__if_n``. A row's number of places over all trees is its expectation, the fraction decided
+    by hash. Whole rounds give every tree the same; the rest goes to different trees, by a stride
+    without a factor in common with ``trees``. A row has at most 1.5 x ``subsample`` places a tree."""
+    key = F.xxhash64("__if_g", *xcols, F.lit(seed))
+    want = F.lit(float(trees)) * F.col("__if_w") * F.least(F.lit(1.0), F.lit(1.5 * subsample) / F.col("__if_n"))
+    unit = F.pmod(F.xxhash64("__if_h", F.lit(1)), F.lit(1 << 30)) / float(1 << 30)
+    strides = F.array(*[F.lit(s) for s in range(1, trees + 1) if math.gcd(s, trees) == 1])
+    rest = F.transform(F.sequence(F.lit(0), (F.col("__if_k") % trees).cast("int")), lambda i: F.pmod(
+        F.pmod("__if_h", F.lit(trees)) + i * F.col("__if_s"), F.lit(trees)).cast("int"))
+    rest = F.slice(rest, F.lit(1), (F.col("__if_k") % trees).cast("int"))  # the sequence has one more
+    each = (rows.withColumn("__if_h", key).withColumn("__if_k", F.floor(want + unit).cast("long")).where("__if_k > 0")
+            .withColumn("__if_s", F.get(strides, F.pmod(F.xxhash64("__if_h", F.lit(2)), F.size(strides)).cast("int")))
+            .withColumn("__if_rest", rest).withColumn("__if_round", F.floor(F.col("__if_k") / trees).cast("int")))
+    every = F.when(F.col("__if_round") > 0, F.sequence(F.lit(0), F.lit(trees - 1))).otherwise(F.col("__if_rest"))
+    each = each.withColumn("__if_tree", F.explode(every))
+    count = F.col("__if_round") + F.array_contains("__if_rest", F.col("__if_tree")).cast("int")
+    each = each.withColumn("__if_place", F.explode(F.sequence(F.lit(1), count)))
+    each = each.withColumn("__if_rank", F.xxhash64("__if_h", "__if_tree", "__if_place", F.lit(3)))
+    lowest = Window.partitionBy("__if_g", "__if_tree").orderBy("__if_rank", *xcols)
+    return each.withColumn("__if_at", F.row_number().over(lowest)).where(F.col("__if_at") <= subsample) \
+        .select("__if_g", "__if_tree", "__if_rank", *xcols)
+
+
 def isolation_forest(df: DataFrame, features: Sequence[str], *, by: Sequence[str] = (), trees: int = 100,
                      subsample: int = 256, contamination: float = 0.05, seed: int = 42, min_rows: int = 10,
                      chunk_rows: int = 250_000) -> DataFrame:
     """A3: anomaly score in [0, 1] and ``is_outlier`` for the top ``contamination``
     share of every group of ``by``, each with a forest of its own.
 
-    A row is in each tree with the same chance, at any size: 1.5 x ``subsample``
-    rows a tree are expected, and a tree keeps the ``subsample`` lowest-ranked.
-    Rows and forests meet in chunks of about ``chunk_rows`` rows of a group.
-    NULL features count as 0. Groups below ``min_rows`` rows, or without a
-    feature that varies, have no score and no outlier; scores equal to the cut
-    are no outliers.
+    A row has the same chance of a place in each tree, at any size, copies included: equal
+    rows are counted first, and a count's places are spread over the trees by hash. 1.5 x
+    ``subsample`` places a tree are expected, and a tree keeps the ``subsample`` with the lowest
+    hash, chosen in Spark, so no task grows a tree on more. Rows and forests meet in chunks of
+    about ``chunk_rows`` rows of a group. NULL features count as 0. Groups below ``min_rows``
+    rows, or without a feature that varies, have no score and no outlier; scores equal to the
+    cut are no outliers. Columns of ``df`` may have any names but those that begin with
+    ``__if_``.
     """
-    xcols = [f"_x{i}" for i in range(len(features))]
+    xcols = [f"__if_x{i}" for i in range(len(features))]
     group = F.to_json(F.struct(*_b(by))) if by else F.lit("")
-    key = F.xxhash64(*[F.col(q(f.name)) for f in df.schema.fields if not isinstance(f.dataType, T.MapType)], F.lit(seed))
     base = cut_lineage(df.select("*", *[F.coalesce(finite(F.col(q(c))), F.lit(0.0)).alias(x) for c, x in zip(features, xcols)],
-                                 group.alias("_g"), key.alias("_h"), F.monotonically_increasing_id().alias("_row")))
+                                 group.alias("__if_g"), F.monotonically_increasing_id().alias("__if_row")))
     varies = [F.max(x) > F.min(x) for x in xcols]
-    size = base.groupBy("_g").agg(F.count(F.lit(1)).alias("_n"), reduce(lambda a, b: a | b, varies).alias("_v")) \
-        .where(F.col("_v") & (F.col("_n") >= min_rows)).drop("_v")
-
-    # a row's number of trees is its expectation, the fraction decided by hash;
-    # a stride without a factor in common with ``trees`` makes them distinct
-    want = F.lit(float(trees)) * F.least(F.lit(1.0), F.lit(1.5 * subsample) / F.col("_n"))
-    unit = F.pmod(F.xxhash64("_h", F.lit(1)), F.lit(1 << 30)) / float(1 << 30)
-    strides = F.array(*[F.lit(s) for s in range(1, trees + 1) if math.gcd(s, trees) == 1])
-    cand = (base.join(size, "_g").select("_g", "_h", *xcols, F.floor(want + unit).cast("int").alias("_k")).where("_k > 0")
-            .withColumn("_s", F.get(strides, F.pmod(F.xxhash64("_h", F.lit(2)), F.size(strides)).cast("int")))
-            .withColumn("_tree", F.explode(F.transform(
-                F.sequence(F.lit(0), F.least("_k", F.lit(trees)) - 1),
-                lambda i: F.pmod(F.pmod("_h", F.lit(trees)) + i * F.col("_s"), F.lit(trees)).cast("int"))))
-            .select("_g", "_tree", F.xxhash64("_h", "_tree", F.lit(3)).alias("_rank"), *xcols))
+    size = base.groupBy("__if_g").agg(F.count(F.lit(1)).alias("__if_n"), reduce(lambda a, b: a | b, varies).alias("__if_v")) \
+        .where(F.col("__if_v") & (F.col("__if_n") >= min_rows)).drop("__if_v")
     max_depth = int(math.ceil(math.log2(max(subsample, 2))))
+    places = tree_places(base.groupBy("__if_g", *xcols).agg(F.count(F.lit(1)).alias("__if_w")).join(size, "__if_g"), xcols,
+                         trees=trees, subsample=subsample, seed=seed)
 
     def grow(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values(["_rank", *xcols]).head(subsample)
-        tree = int(pdf["_tree"].iloc[0])
+        pdf = pdf.sort_values(["__if_rank", *xcols])
+        tree = int(pdf["__if_tree"].iloc[0])
         nodes = _grow_tree(pdf[xcols].to_numpy(dtype=np.float64), np.random.default_rng(seed + tree), max_depth)
-        return pd.DataFrame({"_g": [pdf["_g"].iloc[0]], "_tree": [tree], "nodes": [[list(map(float, n)) for n in nodes]]})
+        return pd.DataFrame({"__if_g": [pdf["__if_g"].iloc[0]], "__if_tree": [tree],
+                             "nodes": [[list(map(float, n)) for n in nodes]]})
 
     # one row a (group, tree), of at most 2 x subsample nodes
-    forest = cut_lineage(cand.groupBy("_g", "_tree").applyInPandas(grow, "_g string, _tree int, nodes array<array<double>>"))
-    chunks = F.ceil(F.col("_n") / chunk_rows).cast("int")
-    rows = base.drop("_h").join(size, "_g", "left") \
-        .withColumn("_chunk", F.pmod("_row", F.coalesce(chunks, F.lit(1))).cast("int"))
-    parts = size.select("_g", chunks.alias("_chunks"))
-    models = forest.join(parts, "_g").select("_g", "_tree", "nodes", F.explode(F.sequence(F.lit(0), F.col("_chunks") - 1))
-                                             .alias("_chunk"))
-    schema = T.StructType([*df.schema.fields, T.StructField("_g", T.StringType()), T.StructField("anomaly_score", T.DoubleType())])
+    forest = cut_lineage(places.groupBy("__if_g", "__if_tree").applyInPandas(
+        grow, "__if_g string, __if_tree int, nodes array<array<double>>"))
+    chunks = F.ceil(F.col("__if_n") / chunk_rows).cast("int")
+    rows = base.join(size, "__if_g", "left") \
+        .withColumn("__if_chunk", F.pmod("__if_row", F.coalesce(chunks, F.lit(1))).cast("int"))
+    parts = size.select("__if_g", chunks.alias("__if_chunks"))
+    models = forest.join(parts, "__if_g").select("__if_g", "__if_tree", "nodes",
+                                                 F.explode(F.sequence(F.lit(0), F.col("__if_chunks") - 1)).alias("__if_chunk"))
+    schema = T.StructType([*df.schema.fields, T.StructField("__if_g", T.StringType()), T.StructField("anomaly_score", T.DoubleType())])
 
     def score(pdf: pd.DataFrame, model: pd.DataFrame) -> pd.DataFrame:
         out = pdf[[f.name for f in schema.fields[:-1]]]
         if not len(pdf) or not len(model):
             return out.assign(anomaly_score=np.full(len(pdf), np.nan))
         x = pdf[xcols].to_numpy(dtype=np.float64)
-        e = sum(_path_lengths(x, np.stack(t)) for t in model.sort_values("_tree")["nodes"]) / len(model)
-        mean = _c_factor(min(subsample, int(pdf["_n"].iloc[0])))
+        e = sum(_path_lengths(x, np.stack(t)) for t in model.sort_values("__if_tree")["nodes"]) / len(model)
+        mean = _c_factor(min(subsample, int(pdf["__if_n"].iloc[0])))
         return out.assign(anomaly_score=np.round(np.power(2.0, -e / mean), 6))
 
-    scored = rows.groupBy("_g", "_chunk").cogroup(models.groupBy("_g", "_chunk")).applyInPandas(score, schema)
+    scored = rows.groupBy("__if_g", "__if_chunk").cogroup(models.groupBy("__if_g", "__if_chunk")).applyInPandas(score, schema)
     value = F.col("anomaly_score")
     scored = cut_lineage(scored.withColumn("anomaly_score", F.when(~F.isnan(value), value)))
     # scores have six decimals, so the exact percentile holds a bounded number of values
-    cut = scored.groupBy("_g").agg(F.percentile("anomaly_score", 1.0 - contamination).alias("_cut"))
-    return scored.join(cut, "_g").select(*[F.col(q(c)) for c in df.columns], "anomaly_score",
-                                         F.coalesce(value > F.col("_cut"), F.lit(False)).alias("is_outlier"))
+    cut = scored.groupBy("__if_g").agg(F.percentile("anomaly_score", 1.0 - contamination).alias("__if_cut"))
+    return scored.join(cut, "__if_g").select(*[F.col(q(c)) for c in df.columns], "anomaly_score",
+                                             F.coalesce(value > F.col("__if_cut"), F.lit(False)).alias("is_outlier"))

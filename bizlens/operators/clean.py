@@ -16,6 +16,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from bizlens.functions.exprs import datetime_columns, finite, null_safe_join, numeric_columns, q, string_columns
+from bizlens.session import cut_lineage
 
 
 def _b(by: Sequence[str]) -> list[Column]:
@@ -23,7 +24,7 @@ def _b(by: Sequence[str]) -> list[Column]:
 
 
 def _join_stats(df: DataFrame, stats: DataFrame, by: Sequence[str]) -> DataFrame:
-    return df.join(stats, list(by), "left") if by else df.crossJoin(stats)
+    return null_safe_join(df, stats, list(by), "left") if by else df.crossJoin(stats)
 
 
 # D1-D4 ---------------------------------------------------------------------
@@ -53,35 +54,26 @@ def drop_incomplete_rows(df: DataFrame, *, subset: Sequence[str] | None = None)
 # D5-D7 fills ----------------------------------------------------------------
 
 def fill_numeric(df: DataFrame, *, by: Sequence[str] = (), columns: Sequence[str] | None = None,
-                 method: str = "median", approx: bool = False, quantiles: str = "auto") -> DataFrame:
+                 method: str = "median", approx: bool = False) -> DataFrame:
     """NULLs in numeric columns become the group median (default), mean or 0.
 
-    Medians are exact: in memory for groups with few distinct values, else the
-    distributed method of ``profile.distributed_quantiles`` (``quantiles``).
+    Medians are exact at any size: they come from the counts of the values
+    (``operators.values``), so no task holds the values of a group.
     """
-    from bizlens.operators.profile import choose_quantile_method, distributed_quantiles, long_numeric
+    from bizlens.operators.values import finite_numbers, quantiles
     cols = list(columns) if columns is not None else numeric_columns(df, exclude=by)
     if not cols:
         return df
     if method == "zero":
         return df.fillna(0, subset=cols)
-
-    def stat(c):
-        v = finite(F.col(q(c)))
-        if method == "mean":
-            return F.avg(v)
-        return F.percentile_approx(v, 0.5, 100000).cast("double") if approx else F.median(v)
-
-    qm = "in-memory"
     if method == "median" and not approx:
-        long = long_numeric(df, by=by, columns=cols)
-        qm = choose_quantile_method(long, [*by, "column"], quantiles)
-    if qm == "distributed":
-        med = distributed_quantiles(long, [*by, "column"], [0.5])
-        stats = med.groupBy(*_b(by)).pivot("column", cols).agg(F.first("q0"))
-        stats = stats.select(*_b(by), *[F.col(q(c)).alias(f"__fill_{i}") for i, c in enumerate(cols)])
+        counts, _ = finite_numbers(df, cols, by=by)
+        med, _ = quantiles(counts, [0.5], by=by)
+        stats = med.groupBy(*_b(by)).agg(*[F.max(F.when(F.col("c") == i, F.col("q0"))).alias(f"__fill_{i}")
+                                           for i in range(len(cols))])
     else:
-        stats = df.groupBy(*_b(by)).agg(*[stat(c).alias(f"__fill_{i}") for i, c in enumerate(cols)])
+        stat = F.avg if method == "mean" else (lambda v: F.percentile_approx(v, 0.5, 100000).cast("double"))
+        stats = df.groupBy(*_b(by)).agg(*[stat(finite(F.col(q(c)))).alias(f"__fill_{i}") for i, c in enumerate(cols)])
     j = _join_stats(df, stats, by)
     return j.select(*[F.coalesce(F.col(q(c)), F.col(f"__fill_{cols.index(c)}")).cast(df.schema[c].dataType).alias(c)
                       if c in cols else F.col(q(c)) for c in df.columns])
@@ -93,7 +85,10 @@ def fill_categorical(df: DataFrame, *, by: Sequence[str] = (), columns: Sequence
     cols = list(columns) if columns is not None else string_columns(df, exclude=by)
     if not cols:
         return df
-    stats = df.groupBy(*_b(by)).agg(*[F.mode(F.col(q(c)), True).alias(f"__mode_{i}") for i, c in enumerate(cols)])
+    from bizlens.operators.values import modes, value_counts
+    found = modes(value_counts(df, cols, by=by), by=by)
+    stats = found.groupBy(*_b(by)).agg(*[F.max(F.when(F.col("c") == i, F.col("mode"))).alias(f"__mode_{i}")
+                                         for i in range(len(cols))])
     j = _join_stats(df, stats, by)
     return j.select(*[F.coalesce(F.col(q(c)), F.col(f"__mode_{cols.index(c)}"), F.lit(default)).alias(c)
                       if c in cols else F.col(q(c)) for c in df.columns])
@@ -136,78 +131,24 @@ def count_infinities(df: DataFrame, *, by: Sequence[str] = (), columns: Sequence
 # D9 interpolation -----------------------------------------------------------
 
 def interpolate(df: DataFrame, *, order_by: Sequence[str], by: Sequence[str] = (),
-                columns: Sequence[str] | None = None, strategy: str = "scan") -> DataFrame:
-    """D9. ``scan`` (range-partitioned, never a whole group in one task) is the
-    one plan for any size; ``window`` sorts each group in one task and is for
-    callers who know their groups to be small. NULL is a group of its own."""
-    if strategy == "scan":
-        return interpolate_scan(df, order_by=order_by, by=by, columns=columns)
-    return interpolate_window(df, order_by=order_by, by=by, columns=columns)
-
-
-def interpolate_scan(df: DataFrame, *, order_by: Sequence[str], by: Sequence[str] = (),
-                     columns: Sequence[str] | None = None) -> DataFrame:
-    """D9 for skewed groups: positions from a range-partitioned global row
-    number; the previous non-NULL (position, value) is an exact prefix max
-    across partitions; the next non-NULL is found by joining each row to the
-    non-NULL row whose predecessor is that row's previous non-NULL."""
-    from bizlens.plans.order import global_row_number, prefix_max
-    by = list(by)
-    cols = list(columns) if columns is not None else numeric_columns(df, exclude=by + list(order_by))
-    ranked = global_row_number(df, [*by, *order_by], name="__rn", keep_partition=True)
-    out = ranked
-    for i, c in enumerate(cols):
-        v = F.col(q(c)).cast("double")
-        tagged = out.withColumn(f"__nn{i}", F.when(v.isNotNull(), F.struct(F.col("__rn").alias("p"), v.alias("v"))))
-        tagged = prefix_max(tagged, by, "__rn", f"__nn{i}", name=f"__prev{i}")
-        tagged = prefix_max(tagged, by, "__rn", f"__nn{i}", name=f"__prevx{i}", inclusive=False)
-        # next non-NULL: the non-NULL row whose own predecessor equals my previous non-NULL
-        nxt = tagged.filter(v.isNotNull()).select(
-            *_b(by), F.coalesce(F.col(f"__prevx{i}.p"), F.lit(0)).alias(f"__k{i}"),
-            F.col("__rn").alias(f"__np{i}"), v.alias(f"__nv{i}"))
-        key = F.coalesce(F.col(f"__prev{i}.p"), F.lit(0))
-        tagged = tagged.withColumn(f"__k{i}", F.when(v.isNull(), key))
-        out = null_safe_join(tagged, nxt, by, "left", equal=[f"__k{i}"]).drop(f"__k{i}", f"__nn{i}", f"__prevx{i}")
-        pv, pr = F.col(f"__prev{i}.v"), F.col(f"__prev{i}.p").cast("double")
-        nv, nr = F.col(f"__nv{i}"), F.col(f"__np{i}").cast("double")
-        rn = F.col("__rn").cast("double")
-        lin = F.when(nr == pr, pv).otherwise(pv + (nv - pv) * (rn - pr) / (nr - pr))
-        filled = F.when(v.isNotNull(), v).when(pv.isNotNull() & nv.isNotNull(), lin).otherwise(F.coalesce(pv, nv))
-        out = out.withColumn(c, filled).drop(f"__prev{i}", f"__np{i}", f"__nv{i}")
-    return out.select(*[F.col(q(c)) for c in df.columns])
-
-
-def interpolate_window(df: DataFrame, *, order_by: Sequence[str], by: Sequence[str] = (),
-                       columns: Sequence[str] | None = None) -> DataFrame:
+                columns: Sequence[str] | None = None) -> DataFrame:
     """Linear interpolation by row position inside each group, both directions.
 
-    Interior gaps are linear between the neighbouring values; leading and
-    trailing gaps take the nearest value (what ``interpolate`` + ffill +
-    bfill gives); an all-NULL column falls back to the group median (NULL).
-    Neighbours come from ``last/first(ignorenulls)`` windows, so the
-    operator is one sort per group. Without ``by`` aggregate to a period
-    first: an unpartitioned window would run in one task.
+    Interior gaps are linear between the neighbouring values; leading and trailing
+    gaps take the nearest value; a column without any value stays NULL. NULL is a
+    group of its own. All columns are filled in one pass over rows that are
+    exchanged once (``plans.carry``), whatever the size of a group.
     """
+    from bizlens.plans.carry import neighbours
     cols = list(columns) if columns is not None else numeric_columns(df, exclude=list(by) + list(order_by))
-    w = Window.partitionBy(*_b(by)).orderBy(*[F.col(q(c)) for c in order_by])
-    back = w.rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    # "Next non-NULL" = "last non-NULL" in reversed order: a growing frame is
-    # linear, while an unbounded-following frame is re-evaluated per row.
-    out = df.withColumn("__rn", F.row_number().over(w).cast("double"))
-    rev = Window.partitionBy(*_b(by)).orderBy(F.col("__rn").desc())
-    fwd = rev.rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    rn = F.col("__rn")
-    exprs = {}
-    for c in cols:
-        v = F.col(q(c)).cast("double")
-        pv = F.last(v, ignorenulls=True).over(back)
-        pr = F.last(F.when(v.isNotNull(), rn), ignorenulls=True).over(back)
-        nv = F.last(v, ignorenulls=True).over(fwd)
-        nr = F.last(F.when(v.isNotNull(), rn), ignorenulls=True).over(fwd)
-        lin = F.when(nr == pr, pv).otherwise(pv + (nv - pv) * (rn - pr) / (nr - pr))
-        exprs[c] = (F.when(v.isNotNull(), v).when(pv.isNotNull() & nv.isNotNull(), lin)
-                    .otherwise(F.coalesce(pv, nv)))
-    return out.select(*[exprs[c].alias(c) if c in exprs else F.col(q(c)) for c in df.columns])
+    near = neighbours(df, list(by), list(order_by), cols)
+
+    def filled(k: int) -> Column:
+        pv, nv, pg, ng = (F.col(f"__{x}{k}") for x in ("pv", "nv", "pg", "ng"))
+        line = F.when(pg + ng == 0, pv).otherwise(pv + (nv - pv) * pg / (pg + ng))
+        return F.when(pv.isNotNull() & nv.isNotNull(), line).otherwise(F.coalesce(pv, nv))
+
+    return near.select(*[filled(cols.index(c)).alias(c) if c in cols else F.col(q(c)) for c in df.columns])
 
 
 # D10-D12 ---------------------------------------------------------------------
@@ -251,7 +192,8 @@ def clean(df: DataFrame, *, by: Sequence[str] = (), order_by: Sequence[str] | No
     """
     from bizlens.operators.schema import infer_types, standardize_columns
     out = standardize_columns(df, style="basic")
-    out = drop_duplicates(out)
+    # written once: the statistics below read it several times
+    out = cut_lineage(drop_duplicates(out))
     if infer:
         out = infer_types(out)
     if handle_missing == "drop":

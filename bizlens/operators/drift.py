@@ -1,8 +1,8 @@
 """Distribution drift.
 
 Both sides are tagged and unpivoted to (column, value, side); one aggregate
-counts every distinct value per side; an exact, range-partitioned running
-sum (``plans.order.running_totals``) gives both empirical CDFs, so
+counts every distinct value per side; exact running sums over the
+range-partitioned values (``plans.carry``) give both empirical CDFs, so
 
     KS = max |F1 - F2|  and  W1 = sum |F1 - F2| * (next value - value)
 
@@ -19,7 +19,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from bizlens.functions.exprs import finite, null_safe_join, q
-from bizlens.plans.order import running_totals
+from bizlens.plans.carry import running_sums, sorted_ranges
 
 
 def _b(by: Sequence[str]) -> list[Column]:
@@ -36,28 +36,25 @@ def ks_pvalue(d: Column, n1: Column, n2: Column, terms: int = 100) -> Column:
     return F.least(F.greatest(p, F.lit(0.0)), F.lit(1.0))
 
 
-def column_drift(baseline: DataFrame, current: DataFrame, columns: Sequence[str], *, by: Sequence[str] = (),
-                 alpha: float = 0.05) -> DataFrame:
-    """G1: one row per (group, column): KS statistic, p-value, Wasserstein
-    distance, both means and deviations, and the drift flag (p < alpha)."""
-    cols = list(columns)
+def _long(df: DataFrame, columns: Sequence[str], by: Sequence[str], side: int) -> DataFrame:
+    sel = [*_b(by)] + [finite(F.col(q(c))).alias(c) for c in columns]
+    return (df.select(*sel).unpivot(list(by), list(columns), "column", "value")
+            .filter(F.col("value").isNotNull()).withColumn("side", F.lit(side)))
 
-    def long(df, side):
-        sel = [*_b(by)] + [finite(F.col(q(c))).alias(c) for c in cols]
-        return (df.select(*sel).unpivot(list(by), cols, "column", "value")
-                .filter(F.col("value").isNotNull()).withColumn("side", F.lit(side)))
 
-    both = long(baseline, 1).unionByName(long(current, 2))
-    keys = [*by, "column"]
-    moments = both.groupBy(*_b(keys)).agg(
-        F.sum((F.col("side") == 1).cast("long")).alias("n1"), F.sum((F.col("side") == 2).cast("long")).alias("n2"),
-        F.avg(F.when(F.col("side") == 1, F.col("value"))).alias("reference_mean"),
-        F.avg(F.when(F.col("side") == 2, F.col("value"))).alias("current_mean"),
-        F.stddev_samp(F.when(F.col("side") == 1, F.col("value"))).alias("reference_std"),
-        F.stddev_samp(F.when(F.col("side") == 2, F.col("value"))).alias("current_std"))
-    counts = both.groupBy(*_b(keys), "value").agg(
-        F.sum((F.col("side") == 1).cast("long")).alias("c1"), F.sum((F.col("side") == 2).cast("long")).alias("c2"))
-    cdf = running_totals(counts, keys, ["value"], ["c1", "c2"], next_of="value")
+def _of_side(k: int, c: str = "value"):
+    return F.when(F.col("side") == k, F.col(c))
+
+
+def _moments(k: int, name: str) -> list[Column]:
+    return [F.sum((F.col("side") == k).cast("long")).alias(f"n{k}"), F.avg(_of_side(k)).alias(f"{name}_mean"),
+            F.stddev_samp(_of_side(k)).alias(f"{name}_std")]
+
+
+def _compare(counts: DataFrame, moments: DataFrame, keys: Sequence[str], alpha: float) -> DataFrame:
+    """The drift rows from (keys..., value, c1, c2) and the moments of both sides."""
+    keys = list(keys)
+    cdf = running_sums(sorted_ranges(counts, keys, ["value"]), keys, ["c1", "c2"], next_of="value")
     cdf = null_safe_join(cdf, moments.select(*_b(keys), "n1", "n2"), keys)
     diff = F.abs(F.col("cum_c1") / F.col("n1") - F.col("cum_c2") / F.col("n2"))
     stats = cdf.groupBy(*_b(keys)).agg(
@@ -71,6 +68,46 @@ def column_drift(baseline: DataFrame, current: DataFrame, columns: Sequence[str]
                     (valid & (p < alpha)).alias("drift_detected"))
 
 
+def column_drift(baseline: DataFrame, current: DataFrame, columns: Sequence[str], *, by: Sequence[str] = (),
+                 alpha: float = 0.05) -> DataFrame:
+    """G1: one row per (group, column): KS statistic, p-value, Wasserstein
+    distance, both means and deviations, and the drift flag (p < alpha)."""
+    keys = [*by, "column"]
+    both = _long(baseline, columns, by, 1).unionByName(_long(current, columns, by, 2))
+    moments = both.groupBy(*_b(keys)).agg(*_moments(1, "reference"), *_moments(2, "current"))
+    counts = both.groupBy(*_b(keys), "value").agg(
+        F.sum((F.col("side") == 1).cast("long")).alias("c1"), F.sum((F.col("side") == 2).cast("long")).alias("c2"))
+    return _compare(counts, moments, keys, alpha)
+
+
+def store_baseline(baseline: DataFrame, columns: Sequence[str], path: str, *, by: Sequence[str] = ()) -> None:
+    """Write what drift needs of a baseline once: its values with their counts, range-partitioned
+    on (group, column, value), and its moments."""
+    keys = [*by, "column"]
+    rows = _long(baseline, columns, by, 1)
+    counts = rows.groupBy(*_b(keys), "value").agg(F.count(F.lit(1)).alias("c1"))
+    order = [*_b(keys), F.col("value")]
+    counts.repartitionByRange(*order).sortWithinPartitions(*order).write.mode("overwrite").parquet(f"{path}/counts")
+    rows.groupBy(*_b(keys)).agg(*_moments(1, "reference")).write.mode("overwrite").parquet(f"{path}/moments")
+
+
+def drift_from_baseline(path: str, current: DataFrame, columns: Sequence[str], *, by: Sequence[str] = (),
+                        alpha: float = 0.05) -> DataFrame:
+    """G1 against a stored baseline, whose rows are not read again: the counts of the new
+    rows are merged with the stored ones."""
+    spark, keys = current.sparkSession, [*by, "column"]
+    rows = _long(current, columns, by, 2)
+    none = F.lit(0).cast("long")
+    new = rows.groupBy(*_b(keys), "value").agg(F.count(F.lit(1)).alias("c2"))
+    counts = spark.read.parquet(f"{path}/counts").withColumn("c2", none).unionByName(new.withColumn("c1", none)) \
+        .groupBy(*_b(keys), "value").agg(F.sum("c1").alias("c1"), F.sum("c2").alias("c2"))
+    parts = spark.read.parquet(f"{path}/moments").unionByName(rows.groupBy(*_b(keys)).agg(*_moments(2, "current")),
+                                                              allowMissingColumns=True)
+    names = ["n1", "reference_mean", "reference_std", "n2", "current_mean", "current_std"]
+    moments = parts.groupBy(*_b(keys)).agg(*[F.max(c).alias(c) for c in names]).fillna(0, subset=["n1", "n2"])  # two rows a key
+    return _compare(counts, moments, keys, alpha)
+
+
 def drift_summary(drift: DataFrame, *, by: Sequence[str] = ()) -> DataFrame:
     """Columns checked, drifted, percentage and the overall flag."""
     g = drift.groupBy(*_b(by)).agg(F.count(F.lit(1)).cast("int").alias("total_columns_checked"),

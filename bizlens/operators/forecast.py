@@ -425,58 +425,3 @@ def attach_dates(pred: DataFrame, series: DataFrame, horizon: int, *, by: Sequen
     from bizlens.operators.series import future_dates
     fd = future_dates(series, int(horizon), by=by, freq=freq)
     return pred.join(fd, [*by, "step"])
-
-
-class SeasonalAR(Forecaster):
-    """M7 (re-aimed): seasonal autoregression after differencing.
-
-    w_t = (1 - B)(1 - B^s) y_t is fitted as w_t = a w_{t-1} + b w_{t-s} by
-    NumPy least squares per series inside ``applyInPandas`` (a series is a
-    period aggregate, bounded by its number of periods), forecast
-    recursively and integrated back. Series shorter than 2s + 3 points
-    repeat the last season (or the last value).
-    """
-
-    def __init__(self, season: int = 12):
-        super().__init__(f"seasonal_ar_{season}")
-        self.season = season
-
-    def fit(self, train, by):
-        return train
-
-    def predict(self, model, horizon, by):
-        import numpy as np
-        import pandas as pd
-        from pyspark.sql import types as T
-
-        s = self.season
-        by = list(by)
-        schema = T.StructType([*[model.schema[b] for b in by], T.StructField("step", T.IntegerType()),
-                               T.StructField("forecast", T.DoubleType())])
-
-        def run(pdf):
-            pdf = pdf.sort_values("ts")
-            y = pdf["y"].to_numpy(dtype=np.float64)
-            keys = {b: pdf[b].iloc[0] for b in by}
-            n = len(y)
-            if n >= 2 * s + 3:
-                w = (y[s + 1:] - y[s:-1]) - (y[1:-s] - y[:-s - 1])
-                tgt = w[s:]
-                x = np.column_stack([w[s - 1:-1], w[:-s]])
-                coef = np.linalg.lstsq(x, tgt, rcond=None)[0]
-                hist_y, hist_w = list(y), list(w)
-                out = []
-                for _ in range(horizon):
-                    wn = coef[0] * hist_w[-1] + coef[1] * hist_w[-s]
-                    yn = hist_y[-1] + hist_y[-s] - hist_y[-s - 1] + wn
-                    hist_w.append(wn)
-                    hist_y.append(yn)
-                    out.append(yn)
-            elif n >= s:
-                out = [y[n - s + (h % s)] for h in range(horizon)]
-            else:
-                out = [y[-1] if n else float("nan")] * horizon
-            return pd.DataFrame([{**keys, "step": h + 1, "forecast": float(v)} for h, v in enumerate(out)])
-
-        return model.select(*[F.col(q(b)) for b in by], "ts", "y").groupBy(*[F.col(q(b)) for b in by]) \
-            .applyInPandas(run, schema)

@@ -15,7 +15,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from bizlens.functions.exprs import q
+from bizlens.functions.exprs import null_safe_join, q
 
 # Insight templates (J1), reasoning phrases (J4) and recommendation texts.
 CORRELATION_TEXT = "%s strongly influences %s (corr=%.2f)"
@@ -403,3 +403,34 @@ def health_narrative(health: DataFrame, *, by: Sequence[str] = ()) -> DataFrame:
     text = F.format_string("The business %s with a health score of %.1f/100 (%s) and %s risk exposure.",
                            band, s, F.col("status"), F.lower(F.col("risk_level")))
     return health.select(*_b(by), text.alias("summary"))
+
+
+# The sentences of the executive summary.
+SUMMARY_INTRO = "This analysis examines a %s dataset consisting of %d records and %d variables, with a focus on improving %s."
+SUMMARY_DRIVER = ("The results show a strong relationship between %s and %s (correlation: %.2f), indicating that changes in %s "
+                  "are closely linked to performance in %s.")
+SUMMARY_UP = "%s is trending upward, suggesting positive momentum."
+SUMMARY_DOWN = "%s is showing a decline, which may require attention."
+SUMMARY_OPPORTUNITY = "A key opportunity lies in %s"
+SUMMARY_RISK = "However, %s"
+
+
+def executive_summary(context: DataFrame, rows: DataFrame, pairs: DataFrame, trends: DataFrame, reasons: DataFrame, *,
+                      columns: int, by: Sequence[str] = ()) -> DataFrame:
+    """(by..., summary): the dataset, its strongest pair, the first trend, opportunity and
+    risk, each where there is one. ``context``: the C14 row; ``rows``: (by..., rows)."""
+    by = list(by)
+    top = pairs.filter(F.col("rank") == 1).select(*_b(by), "feature_1", "feature_2", "correlation")
+    first = trends.filter(F.col("column_order") == 0).select(*_b(by), "column", "trend")
+    why = reasons.select(*_b(by), F.get("opportunities", F.lit(0)).alias("opportunity"), F.get("risks", F.lit(0)).alias("risk"))
+    j = rows.crossJoin(context.select("domain", "kpi"))  # one row of context
+    for other in (top, first, why):
+        j = null_safe_join(j, other, by, "left") if by else j.join(other, how="left")
+    parts = [F.format_string(SUMMARY_INTRO, "domain", "rows", F.lit(columns), F.coalesce("kpi", F.lit("performance"))),
+             F.when(F.col("feature_1").isNotNull(), F.format_string(SUMMARY_DRIVER, "feature_1", "feature_2", "correlation",
+                                                                    "feature_1", "feature_2")),
+             F.when(F.col("trend") == "increasing", F.format_string(SUMMARY_UP, "column"))
+             .when(F.col("trend") == "decreasing", F.format_string(SUMMARY_DOWN, "column")),
+             F.when(F.col("opportunity").isNotNull(), F.format_string(SUMMARY_OPPORTUNITY, F.lower("opportunity"))),
+             F.when(F.col("risk").isNotNull(), F.format_string(SUMMARY_RISK, F.lower("risk")))]
+    return j.select(*_b(by), F.concat_ws(" ", *parts).alias("summary"))

@@ -55,13 +55,12 @@ def synthesize_profit(df: DataFrame, mapping: Mapping[str, str]) -> tuple[DataFr
 
 
 def engineer_features(df: DataFrame, mapping: Mapping[str, str], *, by: Sequence[str] = (),
-                      order_by: Sequence[str] | None = None, strategy: str = "scan") -> tuple[DataFrame, dict]:
+                      order_by: Sequence[str] | None = None) -> tuple[DataFrame, dict]:
     """Synthesised profit, margin %, calendar parts, lag-1 revenue growth.
 
-    The lag runs per ``by`` group ordered by date (then ``order_by`` for ties):
-    a range-partitioned global row number and a join of each row to the row
-    one position earlier (no group is ever sorted in one task). NULL is a
-    group of its own. ``strategy="window"`` is for groups known to be small.
+    The lag runs per ``by`` group ordered by date (then ``order_by`` for ties) as
+    one pass over range-partitioned rows (``plans.carry``): no group is ever
+    sorted in one task. NULL is a group of its own.
     """
     df, m = synthesize_profit(df, mapping)
     rev, prof, date = m.get("revenue"), m.get("profit"), m.get("date")
@@ -75,18 +74,12 @@ def engineer_features(df: DataFrame, mapping: Mapping[str, str], *, by: Sequence
               .withColumn("_year_month", F.date_trunc("month", d).cast("date")))
         if rev:
             rv = F.coalesce(_c(rev).cast("double"), F.lit(0.0))
-            if strategy == "window":
-                order = [d.asc_nulls_last()] + [_c(c) for c in (order_by or []) if c != date]
-                w = Window.partitionBy(*[_c(b) for b in by]).orderBy(*order)
-                df = df.withColumn("_revenue_lag1", F.lag(rv, 1).over(w))
-            else:
-                from bizlens.plans.order import global_row_number
-                cols = df.columns
-                okeys = [*by, "__dnull", date, *[c for c in (order_by or []) if c != date and c not in by]]
-                ranked = global_row_number(df.withColumn("__dnull", d.isNull().cast("int")), okeys, name="__rn")
-                prev = ranked.select(*[_c(b) for b in by], (F.col("__rn") + 1).alias("__rn"),
-                                     rv.alias("_revenue_lag1"))
-                df = null_safe_join(ranked, prev, [*by, "__rn"], "left").select(*[_c(c) for c in cols], "_revenue_lag1")
+            from bizlens.plans.carry import neighbours
+            okeys = ["__dnull", date, *[c for c in (order_by or []) if c != date and c not in by]]
+            cols = df.columns
+            keyed = df.withColumn("__dnull", d.isNull().cast("int")).withColumn("__rv", rv)
+            near = neighbours(keyed, list(by), okeys, ["__rv"], inclusive=False)
+            df = near.select(*[_c(c) for c in cols], F.col("__pv0").alias("_revenue_lag1"))
             g = F.when(F.col("_revenue_lag1") > 0,
                        (rv - F.col("_revenue_lag1")) / F.col("_revenue_lag1") * 100.0).otherwise(0.0)
             df = df.withColumn("_revenue_growth_pct", F.coalesce(finite(g), F.lit(0.0)))

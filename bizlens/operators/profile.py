@@ -1,11 +1,9 @@
 """Profiling operators P1-P12.
 
-Per-column statistics are computed in *long form*: the numeric columns are
-unpivoted to (by..., column, value) with a narrow projection and one hash
-aggregate over (by..., column) computes every statistic. That is one
-shuffle of partial aggregates whatever the column count, and a hot group is
-combined map-side. Exact quantiles hold a value->count map per (group,
-column); ``approx=True`` switches to the bounded-memory sketch.
+Per-column statistics come from one table of values and counts per (group,
+column) (``operators.values``): distinct counts, moments, exact quantiles and top
+values are aggregates of it, and no task holds the values of a group.
+``approx=True`` switches to bounded-memory sketches.
 """
 
 from __future__ import annotations
@@ -18,7 +16,9 @@ from pyspark.sql import types as T
 
 from bizlens.functions.exprs import (null_safe_join, datetime_columns, finite, numeric_columns, q,
                                      skewness_adjusted)
+from bizlens.operators.values import distinct_values, named, summary, value_counts
 
+# Canonical columns of each domain.
 DOMAIN_CHECKS = {
     "financials": ["revenue", "expenses", "profit"],
     "customers": ["active_customers", "churn_rate", "new_customers"],
@@ -44,6 +44,13 @@ def _null_test(df: DataFrame, c: str) -> Column:
     return x.isNull()
 
 
+def _width(df: DataFrame, c: str) -> int:
+    """Bytes of a value of fixed width; 4 (an offset) for the others."""
+    kind = df.schema[c].dataType
+    return {"tinyint": 1, "boolean": 1, "smallint": 2, "int": 4, "float": 4, "date": 4, "bigint": 8, "double": 8, "timestamp": 8,
+            "timestamp_ntz": 8}.get(kind.simpleString(), 16 if isinstance(kind, T.DecimalType) else 4)
+
+
 def long_numeric(df: DataFrame, *, by: Sequence[str] = (), columns: Sequence[str] | None = None,
                  keep_nonfinite: bool = False) -> DataFrame:
     """(by..., column, value) with NaN and +-inf as NULL; no shuffle."""
@@ -58,17 +65,23 @@ def long_numeric(df: DataFrame, *, by: Sequence[str] = (), columns: Sequence[str
 # ----------------------------------------------------------------------------
 
 def table_profile(df: DataFrame, *, by: Sequence[str] = ()) -> DataFrame:
-    """Rows, columns, cells, missing cells and missing percentage."""
+    """Rows, columns, cells, missing cells and their percentage, and the size of the
+    values in MB (fixed-width types by their width, text and binary by their bytes, an
+    offset of 4 bytes and one bit of validity a cell)."""
     cols = _data_columns(df, by)
     missing = sum((F.sum(_null_test(df, c).cast("long")) for c in cols), F.lit(0).cast("long"))
     rows = F.count(F.lit(1))
-    g = df.groupBy(*_bycols(by)).agg(rows.alias("rows"), missing.alias("total_missing_values"))
+    fixed = sum(_width(df, c) for c in cols) + len(cols) / 8
+    text = [F.sum(F.coalesce(F.octet_length(F.col(q(c))), F.lit(0)).cast("long")) for c in cols if _width(df, c) == 4
+            and isinstance(df.schema[c].dataType, (T.StringType, T.BinaryType))]
+    size = sum(text, F.lit(0).cast("long")) + rows * F.lit(float(fixed))
+    g = df.groupBy(*_bycols(by)).agg(rows.alias("rows"), missing.alias("total_missing_values"), size.alias("_bytes"))
     k = len(cols)
     return g.select(
         *_bycols(by), "rows", F.lit(k).cast("long").alias("columns"),
         (F.col("rows") * k).alias("total_cells"), "total_missing_values",
         F.when(F.col("rows") > 0, F.round(F.col("total_missing_values") / (F.col("rows") * k) * 100.0, 2))
-        .otherwise(0.0).alias("overall_missing_percentage"))
+        .otherwise(0.0).alias("overall_missing_percentage"), F.round(F.col("_bytes") / (1024 * 1024), 4).alias("memory_mb"))
 
 
 def missing_values(df: DataFrame, *, by: Sequence[str] = ()) -> DataFrame:
@@ -97,12 +110,18 @@ def duplicate_rows(df: DataFrame, *, by: Sequence[str] = ()) -> DataFrame:
 def column_profile(df: DataFrame, *, by: Sequence[str] = (), approx: bool = False) -> DataFrame:
     """Dtype, null count and %, distinct count and type flags per column."""
     cols = _data_columns(df, by)
-    distinct = F.approx_count_distinct if approx else F.count_distinct
     aggs = [F.count(F.lit(1)).alias("_rows")]
     for i, c in enumerate(cols):
-        aggs += [F.sum(_null_test(df, c).cast("long")).alias(f"n{i}"),
-                 distinct(F.col(q(c))).cast("long").alias(f"d{i}")]
+        aggs.append(F.sum(_null_test(df, c).cast("long")).alias(f"n{i}"))
+        if approx:
+            aggs.append(F.approx_count_distinct(F.col(q(c))).cast("long").alias(f"d{i}"))
     wide = df.groupBy(*_bycols(by)).agg(*aggs)
+    if not approx:
+        found = distinct_values(value_counts(df, cols, by=by), by=by)
+        found = found.groupBy(*_bycols(by)).agg(*[F.coalesce(F.max(F.when(F.col("c") == i, F.col("unique_values"))), F.lit(0))
+                                                  .alias(f"d{i}") for i in range(len(cols))])
+        wide = null_safe_join(wide, found, by, "left") if by else wide.join(found, how="left")
+        wide = wide.fillna(0, subset=[f"d{i}" for i in range(len(cols))])
     structs = []
     for i, c in enumerate(cols):
         dt = df.schema[c].dataType
@@ -127,78 +146,55 @@ def _quantiles(v: Column, probs: list[float], approx: bool) -> Column:
     return F.percentile(v, F.array(*[F.lit(p) for p in probs]))
 
 
-def _with_quantiles(long: DataFrame, keys: Sequence[str], aggs: list, probs: Sequence[float], *,
-                    approx: bool, method: str) -> DataFrame:
-    """Grouped moments plus an array column ``_q`` of quantiles for ``probs``,
-    by the chosen method (see ``choose_quantile_method``)."""
-    keys = list(keys)
-    m = "approx" if approx else choose_quantile_method(long, keys, method)
+def _summary(df: DataFrame, by: Sequence[str], columns: Sequence[str] | None, probs: Sequence[float], approx: bool, *,
+             complete: bool = False) -> DataFrame:
+    """(by..., column, n, mean, std, skewness, min, max, q0, ...): exact, or with sketched quantiles."""
+    if not approx:
+        return summary(df, probs, by=by, columns=columns, complete=complete)
+    long = long_numeric(df, by=by, columns=columns)
     v = F.col("value")
-    if m in ("exact", "approx"):
-        return long.groupBy(*_bycols(keys)).agg(*aggs, _quantiles(v, list(probs), m == "approx").alias("_q"))
-    g = long.groupBy(*_bycols(keys)).agg(*aggs)
-    qd = distributed_quantiles(long, keys, probs)
-    return g.join(qd, keys, "left").withColumn("_q", F.array(*[F.col(f"q{i}") for i in range(len(probs))])) \
-        .drop(*[f"q{i}" for i in range(len(probs))])
+    g = long.groupBy(*_bycols([*by, "column"])).agg(
+        F.count(v).alias("n"), F.avg(v).alias("mean"), F.stddev_samp(v).alias("std"), skewness_adjusted(v).alias("skewness"),
+        F.min(v).alias("min"), F.max(v).alias("max"), _quantiles(v, list(probs), True).alias("_q"))
+    g = g if complete else g.filter(F.col("n") > 0)
+    return g.select("*", *[F.col("_q")[i].alias(f"q{i}") for i in range(len(probs))]).drop("_q")
 
 
 def numeric_stats(df: DataFrame, *, by: Sequence[str] = (), columns: Sequence[str] | None = None,
-                  approx: bool = False, method: str = "auto") -> DataFrame:
+                  approx: bool = False) -> DataFrame:
     """Mean, std (n-1), min, p25, median, p75, max, skewness; inf/NaN excluded."""
-    long = long_numeric(df, by=by, columns=columns)
-    v = F.col("value")
-    n = F.count(v)
-    g = _with_quantiles(long, [*by, "column"], [
-        n.alias("count"), F.avg(v).alias("mean"),
-        F.when(n > 1, F.stddev_samp(v)).when(n == 1, 0.0).alias("std"),
-        F.min(v).alias("min"), F.max(v).alias("max"),
-        F.when(n > 2, F.coalesce(skewness_adjusted(v), F.lit(0.0))).when(n > 0, 0.0).alias("skewness")],
-        [0.25, 0.5, 0.75], approx=approx, method=method)
-    return g.filter(F.col("count") > 0).select(
-        *_bycols(by), "column", "count", "mean", "std", "min",
-        F.col("_q")[0].alias("p25"), F.col("_q")[1].alias("median"), F.col("_q")[2].alias("p75"),
-        "max", "skewness")
+    g = _summary(df, by, columns, [0.25, 0.5, 0.75], approx)
+    n = F.col("n")
+    return g.select(
+        *_bycols(by), "column", n.alias("count"), "mean", F.when(n > 1, F.col("std")).otherwise(0.0).alias("std"), "min",
+        F.col("q0").alias("p25"), F.col("q1").alias("median"), F.col("q2").alias("p75"), "max",
+        F.when(n > 2, F.coalesce("skewness", F.lit(0.0))).otherwise(0.0).alias("skewness"))
 
 
 def describe(df: DataFrame, *, by: Sequence[str] = (), columns: Sequence[str] | None = None,
-             approx: bool = False, method: str = "auto") -> DataFrame:
+             approx: bool = False) -> DataFrame:
     """P5: count, mean, std, min, 25%, 50%, 75%, max with inf / NaN / undefined as 0."""
-    long = long_numeric(df, by=by, columns=columns)
-    v = F.col("value")
-    g = _with_quantiles(long, [*by, "column"], [
-        F.count(v).cast("double").alias("count"), F.avg(v).alias("mean"), F.stddev_samp(v).alias("std"),
-        F.min(v).alias("min"), F.max(v).alias("max")], [0.25, 0.5, 0.75], approx=approx, method=method)
-    z = lambda c: F.coalesce(c, F.lit(0.0))
-    return g.select(*_bycols(by), "column", "count", z(F.col("mean")).alias("mean"),
-                    z(F.col("std")).alias("std"), z(F.col("min")).alias("min"),
-                    z(F.col("_q")[0]).alias("p25"), z(F.col("_q")[1]).alias("p50"),
-                    z(F.col("_q")[2]).alias("p75"), z(F.col("max")).alias("max"))
+    g = _summary(df, by, columns, [0.25, 0.5, 0.75], approx, complete=True)
+    z = lambda c: F.coalesce(F.col(c), F.lit(0.0))
+    return g.select(*_bycols(by), "column", F.col("n").cast("double").alias("count"),
+                    *[z(c).alias(name) for c, name in (("mean", "mean"), ("std", "std"), ("min", "min"), ("q0", "p25"),
+                                                       ("q1", "p50"), ("q2", "p75"), ("max", "max"))])
 
 
 def distributions(df: DataFrame, *, by: Sequence[str] = (), columns: Sequence[str] | None = None,
-                  approx: bool = False, method: str = "auto") -> DataFrame:
+                  approx: bool = False) -> DataFrame:
     """Mean, median, std, skewness, min, max to 4 places for columns with >3 values."""
-    long = long_numeric(df, by=by, columns=columns, keep_nonfinite=False)
-    v = F.col("value")
-    g = _with_quantiles(long, [*by, "column"], [
-        F.count(v).alias("n"), F.avg(v).alias("mean"), F.stddev_samp(v).alias("std"),
-        skewness_adjusted(v).alias("skewness"), F.min(v).alias("min"), F.max(v).alias("max")],
-        [0.5], approx=approx, method=method).withColumn("median", F.col("_q")[0])
+    g = _summary(df, by, columns, [0.5], approx).withColumnRenamed("q0", "median")
     return g.filter(F.col("n") > 3).select(
         *_bycols(by), "column", *[F.round(F.col(c), 4).alias(c)
                                   for c in ["mean", "median", "std", "skewness", "min", "max"]])
 
 
 def descriptive_stats(df: DataFrame, *, by: Sequence[str] = (), columns: Sequence[str] | None = None,
-                      approx: bool = False, method: str = "auto") -> DataFrame:
+                      approx: bool = False) -> DataFrame:
     """Mean, std (0 if undefined), min, max, median to 2 places."""
-    long = long_numeric(df, by=by, columns=columns)
-    v = F.col("value")
-    g = _with_quantiles(long, [*by, "column"], [
-        F.count(v).alias("n"), F.avg(v).alias("mean"), F.stddev_samp(v).alias("std"),
-        F.min(v).alias("min"), F.max(v).alias("max")], [0.5], approx=approx, method=method) \
-        .withColumn("median", F.col("_q")[0])
-    return g.filter(F.col("n") > 0).select(
+    g = _summary(df, by, columns, [0.5], approx).withColumnRenamed("q0", "median")
+    return g.select(
         *_bycols(by), "column", F.round("mean", 2).alias("mean"),
         F.round(F.coalesce(F.col("std"), F.lit(0.0)), 2).alias("std"),
         F.round("min", 2).alias("min"), F.round("max", 2).alias("max"),
@@ -224,10 +220,9 @@ def top_values(df: DataFrame, columns: Sequence[str], *, by: Sequence[str] = (),
     NULL is not a value (it is reported by P8). ``row_number() <= k`` lets
     Spark apply a per-partition group limit before the window shuffle.
     """
-    sel = [*_bycols(by)] + [F.col(q(c)).cast("string").alias(c) for c in columns]
-    long = df.select(*sel).unpivot(list(by), list(columns), "column", "value")
-    counts = (long.filter(F.col("value").isNotNull())
-              .groupBy(*_bycols(by), "column", "value").agg(F.count(F.lit(1)).alias("count")))
+    text = df.select(*_bycols(by), *[F.col(q(c)).cast("string").alias(c) for c in columns if c not in by])
+    counts = named(value_counts(text, columns, by=by), columns, by=by) \
+        .select(*_bycols(by), "column", F.col("txt").alias("value"), F.col("n").alias("count"))
     w = Window.partitionBy(*_bycols(by), "column").orderBy(F.desc("count"), F.asc("value"))
     return (counts.withColumn("rank", F.row_number().over(w)).filter(F.col("rank") <= k))
 
@@ -282,52 +277,3 @@ def quality_score(df: DataFrame, mapping: Mapping[str, str], *, by: Sequence[str
                     F.round(completeness, 1).alias("completeness_pct"),
                     F.lit(round(coverage, 1)).alias("canonical_coverage_pct"),
                     F.when(cells > 0, score).otherwise(0.0).alias("data_quality_score"))
-
-
-# ----------------------------------------------------------------------------
-# Quantiles that scale: exact in memory, exact distributed, or sketch
-# ----------------------------------------------------------------------------
-
-def distributed_quantiles(long: DataFrame, keys: Sequence[str], probs: Sequence[float], *,
-                          value: str = "value") -> DataFrame:
-    """Exact linearly interpolated quantiles without holding a group in one task.
-
-    Distinct values are counted per key (partial aggregation), an exact
-    range-partitioned running count (``plans.order.running_totals``) gives each
-    value's rank interval, and only the <= 2 values per quantile that bracket
-    rank p (n - 1) are kept: (keys..., q0, q1, ...).
-    """
-    from bizlens.plans.order import running_totals
-    keys = list(keys)
-    counts = (long.filter(F.col(value).isNotNull()).groupBy(*_bycols(keys), F.col(value).alias("v"))
-              .agg(F.count(F.lit(1)).alias("c")))
-    cum = running_totals(counts, keys, ["v"], ["c"])
-    n = counts.groupBy(*_bycols(keys)).agg(F.sum("c").alias("n"))
-    j = null_safe_join(cum, n, keys)
-    lo_hi = []
-    for i, p in enumerate(probs):
-        pos = (F.col("n") - 1) * float(p)
-        lo_hi.append((i, F.floor(pos), F.ceil(pos), pos - F.floor(pos)))
-    prev = F.col("cum_c") - F.col("c")
-    cands = []
-    for i, lo, hi, _ in lo_hi:
-        cands.append(F.when((prev <= lo) & (lo < F.col("cum_c")), F.struct(F.lit(i).alias("i"), F.lit(0).alias("side"))))
-        cands.append(F.when((prev <= hi) & (hi < F.col("cum_c")), F.struct(F.lit(i).alias("i"), F.lit(1).alias("side"))))
-    keep = F.filter(F.array(*cands), lambda x: x.isNotNull())  # a value is kept only where it brackets a rank
-    picked = j.select(*_bycols(keys), "v", "n", F.explode(keep).alias("h")).select(
-        *_bycols(keys), "v", "n", F.col("h.i").alias("i"), F.col("h.side").alias("side"))
-    g = picked.groupBy(*_bycols(keys), "i").agg(
-        F.max(F.when(F.col("side") == 0, F.col("v"))).alias("v_lo"),
-        F.max(F.when(F.col("side") == 1, F.col("v"))).alias("v_hi"), F.first("n").alias("n"))
-    frac = F.col("pos") - F.floor("pos")
-    g = g.withColumn("pos", (F.col("n") - 1) * F.element_at(F.array(*[F.lit(float(p)) for p in probs]),
-                                                         (F.col("i") + 1).cast("int")))
-    g = g.withColumn("q", F.col("v_lo") + (F.col("v_hi") - F.col("v_lo")) * frac)
-    wide = g.groupBy(*_bycols(keys)).pivot("i", list(range(len(probs)))).agg(F.first("q"))
-    return wide.select(*_bycols(keys), *[F.col(str(i)).alias(f"q{i}") for i in range(len(probs))])
-
-
-def choose_quantile_method(long: DataFrame, keys: Sequence[str], method: str, *, value: str = "value") -> str:
-    """``auto`` is the distributed exact method at any size; ``exact`` (in memory)
-    and ``approx`` only where a caller asks for them."""
-    return "distributed" if method == "auto" else method

@@ -8,6 +8,7 @@ for the same IDs.
 from __future__ import annotations
 
 from collections.abc import Callable
+from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -376,6 +377,27 @@ def _finance_kpis(spark, sf_dir):
     return kpi.compute_kpis(fe, m, by=["region"], order_by=V.BV_ORDER)
 
 
+@register("K1_balance")
+def q_k1_balance(spark, sf_dir):
+    # gross profit, churned over active customers, acquisition cost, debt over equity
+    m = {**V.FINANCE_MAPPING, "gross_profit": "gross_profit", "active_customers": "active", "churned_customers": "churned",
+         "cac": "cost_per_customer", "equity": "equity"}
+    return _balance_kpis(spark, sf_dir, {k: v for k, v in m.items() if k != "churn_rate"})
+
+
+@register("K1_cogs")
+def q_k1_cogs(spark, sf_dir):
+    # cost of goods in place of gross profit, a given debt to equity, no way to a cost per customer
+    m = {**V.FINANCE_MAPPING, "cogs": "cogs", "active_customers": "active", "churned_customers": "churned",
+         "debt_to_equity": "leverage"}
+    return _balance_kpis(spark, sf_dir, {k: v for k, v in m.items() if k not in ("churn_rate", "new_customers")})
+
+
+def _balance_kpis(spark, sf_dir, mapping):
+    fe, m = kpi.synthesize_profit(V.balance_view(spark, sf_dir), mapping)
+    return kpi.compute_kpis(fe, m, by=["region"], order_by=V.BV_ORDER)
+
+
 @register("K5")
 def q_k5(spark, sf_dir):
     bv = V.business_view(spark, sf_dir)
@@ -460,6 +482,38 @@ def q_v2(spark, sf_dir):
     return S.detect_frequency(s, by=["region"])
 
 
+def _lattices(spark, sf_dir):
+    """(kind, ts): dates of the given orders on different lattices."""
+    o = V.table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("k"), F.col("o_orderdate").alias("d"))
+    span = o.agg(F.min("d").alias("a"), F.max("d").alias("z"))
+    days = span.select("a", F.explode(F.expr("sequence(a, z, interval 1 day)")).alias("t"))
+    w = F.weekday("t")
+
+    def of(kind, ts, rows, distinct=True):
+        out = rows.select(F.lit(kind).alias("kind"), ts.cast("timestamp_ntz").alias("ts"))
+        return out.distinct() if distinct else out
+
+    parts = [of("month_start", F.date_trunc("month", "d"), o), of("month_end", F.last_day("d"), o),
+             of("quarter", F.date_trunc("quarter", "d"), o), of("year", F.date_trunc("year", "d"), o),
+             of("week", F.date_trunc("week", "d"), o), of("day", F.col("t"), days), of("business", F.col("t"), days.where(w < 5)),
+             of("third_monday", F.col("t"), days.where((w == 0) & F.dayofmonth("t").between(15, 21))),
+             of("two_weeks", F.col("t"), days.where(F.datediff("t", "a") % 14 == 0)),
+             of("half_day", F.col("t"), days.select(F.explode(F.array("t", F.expr("t + interval 12 hours"))).alias("t"))),
+             of("irregular", F.col("d"), o.where("k % 97 = 0")), of("repeated", F.col("d"), o.where("k % 50 = 0"), False),
+             of("two_dates", F.col("t"), span.select(F.explode(F.array("a", "z")).alias("t")))]
+    return reduce(lambda a, b: a.unionByName(b), parts)
+
+
+@register("V2_exact")
+def q_v2_exact(spark, sf_dir):
+    return S.detect_frequency(_lattices(spark, sf_dir), by=["kind"])
+
+
+@register("V9")
+def q_v9(spark, sf_dir):
+    return S.horizon_dates(monthly_series(spark, sf_dir), by=["region"])
+
+
 @register("V3")
 def q_v3(spark, sf_dir):
     return _r(S.calendar_features(monthly_series(spark, sf_dir)), 6)
@@ -788,6 +842,16 @@ def q_j8(spark, sf_dir):
     return J.observations(dash, drivers, last, by=["region"])
 
 
+@register("J9_summary")
+def q_j9_summary(spark, sf_dir):
+    from bizlens.operators import context as CX
+    bv = V.business_view(spark, sf_dir)
+    pairs, imp, tr, reasons = _reasons(spark, sf_dir)
+    context = CX.business_context(bv, C.type_partition(bv), R.ranked_pairs(bv, columns=_RCOLS))
+    rows = bv.groupBy("region").agg(F.count(F.lit(1)).alias("rows"))
+    return J.executive_summary(context, rows, pairs, tr, reasons, columns=len(bv.columns), by=["region"])
+
+
 @register("J9")
 def q_j9(spark, sf_dir):
     return J.health_narrative(region_health(spark, sf_dir), by=["region"])
@@ -798,6 +862,8 @@ def q_j9(spark, sf_dir):
 # ---------------------------------------------------------------------------
 
 from bizlens.operators import mlforecast as ML  # noqa: E402
+from bizlens.operators.arima import SeasonalARIMA  # noqa: E402
+from bizlens.operators.boosting import LeafwiseBoosting  # noqa: E402
 from bizlens.operators import stationarity as ST  # noqa: E402
 
 
@@ -810,7 +876,7 @@ def q_d15(spark, sf_dir):
 def q_m5(spark, sf_dir):
     s = monthly_series(spark, sf_dir)
     rf = ML.random_forest()
-    return _r(rf.predict(rf.fit(s, ["region"]), 12, ["region"]), 2)
+    return _r(rf.predict_bands(rf.fit(s, ["region"]), 12, ["region"]), 2)
 
 
 @register("M6")
@@ -823,8 +889,15 @@ def q_m6(spark, sf_dir):
 @register("M7")
 def q_m7(spark, sf_dir):
     s = monthly_series(spark, sf_dir)
-    ar = M.SeasonalAR(12)
-    return _r(ar.predict(ar.fit(s, ["region"]), 12, ["region"]), 2)
+    ar = SeasonalARIMA(12)
+    return _r(ar.predict_bands(ar.fit(s, ["region"]), 12, ["region"]), 0)
+
+
+@register("M6_leafwise")
+def q_m6_leafwise(spark, sf_dir):
+    s = monthly_series(spark, sf_dir)
+    gb = LeafwiseBoosting()
+    return _r(gb.predict(gb.fit(s, ["region"]), 12, ["region"]), 2)
 
 
 @register("M8")
@@ -841,7 +914,7 @@ def q_m10_ml(spark, sf_dir):
 
 @register("M11")
 def q_m11(spark, sf_dir):
-    cands = [M.LinearTrend(), M.SeasonalNaive(12), M.HistoricalMean(), M.SeasonalAR(12)]
+    cands = [M.LinearTrend(), M.SeasonalNaive(12), M.HistoricalMean(), SeasonalARIMA(12)]
     return M.select_best_model(monthly_series(spark, sf_dir), cands, _H, by=["region"])
 
 
@@ -862,6 +935,20 @@ def q_m23(spark, sf_dir):
                                       F.round(F.avg(F.abs(F.col("prediction") - F.col("revenue"))), 2).alias("mae"))
 
 
+@register("M23_update")
+def q_m23_update(spark, sf_dir):
+    # trained on the days before the cut, then updated with the others
+    d = _daily(spark, sf_dir).withColumn("dow", F.dayofweek("date").cast("double")) \
+        .withColumn("month_no", F.month("date").cast("double"))
+    old = F.col("date") < F.lit("1998-06-01").cast("timestamp_ntz")
+    args = ["expenses", "dow", "month_no"], "revenue", "region"
+    path = ML.update_tenant_models(d.where(old), *args)
+    ML.update_tenant_models(d.where(~old), *args, path=path)
+    m = ML.tenant_models(spark, path, args[0])
+    places = {"intercept": 1, "b_expenses": 4, "b_dow": 1, "b_month_no": 1, "r2": 5}
+    return m.select("tenant", "n", *[F.round(c, p).alias(c) for c, p in places.items()])
+
+
 # ---------------------------------------------------------------------------
 # Sources and sinks (S)
 # ---------------------------------------------------------------------------
@@ -988,17 +1075,17 @@ def q_w1(spark, sf_dir):
         return _w1(spark, sf_dir)
 
 
-def _w1(spark, sf_dir):
-    # payment events derived from orders land as monthly files; the stream reads them in order
+def _w1(spark, sf_dir, files: int = 3):
+    # payment events derived from orders land as a few files; each is a micro-batch
     src = _scratch(spark, "payments")
-    ev = WP.payment_events(spark, sf_dir).withColumn("month", F.date_format("event_time", "yyyy-MM"))
-    ev.repartition("month").write.partitionBy("month").parquet(src)
+    WP.write_in_files(WP.payment_events(spark, sf_dir), src, files)
     schema = "event string, transaction_id long, tx_ref string, status string, event_time timestamp"
-    # the file source orders files by modification time, which parallel writers do not
-    # keep chronological, so all files form one micro-batch (late-event rules stay exact)
-    stream = spark.readStream.schema(schema).parquet(src)
+    stream = spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).parquet(src)
     subs = TN.subscriptions(spark, sf_dir)
-    return WS.run_available(WP.subscription_state(stream, subs), kind="subscriptions")
+    with WP.rocksdb_state(spark):
+        out = WS.run_available(WP.subscription_state(stream, subs), kind="subscriptions")
+    return out.select("subscription_id", F.col("event_time").cast("timestamp_ntz").alias("event_time"), "transaction_id",
+                      "status", "plan", F.col("expiry").cast("timestamp_ntz").alias("expiry"))
 
 
 # ---------------------------------------------------------------------------
@@ -1057,12 +1144,17 @@ def q_c13(spark, sf_dir):
 def q_c14(spark, sf_dir):
     from bizlens.operators import context as CX
     bv = V.business_view(spark, sf_dir)
-    return CX.business_context(bv, C.type_partition(bv), R.ranked_pairs(bv, columns=_RCOLS))
+    return CX.business_context(bv, C.type_partition(bv), R.ranked_pairs(bv, columns=_RCOLS),
+                               importance=R.feature_importance(bv, "revenue", columns=_RCOLS))
 
 
 @register("V1")
 def q_v1(spark, sf_dir):
-    return S.detect_structure(V.view_text(spark, sf_dir), "iso_txt")
+    text, bv = V.view_text(spark, sf_dir), V.business_view(spark, sf_dir)
+    cases = {"mixed": text.select("date_txt", "region", "customer"), "named": bv,
+             "by_values": text.select("region", "iso_txt", "customer"), "none": text.select("region", "customer")}
+    parts = [S.detect_structure(df).select(F.lit(name).alias("case_name"), "*") for name, df in cases.items()]
+    return reduce(lambda a, b: a.unionByName(b), parts)
 
 
 @register("T2")

@@ -7,7 +7,8 @@ as the Spark side and floats are rounded the same way.
 
 from __future__ import annotations
 
-from bizlens.plans.views import BV_SQL, FV_SQL
+from bizlens.plans.oracle_series import infer_sql, series_sql
+from bizlens.plans.views import BALANCE_SQL, BV_SQL, FV_SQL
 
 SQL: dict[str, str] = {}
 
@@ -247,8 +248,9 @@ _HCOLS = {"date": "timestamp_ntz", "segment": "string", "product": "string", "cu
 _NULLSUM = " + ".join(f"CAST({c} IS NULL AS BIGINT)" for c in _HCOLS)
 
 SQL["P1"] = f"""SELECT region, count(*) AS rows, CAST(8 AS BIGINT) AS columns, count(*) * 8 AS total_cells,
-    CAST(sum(nulls) AS BIGINT) AS total_missing_values, round(sum(nulls) / (count(*) * 8) * 100.0, 2) AS overall_missing_percentage
-FROM (SELECT region, {_NULLSUM} AS nulls FROM {HOLES_SQL} h) x GROUP BY region"""
+    CAST(sum(nulls) AS BIGINT) AS total_missing_values, round(sum(nulls) / (count(*) * 8) * 100.0, 2) AS overall_missing_percentage,
+    round((sum(bytes) + 57.0 * count(*)) / (1024 * 1024), 4) AS memory_mb
+FROM (SELECT region, {_NULLSUM} AS nulls, coalesce(strlen(segment), 0) + coalesce(strlen(product), 0) AS bytes FROM {HOLES_SQL} h) x GROUP BY region"""
 
 SQL["P2"] = f"WITH h AS {HOLES_SQL}\n" + "\nUNION ALL ".join(
     f"""SELECT region, '{c}' AS "column", '{t}' AS dtype, count(*) - count({c}) AS null_count,
@@ -497,14 +499,8 @@ _MS = f"(SELECT region, CAST(month AS TIMESTAMP) AS ts, round(revenue, 2) AS y F
 _X = f"""(SELECT *, CAST(row_number() OVER (PARTITION BY region ORDER BY ts) - 1 AS BIGINT) AS t,
     count(*) OVER (PARTITION BY region) AS n FROM {_MS} s0)"""
 
-SQL["V2"] = f"""WITH s AS (SELECT region, date_trunc('month', date) AS ts, sum(revenue) AS y FROM {BV_SQL} v
-        WHERE date IS NOT NULL AND revenue IS NOT NULL GROUP BY ALL),
-    g AS (SELECT region, date_diff('day', lag(CAST(ts AS DATE)) OVER (PARTITION BY region ORDER BY ts), CAST(ts AS DATE)) AS gap FROM s),
-    m AS (SELECT region, CAST(median(gap) AS DOUBLE) AS median_gap_days FROM g GROUP BY region)
-SELECT region, median_gap_days, CASE WHEN median_gap_days IS NULL THEN 'D' WHEN median_gap_days <= 1 THEN 'D'
-    WHEN median_gap_days BETWEEN 6 AND 8 THEN 'W' WHEN median_gap_days BETWEEN 27 AND 32 THEN 'MS'
-    WHEN median_gap_days BETWEEN 88 AND 93 THEN 'QS' WHEN median_gap_days BETWEEN 360 AND 366 THEN 'YS' ELSE 'D' END AS freq
-FROM m"""
+SQL["V2"] = f"""SELECT region, median_gap_days, inferred, coalesce(inferred, 'D') AS freq
+FROM {infer_sql(f"(SELECT region, date_trunc('month', date) AS ts FROM {BV_SQL} v WHERE date IS NOT NULL AND revenue IS NOT NULL GROUP BY ALL)", "region")} i"""
 
 SQL["V3"] = f"""SELECT region, ts, round(y, 6) AS y, CAST(year(ts) AS INTEGER) AS year, CAST(month(ts) AS INTEGER) AS month,
     CAST(day(ts) AS INTEGER) AS day, CAST(isodow(ts) - 1 AS INTEGER) AS dayofweek, CAST(quarter(ts) AS INTEGER) AS quarter,
@@ -879,9 +875,6 @@ SQL["R5"] = f"""SELECT * EXCLUDE (tier) FROM (SELECT *, CASE WHEN lower(feature_
      AND regexp_matches(lower(feature_2), 'revenue|sales|profit|income|purchase|conversion|score|spend')
     THEN 1 ELSE 2 END AS tier FROM ({SQL["R2"]}) p)
 QUALIFY row_number() OVER (PARTITION BY region ORDER BY tier, rank) = 1"""
-SQL["V1"] = f"""SELECT count(*) AS rows, count(TRY_CAST(iso_txt AS TIMESTAMP)) AS parsed,
-    round(1.0 - count(TRY_CAST(iso_txt AS TIMESTAMP)) / greatest(count(*), 1), 4) AS bad_share,
-    1.0 - count(TRY_CAST(iso_txt AS TIMESTAMP)) / greatest(count(*), 1) <= 0.30 AS valid FROM {TEXT_SQL} t"""
 SQL["S9"] = """SELECT CAST(11 AS INTEGER) AS columns, CAST(least(count(*), 5) AS BIGINT) AS rows_seen, true AS enough_columns,
     count(*) >= 5 AS enough_rows, count(*) >= 5 AS valid FROM lineitem"""
 
@@ -946,3 +939,39 @@ _MT = "(SELECT key AS region, ts, round(sum(v), 2) AS y FROM (" + " UNION ALL ".
     for c in ("revenue", "expenses")) + ") u WHERE ts IS NOT NULL AND v IS NOT NULL GROUP BY ALL)"
 SQL["M17"] = f"""SELECT split_part(region, '|', 1) AS region, split_part(region, '|', 2) AS target, * EXCLUDE (region)
 FROM ({SQL["M10"].replace(_MS, _MT)}) m"""
+
+SQL.update(series_sql(_MS, _DAILY, _BT, _metrics_sql))
+SQL["W4"] = f"""SELECT * EXCLUDE (ks_pvalue0), 0 AS batch_id FROM (SELECT event_type, "column", n1, n2, round(ks_statistic, 6) AS ks_statistic,
+    round(ks_pvalue, 6) AS ks_pvalue, round(wasserstein_distance, 6) AS wasserstein_distance, round(reference_mean, 6) AS reference_mean,
+    round(current_mean, 6) AS current_mean, round(reference_std, 6) AS reference_std, round(current_std, 6) AS current_std,
+    (n1 > 0 AND n2 > 0 AND ks_pvalue < 0.05) AS drift_detected, ks_pvalue AS ks_pvalue0 FROM {_DRIFT.replace(
+        "FROM events),", "FROM (SELECT *, 1 AS part FROM events WHERE ts < TIMESTAMP '2024-01-16' UNION ALL SELECT *, 2 FROM events) ev),").replace(
+        "CASE WHEN ts < TIMESTAMP '2024-01-16' THEN 1 ELSE 2 END AS side", "part AS side")} d)"""
+
+
+def _balance_sql(gross: str, churn: str, cac: str, debt: str) -> str:
+    return f"""WITH v AS {BALANCE_SQL},
+    m AS (SELECT region, date_trunc('month', date) AS month, sum(revenue) AS rev FROM v GROUP BY ALL),
+    mm AS (SELECT region, arg_min(rev, month) AS first_m, arg_max(rev, month) AS last_m FROM m GROUP BY region),
+    ends AS (SELECT region, max(CASE WHEN up = 1 THEN active END) AS ac_first, max(CASE WHEN down = 1 THEN active END) AS ac_last,
+        max(CASE WHEN down = 1 THEN cash END) AS cash, max(CASE WHEN down = 1 THEN debt END) AS debt,
+        max(CASE WHEN down = 1 THEN equity END) AS equity FROM (SELECT *, row_number() OVER (PARTITION BY region ORDER BY {_ORDER}) AS up,
+            row_number() OVER (PARTITION BY region ORDER BY {_ORDER_DESC}) AS down FROM v) r GROUP BY region),
+    g AS (SELECT region, sum(revenue) AS rev, sum(expenses) AS exp, count(*) AS n, sum(gross_profit) AS gp, sum(cogs) AS cogs,
+        sum(churned) AS churned, avg(active) AS active, avg(cost_per_customer) AS cpc, sum(marketing) AS mkt, avg(leverage) AS leverage,
+        avg(inventory) AS inv FROM v GROUP BY region)
+SELECT region, round(rev, 2) AS total_revenue, round(exp, 2) AS total_expenses, round(rev - exp, 2) AS total_profit,
+    round((rev - exp) / rev * 100.0, 2) AS net_profit_margin, round({gross}, 2) AS gross_margin,
+    round((rev - exp) / rev * 100.0, 2) AS operating_margin, round(round((rev - exp) / rev * 100.0, 2) * 1.05, 2) AS ebitda_margin,
+    round((last_m - first_m) / first_m * 100.0, 2) AS revenue_growth, round((ac_last - ac_first) / ac_first * 100.0, 2) AS customer_growth,
+    {churn} AS churn_rate, round(mkt, 2) AS total_marketing_spend, round(rev / mkt, 2) AS marketing_roi, {cac} AS cac,
+    round(cash, 2) AS cash_balance, round(cash / (exp / (n / 30.0)), 2) AS current_ratio, {debt} AS debt_ratio,
+    round(exp / inv, 2) AS inventory_turnover FROM g JOIN ends USING (region) JOIN mm USING (region)"""
+
+
+SQL["K1_balance"] = _balance_sql("gp / rev * 100.0", "round(churned / active * 100.0, 2)", "round(cpc, 2)", "round(debt / equity, 2)")
+SQL["K1_cogs"] = _balance_sql("(rev - cogs) / rev * 100.0", "round(churned / active * 100.0, 2)", "NULL::DOUBLE", "round(leverage, 2)")
+SQL["C14"] = f"""WITH v AS {BV_SQL}, n AS (SELECT unnest([{{'c': 'region', 'o': 1, 'n': (SELECT count(DISTINCT region) FROM v)}},
+    {{'c': 'segment', 'o': 2, 'n': (SELECT count(DISTINCT segment) FROM v)}}, {{'c': 'product', 'o': 3, 'n': (SELECT count(DISTINCT product) FROM v)}}]) AS x)
+SELECT 'sales' AS domain, 'revenue' AS kpi, 'revenue' AS target, (SELECT x.c FROM n WHERE x.n BETWEEN 2 AND 12
+    ORDER BY x.c NOT IN ('region', 'segment'), x.o LIMIT 1) AS category, 1.0 AS confidence"""

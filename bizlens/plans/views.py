@@ -93,6 +93,19 @@ FINANCE_MAPPING = {
     "marketing_spend": "marketing", "cash_balance": "cash", "debt": "debt",
     "inventory": "inventory", "churn_rate": "churn", "new_customers": "new_customers",
 }
+
+
+def balance_view(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Finance view plus the columns of the other KPI branches: gross profit and cost of goods
+    (45 % of expenses), active and churned customers, acquisition cost, equity and debt to equity."""
+    exp, ch = F.col("expenses"), F.col("churn")
+    return finance_view(spark, sf_dir).select(
+        "*", (F.col("revenue") - 0.45 * exp).alias("gross_profit"), (0.45 * exp).alias("cogs"),
+        (F.col("inventory") + 100.0).alias("active"), F.when(ch > 0.08, 1.0).otherwise(0.0).alias("churned"),
+        (200.0 * ch + 20.0).alias("cost_per_customer"), (1.5 * F.col("debt") + 100.0).alias("equity"),
+        (F.col("debt") / 1000.0).alias("leverage"))
+
+
 BUSINESS_MAPPING = {"date": "date", "revenue": "revenue", "expenses": "expenses"}
 
 
@@ -194,6 +207,11 @@ JOIN nation n ON c.c_nationkey = n.n_nationkey
 JOIN region r ON n.n_regionkey = r.r_regionkey
 JOIN part p ON l.l_partkey = p.p_partkey)"""
 
+BALANCE_SQL = f"""(SELECT *, revenue - 0.45 * expenses AS gross_profit, 0.45 * expenses AS cogs,
+       inventory + 100.0 AS active, CASE WHEN churn > 0.08 THEN 1.0 ELSE 0.0 END AS churned,
+       200.0 * churn + 20.0 AS cost_per_customer, 1.5 * debt + 100.0 AS equity, debt / 1000.0 AS leverage
+FROM {FV_SQL} fv0)"""
+
 HOLES_SQL = f"""(SELECT CASE WHEN customer % 17 = 0 THEN NULL ELSE date END AS date, region,
        CASE WHEN customer % 11 = 0 THEN NULL ELSE segment END AS segment, product, customer,
        CASE WHEN customer % 7 = 0 THEN NULL ELSE revenue END AS revenue,

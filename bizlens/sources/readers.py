@@ -3,8 +3,8 @@
 Every reader is a ``spark.read`` call, so pruning and pushdown reach the
 files. CSV is read as text columns and typed by the two-phase inference
 (``operators.schema.infer_types``) unless an explicit schema - the fast path
-at scale - is given. Separator sniffing reads a bounded set of lines only
-to decide the format; the data itself is always read whole.
+at scale - is given. The separator and the JSON layout are decided by one
+aggregate over all lines.
 """
 
 from __future__ import annotations
@@ -68,20 +68,23 @@ def read_csv(spark: SparkSession, path: str, *, schema: T.StructType | str | Non
     return df
 
 
-def sniff_separator(spark: SparkSession, path: str, *, lines: int = 200) -> str:
-    """S3: the candidate separator that splits the first lines into the same
-    (largest) number of fields most consistently."""
-    sample = [r[0] for r in spark.read.text(path).limit(lines).collect() if r[0]]
-    best, best_key = ",", (-1, -1)
-    for sep in SEPARATORS:
-        counts = [line.count(sep) for line in sample]
-        if not counts or max(counts) == 0:
-            continue
-        mode = max(set(counts), key=counts.count)
-        key = (counts.count(mode), mode)
-        if key > best_key:
-            best, best_key = sep, key
-    return best
+def separator_counts(spark: SparkSession, path: str) -> DataFrame:
+    """(sep, fields, lines): over all lines with anything in them, how many split into how many
+    fields by each candidate, separators inside double quotes left out."""
+    bare = F.regexp_replace("value", '"[^"]*("|$)', "")
+    cells = F.array(*[F.struct(F.lit(s).alias("sep"), (F.length(bare) - F.length(F.replace(bare, F.lit(s), F.lit(""))) + 1)
+                               .alias("fields")) for s in SEPARATORS])
+    lines = spark.read.text(path).where(F.trim("value") != "")
+    return lines.select(F.explode(cells).alias("x")).groupBy("x.sep", "x.fields").agg(F.count(F.lit(1)).alias("lines"))
+
+
+def sniff_separator(spark: SparkSession, path: str) -> str:
+    """S3: the candidate that splits most lines of the whole file into the same number of
+    fields, more than one; then that with more fields."""
+    best = separator_counts(spark, path).where("fields > 1").groupBy("sep").agg(
+        F.max(F.struct("lines", "fields")).alias("top")).collect()  # one row a candidate
+    order = {s: -k for k, s in enumerate(SEPARATORS)}
+    return max(best, key=lambda r: (r.top.lines, r.top.fields, order[r.sep])).sep if best else ","
 
 
 def read_delimited(spark: SparkSession, path: str, *, sep: str | None = None, **kw) -> DataFrame:
@@ -89,12 +92,24 @@ def read_delimited(spark: SparkSession, path: str, *, sep: str | None = None, **
     return read_csv(spark, path, sep=sep or sniff_separator(spark, path), **kw)
 
 
+def is_json_lines(spark: SparkSession, path: str) -> bool:
+    """Whether every line with anything in it is a whole record: it begins with a brace and
+    closes, outside of strings, as many braces and brackets as it opens, the last one at its end."""
+    line = F.trim(F.regexp_replace("value", r'^\uFEFF', ""))
+    bare = F.regexp_replace(line, r'"(\\.|[^"\\])*"', "")
+    opened = F.length(F.regexp_replace(bare, r"[^{\[]", ""))
+    closed = F.length(F.regexp_replace(bare, r"[^}\]]", ""))
+    whole = F.startswith(bare, F.lit("{")) & F.endswith(bare, F.lit("}")) & (opened == closed)
+    row = spark.read.text(path).where(line != "").agg(F.bool_and(whole).alias("whole")).first()
+    return row.whole is not False
+
+
 def read_json(spark: SparkSession, path: str, *, schema: T.StructType | str | None = None,
               multiline: bool | None = None, **options) -> DataFrame:
-    """A JSON array of records (multi-line) or JSON lines, detected from the first character."""
+    """JSON lines, or else whole documents (an array of records, or a record over several
+    lines), told apart by all lines."""
     if multiline is None:
-        first = spark.read.text(path).limit(1).collect()
-        multiline = bool(first) and first[0][0].lstrip().startswith("[")
+        multiline = not is_json_lines(spark, path)
     r = spark.read.option("multiLine", multiline).options(**options)
     return (r.schema(schema) if schema else r).json(path)
 

@@ -90,18 +90,23 @@ def stream_anomalies(events: DataFrame, baseline: DataFrame, *, key: str = "even
 
 def drift_per_batch(events: DataFrame, baseline: DataFrame, columns: Sequence[str], *, by: Sequence[str] = (),
                     out: str | None = None, checkpoint: str | None = None) -> DataFrame:
-    """For each micro-batch, the batch drift operator (G1) against the baseline,
-    written to the batch's own partition of a Parquet table, so a replayed batch
-    replaces its rows."""
-    from bizlens.operators.drift import column_drift
+    """For each micro-batch, drift (G1) against the baseline, written to the batch's own
+    partition of a Parquet table, so a replayed batch replaces its rows.
+
+    The baseline's values and counts are stored once, range-partitioned; a batch merges its
+    own counts with them and does not read the baseline again."""
+    from bizlens.operators.drift import drift_from_baseline, store_baseline
     spark = events.sparkSession
     o, c = _scratch(spark, "drift")
     out, checkpoint = out or o, checkpoint or c
+    stored = f"{checkpoint}-baseline"
+    with utc_session(spark):
+        store_baseline(baseline, columns, stored, by=by)
 
     def per_batch(batch: DataFrame, batch_id: int) -> None:
         if batch.isEmpty():
             return
-        column_drift(baseline, batch, columns, by=by).write.mode("overwrite").parquet(f"{out}/batch_id={batch_id}")
+        drift_from_baseline(stored, batch, columns, by=by).write.mode("overwrite").parquet(f"{out}/batch_id={batch_id}")
 
     with utc_session(spark):
         q = (events.writeStream.foreachBatch(per_batch).option("checkpointLocation", checkpoint)

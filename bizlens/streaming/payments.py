@@ -1,37 +1,50 @@
 """Payment events -> subscription state.
 
-Rules: only ``charge.completed`` events count; an unknown transaction
-reference (no subscription) is ignored; a redelivered transaction is
-dropped (``dropDuplicatesWithinWatermark``); success on an active,
-unexpired subscription extends its expiry by 30 days, otherwise starts a
-new 30-day term; a failure marks the subscription past due; five days past
-due (in event time) downgrades it to Starter - an event-time timer, so the
-downgrade fires even if no further event arrives.
-
-State is per subscription (``applyInPandasWithState``), so it is bounded by
-the number of subscriptions, and survives restarts through the checkpoint.
+Rules: only ``charge.completed`` events count; an unknown transaction reference
+(no subscription) is ignored; a redelivered transaction counts once; success on
+an active, unexpired subscription extends its expiry by 30 days, otherwise
+starts a new 30-day term; a failure marks the subscription past due; five days
+past due downgrades it to Starter. A term that ends without a payment ends the
+subscription. All times are event times.
+
+Events may come in any order and in any split over micro-batches. They wait in
+a list state until the watermark has passed them, and are then taken in the
+order of (event time, transaction), with the deadlines between them, so the
+result does not depend on the batches. Event-time timers fire for the next
+waiting event, the end of the grace period and the end of the term. State goes
+when nothing waits and no term or grace period runs: it is bounded by the
+subscriptions that are running, and by the events within the watermark's delay.
+
+State is per subscription (``transformWithState``) in RocksDB, and survives
+restarts through the checkpoint.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
+from contextlib import contextmanager
 
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
-from pyspark.sql.streaming.state import GroupStateTimeout
+from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
-TERM = pd.Timedelta(days=30)
-GRACE = pd.Timedelta(days=5)
+DAY_MS = 86_400_000
+TERM_MS = 30 * DAY_MS
+GRACE_MS = 5 * DAY_MS
 
 OUTPUT_SCHEMA = T.StructType([
     T.StructField("subscription_id", T.IntegerType()), T.StructField("event_time", T.TimestampType()),
     T.StructField("transaction_id", T.LongType()), T.StructField("status", T.StringType()),
     T.StructField("plan", T.StringType()), T.StructField("expiry", T.TimestampType())])
+WAITING_SCHEMA = T.StructType([
+    T.StructField("ms", T.LongType()), T.StructField("transaction_id", T.LongType()),
+    T.StructField("status", T.StringType()), T.StructField("plan", T.StringType())])
 STATE_SCHEMA = T.StructType([
     T.StructField("status", T.StringType()), T.StructField("plan", T.StringType()),
     T.StructField("expiry_ms", T.LongType()), T.StructField("past_due_ms", T.LongType())])
+NONE = ("none", "Starter", None, None)
 
 
 def payment_events(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -52,65 +65,111 @@ def payment_events(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ev.unionByName(ev.filter(k % 13 == 0))
 
 
-def _expired_row(sub_id: int, deadline_ms: int) -> dict:
-    return {"subscription_id": sub_id, "event_time": pd.Timestamp(deadline_ms, unit="ms"), "transaction_id": None,
-            "status": "expired", "plan": "Starter", "expiry": None}
+def write_in_files(events: DataFrame, path: str, files: int) -> None:
+    """Write ``events`` as ``files`` Parquet files in the order of time, as a source
+    that appends would leave them: modification times follow the order of the files."""
+    spark = events.sparkSession
+    events.repartitionByRange(files, "event_time").write.parquet(path)
+    jvm = spark._jvm
+    folder = jvm.org.apache.hadoop.fs.Path(path)
+    fs = folder.getFileSystem(spark._jsc.hadoopConfiguration())
+    parts = sorted((f for f in fs.listStatus(folder) if f.getPath().getName().startswith("part-")),
+                   key=lambda f: f.getPath().getName())
+    for k, f in enumerate(parts):
+        fs.setTimes(f.getPath(), f.getModificationTime() - 1000 * (len(parts) - k), -1)
 
 
-def _step(key, pdfs: Iterator[pd.DataFrame], state):
-    sub_id = int(key[0])
-    grace_ms = int(GRACE.value // 10**6)
-    term_ms = int(TERM.value // 10**6)
-    if state.hasTimedOut:
-        st = state.get
-        state.remove()
-        yield pd.DataFrame([_expired_row(sub_id, int(st[3]) + grace_ms)])
-        return
-    status, plan, expiry, past_due = state.get if state.exists else ("none", "Starter", None, None)
+def apply_events(state: tuple, events: list[tuple], upto: int) -> tuple[tuple, list[tuple]]:
+    """The state after ``events`` (ms, transaction, status, plan; in order) and all
+    deadlines up to ``upto``, and the rows (ms, transaction, status, plan, expiry) of its changes."""
     rows = []
-    events = pd.concat(list(pdfs)).sort_values(["event_time", "transaction_id"])
-    for r in events.itertuples(index=False):
-        t = pd.Timestamp(r.event_time)
-        tms = int(t.value // 10**6)
-        if status == "past_due" and past_due is not None and tms >= past_due + grace_ms:
-            rows.append(_expired_row(sub_id, past_due + grace_ms))  # the grace period ran out first
-            status, plan, expiry, past_due = "expired", "Starter", None, None
-        if r.status == "successful":
-            if status == "active" and expiry is not None and expiry > tms:
-                expiry = expiry + term_ms
-            else:
-                expiry = tms + term_ms
-            status, plan, past_due = "active", r.plan, None
-        elif r.status == "failed":
-            if status != "past_due":
-                past_due = tms
-            status = "past_due"
-        else:
-            continue
-        rows.append({"subscription_id": sub_id, "event_time": t, "transaction_id": int(r.transaction_id),
-                     "status": status, "plan": plan,
-                     "expiry": pd.Timestamp(expiry, unit="ms") if expiry is not None else None})
-    if status == "past_due" and past_due is not None:
-        deadline = past_due + grace_ms
-        if deadline <= state.getCurrentWatermarkMs():
-            rows.append(_expired_row(sub_id, deadline))
-            status, plan, expiry, past_due = "expired", "Starter", None, None
-            state.update((status, plan, expiry, past_due))
+    status, plan, expiry, past_due = state
+
+    def deadline(ms: int) -> None:
+        nonlocal status, plan, expiry, past_due
+        if status == "past_due" and past_due + GRACE_MS <= ms:
+            rows.append((past_due + GRACE_MS, None, "expired", "Starter", None))
+            status, plan, expiry, past_due = NONE
+        elif status == "active" and expiry <= ms:
+            status, plan, expiry, past_due = NONE
+
+    for ms, transaction, result, paid_plan in events:
+        deadline(ms)
+        if result == "successful":
+            expiry = (expiry if status == "active" else ms) + TERM_MS
+            status, plan, past_due = "active", paid_plan, None
         else:
-            state.update((status, plan, expiry, past_due))
-            state.setTimeoutTimestamp(deadline)
-    else:
-        state.update((status, plan, expiry, past_due))
-    if rows:
-        yield pd.DataFrame(rows)
+            past_due = past_due if status == "past_due" else ms
+            status = "past_due"
+        rows.append((ms, transaction, status, plan, expiry))
+    deadline(upto)
+    return (status, plan, expiry, past_due), rows
+
+
+class Subscriptions(StatefulProcessor):
+    """The waiting events and the state of one subscription."""
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.handle = handle
+        self.waiting = handle.getListState("waiting", WAITING_SCHEMA)
+        self.state = handle.getValueState("state", STATE_SCHEMA)
+
+    def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
+        new = [(int(t.value // 10**6), int(i), s, p) for pdf in rows
+               for t, i, s, p in zip(pdf["event_time"], pdf["transaction_id"], pdf["status"], pdf["plan"])]
+        if new:
+            self.waiting.appendList(new)
+            self.handle.registerTimer(min(ms for ms, *_ in new))
+        return iter([])
+
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
+        upto = int(timerValues.getCurrentWatermarkInMs())
+        every = sorted({tuple(r) for r in self.waiting.get()})  # a redelivered event is the same tuple
+        due, later = [e for e in every if e[0] <= upto], [e for e in every if e[0] > upto]
+        before = tuple(self.state.get()) if self.state.exists() else NONE
+        state, rows = apply_events(before, due, upto)
+        if due:
+            if later:
+                self.waiting.put(later)
+            else:
+                self.waiting.clear()
+        if state == NONE:
+            self.state.clear()
+        elif state != before:
+            self.state.update(state)
+        ends = [state[3] + GRACE_MS] if state[0] == "past_due" else [state[2]] if state[0] == "active" else []
+        if later or ends:
+            self.handle.registerTimer(min([e[0] for e in later[:1]] + ends))
+        if rows:
+            out = pd.DataFrame(rows, columns=["ms", "transaction_id", "status", "plan", "expiry"])
+            yield pd.DataFrame({
+                "subscription_id": int(key[0]), "event_time": pd.to_datetime(out["ms"], unit="ms"),
+                "transaction_id": out["transaction_id"].astype("Int64"), "status": out["status"], "plan": out["plan"],
+                "expiry": pd.to_datetime(out["expiry"].astype("Int64"), unit="ms")})
+
+    def close(self) -> None:
+        pass
+
+
+@contextmanager
+def rocksdb_state(spark: SparkSession) -> Iterator[None]:
+    """The state store that ``transformWithState`` needs, for queries started inside."""
+    key = "spark.sql.streaming.stateStore.providerClass"
+    old = spark.conf.get(key, None)
+    spark.conf.set(key, "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
+    try:
+        yield
+    finally:
+        spark.conf.unset(key) if old is None else spark.conf.set(key, old)
 
 
 def subscription_state(events: DataFrame, subscriptions: DataFrame, *, watermark: str = "1 day") -> DataFrame:
-    """W1 on a stream (or a batch for tests): one output row per state change."""
+    """W1 on a stream: one output row per state change, final when it is emitted.
+    Start it inside :func:`rocksdb_state`."""
     subs = subscriptions.select(F.col("tx_ref"), F.col("user_tenant_id").alias("subscription_id"), "plan")
-    e = (events.filter(F.col("event") == "charge.completed")
+    e = (events.filter((F.col("event") == "charge.completed"))
          .withWatermark("event_time", watermark)
-         .dropDuplicatesWithinWatermark(["transaction_id"])
+         .filter(F.col("status").isin("successful", "failed"))
          .join(subs, "tx_ref"))  # unknown references drop out here
-    return e.groupBy("subscription_id").applyInPandasWithState(
-        _step, OUTPUT_SCHEMA, STATE_SCHEMA, "append", GroupStateTimeout.EventTimeTimeout)
+    return e.select("subscription_id", "event_time", "transaction_id", "status", "plan").groupBy("subscription_id") \
+        .transformWithStateInPandas(Subscriptions(), OUTPUT_SCHEMA, "Append", "EventTime")

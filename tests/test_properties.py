@@ -213,25 +213,6 @@ def test_distributed_quantiles_equal_in_memory(spark):
             assert (x[c] is None and y[c] is None) or x[c] == pytest.approx(y[c], rel=1e-12)
 
 
-def test_interpolate_scan_equals_window(spark):
-    from bizlens.operators import clean
-    h = views.view_holes(spark, SF).select(*views.BV_ORDER)
-    for by in (["product"], []):
-        kw = dict(by=by, order_by=views.BV_ORDER, columns=["revenue", "quantity"])
-        a = clean.interpolate(h, strategy="window", **kw).toPandas().sort_values(views.BV_ORDER).reset_index(drop=True)
-        b = clean.interpolate(h, strategy="scan", **kw).toPandas().sort_values(views.BV_ORDER).reset_index(drop=True)
-        assert (a.fillna(-1).to_numpy() == b.fillna(-1).to_numpy()).all()
-
-
-def test_lag_scan_equals_window(spark):
-    from bizlens.operators import kpi
-    bv = views.business_view(spark, SF)
-    get = lambda s: kpi.engineer_features(bv, views.BUSINESS_MAPPING, by=["region"], order_by=views.BV_ORDER,
-                                          strategy=s)[0].toPandas().sort_values(views.BV_ORDER).reset_index(drop=True)
-    a, b = get("window"), get("scan")
-    assert (a["_revenue_lag1"].fillna(-1) == b["_revenue_lag1"].fillna(-1)).all()
-
-
 def test_correlation_chunks_equal_single_aggregate(spark):
     bv = views.business_view(spark, SF)
     cols = ["quantity", "revenue", "expenses", "customer"]
