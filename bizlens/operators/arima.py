@@ -92,7 +92,7 @@ class SeasonalARIMA(Forecaster):
         s = self.season
 
         def at(c: Column, k: int) -> Column:
-            return F.element_at(c, -k)
+            return F.try_element_at(c, F.lit(-k))  # rows without a fit may be met before they are filtered out
 
         def step(acc: Column, h: Column) -> Column:
             y, d = acc["y"], acc["d"]

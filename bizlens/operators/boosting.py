@@ -2,17 +2,20 @@
 
 Trees grow best leaf first up to ``leaves`` leaves, instead of level by level.
 Every feature is cut once into at most ``bins`` bins, so a split needs only the
-sums of the residuals per (node, feature, bin): tasks route their rows through
-the tree as far as it has grown and add up their part, Spark adds the parts up
-in one ``groupBy``, and at most ``leaves * features * bins`` cells reach the
-driver, whatever the number of rows. The better of two children is never
-counted: it is the parent's cells without those of the other.
-
-One job serves all leaves that can still be split, not one leaf: their best
-splits are tried ahead, and the tree then takes them in order of gain, which
-gives the tree that one split after the other would give, in about as many jobs
-as the tree is deep. Residuals of earlier trees are written out every
-``refresh`` trees, so a lost executor repeats few of them.
+sums of the residuals per (node, feature, bin). The rows stay in the tasks of one
+barrier stage, as a byte a feature and a residual: each task adds up its part,
+the tasks exchange these sums, whose size does not depend on the rows, and all
+take the same split. A tree of few rows and one of many cost the same number of
+exchanges, and no job or shuffle. The better-known child is never counted twice:
+a node's second child has the node's sums without those of the first.
+
+One exchange serves all leaves that can still be split: their best splits are
+tried ahead, and the tree then takes them in order of gain, which gives the tree
+that one split after the other would give, in about as many exchanges as the
+tree is deep. If an executor is lost, the stage starts again from the
+checkpointed rows and finds the same trees. A cluster that allocates executors
+dynamically has to switch that off for the fit (barrier stages need all tasks at
+once; there are as many as the rows ask for, at most one a core).
 
 Squared loss; a leaf adds ``rate`` times the mean residual of its rows. Ties go
 to the first feature, then the first bin (gains are compared to 10 digits, so
@@ -21,12 +24,16 @@ the order of the sums does not decide). Importance is the share of splits.
 
 from __future__ import annotations
 
+import base64
 import heapq
-from collections.abc import Iterator, Sequence
+import pickle
+import zlib
+from collections.abc import Callable, Iterator, Sequence
 from dataclasses import dataclass, field
 
 import numpy as np
 import pyarrow as pa
+from pyspark import BarrierTaskContext
 from pyspark.ml.feature import StringIndexer
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -35,6 +42,10 @@ from bizlens.operators.mlforecast import FEATURES, SparkMLForecaster, _Fitted, s
 from bizlens.session import cut_lineage
 
 
+#: Blocks (Arrow batches) of training rows that one task holds: about 5 million rows.
+PART_BLOCKS = 500
+
+
 @dataclass
 class Tree:
     """Nodes by number: ``split[k]`` = (feature, bin), rows below the bin go to
@@ -100,43 +111,29 @@ def bin_edges(df: DataFrame, features: Sequence[str], bins: int) -> list[np.ndar
     return [np.unique(np.array(row[c] or [], np.float64)) for c in features]
 
 
-def _bins(column: pa.Array, features: int) -> np.ndarray:
-    """The bins of a column of ``features`` bytes a row, as a matrix."""
-    if not len(column):
-        return np.zeros((0, features), np.uint8)
-    _, offsets, data = column.buffers()
-    start = int(np.frombuffer(offsets, np.int32)[column.offset])
-    return np.frombuffer(data, np.uint8)[start:start + len(column) * features].reshape(-1, features)
+def _cells(bins: np.ndarray, left: np.ndarray, growing: Tree, wanted: dict[int, int]) -> np.ndarray:
+    """Sums of the residuals ``left`` and row counts of this task per (wanted node, feature, bin)."""
+    features = bins.shape[1]
+    size = len(wanted) * features << 8
+    lookup = np.full(max([0, *wanted, *(k for p in growing.kids.values() for k in p)]) + 1, -1, np.int64)
+    for k, i in wanted.items():
+        lookup[k] = i
+    slot = lookup[growing.route(bins)]
+    ok = slot >= 0
+    at = (((slot[ok, None] * features + np.arange(features)) << 8) + bins[ok]).ravel()
+    return np.stack([np.bincount(at, np.repeat(left[ok], features), size), np.bincount(at, minlength=size)]) \
+        .reshape(2, len(wanted), features, 256)
 
 
-def _cells(rows: DataFrame, features: int, trees: list[Tree], growing: Tree, wanted: dict[int, int]) -> np.ndarray:
-    """Residual sum and row count per (wanted node, feature, bin)."""
-    state = rows.sparkSession.sparkContext.broadcast((trees, growing, wanted))
-
-    def add_up(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        done, tree, nodes = state.value
-        lookup = np.full(max([0, *nodes, *(k for p in tree.kids.values() for k in p)]) + 1, -1, np.int64)
-        for k, i in nodes.items():
-            lookup[k] = i
-        total = np.zeros((2, len(nodes) * features << 8))
-        for b in batches:
-            bins = _bins(b.column(0), features)
-            left = b.column(1).to_numpy() - sum((t.predict(bins) for t in done), np.zeros(len(bins)))
-            slot = lookup[tree.route(bins)]
-            ok = slot >= 0
-            at = ((slot[ok, None] * features + np.arange(features)) << 8) + bins[ok]
-            total[0] += np.bincount(at.ravel(), np.repeat(left[ok], features), total.shape[1])
-            total[1] += np.bincount(at.ravel(), minlength=total.shape[1])
-        used = np.flatnonzero(total[1])
-        yield pa.RecordBatch.from_arrays([pa.array(used), pa.array(total[0][used]), pa.array(total[1][used])], ["cell", "g", "n"])
-
-    parts = rows.select("bins", "residual").mapInArrow(add_up, "cell long, g double, n double")
-    got = parts.groupBy("cell").agg(F.sum("g").alias("g"), F.sum("n").alias("n")).toArrow()
-    out = np.zeros((2, len(wanted) * features << 8))
-    at = got["cell"].to_numpy()
-    out[0][at], out[1][at] = got["g"].to_numpy(), got["n"].to_numpy()
-    state.destroy()
-    return out.reshape(2, len(wanted), features, 256)
+def _add_up(context: BarrierTaskContext, mine: np.ndarray) -> np.ndarray:
+    """The sum of all tasks' arrays, added in the order of the tasks (about a second an exchange)."""
+    if len(context.getTaskInfos()) == 1:
+        return mine
+    text = base64.b64encode(zlib.compress(mine.tobytes(), 1)).decode()
+    total = np.zeros(mine.shape)
+    for other in context.allGather(text):
+        total += np.frombuffer(zlib.decompress(base64.b64decode(other))).reshape(mine.shape)
+    return total
 
 
 def best_split(cells: np.ndarray, min_rows: int) -> tuple[float, int, int, float, float] | None:
@@ -158,10 +155,10 @@ def best_split(cells: np.ndarray, min_rows: int) -> tuple[float, int, int, float
     return float(gain[f, b]), f, b + 1, float(all_g), float(all_n)
 
 
-def grow(rows: DataFrame, features: int, trees: list[Tree], *, leaves: int, min_rows: int, rate: float) -> Tree:
-    """One tree over the residuals that ``trees`` leave."""
+def grow(cells_of: Callable[[Tree, dict[int, int]], np.ndarray], *, leaves: int, min_rows: int, rate: float) -> Tree:
+    """One tree; ``cells_of`` gives the sums over all rows of the nodes it is asked for."""
     ahead = Tree()  # splits tried; those taken become the tree
-    cells = {0: _cells(rows, features, trees, ahead, {0: 0})[:, 0]}
+    cells = {0: cells_of(ahead, {0: 0})[:, 0]}
     found = {0: best_split(cells[0], min_rows)}
     tree, number = Tree(), 1
     open_: list[tuple[float, int]] = []
@@ -179,7 +176,7 @@ def grow(rows: DataFrame, features: int, trees: list[Tree], *, leaves: int, min_
                 ahead.split[k] = found[k][1:3]
                 ahead.kids[k] = (number, number + 1)
                 number += 2
-            counted = _cells(rows, features, trees, ahead, {ahead.kids[k][0]: i for i, k in enumerate(some)})
+            counted = cells_of(ahead, {ahead.kids[k][0]: i for i, k in enumerate(some)})
             for i, k in enumerate(some):
                 left, right = ahead.kids[k]
                 cells[left], cells[right] = counted[:, i], cells[k] - counted[:, i]
@@ -197,7 +194,7 @@ def grow(rows: DataFrame, features: int, trees: list[Tree], *, leaves: int, min_
 
 
 def boost(df: DataFrame, features: Sequence[str], label: str, *, trees: int = 200, leaves: int = 31, rate: float = 0.03,
-          bins: int = 255, min_rows: int = 20, refresh: int = 20) -> BoostedTrees:
+          bins: int = 255, min_rows: int = 20) -> BoostedTrees:
     """Fit ``trees`` trees on ``df``; rows without a label or feature are left out."""
     clean = df.select(*[F.col(c).cast("double").alias(c) for c in features], F.col(label).cast("double").alias(label)).dropna()
     model = BoostedTrees(list(features), bin_edges(clean, features, min(bins, 255)), clean.agg(F.avg(label)).first()[0] or 0.0, [])
@@ -207,34 +204,38 @@ def boost(df: DataFrame, features: Sequence[str], label: str, *, trees: int = 20
     def to_bins(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             cut = np.stack([np.searchsorted(e, b.column(i).to_numpy(), "right") for i, e in enumerate(shared.value)], 1)
-            raw = [row.tobytes() for row in cut.astype(np.uint8)]
-            yield pa.RecordBatch.from_arrays([pa.array(raw, pa.binary()), pa.array(b.column(k).to_numpy() - base)],
-                                             ["bins", "residual"])
-
-    rows = cut_lineage(clean.mapInArrow(to_bins, "bins binary, residual double"))
-    fresh: list[Tree] = []
-    for _ in range(trees):
-        tree = grow(rows, k, fresh, leaves=leaves, min_rows=min_rows, rate=rate)
-        if not tree.split:
-            break  # no split gains any more
-        model.trees.append(tree)
-        fresh.append(tree)
-        if len(fresh) == refresh:
-            rows, fresh = cut_lineage(_subtract(rows, k, fresh)), []
+            yield _block(cut.astype(np.uint8).tobytes(), b.column(k).to_numpy() - base)
+
+    rows = cut_lineage(clean.mapInArrow(to_bins, "bins binary, residual binary"))
+    blocks = rows.count()
+    if not blocks:
+        return model
+    tasks = min(-(-blocks // PART_BLOCKS), df.sparkSession.sparkContext.defaultParallelism)
+
+    def train(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held = [(np.frombuffer(x, np.uint8).reshape(-1, k), np.frombuffer(r)) for b in batches
+                for x, r in zip(b.column(0).to_pylist(), b.column(1).to_pylist())]
+        cut = np.concatenate([x for x, _ in held] or [np.zeros((0, k), np.uint8)])
+        left = np.concatenate([r for _, r in held] or [np.zeros(0)])
+        context, made = BarrierTaskContext.get(), []
+        for _ in range(trees):
+            tree = grow(lambda growing, wanted: _add_up(context, _cells(cut, left, growing, wanted)),
+                        leaves=leaves, min_rows=min_rows, rate=rate)
+            if not tree.split:
+                break  # no split gains any more
+            left = left - tree.predict(cut)
+            made.append(tree)
+        if context.partitionId() == 0:
+            yield pa.RecordBatch.from_arrays([pa.array([pickle.dumps(made)], pa.binary())], ["trees"])
+
+    model.trees += pickle.loads(rows.repartition(tasks).mapInArrow(train, "trees binary", barrier=True).collect()[0].trees)
     return model
 
 
-def _subtract(rows: DataFrame, features: int, trees: list[Tree]) -> DataFrame:
-    """The residuals after ``trees``."""
-    state = rows.sparkSession.sparkContext.broadcast(trees)
-
-    def left(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            bins = _bins(b.column(0), features)
-            rest = b.column(1).to_numpy() - sum((t.predict(bins) for t in state.value), np.zeros(len(b)))
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(rest)], ["bins", "residual"])
-
-    return rows.mapInArrow(left, "bins binary, residual double")
+def _block(bins: bytes, residual: np.ndarray) -> pa.RecordBatch:
+    """A batch of training rows as one row of two byte strings."""
+    return pa.RecordBatch.from_arrays([pa.array([bins], pa.binary()), pa.array([residual.astype(np.float64).tobytes()], pa.binary())],
+                                      ["bins", "residual"])
 
 
 class LeafwiseBoosting(SparkMLForecaster):
