@@ -30,7 +30,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from bizlens.llm import bytetext as bt
-from bizlens.llm.shared import read, stored
+from bizlens.llm.shared import free_name, read, stored
 
 SHINGLE = 3
 MAX_BITS = 27
@@ -239,8 +239,9 @@ def stage(spark, docs: DataFrame, sf_dir: str) -> DataFrame:
                                  scan(spark, F.col("text"), _bitmaps(prefix), 10).alias("scan"))
                      .withColumn("uid", F.monotonically_increasing_id()), "scanned")
     found = matches(scanned, prefix, uid="uid", hits="scan").select("uid").distinct()
-    bad = scanned.join(found, "uid", "left_semi").select(F.col("key").alias("__key"), F.col("h").alias("__h")).distinct()
-    same = docs["doc_id"].eqNullSafe(F.col("__key")) & (F.xxhash64(docs["text"]) == F.col("__h"))
+    key, h = free_name(docs, "bad_key"), free_name(docs, "bad_hash")
+    bad = scanned.join(found, "uid", "left_semi").select(F.col("key").alias(key), F.col("h").alias(h)).distinct()
+    same = docs["doc_id"].eqNullSafe(F.col(key)) & (F.xxhash64(docs["text"]) == F.col(h))
     return docs.join(bad, same, "left_anti").select(*docs.columns)
 
 

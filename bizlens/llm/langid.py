@@ -186,9 +186,8 @@ def fit(docs: DataFrame, *, text: str = "text", lang: str = "lang", key: str = "
     if not len(got):
         return {"langs": [], "table": np.zeros((1 << BUCKET_BITS, 0), np.float32), "temperature": 1.0,
                 "threshold": 0.0}
-    held = got["held"].to_numpy(bool)
-    if held.all():
-        held[:] = False
+    # a language without a segment to learn from is held back nowhere
+    held = (got["held"] & ~got.groupby("lang")["held"].transform("all")).to_numpy(bool)
     langs, table = train(got["text"][~held].tolist(), got["lang"][~held].tolist())
     back = got[held & got["lang"].isin(langs).to_numpy()]
     z = logits(pa.array(back["text"].tolist(), pa.large_string()), table)

@@ -37,6 +37,8 @@ from pyspark.sql import functions as F
 from bizlens.llm.shared import read, stored
 
 CAPACITY = 4096
+#: A shard holds at least so many full sequences, so that the pooled twentieth is a part of it.
+SHARD_SEQUENCES = 20
 END_ID = 1
 CACHE_WORDS = 250_000
 
@@ -274,12 +276,11 @@ def _migrated(islands: DataFrame, count: int) -> DataFrame:
                                F.array("migrant"))).drop("migrant"))
 
 
-def _solve(items: DataFrame, n_items: int, level: int, *, capacity: int, shard_items: int, islands: int, epochs: int,
-           generations: int, members: int) -> DataFrame:
-    """(uid, length, level, shard, sequence, position, fill) of one level of shards."""
-    shards = max(1, -(-n_items // shard_items))
+def _solve(items: DataFrame, shards: int, level: int, *, capacity: int, islands: int, epochs: int, generations: int,
+           members: int) -> DataFrame:
+    """(uid, length, level, shard, sequence, position, fill) of one level of ``shards`` shards."""
     state = (items.groupBy(F.pmod(F.xxhash64("uid", F.lit(level)), F.lit(shards)).alias("shard"))
-             # about shard_items entries: the shard is a hash of the row number
+             # about shard_items entries, or SHARD_SEQUENCES full sequences: the shard is a hash of the row number
              .agg(F.sort_array(F.collect_list(F.struct("length", "uid"))).alias("i"))
              .select("shard", F.col("i.uid").alias("uids"), F.col("i.length").cast("array<int>").alias("sizes"),
                      F.lit(None).cast("array<array<int>>").alias("population"),
@@ -311,13 +312,21 @@ def _solve(items: DataFrame, n_items: int, level: int, *, capacity: int, shard_i
 
 def assign(items: DataFrame, *, capacity: int = CAPACITY, shard_items: int = 4096, islands: int = 2, epochs: int = 3,
            generations: int = 30, members: int = 6, pool_percent: int = 5) -> DataFrame:
-    """(uid, sequence_id, offset) of the items (uid, length), all shorter than the capacity."""
+    """(uid, sequence_id, offset) of the items (uid, length), all shorter than the capacity.
+
+    A level has as many shards as its items, or its tokens if these ask for fewer, fill. The
+    emptiest sequences of each shard are pooled for the next level, as long as that pools fewer
+    items than the level had; a level of one shard is the last."""
+    def measure(df: DataFrame) -> tuple[int, int]:
+        row = df.agg(F.count(F.lit(1)), F.coalesce(F.sum("length"), F.lit(0))).first()
+        return row[0], max(1, min(-(-row[0] // shard_items), -(-row[1] // (capacity * SHARD_SEQUENCES))))
+
     level, parts, todo = 0, [], items
-    n = todo.count()
+    n, shards = measure(todo)
     while n:
-        got = stored(_solve(todo, n, level, capacity=capacity, shard_items=shard_items, islands=islands, epochs=epochs,
+        got = stored(_solve(todo, shards, level, capacity=capacity, islands=islands, epochs=epochs,
                             generations=generations, members=members), f"packed-{level}")
-        if n <= shard_items:
+        if shards == 1:
             parts.append(got)
             break
         worst = Window.partitionBy("shard").orderBy("fill", "sequence")
@@ -325,9 +334,12 @@ def assign(items: DataFrame, *, capacity: int = CAPACITY, shard_items: int = 409
         size = each.groupBy("shard").agg(F.count(F.lit(1)).alias("of"))
         loose = (each.withColumn("r", F.row_number().over(worst)).join(size, "shard")
                  .where(F.col("r") <= F.greatest(F.lit(1), F.col("of") * pool_percent / 100)).select("shard", "sequence"))
-        parts.append(got.join(loose, ["shard", "sequence"], "left_anti").select(*got.columns))
         todo = stored(got.join(loose, ["shard", "sequence"], "left_semi").select("uid", "length"), "loose")
-        n, level = todo.count(), level + 1
+        before, (n, shards), level = n, measure(todo), level + 1
+        if n == before:  # nothing would be settled by pooling it again
+            parts.append(got)
+            break
+        parts.append(got.join(loose, ["shard", "sequence"], "left_anti").select(*got.columns))
     if not parts:
         return items.select("uid", F.lit(0).cast("long").alias("sequence_id"), F.lit(0).cast("long").alias("offset"))
     out = parts[0]

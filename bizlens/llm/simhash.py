@@ -222,12 +222,14 @@ def components(edges: DataFrame) -> DataFrame:
 
 
 def component_ids(prints: DataFrame, *, distance: int, tree_nodes: int = TREE_NODES) -> DataFrame:
-    """(fp, n, component_id) of every distinct fingerprint of ``prints`` (id, fp); n: its rows."""
+    """(fp, n, component_id, root) of every distinct fingerprint of ``prints`` (id, fp); n: its rows;
+    root: the component's smallest fingerprint, which tells components apart whatever their ids."""
     reps = stored(prints.groupBy("fp").agg(F.min("id").alias("rep"), F.count(F.lit(1)).alias("n")), "fingerprints")
     member = stored(components(links(reps.select("fp"), distance=distance, tree_nodes=tree_nodes)), "members")
     best = member.join(reps, "fp").groupBy("root").agg(F.min("rep").alias("component_id"))
-    linked = member.join(best, "root").select("fp", "component_id")
-    return reps.join(linked, "fp", "left").select("fp", "n", F.coalesce("component_id", "rep").alias("component_id"))
+    linked = member.join(best, "root").select("fp", "component_id", "root")
+    return reps.join(linked, "fp", "left").select("fp", "n", F.coalesce("component_id", "rep").alias("component_id"),
+                                                  F.coalesce("root", "fp").alias("root"))
 
 
 def near_duplicates(docs: DataFrame, *, key: str = "doc_id", text: str = "text", shingle: int = 3,
@@ -254,7 +256,6 @@ def stage(spark, docs: DataFrame, sf_dir: str) -> DataFrame:
     prints = rows.select(F.col("doc_id").alias("id"), F.col(fp).alias("fp"), F.col(uid).alias("uid"))
     groups = component_ids(prints, distance=2)
     first = prints.groupBy("fp").agg(F.min(F.struct(F.col("id").isNull().alias("none"), "id", "uid")).alias("best"))
-    keep = (first.join(groups, "fp").groupBy(F.coalesce(F.col("component_id").cast("string"),
-                                                        F.concat(F.lit("fp"), "fp")).alias("c"))
-            .agg(F.min("best").alias("best")).select(F.col("best.uid").alias(uid)))
+    keep = (first.join(groups, "fp").groupBy("root").agg(F.min("best").alias("best"))
+            .select(F.col("best.uid").alias(uid)))
     return rows.join(keep, uid, "left_semi").select(*docs.columns)
