@@ -18,7 +18,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from bizlens.functions.exprs import finite, null_safe_join, q
+from bizlens.functions.exprs import div, finite, null_safe_join, q
 from bizlens.plans.carry import running_sums, sorted_ranges
 
 
@@ -56,7 +56,7 @@ def _compare(counts: DataFrame, moments: DataFrame, keys: Sequence[str], alpha:
     keys = list(keys)
     cdf = running_sums(sorted_ranges(counts, keys, ["value"]), keys, ["c1", "c2"], next_of="value")
     cdf = null_safe_join(cdf, moments.select(*_b(keys), "n1", "n2"), keys)
-    diff = F.abs(F.col("cum_c1") / F.col("n1") - F.col("cum_c2") / F.col("n2"))
+    diff = F.abs(div(F.col("cum_c1"), F.col("n1")) - div(F.col("cum_c2"), F.col("n2")))  # NULL where a side is empty
     stats = cdf.groupBy(*_b(keys)).agg(
         F.max(diff).alias("ks_statistic"),
         F.coalesce(F.sum(diff * (F.col("next_value") - F.col("value"))), F.lit(0.0)).alias("wasserstein_distance"))

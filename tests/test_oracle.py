@@ -27,7 +27,15 @@ def test_query_matches_oracle(spark, duck, name):
     assert_same(QUERIES[name](spark, SF), duck, SQL[name])
 
 
-@pytest.mark.parametrize("name", sorted(set(QUERIES) - set(SQL) - {"M10_ml", "M5", "M6", "M8", "M23"}))
-def test_rows_only_queries_run(spark, name):
+#: Queries whose result may be empty on the small fixture.
+MAY_BE_EMPTY = {"C3", "op8_quotation_linking"}
+
+
+@pytest.mark.parametrize("name", sorted(set(QUERIES) - set(SQL)))
+def test_rows_only_queries_give_rows(spark, name):
     df = QUERIES[name](spark, SF)
-    assert df.count() >= 0
+    rows = df.collect()
+    assert rows or name in MAY_BE_EMPTY
+    assert len(set(df.columns)) == len(df.columns)
+    for r in rows[:5]:
+        assert any(v is not None for v in r)
