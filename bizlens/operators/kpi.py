@@ -1,6 +1,7 @@
 """Derived features (F1-F4), KPIs (K1-K16) and the health score (H1-H4).
 
-The KPI operator is two hash aggregates: (by, month) partials, then by.
+The KPI operator is two aggregates: (by, month) partials, then by (hash
+aggregates but for latest-value fields, whose struct order needs a sort).
 Both carry only partial sums, so the shuffle is one row per (group, month)
 per map task whatever the row count, and a hot group is already combined
 map-side. Health scoring is projections on the one-row-per-group result.
