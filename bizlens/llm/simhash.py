@@ -5,16 +5,19 @@ of the XXH64 hashes of its word shingles (repeats included). Fingerprints that
 differ in at most ``distance`` bits are linked; a document's component is the
 smallest id it can reach over links.
 
-Search: distinct fingerprints only. The 64 bits are cut into ``distance + 2``
-parts; two fingerprints within the distance agree on at least two whole parts,
-so shards are keyed by (pair of parts, their bits) and no link is lost. Every
-shard has BK-trees (children keyed by their Hamming distance to the parent) of
-at most ``tree_nodes`` fingerprints; a larger shard has several, and each tree
-is sent to all probe blocks of its shard. A search follows only the edges whose
-distance is within the radius of the query's distance to the node. Inside a
-tree task links are united at once and leave as stars (at most one row a
-fingerprint), never as all pairs. Stars meet in a large-star / small-star
-contraction whose rounds are written to the shared folder.
+Search: distinct fingerprints only. The 64 bits are cut into ``distance + 1``
+parts; two fingerprints within the distance agree on at least one whole part,
+so shards are keyed by one part's bits and no link is lost. Keys are pooled
+into shards of about ``tree_nodes`` fingerprints, each with one BK-tree
+(children keyed by their Hamming distance to the parent) that lies in the task
+of its shard; a tree sent to every task would be quadratic in the corpus. A
+search follows only the edges whose distance is within the radius of the
+query's distance to the node. A part that more than ``tree_nodes`` fingerprints
+share has its other bits cut in the same way, again and again, until so few
+bits are free that no shard can be larger. Links are united inside a shard and
+leave it as stars (at most one row a fingerprint), never as all pairs. Stars
+meet in a large-star / small-star contraction whose rounds are written to the
+shared folder.
 
 Defined results: null, empty or blank text has fingerprint zero and links like
 any other. Fewer words than the shingle length: the whole sequence is one
@@ -26,7 +29,7 @@ null ids only has a null one. Extra columns are not read.
 from __future__ import annotations
 
 from collections.abc import Iterator
-from itertools import combinations, repeat
+from itertools import repeat
 
 import numpy as np
 import pyarrow as pa
@@ -38,6 +41,8 @@ from bizlens.llm.shared import free_name, join_by_weight, read, stored
 
 SEED = 42
 TREE_NODES = 4096
+PROBES = 512  # searched together in one walk down a tree
+TREES_A_TASK = 64
 
 
 def fingerprint_of(text: bytes, shingle: int = 3) -> int:
@@ -68,130 +73,124 @@ def fingerprint(text: Column, shingle: int = 3) -> Column:
 
 
 class BKTree:
-    """Integers under Hamming distance; ``children[k]`` maps a distance to a child of node k."""
-
-    def __init__(self) -> None:
-        self.values: list[int] = []
-        self.children: list[dict[int, int]] = []
-
-    def add(self, value: int) -> None:
-        self.values.append(value)
-        self.children.append({})
-        new, at = len(self.values) - 1, 0
-        while new:
-            d = (self.values[at] ^ value).bit_count()
-            nxt = self.children[at].setdefault(d, new)
-            if nxt == new:
-                return
-            at = nxt
-
-    def within(self, value: int, radius: int) -> list[int]:
-        """Nodes at most ``radius`` from ``value``."""
-        found, todo = [], [0] if self.values else []
-        values, children = self.values, self.children
-        while todo:
-            at = todo.pop()
-            d = (values[at] ^ value).bit_count()
-            if d <= radius:
-                found.append(at)
-            kids = children[at]
-            for k in range(d - radius, d + radius + 1):
-                if k in kids:
-                    todo.append(kids[k])
-        return found
-
-
-def _stars(tree: list[int], probes: list[int] | None, radius: int) -> list[tuple[int, int]]:
-    """(fingerprint, smallest united fingerprint) of all that have a link.
-    Without probes the tree's members are searched against each other."""
-    every = tree if probes is None else tree + probes
-    up = list(range(len(every)))
-
-    def root(k: int) -> int:
-        while up[k] != k:
-            up[k] = up[up[k]]
-            k = up[k]
-        return k
-
-    bk = BKTree()
-    if probes is not None:
-        for x in tree:
-            bk.add(x)
-    base = 0 if probes is None else len(tree)
-    for k, x in enumerate(tree if probes is None else probes):
-        for other in bk.within(x, radius):
-            a, b = root(base + k), root(other)
-            if a != b:
-                lo, hi = (a, b) if every[a] < every[b] else (b, a)
-                up[hi] = lo
-        if probes is None:
-            bk.add(x)
-    return [(x, every[r]) for k, x in enumerate(every) if (r := root(k)) != k]
+    """Distinct integers under Hamming distance: the first one is the root, and all that lie at
+    distance k from a node go below its child of edge k, of which the first is that child.
+
+    The edges are one array sorted by (parent, distance), in which ``_at`` finds the children
+    of a range of distances; ``visited`` counts the nodes that searches compared."""
+
+    def __init__(self, values: np.ndarray) -> None:
+        self.values, self.visited = values, 0
+        edges, kids = [np.empty(0, np.int64)], [np.empty(0, np.int64)]
+        below = np.arange(1, len(values))
+        node = np.zeros(len(below), np.int64)
+        while len(below):
+            edge = node * 65 + np.bitwise_count(values[node] ^ values[below])
+            by_edge = np.argsort(edge, kind="stable")
+            edge, below = edge[by_edge], below[by_edge]
+            first = np.append(True, edge[1:] != edge[:-1])
+            edges.append(edge[first])
+            kids.append(below[first])
+            node = below[first][np.cumsum(first) - 1][~first]
+            below = below[~first]
+        edge, kid = np.concatenate(edges), np.concatenate(kids)
+        by_edge = np.argsort(edge, kind="stable")
+        self._kids = kid[by_edge]
+        self._at = np.searchsorted(edge[by_edge], np.arange(len(values) * 65 + 1))
+
+    def within(self, probes: np.ndarray, radius: int) -> tuple[np.ndarray, np.ndarray]:
+        """(probe, node) positions of all pairs at most ``radius`` apart."""
+        probe = np.arange(len(probes) if len(self.values) else 0)
+        node = np.zeros(len(probe), np.int64)
+        found = []
+        while len(probe):
+            self.visited += len(probe)
+            d = np.bitwise_count(self.values[node] ^ probes[probe]).astype(np.int64)
+            near = d <= radius
+            found.append((probe[near], node[near]))
+            lo = self._at[node * 65 + np.maximum(d - radius, 0)]
+            n = self._at[node * 65 + np.minimum(d + radius, 64) + 1] - lo
+            probe = np.repeat(probe, n)
+            node = self._kids[np.repeat(lo - np.cumsum(n) + n, n) + np.arange(n.sum())]
+        return (np.concatenate([p for p, _ in found] or [probe]), np.concatenate([k for _, k in found] or [node]))
+
+
+def _stars(values: np.ndarray, radius: int) -> tuple[np.ndarray, np.ndarray]:
+    """(fingerprint, smallest united fingerprint) of all distinct ``values`` that have a link."""
+    values = np.unique(values)
+    tree, up = BKTree(values), np.arange(len(values))
+    for start in range(0, len(values), PROBES):
+        a, b = tree.within(values[start:start + PROBES], radius)
+        a, b = up[a + start], up[b]
+        while len(apart := np.flatnonzero(a != b)):
+            a, b = a[apart], b[apart]
+            np.minimum.at(up, np.maximum(a, b), np.minimum(a, b))
+            while (up[up] != up).any():
+                up = up[up]
+            a, b = up[a], up[b]
+    moved = np.flatnonzero(up != np.arange(len(values)))
+    return values[moved], values[up[moved]]
+
+
+def _signed(mask: int) -> int:
+    return mask - (1 << 64) if mask >> 63 else mask
+
+
+def _finer(mask: int, parts: int) -> list[int]:
+    """``mask`` with one part more, for each of the ``parts`` parts of the bits it leaves free."""
+    free = [k for k in range(64) if not mask >> k & 1]
+    edge = [len(free) * k // parts for k in range(parts + 1)]
+    return [mask | sum(1 << k for k in free[lo:hi]) for lo, hi in zip(edge, edge[1:])]
+
+
+def _map(entries: dict) -> Column:
+    """Map column from masks, as the signed numbers of the rows, to columns."""
+    return F.create_map(*[x for m, c in entries.items() for x in (F.lit(_signed(m)).cast("long"), c)])
+
+
+def shards(prints: DataFrame, *, distance: int, tree_nodes: int = TREE_NODES) -> tuple[DataFrame, int]:
+    """(mask, shard, fp) such that linked fingerprints meet in a shard, and about how many shards there are."""
+    rows, masks, trees, done = {0: prints.count()}, [0], 1, []
+    keyed = prints.select("fp", F.lit(0).cast("long").alias("mask"), F.lit(0).cast("long").alias("bits"))
+    full = rows[0] > tree_nodes
+    # with ``distance`` free bits or fewer a mask has no finer ones
+    while full and (64 - masks[0].bit_count()) > distance + 1:
+        finer = {m: _finer(m, distance + 1) for m in masks if _signed(m) in rows}
+        masks = list(dict.fromkeys(k for f in finer.values() for k in f))
+        pools = {k: -(-sum(rows[_signed(m)] for m, f in finer.items() if k in f) // tree_nodes) for k in masks}
+        trees += sum(pools.values())
+        below = _map({m: F.array(*[F.lit(_signed(k)) for k in f]) for m, f in finer.items()})
+        keyed = (keyed.select("fp", F.explode(below[F.col("mask")]).alias("mask"))
+                 .withColumn("bits", F.col("fp").bitwiseAND(F.col("mask"))))
+        heavy = stored(keyed.groupBy("mask", "bits").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > tree_nodes),
+                       "heavy").select("mask", "bits")
+        pool = _map({k: F.lit(n) for k, n in pools.items()})[F.col("mask")]
+        shard = F.pmod(F.xxhash64("mask", "bits"), pool).alias("shard")
+        done.append(keyed.join(heavy, ["mask", "bits"], "left_anti").select("mask", shard, "fp"))
+        full = not heavy.isEmpty()
+        if full:
+            keyed = stored(keyed.join(heavy, ["mask", "bits"], "left_semi").select("fp", "mask", "bits"), "hot")
+            # one row a mask: at most (distance + 1) ** levels
+            rows = {r["mask"]: r["count"] for r in keyed.groupBy("mask").count().collect()}
+    if full or not done:  # so few free bits that no key can hold more than 2 ** (distance + 1) fingerprints
+        done.append(keyed.select("mask", F.col("bits").alias("shard"), "fp"))
+    out = done[0]
+    for more in done[1:]:
+        out = out.unionByName(more)
+    return out, trees
 
 
 def links(prints: DataFrame, *, distance: int, tree_nodes: int = TREE_NODES) -> DataFrame:
     """Stars (u, v) that connect the distinct fingerprints ``fp`` linked to each other."""
-    parts = distance + 2
-    edge = [64 * k // parts for k in range(parts + 1)]
-    masks = [sum(((1 << edge[p + 1]) - (1 << edge[p])) for p in pair) for pair in combinations(range(parts), 2)]
-    signed = [m - (1 << 64) if m >> 63 else m for m in masks]
-    keyed = prints.select("fp", F.posexplode(F.array(*[F.col("fp").bitwiseAND(F.lit(m)) for m in signed]))
-                          .alias("part", "bits"))
-    large = (keyed.groupBy("part", "bits").count().where(F.col("count") > tree_nodes)
-             .select("part", "bits", F.ceil(F.col("count") / tree_nodes).cast("int").alias("trees")))
-    own = F.pmod(F.xxhash64("fp", "part"), F.coalesce("trees", F.lit(1))).cast("int")
-    units = (keyed.join(large, ["part", "bits"], "left").withColumn("own", own)
-             .withColumn("other", F.explode(F.sequence(F.lit(0), F.coalesce("trees", F.lit(1)) - 1)))
-             .select("part", "bits", F.least("own", "other").alias("tree"), F.greatest("own", "other").alias("block"),
-                     (F.col("own") <= F.col("other")).alias("is_tree"), "fp"))
-    n = int(prints.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    units = units.repartition(n, "part", "bits", "tree", "block") \
-        .sortWithinPartitions("part", "bits", "tree", "block", "is_tree", "fp")
-
-    def search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        def flush(key, rows):
-            if len(rows[0]) < 2:
-                return []
-            fps = rows[0].view(np.uint64).tolist()
-            if key[2] == key[3]:
-                return _stars(fps, None, distance)
-            in_tree = rows[1]
-            return _stars([x for x, t in zip(fps, in_tree) if t], [x for x, t in zip(fps, in_tree) if not t], distance)
-
-        def table(stars):
-            a = np.array(stars, np.uint64).reshape(-1, 2).view(np.int64)
-            return pa.RecordBatch.from_arrays([pa.array(a[:, 0]), pa.array(a[:, 1])], ["u", "v"])
-
-        key, held, out = None, [], []
-        for b in batches:
-            cols = [b.column(k).to_numpy(zero_copy_only=False) for k in range(6)]
-            if not len(cols[0]):
-                continue
-            new = np.zeros(len(cols[0]), bool)
-            new[0] = True
-            for c in cols[:4]:
-                new[1:] |= c[1:] != c[:-1]
-            at = np.append(np.flatnonzero(new), len(new))
-            # groups of one need no tree; only the first and last of a batch may go on
-            size = np.diff(at)
-            busy = np.flatnonzero((size > 1) | (np.arange(len(size)) == 0) | (np.arange(len(size)) == len(size) - 1))
-            for g in busy:
-                lo, hi = at[g], at[g + 1]
-                mine = tuple(int(c[lo]) for c in cols[:4])
-                piece = (cols[5][lo:hi], cols[4][lo:hi])
-                if mine != key:
-                    if held:
-                        out += flush(key, [np.concatenate(x) for x in zip(*held)])
-                    key, held = mine, []
-                held.append(piece)
-            if len(out) > 10000:
-                yield table(out)
-                out = []
-        if held:
-            out += flush(key, [np.concatenate(x) for x in zip(*held)])
-        yield table(out)
-
-    return units.mapInArrow(search, "u long, v long").distinct()
+    units, trees = shards(prints, distance=distance, tree_nodes=tree_nodes)
+    tasks = max(int(prints.sparkSession.conf.get("spark.sql.shuffle.partitions")), trees // TREES_A_TASK)
+
+    def search(shard: pa.Table) -> pa.Table:
+        u, v = _stars(shard["fp"].to_numpy().view(np.uint64), distance)
+        return pa.table({"u": u.view(np.int64), "v": v.view(np.int64)})
+
+    return (units.repartition(tasks, "mask", "shard").groupBy("mask", "shard")
+            .applyInArrow(search, "u long, v long").distinct())
 
 
 def components(edges: DataFrame) -> DataFrame:

@@ -166,12 +166,41 @@ def test_small_trees_find_the_same_components(spark, distance):
 
 def test_bk_tree_finds_all_within_the_radius():
     rng = np.random.default_rng(3)
-    values = [int(x) for x in rng.integers(0, 2**16, 400)]
-    tree = simhash.BKTree()
-    for v in values:
-        tree.add(v)
-    for q in values[:40]:
-        assert sorted(tree.within(q, 3)) == [k for k, v in enumerate(values) if (v ^ q).bit_count() <= 3]
+    values = rng.integers(0, 2**16, 400, dtype=np.uint64)
+    probe, node = simhash.BKTree(values).within(values[:40], 3)
+    want = [(p, k) for p in range(40) for k in range(400) if (int(values[p]) ^ int(values[k])).bit_count() <= 3]
+    assert sorted(zip(probe.tolist(), node.tolist())) == want
+    none, _ = simhash.BKTree(values[:0]).within(values[:40], 3)
+    assert not len(none)
+
+
+def test_bk_tree_of_thousands_of_nodes_follows_few_edges():
+    values = np.random.default_rng(4).integers(0, 2**63, simhash.TREE_NODES, dtype=np.uint64)
+    tree = simhash.BKTree(values)
+    probe, node = tree.within(values ^ np.uint64(5), 2)
+    assert set(zip(probe.tolist(), node.tolist())) >= {(k, k) for k in range(len(values))}
+    assert tree.visited < 0.05 * len(values) ** 2
+
+
+def test_shards_hold_trees_of_real_size_and_hot_parts_are_cut_further(spark):
+    """20,000 far prints make shards of thousands; 20,000 with 44 equal bits, which share
+    a part, are cut by their other bits; each near pair meets in a shard."""
+    rng = np.random.default_rng(5)
+    far = rng.integers(0, 2**63, 20_000, dtype=np.uint64)
+    hot = np.unique(rng.integers(0, 2**20, 30_000, dtype=np.uint64)) << np.uint64(30)
+    values = np.unique(np.concatenate([far, far[:500] ^ np.uint64(3 << 40), hot]))
+    df = spark.createDataFrame([(int(v),) for v in values.view(np.int64)], "fp long")
+    rows = simhash.shards(df, distance=2)[0].toPandas()
+    size = rows.groupby(["mask", "shard"]).size()
+    assert size.median() > 1000 and size.max() < 4 * simhash.TREE_NODES
+    where = {}
+    for m, s, f in rows.itertuples(index=False):
+        where.setdefault(f, set()).add((m, s))
+    tree = simhash.BKTree(values)
+    probe, node = tree.within(values[::20], 2)
+    signed = values.view(np.int64).tolist()
+    assert len(probe) > len(values[::20])
+    assert all(where[signed[20 * p]] & where[signed[k]] for p, k in zip(probe.tolist(), node.tolist()))
 
 
 # --- decontamination
