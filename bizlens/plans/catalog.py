@@ -1031,6 +1031,15 @@ def q_s10(spark, sf_dir):
     return spark.read.parquet(path)
 
 
+@register("S10_fields")
+def q_s10_fields(spark, sf_dir):
+    # the written JSON records, parsed again
+    k = _finance_kpis(spark, sf_dir)
+    path = _scratch(spark, "sink")
+    IO.write_results(IO.to_json_records(k), path, fmt="parquet")
+    return spark.read.parquet(path).select(F.from_json("json", k.schema).alias("r")).select("r.*")
+
+
 # ---------------------------------------------------------------------------
 # Streaming (W)
 # ---------------------------------------------------------------------------

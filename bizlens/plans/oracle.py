@@ -7,6 +7,7 @@ as the Spark side and floats are rounded the same way.
 
 from __future__ import annotations
 
+from bizlens.plans.oracle_insight import insight_sql
 from bizlens.plans.oracle_series import infer_sql, series_sql
 from bizlens.plans.views import BALANCE_SQL, BV_SQL, FV_SQL
 
@@ -941,6 +942,7 @@ SQL["M17"] = f"""SELECT split_part(region, '|', 1) AS region, split_part(region,
 FROM ({SQL["M10"].replace(_MS, _MT)}) m"""
 
 SQL.update(series_sql(_MS, _DAILY, _BT, _metrics_sql))
+SQL.update(insight_sql(SQL, BV_SQL, _LT))
 SQL["W4"] = f"""SELECT * EXCLUDE (ks_pvalue0), 0 AS batch_id FROM (SELECT event_type, "column", n1, n2, round(ks_statistic, 6) AS ks_statistic,
     round(ks_pvalue, 6) AS ks_pvalue, round(wasserstein_distance, 6) AS wasserstein_distance, round(reference_mean, 6) AS reference_mean,
     round(current_mean, 6) AS current_mean, round(reference_std, 6) AS reference_std, round(current_std, 6) AS current_std,
