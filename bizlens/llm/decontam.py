@@ -214,8 +214,13 @@ def contamination(docs: DataFrame, bench: DataFrame, *, key: str = "doc_id", tex
     spans = found.select("uid", "start", "stop").distinct()
     covered = spans.withColumn("done", F.coalesce(F.max("stop").over(before), F.lit(0))) \
         .groupBy("uid").agg(F.sum(F.greatest(F.lit(0), F.col("stop") - F.greatest("start", "done"))).alias("n_hit"))
-    ids = (found.select("uid", "win").distinct().join(windows.select("win", "item").distinct(), "win")
-           .groupBy("uid").agg(F.sort_array(F.collect_set(F.col("item").cast("string"))).alias("items")))
+    # documents with the same set of windows have the same items, so every distinct set is resolved once
+    sets = stored(found.groupBy("uid").agg(F.sort_array(F.collect_set("win")).alias("wins"))
+                  .select("uid", F.sha2(F.concat_ws(",", "wins"), 256).alias("set"), "wins"), "window-sets")
+    each = sets.select("set", "wins").dropDuplicates(["set"]).select("set", F.explode("wins").alias("win"))
+    items = (each.join(windows.select("win", "item").distinct(), "win")
+             .groupBy("set").agg(F.sort_array(F.collect_set(F.col("item").cast("string"))).alias("items")))
+    ids = sets.select("uid", "set").join(items, "set").select("uid", "items")
     out = scanned.select("uid", "key", F.col("scan.n_words").alias("n_words")) \
         .join(covered, "uid", "left").join(ids, "uid", "left")
     return out.select(F.col("key").alias(key), "n_words", F.coalesce("n_hit", F.lit(0)).cast("long").alias("n_hit"),

@@ -166,6 +166,7 @@ def passage_matches(each: DataFrame, *, idf: DataFrame, unseen: Column, min_cosi
         assert set(keys) <= set(terms), (licence, keys)
         place += [(keys[0], k, at, len(terms), licence, len(set(keys))) for at, t in enumerate(terms) if t == keys[0]]
         weight += [(k, t, n, int(t in keys)) for t, n in Counter(terms).items()]
+    before, longest = max(p[2] for p in place), max(p[3] for p in place)
     # tables of fixed size, as the templates are
     place = spark.createDataFrame(place, "anchor string, passage int, at int, size int, licence string, n_keys int")
     weight = spark.createDataFrame(weight, "passage int, term string, n int, key int").join(idf, "term") \
@@ -175,12 +176,16 @@ def passage_matches(each: DataFrame, *, idf: DataFrame, unseen: Column, min_cosi
     toks = each.select("uid", "no", _terms(F.col("body")).alias("toks"))
     hits = F.filter(F.transform("toks", lambda t, i: F.struct(t.alias("anchor"), i.alias("pos"))),
                     lambda x: x["anchor"].isin(anchors))
-    found = toks.select("uid", "no", "toks", F.explode(hits).alias("hit")).select("uid", "no", "toks", "hit.*") \
+    # a hit takes along the terms that a window around it can hold, not those of its whole unit
+    first = F.greatest(F.col("pos") - before, F.lit(0))
+    near = F.transform(hits, lambda x: x.withField("near", F.slice(
+        "toks", F.greatest(x["pos"] - before, F.lit(0)) + 1, before + longest)))
+    found = toks.select("uid", "no", F.explode(near).alias("hit")).select("uid", "no", "hit.*") \
         .join(F.broadcast(place), "anchor")
     start = F.greatest(F.col("pos") - F.col("at"), F.lit(0))
     window = found.select("uid", "no", "passage", start.alias("start"),
-                          F.explode(F.slice("toks", start + 1, F.col("size"))).alias("term"), F.lit(1).alias("one"),
-                          F.col("at"))
+                          F.explode(F.slice("near", start - first + 1, F.col("size"))).alias("term"),
+                          F.lit(1).alias("one"), F.col("at"))
     by = ["uid", "no", "passage", "start", "at"]
     terms = window.groupBy(*by, "term").agg(F.sum("one").alias("tf")).join(F.broadcast(idf), "term", "left") \
         .join(F.broadcast(weight), ["passage", "term"], "left")

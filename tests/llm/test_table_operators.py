@@ -69,6 +69,18 @@ def test_licence_headers_tags_and_files(spark):
     assert got == {k: (name, p) for k, (name, p, _) in enumerate(cases)}
 
 
+def test_a_long_licence_file_full_of_key_terms(spark):
+    words = " ".join(k.split()[0] for _, _, k in license.PASSAGES)
+    name, passage, _ = max((p for p in license.PASSAGES if "verbatim" not in p[1]), key=lambda p: len(p[1]))
+    noise = "\n".join([words] * 400)  # tens of thousands of hits in one unit
+    rows = [(1, "a/LICENSE", f"{noise}\n{passage}\n{noise}"), (2, "a/x.c", "int x;"), (3, "b/LICENSE", ""), (4, "b/y.c", None)]
+    files = spark.createDataFrame([(*r, 1, "x", "x") for r in rows],
+                                  "id long, path string, text string, key int, units string, own string")
+    got = {r.id: (r.own_license, r.license) for r in license.scan(files, key="id", path=files["path"]).collect()}
+    assert got[2][0] is None and got[1][1] == got[2][1] and got[1][0] == name
+    assert got[3] == got[4] == (None, None)
+
+
 # --- WARC
 
 def test_warc_round_trip(spark):

@@ -246,6 +246,19 @@ def test_contamination_equals_brute_force(spark, odd, none):
     assert kept.columns == odd.columns and kept.count() == sum(not r[-1] for r in clean)
 
 
+def test_a_passage_of_every_item_in_many_documents(spark):
+    """Documents that share their windows share the list of items, which is worked out once."""
+    common = "terms of use apply to all of this text here"
+    items = [(k, f"{common} item{k} with its own end") for k in range(300)]
+    docs = [(k, f"x{k} {common} y{k}" if k % 3 else f"{common} item{k} with its own end") for k in range(200)]
+    docs += [(900, None), (901, "nothing shared")]
+    bench = spark.createDataFrame(items, "item_id long, text string")
+    got = decontam.contamination(spark.createDataFrame(docs, "doc_id long, text string"), bench).collect()
+    got = by_row((r[0], r[1], r[2], r[3], ",".join(r[4]), r[5]) for r in got)
+    assert got == plain_contamination(docs, items)
+    assert max(r[3] for r in got) == 300
+
+
 # --- scoring
 
 def test_scores_equal_a_plain_model(spark, odd, none):
