@@ -754,6 +754,7 @@ def q_n2(spark, sf_dir):
 # ---------------------------------------------------------------------------
 
 from bizlens.operators import insight as J  # noqa: E402
+from bizlens.session import cut_lineage  # noqa: E402
 
 
 def _insight_inputs(spark, sf_dir):
@@ -765,7 +766,8 @@ def _insight_inputs(spark, sf_dir):
         .withColumn("column_order", order[F.col("column")])
     miss = profile.missing_values(bv, by=["region"]).groupBy("region").agg(F.sum("missing").alias("missing"))
     dups = profile.duplicate_rows(bv, by=["region"]).select("region", F.col("duplicate_rows").alias("duplicates"))
-    return pairs, imp, tr, miss.join(dups, "region")
+    # a few rows a region, each read several times below: worked out once
+    return tuple(cut_lineage(df) for df in (pairs, imp, tr, miss.join(dups, "region")))
 
 
 def _j1(spark, sf_dir):
