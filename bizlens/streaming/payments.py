@@ -15,7 +15,7 @@ waiting event, the end of the grace period and the end of the term. State goes
 when nothing waits and no term or grace period runs: it is bounded by the
 subscriptions that are running, and by the events within the watermark's delay.
 
-State is per subscription (``transformWithState``) in RocksDB, and survives
+State is per subscription (``transformWithState`` on rows) in RocksDB, and survives
 restarts through the checkpoint.
 """
 
@@ -24,8 +24,7 @@ from __future__ import annotations
 from collections.abc import Iterator
 from contextlib import contextmanager
 
-import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, Row, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
@@ -34,16 +33,18 @@ DAY_MS = 86_400_000
 TERM_MS = 30 * DAY_MS
 GRACE_MS = 5 * DAY_MS
 
+# Times travel as whole milliseconds: a row costs no conversion in the Python worker.
 OUTPUT_SCHEMA = T.StructType([
-    T.StructField("subscription_id", T.IntegerType()), T.StructField("event_time", T.TimestampType()),
+    T.StructField("subscription_id", T.IntegerType()), T.StructField("ms", T.LongType()),
     T.StructField("transaction_id", T.LongType()), T.StructField("status", T.StringType()),
-    T.StructField("plan", T.StringType()), T.StructField("expiry", T.TimestampType())])
+    T.StructField("plan", T.StringType()), T.StructField("expiry_ms", T.LongType())])
 WAITING_SCHEMA = T.StructType([
     T.StructField("ms", T.LongType()), T.StructField("transaction_id", T.LongType()),
     T.StructField("status", T.StringType()), T.StructField("plan", T.StringType())])
 STATE_SCHEMA = T.StructType([
     T.StructField("status", T.StringType()), T.StructField("plan", T.StringType()),
     T.StructField("expiry_ms", T.LongType()), T.StructField("past_due_ms", T.LongType())])
+CHANGE = Row(*OUTPUT_SCHEMA.names)
 NONE = ("none", "Starter", None, None)
 
 
@@ -114,38 +115,35 @@ class Subscriptions(StatefulProcessor):
         self.waiting = handle.getListState("waiting", WAITING_SCHEMA)
         self.state = handle.getValueState("state", STATE_SCHEMA)
 
-    def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
-        new = [(int(t.value // 10**6), int(i), s, p) for pdf in rows
-               for t, i, s, p in zip(pdf["event_time"], pdf["transaction_id"], pdf["status"], pdf["plan"])]
+    def handleInputRows(self, key, rows: Iterator[Row], timerValues) -> Iterator[Row]:
+        new = [(r.ms, r.transaction_id, r.status, r.plan) for r in rows]
         if new:
             self.waiting.appendList(new)
             self.handle.registerTimer(min(ms for ms, *_ in new))
         return iter([])
 
-    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[Row]:
         upto = int(timerValues.getCurrentWatermarkInMs())
         every = sorted({tuple(r) for r in self.waiting.get()})  # a redelivered event is the same tuple
         due, later = [e for e in every if e[0] <= upto], [e for e in every if e[0] > upto]
-        before = tuple(self.state.get()) if self.state.exists() else NONE
+        before = self.state.get() or NONE
         state, rows = apply_events(before, due, upto)
         if due:
             if later:
                 self.waiting.put(later)
             else:
                 self.waiting.clear()
-        if state == NONE:
-            self.state.clear()
-        elif state != before:
-            self.state.update(state)
-        ends = [state[3] + GRACE_MS] if state[0] == "past_due" else [state[2]] if state[0] == "active" else []
-        if later or ends:
-            self.handle.registerTimer(min([e[0] for e in later[:1]] + ends))
-        if rows:
-            out = pd.DataFrame(rows, columns=["ms", "transaction_id", "status", "plan", "expiry"])
-            yield pd.DataFrame({
-                "subscription_id": int(key[0]), "event_time": pd.to_datetime(out["ms"], unit="ms"),
-                "transaction_id": out["transaction_id"].astype("Int64"), "status": out["status"], "plan": out["plan"],
-                "expiry": pd.to_datetime(out["expiry"].astype("Int64"), unit="ms")})
+        if state != before:
+            if state == NONE:
+                self.state.clear()
+            else:
+                self.state.update(state)
+        # a second timer of the same watermark finds nothing due: what it would set stands already
+        if due or state != before:
+            ends = [state[3] + GRACE_MS] if state[0] == "past_due" else [state[2]] if state[0] == "active" else []
+            if later or ends:
+                self.handle.registerTimer(min([e[0] for e in later[:1]] + ends))
+        return iter([CHANGE(key[0], *r) for r in rows])
 
     def close(self) -> None:
         pass
@@ -171,5 +169,7 @@ def subscription_state(events: DataFrame, subscriptions: DataFrame, *, watermark
          .withWatermark("event_time", watermark)
          .filter(F.col("status").isin("successful", "failed"))
          .join(subs, "tx_ref"))  # unknown references drop out here
-    return e.select("subscription_id", "event_time", "transaction_id", "status", "plan").groupBy("subscription_id") \
-        .transformWithStateInPandas(Subscriptions(), OUTPUT_SCHEMA, "Append", "EventTime")
+    changes = e.select("subscription_id", "event_time", F.unix_millis("event_time").alias("ms"), "transaction_id", "status", "plan") \
+        .groupBy("subscription_id").transformWithState(Subscriptions(), OUTPUT_SCHEMA, "Append", "EventTime")
+    return changes.select("subscription_id", F.timestamp_millis("ms").alias("event_time"), "transaction_id", "status", "plan",
+                          F.timestamp_millis("expiry_ms").alias("expiry"))
