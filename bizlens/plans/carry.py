@@ -10,7 +10,8 @@ columns, and the plan grows by nothing but their names.
 
 The sorted partitions are checkpointed in the shared folder, since range bounds
 come from a random sample: both passes and every retry must see the same ones.
-A task holds the columns of its partition, whose size the partitioning bounds.
+A task takes its partition in pieces of ``PIECE`` rows and holds one at a time, so
+its memory does not grow with the partition; every piece has its own summary.
 """
 
 from __future__ import annotations
@@ -30,6 +31,9 @@ from bizlens.session import cut_lineage
 
 _PID = "__part"
 
+#: Rows that a task holds at once.
+PIECE = 200_000
+
 
 def _starts(batch: pa.Table, group: Sequence[str]) -> np.ndarray:
     """Rows that begin a group (NULL is a group of its own)."""
@@ -56,35 +60,51 @@ def _key(batch: pa.Table, group: Sequence[str], row: int) -> tuple:
     return tuple(batch.column(c)[row].as_py() for c in group)
 
 
-def _table(batches: Iterator[pa.RecordBatch]) -> pa.Table | None:
-    some = [b for b in batches if b.num_rows]
-    return pa.Table.from_batches(some) if some else None
+def _pieces(batches: Iterator[pa.RecordBatch], size: int) -> Iterator[tuple[tuple[int, int], pa.Table]]:
+    """((partition, number), rows) of each ``size`` rows of a sorted partition, in order; where
+    batches end does not matter."""
+    held, n, number = [], 0, 0
+
+    def piece() -> tuple[tuple[int, int], pa.Table]:
+        t = pa.Table.from_batches(held)
+        return (t.column(_PID)[0].as_py(), number), t
+
+    for b in batches:
+        while b.num_rows:
+            held.append(b.slice(0, size - n))
+            b = b.slice(held[-1].num_rows)
+            n += held[-1].num_rows
+            if n == size:
+                yield piece()
+                held, n, number = [], 0, number + 1
+    if held:
+        yield piece()
 
 
 def _summaries(rows: DataFrame, group: Sequence[str], columns: Sequence[str]) -> list[dict]:
-    """One summary a partition, in order."""
+    """One summary a piece, in order."""
+    size = PIECE
+
     def summarise(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        t = _table(batches)
-        if t is None:
-            return
-        begin = np.flatnonzero(_starts(t, group))
-        ends = (0, int(begin[1]) if len(begin) > 1 else t.num_rows), (int(begin[-1]), t.num_rows)
-        out = {"part": t.column(_PID)[0].as_py(), "first": _key(t, group, 0), "last": _key(t, group, t.num_rows - 1),
-               "one": len(begin) == 1, "rows": ends[0][1], "head": [], "tail": []}
-        for c in columns:
-            valid, v = _column(t, c)
-            at = np.flatnonzero(valid[:ends[0][1]])
-            out["head"].append((float(v[at[0]]), int(at[0])) if len(at) else None)  # value, rows before it
-            at = np.flatnonzero(valid[ends[1][0]:]) + ends[1][0]
-            out["tail"].append((float(v[at[-1]]), int(t.num_rows - at[-1])) if len(at) else None)  # value, rows to the end
-        yield pa.RecordBatch.from_arrays([pa.array([pickle.dumps(out)])], ["s"])
+        for part, t in _pieces(batches, size):
+            begin = np.flatnonzero(_starts(t, group))
+            ends = (0, int(begin[1]) if len(begin) > 1 else t.num_rows), (int(begin[-1]), t.num_rows)
+            out = {"part": part, "first": _key(t, group, 0), "last": _key(t, group, t.num_rows - 1),
+                   "one": len(begin) == 1, "rows": ends[0][1], "head": [], "tail": []}
+            for c in columns:
+                valid, v = _column(t, c)
+                at = np.flatnonzero(valid[:ends[0][1]])
+                out["head"].append((float(v[at[0]]), int(at[0])) if len(at) else None)  # value, rows before it
+                at = np.flatnonzero(valid[ends[1][0]:]) + ends[1][0]
+                out["tail"].append((float(v[at[-1]]), int(t.num_rows - at[-1])) if len(at) else None)  # value, rows to the end
+            yield pa.RecordBatch.from_arrays([pa.array([pickle.dumps(out)])], ["s"])
 
     got = rows.select(*[F.col(q(c)) for c in dict.fromkeys([*group, *columns, _PID])]).mapInArrow(summarise, "s binary").collect()
     return sorted((pickle.loads(r.s) for r in got), key=lambda s: s["part"])
 
 
-def _chain(parts: list[dict], k: int) -> dict[int, tuple[list, list]]:
-    """For each partition and column the value carried into its first group from
+def _chain(parts: list[dict], k: int) -> dict[tuple[int, int], tuple[list, list]]:
+    """For each piece and column the value carried into its first group from
     before, and into its last group from after, each with its distance in rows."""
     before, after = {}, {}
     carried: list = [None] * k
@@ -115,24 +135,24 @@ def neighbours(df: DataFrame, group: Sequence[str], order: Sequence[str], column
     carried = df.sparkSession.sparkContext.broadcast(_chain(_summaries(rows, group, columns), len(columns)))
     group, columns, own = list(group), list(columns), 0 if inclusive else 1
 
+    size = PIECE
+
     def fill(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        t = _table(batches)
-        if t is None:
-            return
-        n, part = t.num_rows, t.column(_PID)[0].as_py()
-        at = np.arange(n)
-        new = _starts(t, group)
-        start = np.maximum.accumulate(np.where(new, at, 0))
-        stop = np.append(np.flatnonzero(new)[1:], n)[np.cumsum(new) - 1]
-        out = t.drop_columns([_PID])
-        for k, c in enumerate(columns):
-            valid, v = _column(t, c)
-            for name, (value, rows_away) in (("p", _before(valid, v, at, start, own, carried.value[part][0][k])),
-                                             ("n", _after(valid, v, at, stop, own, n, carried.value[part][1][k]))):
-                none = rows_away < 0
-                out = out.append_column(f"__{name}v{k}", pa.array(value, pa.float64(), mask=none))
-                out = out.append_column(f"__{name}g{k}", pa.array(rows_away, pa.int64(), mask=none))
-        yield from out.to_batches(max_chunksize=50_000)
+        for part, t in _pieces(batches, size):
+            n = t.num_rows
+            at = np.arange(n)
+            new = _starts(t, group)
+            start = np.maximum.accumulate(np.where(new, at, 0))
+            stop = np.append(np.flatnonzero(new)[1:], n)[np.cumsum(new) - 1]
+            out = t.drop_columns([_PID])
+            for k, c in enumerate(columns):
+                valid, v = _column(t, c)
+                for name, (value, rows_away) in (("p", _before(valid, v, at, start, own, carried.value[part][0][k])),
+                                                 ("n", _after(valid, v, at, stop, own, n, carried.value[part][1][k]))):
+                    none = rows_away < 0
+                    out = out.append_column(f"__{name}v{k}", pa.array(value, pa.float64(), mask=none))
+                    out = out.append_column(f"__{name}g{k}", pa.array(rows_away, pa.int64(), mask=none))
+            yield from out.to_batches(max_chunksize=50_000)
 
     extra = [T.StructField(f"__{d}{x}{k}", T.DoubleType() if x == "v" else T.LongType())
              for k in range(len(columns)) for d in "pn" for x in "vg"]
@@ -182,19 +202,19 @@ def running_sums(rows: DataFrame, group: Sequence[str], sums: Sequence[str], *,
     def values(t: pa.Table, c: str) -> np.ndarray:
         return t.column(c).to_numpy().astype(np.int64 if whole[c] else np.float64)
 
+    size = PIECE
+
     def summarise(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        t = _table(batches)
-        if t is None:
-            return
-        begin = np.flatnonzero(_starts(t, group))
-        out = {"part": t.column(_PID)[0].as_py(), "first": _key(t, group, 0), "last": _key(t, group, t.num_rows - 1),
-               "one": len(begin) == 1, "tail": [values(t, c)[begin[-1]:].sum().item() for c in sums],
-               "head": t.column(next_of)[0].as_py() if next_of else None}
-        yield pa.RecordBatch.from_arrays([pa.array([pickle.dumps(out)])], ["s"])
+        for part, t in _pieces(batches, size):
+            begin = np.flatnonzero(_starts(t, group))
+            out = {"part": part, "first": _key(t, group, 0), "last": _key(t, group, t.num_rows - 1),
+                   "one": len(begin) == 1, "tail": [values(t, c)[begin[-1]:].sum().item() for c in sums],
+                   "head": t.column(next_of)[0].as_py() if next_of else None}
+            yield pa.RecordBatch.from_arrays([pa.array([pickle.dumps(out)])], ["s"])
 
     needed = [F.col(q(c)) for c in dict.fromkeys([*group, *sums, *([next_of] if next_of else []), _PID])]
     parts = sorted((pickle.loads(r.s) for r in rows.select(*needed).mapInArrow(summarise, "s binary").collect()),
-                   key=lambda s: s["part"])  # one row a partition
+                   key=lambda s: s["part"])  # one row a piece
     before, following, carried = {}, {}, [0] * len(sums)
     for i, p in enumerate(parts):
         if i and parts[i - 1]["last"] != p["first"]:
@@ -206,27 +226,24 @@ def running_sums(rows: DataFrame, group: Sequence[str], sums: Sequence[str], *,
     shared = spark.sparkContext.broadcast((before, following))
 
     def add_up(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        t = _table(batches)
-        if t is None:
-            return
-        part = t.column(_PID)[0].as_py()
-        new = _starts(t, group)
-        begin = np.flatnonzero(new)
-        mine = np.cumsum(new) - 1
-        out = t.drop_columns([_PID])
-        for k, c in enumerate(sums):
-            total = np.cumsum(values(t, c))
-            base = np.append(0, total)[begin]  # what came before each group in this partition
-            cum = total - base[mine]
-            cum[mine == 0] += shared.value[0][part][k]
-            out = out.append_column(f"cum_{c}", pa.array(cum))
-        if next_of:
-            col = t.column(next_of)
-            after = pa.array([shared.value[1].get(part)], col.type)
-            shifted = pa.concat_arrays([*(ch for ch in col.slice(1).chunks), after])
-            last = np.append(new[1:], part not in shared.value[1])
-            out = out.append_column(f"next_{next_of}", pc.if_else(pa.array(last), pa.scalar(None, col.type), shifted))
-        yield from out.to_batches(max_chunksize=50_000)
+        for part, t in _pieces(batches, size):
+            new = _starts(t, group)
+            begin = np.flatnonzero(new)
+            mine = np.cumsum(new) - 1
+            out = t.drop_columns([_PID])
+            for k, c in enumerate(sums):
+                total = np.cumsum(values(t, c))
+                base = np.append(0, total)[begin]  # what came before each group in this piece
+                cum = total - base[mine]
+                cum[mine == 0] += shared.value[0][part][k]
+                out = out.append_column(f"cum_{c}", pa.array(cum))
+            if next_of:
+                col = t.column(next_of)
+                after = pa.array([shared.value[1].get(part)], col.type)
+                shifted = pa.concat_arrays([*(ch for ch in col.slice(1).chunks), after])
+                last = np.append(new[1:], part not in shared.value[1])
+                out = out.append_column(f"next_{next_of}", pc.if_else(pa.array(last), pa.scalar(None, col.type), shifted))
+            yield from out.to_batches(max_chunksize=50_000)
 
     fields = [f for f in rows.schema.fields if f.name != _PID]
     fields += [T.StructField(f"cum_{c}", T.LongType() if whole[c] else T.DoubleType()) for c in sums]
