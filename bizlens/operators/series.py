@@ -17,6 +17,7 @@ from pyspark.sql import functions as F
 
 from bizlens.functions.exprs import finite, is_datetime, is_numeric, numeric_columns, q
 from bizlens.plans.carry import running_sums, sorted_ranges
+from bizlens.session import cut_lineage
 
 # Horizon labels (periods) and the gap rule (days -> frequency).
 HORIZON_LABELS = {"30 Days": 30, "90 Days": 90, "6 Months": 6, "12 Months": 12}
@@ -59,10 +60,9 @@ def _as_date(df: DataFrame, c: str) -> Column:
     return F.col(q(c)).cast("timestamp_ntz") if is_datetime(kind) else F.try_to_timestamp(F.col(q(c)).cast("string")).cast("timestamp_ntz")
 
 
-def date_gaps(dates: DataFrame) -> DataFrame:
-    """(gap, n): how often each gap in whole days stands between consecutive dates ``t`` in order,
-    equal dates included; dates are sorted as range-partitioned counts, not in one task."""
-    counts = dates.groupBy("t").agg(F.count(F.lit(1)).alias("n"))
+def date_gaps(counts: DataFrame) -> DataFrame:
+    """(gap, n): how often each gap in whole days stands between consecutive dates in order, equal
+    dates included, from dates ``t`` and their counts ``n``; they are range-partitioned, not in one task."""
     spans = running_sums(sorted_ranges(counts, [], ["t"]), [], ["n"], next_of="t")
     days = F.floor(F.expr("timestampdiff(MICROSECOND, t, next_t)") / 86_400_000_000).cast("long")
     each = spans.select(F.explode(F.array(F.struct(F.lit(0).cast("long").alias("gap"), (F.col("n") - 1).alias("n")),
@@ -97,12 +97,14 @@ def detect_structure(df: DataFrame, *, date: str | None = None, target: str | No
         return spark.createDataFrame([(False, None, None, None, None, None, NO_DATE)], kinds)
     if target is None or target not in df.columns:
         return spark.createDataFrame([(False, date, None, None, None, None, NO_TARGET)], kinds)
-    t = df.select(_as_date(df, date).alias("t"))
-    rows = t.agg(F.count(F.lit(1)).alias("rows"), F.count("t").alias("parsed"))
+    # one pass over the rows: a row a different date, NULL among them
+    counts = cut_lineage(df.select(_as_date(df, date).alias("t")).groupBy("t").agg(F.count(F.lit(1)).alias("n")))
+    rows = counts.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("rows"),
+                      F.coalesce(F.sum(F.when(F.col("t").isNotNull(), F.col("n"))), F.lit(0)).alias("parsed"))
     bad = F.when(F.col("rows") > 0, 1.0 - F.col("parsed") / F.col("rows")).otherwise(1.0)
-    found = t.dropna()
+    found = counts.dropna()
     gaps = date_gaps(found)
-    exact = infer_frequency(found.distinct(), ts="t").select("inferred")
+    exact = infer_frequency(found.select("t"), ts="t").select("inferred")
     below = F.sum("n").over(Window.orderBy("gap"))  # one row a different gap
     ranked = gaps.select("gap", "n", below.alias("upto"), F.sum("n").over(Window.partitionBy()).alias("all"))
     mid = [F.min(F.when(F.col("upto") > f((F.col("all") - 1) / 2), F.col("gap"))) for f in (F.floor, F.ceil)]

@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 
 from bizlens.operators import kpi, profile
 from bizlens.plans import views as V
+from bizlens.session import cut_lineage, keep_rows
 
 Query = Callable[[SparkSession, str], DataFrame]
 REGISTRY: dict[str, Query] = {}
@@ -128,7 +129,8 @@ def q_d1(spark, sf_dir):
 
 @register("D2")
 def q_d2(spark, sf_dir):
-    return D.drop_empty_columns(V.view_holes(spark, sf_dir))
+    # the counts and the result both read the rows
+    return D.drop_empty_columns(keep_rows(V.view_holes(spark, sf_dir)))
 
 
 @register("D3")
@@ -371,8 +373,8 @@ from bizlens.operators import forecast as M  # noqa: E402
 from bizlens.operators import series as S  # noqa: E402
 
 
-def _finance_kpis(spark, sf_dir):
-    fv = V.finance_view(spark, sf_dir)
+def _finance_kpis(spark, sf_dir, fv=None):
+    fv = fv if fv is not None else V.finance_view(spark, sf_dir)
     fe, m = kpi.synthesize_profit(fv, V.FINANCE_MAPPING)
     return kpi.compute_kpis(fe, m, by=["region"], order_by=V.BV_ORDER)
 
@@ -432,9 +434,10 @@ def q_k1_rollup(spark, sf_dir):
                     .otherwise(0.0).alias("net_profit_margin"))
 
 
-def _daily(spark, sf_dir):
-    bv = V.business_view(spark, sf_dir)
-    return bv.groupBy("region", "date").agg(F.sum("revenue").alias("revenue"), F.sum("expenses").alias("expenses"))
+def _daily(spark, sf_dir, bv=None):
+    bv = bv if bv is not None else V.business_view(spark, sf_dir)
+    # a row a region and day, read several times: worked out once
+    return cut_lineage(bv.groupBy("region", "date").agg(F.sum("revenue").alias("revenue"), F.sum("expenses").alias("expenses")))
 
 
 @register("A1")
@@ -468,8 +471,9 @@ def monthly_series(spark, sf_dir):
     """Zero-filled monthly revenue per region as (region, ts, y)."""
     bv = V.business_view(spark, sf_dir)
     m = R.monthly_rollup(bv, "date", by=["region"], columns=["revenue", "expenses"])
-    # Cents: the series every forecaster sees is exact in any engine.
-    return m.select("region", F.col("month").cast("timestamp_ntz").alias("ts"), F.round("revenue", 2).alias("y"))
+    # Cents: the series every forecaster sees is exact in any engine. A row a region and month,
+    # read by every fit, split and metric: worked out once.
+    return cut_lineage(m.select("region", F.col("month").cast("timestamp_ntz").alias("ts"), F.round("revenue", 2).alias("y")))
 
 
 _H = 6
@@ -534,9 +538,10 @@ def q_v8(spark, sf_dir):
     return S.future_dates(monthly_series(spark, sf_dir), 12, by=["region"], freq="MS")
 
 
-def _monthly(spark, sf_dir):
-    bv = V.business_view(spark, sf_dir)
-    return R.monthly_rollup(bv, "date", by=["region"], columns=["revenue", "expenses"])
+def _monthly(spark, sf_dir, bv=None):
+    bv = bv if bv is not None else V.business_view(spark, sf_dir)
+    # a row a region and month, read for the fit and again for its residuals
+    return cut_lineage(R.monthly_rollup(bv, "date", by=["region"], columns=["revenue", "expenses"]))
 
 
 @register("M1")
@@ -754,11 +759,10 @@ def q_n2(spark, sf_dir):
 # ---------------------------------------------------------------------------
 
 from bizlens.operators import insight as J  # noqa: E402
-from bizlens.session import cut_lineage  # noqa: E402
 
 
-def _insight_inputs(spark, sf_dir):
-    bv = V.business_view(spark, sf_dir)
+def _insight_inputs(spark, sf_dir, bv=None):
+    bv = bv if bv is not None else keep_rows(V.business_view(spark, sf_dir))  # five passes read them
     pairs = R.ranked_pairs(bv, by=["region"], columns=_RCOLS)
     imp = R.feature_importance(bv, "revenue", by=["region"], columns=["quantity", "revenue", "expenses", "customer"])
     order = F.create_map(*[x for i, c in enumerate(_RCOLS) for x in (F.lit(c), F.lit(i))])
@@ -790,8 +794,8 @@ def q_j3(spark, sf_dir):
     return J.merge_similar(J.deduplicate_exact(_j1(spark, sf_dir), by=["region"]), by=["region"])
 
 
-def _reasons(spark, sf_dir):
-    pairs, imp, tr, qual = _insight_inputs(spark, sf_dir)
+def _reasons(spark, sf_dir, bv=None):
+    pairs, imp, tr, qual = _insight_inputs(spark, sf_dir, bv)
     ins = J.merge_similar(J.deduplicate_exact(J.rank_insights(pairs, imp, tr, qual, by=["region"]), by=["region"]),
                           by=["region"])
     return pairs, imp, tr, J.reasoning(ins, pairs, imp, tr, qual, by=["region"], kpi="revenue")
@@ -808,12 +812,15 @@ def q_j5(spark, sf_dir):
     return J.recommendations(pairs, imp, tr, rs, by=["region"], kpi="revenue")
 
 
-def _rules(spark, sf_dir):
-    k = _finance_kpis(spark, sf_dir)
-    fv = V.finance_view(spark, sf_dir)
+def _rules(spark, sf_dir, fv=None):
+    # the finance view has the rows and columns of the business view and more: it is joined once,
+    # and its KPIs (a row a region) are worked out once
+    fv = fv if fv is not None else keep_rows(V.finance_view(spark, sf_dir))
+    k = cut_lineage(_finance_kpis(spark, sf_dir, fv))
     cust = fv.groupBy("region").agg(F.count_distinct("customer").alias("total_customers"))
     dash = kpi.build_dashboard(k, by=["region"], customers=cust).join(k.select("region", "marketing_roi"), "region")
-    an = A.zscore_outliers(_daily(spark, sf_dir), {"revenue": "revenue", "expenses": "expenses"},
+    dash = cut_lineage(dash)  # a row a region
+    an = A.zscore_outliers(_daily(spark, sf_dir, fv), {"revenue": "revenue", "expenses": "expenses"},
                            by=["region"], date="date")
     an = an.select("region", "metric", F.date_format("date", "yyyy-MM-dd").alias("period"),
                    F.struct("date", "metric").alias("anomaly_order"))
@@ -834,10 +841,10 @@ def q_j7(spark, sf_dir):
 
 @register("J8")
 def q_j8(spark, sf_dir):
-    dash, _ = _rules(spark, sf_dir)
-    bv = V.business_view(spark, sf_dir)
+    bv = keep_rows(V.finance_view(spark, sf_dir))
+    dash, _ = _rules(spark, sf_dir, bv)
     drivers = R.driver_analysis(bv, "revenue", by=["region"], columns=["quantity", "revenue", "expenses", "customer"])
-    proj = M.linear_trend_forecast(_monthly(spark, sf_dir), by=["region"])
+    proj = M.linear_trend_forecast(_monthly(spark, sf_dir, bv), by=["region"])
     last = proj.groupBy("region").agg(F.max_by("projected_revenue", "step").alias("last_projection"),
                                       F.max("period").alias("last_period"),
                                       M.trend_label(F.first("revenue_slope")).alias("trend"))
@@ -847,8 +854,8 @@ def q_j8(spark, sf_dir):
 @register("J9_summary")
 def q_j9_summary(spark, sf_dir):
     from bizlens.operators import context as CX
-    bv = V.business_view(spark, sf_dir)
-    pairs, imp, tr, reasons = _reasons(spark, sf_dir)
+    bv = keep_rows(V.business_view(spark, sf_dir))
+    pairs, imp, tr, reasons = _reasons(spark, sf_dir, bv)
     context = CX.business_context(bv, C.type_partition(bv), R.ranked_pairs(bv, columns=_RCOLS))
     rows = bv.groupBy("region").agg(F.count(F.lit(1)).alias("rows"))
     return J.executive_summary(context, rows, pairs, tr, reasons, columns=len(bv.columns), by=["region"])
@@ -1161,7 +1168,8 @@ def q_c14(spark, sf_dir):
 
 @register("V1")
 def q_v1(spark, sf_dir):
-    text, bv = V.view_text(spark, sf_dir), V.business_view(spark, sf_dir)
+    bv = keep_rows(V.business_view(spark, sf_dir))  # each case reads them, some twice
+    text = V.text_of(bv)
     cases = {"mixed": text.select("date_txt", "region", "customer"), "named": bv,
              "by_values": text.select("region", "iso_txt", "customer"), "none": text.select("region", "customer")}
     parts = [S.detect_structure(df).select(F.lit(name).alias("case_name"), "*") for name, df in cases.items()]

@@ -41,10 +41,11 @@ def _lines(spark: SparkSession, sf_dir: str, extra: bool) -> DataFrame:
     # here broadcasts a table that grows with the scale factor unchecked.
     cust = cu.join(F.broadcast(geo), cu.c_nationkey == geo.n_nationkey).select(
         "c_custkey", "c_mktsegment", "r_name", *(["c_acctbal"] if extra else []))
-    j = (li.join(od, li.l_orderkey == od.o_orderkey)
-         .join(cust, od.o_custkey == cust.c_custkey)
-         .join(pa, li.l_partkey == pa.p_partkey))
-    return j
+    # Lineitem crosses the network at most twice, and narrow: to part, then to the orders, which
+    # have met their customers by themselves. Joined to one table after the other it would cross
+    # three times, with the text columns of the joins before.
+    orders = od.join(cust, od.o_custkey == cust.c_custkey)
+    return li.join(pa, li.l_partkey == pa.p_partkey).join(orders, li.l_orderkey == od.o_orderkey)
 
 
 def business_view(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -154,9 +155,13 @@ def _money_text(c):
 
 
 def view_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The business view as text, see :func:`text_of`."""
+    return text_of(business_view(spark, sf_dir))
+
+
+def text_of(bv: DataFrame) -> DataFrame:
     """Numbers and dates as text: money with $ and accounting negatives,
     discount as a percent, dates in four formats chosen by key, 10 % junk."""
-    bv = business_view(spark, sf_dir)
     k = F.col("customer")
     d = F.col("date")
     date_txt = (F.when(k % 4 == 0, F.date_format(d, "yyyy-MM-dd"))

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import os
 import tempfile
+import uuid
 from contextlib import contextmanager
 
 from pyspark.sql import SparkSession
@@ -67,6 +68,14 @@ def cut_lineage(df, *, eager: bool = True):
     return df.checkpoint(eager=eager)
 
 
+def keep_rows(df):
+    """Write ``df`` once as Parquet into the shared folder and read it back: rows of many joins
+    that several passes read, in far fewer bytes than a checkpoint of them."""
+    path = os.path.join(checkpoint_dir(df.sparkSession), "rows", uuid.uuid4().hex)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
 @contextmanager
 def utc_session(spark: SparkSession):
     """Run with the session time zone at UTC (streams cast ``timestamp_ntz`` to
