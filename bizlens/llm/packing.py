@@ -25,6 +25,7 @@ read.
 from __future__ import annotations
 
 import re
+import struct
 import zlib
 from bisect import bisect_left, insort
 from collections.abc import Iterator
@@ -45,47 +46,64 @@ CACHE_WORDS = 250_000
 # Characters whose normal form is known without the library: printable ASCII
 # but the apostrophe, and the letters of Latin-1.
 _PLAIN = re.compile("[!-&(-~À-ÖØ-öø-ÿ]+")
+_WORD = re.compile("[A-Za-zÀ-ÖØ-öø-ÿ]+")
 _PIECES = re.compile("[a-zß-öø-ÿ]+|[0-9]|[^a-zß-öø-ÿ0-9]+")
 
 
-class WordIds(dict):
+class Kept(dict):
+    """What ``make`` gives for a key, kept in two generations: a young one that grows beyond
+    ``CACHE_WORDS`` becomes the old one, from which only what is asked for again comes back."""
+
+    def __init__(self, make) -> None:
+        self.make, self.old = make, {}
+
+    def __missing__(self, key):
+        got = self.old.get(key)
+        if got is None:
+            got = self.make(key)
+        self[key] = got
+        return got
+
+    def turn(self) -> None:
+        if len(self) > CACHE_WORDS:
+            self.old = dict(self)
+            self.clear()
+
+
+class WordIds:
     """Token ids (little-endian uint32 bytes) of blank-separated chunks.
 
     The tokenizer drops white space and never joins across it, so a chunk has
     the same ids wherever it stands. Chunks of plain characters are split here
     and go straight to the library's BPE model; all others through the whole
-    tokenizer. The cache is emptied when it holds ``CACHE_WORDS`` chunks."""
+    tokenizer. Chunks and parts are kept in two generations each."""
 
     def __init__(self, path: str) -> None:
         from tokenizers import Tokenizer, pre_tokenizers
         self.tok = Tokenizer.from_file(path)
         self.model = self.tok.model
-        self.visible = pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)
-        self.parts: dict[str, bytes] = {}
+        visible = pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)
+        # the byte-level form of a text is that of its characters, one after the other
+        self.visible = {c: visible.pre_tokenize_str(chr(c))[0][0] for c in range(0xC0, 0x100)}
+        self.chunks, self.parts = Kept(self._chunk), Kept(self._part)
 
     def _part(self, text: str) -> bytes:
-        got = self.parts.get(text)
-        if got is None:
-            shown = text if text.isascii() else self.visible.pre_tokenize_str(text)[0][0]
-            got = np.array([t.id for t in self.model.tokenize(shown)], "<u4").tobytes()
-            self.parts[text] = got
-        return got
+        shown = text if text.isascii() else text.translate(self.visible)
+        found = [t.id for t in self.model.tokenize(shown)]
+        return struct.pack(f"<{len(found)}I", *found)
 
-    def __missing__(self, chunk: bytes) -> bytes:
+    def _chunk(self, chunk: bytes) -> bytes:
         text = chunk.decode()
+        if _WORD.fullmatch(text):
+            return self.parts[text.lower()]
         if _PLAIN.fullmatch(text) and "<|" not in text:
-            low = text.lower()
-            got = b"".join(map(self._part, _PIECES.findall(low)))
-        else:
-            got = np.array(self.tok.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
-        self[chunk] = got
-        return got
+            return b"".join(map(self.parts.__getitem__, _PIECES.findall(text.lower())))
+        return np.array(self.tok.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
 
     def ids(self, text: bytes) -> bytes:
-        if len(self) > CACHE_WORDS or len(self.parts) > CACHE_WORDS:
-            self.clear()
-            self.parts.clear()
-        return b"".join(map(self.__getitem__, text.split()))
+        self.chunks.turn()
+        self.parts.turn()
+        return b"".join(map(self.chunks.__getitem__, text.split()))
 
 
 _LOADED: dict[str, WordIds] = {}

@@ -319,3 +319,26 @@ def test_words_and_sums_do_not_depend_on_neighbours():
 def test_hash_of_items():
     assert hashlib.sha256(b"").hexdigest() == \
         "e3b0c44298fc1c149afbf4c8996fb92427ae41e4649b934ca495991b7852b855"
+
+
+# --- packing: the words of the tokenizer
+
+def test_frequent_words_stay_known_when_the_cache_is_full(monkeypatch):
+    from bizlens.llm import packing
+    monkeypatch.setattr(packing, "CACHE_WORDS", 50)
+    words = packing.WordIds(packing.default_tokenizer())
+
+    class Counting:
+        def __init__(self, model):
+            self.model, self.asked = model, Counter()
+
+        def tokenize(self, text):
+            self.asked[text] += 1
+            return self.model.tokenize(text)
+    words.model = Counting(words.model)
+    texts = [f"often Été, don't " + " ".join("x" + "abcdefghij"[k % 10] + "klmnopqrst"[k // 10 % 10] + "uvwxyz"[j % 6] * (1 + j // 6)
+                                             for j in range(20)) for k in range(60)]
+    for t in texts:
+        plain = words.tok.encode(t, add_special_tokens=False).ids
+        assert np.frombuffer(words.ids(t.encode()), "<u4").tolist() == plain
+    assert words.model.asked["often"] == 1
