@@ -98,7 +98,7 @@ _LAST_FIELDS = ["cash_balance", "debt", "equity"]
 
 
 def compute_kpis(df: DataFrame, mapping: Mapping[str, str], *, by: Sequence[str] = (),
-                 order_by: Sequence[str] | None = None, weight: str | None = None) -> DataFrame:
+                 order_by: Sequence[str] | None = None, weight: str | None = None, stored: bool = False) -> DataFrame:
     """K1-K13 for every group of ``by`` in two aggregates.
 
     ``mapping`` maps canonical fields (revenue, expenses, profit, date, ...)
@@ -107,6 +107,8 @@ def compute_kpis(df: DataFrame, mapping: Mapping[str, str], *, by: Sequence[str]
     ``weight`` names a multiplicity column (rows already collapsed to
     distinct rows with counts, e.g. by the quality profile): sums and
     counts are weighted, first / last values are unaffected.
+    ``stored`` tells that the rows are cheap to read again: last values then
+    come from the rows of each group's last date, and no aggregate sorts the rows.
     """
     m = {k: v for k, v in mapping.items() if v in df.columns}
     if "active_customers" not in m and "customers" in m:
@@ -138,9 +140,10 @@ def compute_kpis(df: DataFrame, mapping: Mapping[str, str], *, by: Sequence[str]
         if f in m:
             v = finite(_c(m[f]))
             pre += [wsum(v).alias(f"{f}__s"), wcount(v).alias(f"{f}__n")]
-    for f in _LAST_FIELDS:
-        if f in m:
-            pre.append(F.max_by(finite(_c(m[f])), okey).alias(f"{f}__last"))
+    lasts = [f for f in _LAST_FIELDS if f in m]
+    again = bool(stored and date and lasts)
+    if not again:
+        pre += [F.max_by(finite(_c(m[f])), okey).alias(f"{f}__last") for f in lasts]
     if "revenue" in m:
         rv = finite(_c(m["revenue"]))
         pre.append(wcount(rv).alias("rev__n"))
@@ -158,7 +161,7 @@ def compute_kpis(df: DataFrame, mapping: Mapping[str, str], *, by: Sequence[str]
                 F.min(F.when(ac.isNotNull(), okey)).alias("ac__fo"),
                 F.max(F.when(ac.isNotNull(), okey)).alias("ac__lo")]
     pre.append((F.sum(wt) if wt is not None else F.count(F.lit(1))).alias("n__rows"))
-    if any(f in m for f in _LAST_FIELDS):
+    if lasts and not again:
         pre.append(F.max(okey).alias("okey__max"))
 
     monthly = df.groupBy(*[_c(b) for b in by], month.alias("_month")).agg(*pre)
@@ -171,9 +174,8 @@ def compute_kpis(df: DataFrame, mapping: Mapping[str, str], *, by: Sequence[str]
     for f in _MEAN_FIELDS:
         if f in m:
             agg.append(div(F.sum(f"{f}__s"), F.sum(f"{f}__n").cast("double")).alias(f"mean_{f}"))
-    for f in _LAST_FIELDS:
-        if f in m:
-            agg.append(F.max_by(f"{f}__last", "okey__max").alias(f"last_{f}"))
+    if not again:
+        agg += [F.max_by(f"{f}__last", "okey__max").alias(f"last_{f}") for f in lasts]
     if "revenue" in m:
         mrev = F.when(F.col("_month").isNotNull(), F.coalesce(F.col("revenue__s"), F.lit(0.0)))
         agg += [F.sum("rev__n").alias("rev_n"),
@@ -189,6 +191,13 @@ def compute_kpis(df: DataFrame, mapping: Mapping[str, str], *, by: Sequence[str]
     has_dates = F.count(F.col("_month")) > 0
     agg.append(has_dates.alias("has_dates"))
     g = monthly.groupBy(*[_c(b) for b in by]).agg(*agg)
+    if again:
+        # a NULL date is later than any other
+        top = df.groupBy(*[_c(b) for b in by]).agg(F.max(_c(date).isNull()).alias("_undated"), F.max(_c(date)).alias("_top"))
+        near = null_safe_join(df, F.broadcast(top), by).where(  # one row a group
+            F.when(F.col("_undated"), _c(date).isNull()).otherwise(_c(date) == F.col("_top")))
+        g = null_safe_join(g, near.groupBy(*[_c(b) for b in by]).agg(
+            *[F.max_by(finite(_c(m[f])), okey).alias(f"last_{f}") for f in lasts]), by, "left")
 
     return g.select(*[_c(b) for b in by], *_kpi_exprs(m, date is not None))
 

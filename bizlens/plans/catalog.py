@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 
 from bizlens.operators import kpi, profile
 from bizlens.plans import views as V
-from bizlens.session import cut_lineage, keep_rows
+from bizlens.session import cut_lineage, keep_rows, shuffle_tasks
 
 Query = Callable[[SparkSession, str], DataFrame]
 REGISTRY: dict[str, Query] = {}
@@ -34,6 +34,16 @@ def _r(df: DataFrame, places: int = 4, skip: tuple[str, ...] = ()) -> DataFrame:
                        for c, t in df.dtypes])
 
 
+def _sized(spark, sf_dir):
+    """Joins of the views with as many tasks as their lines ask for (counted from the footers)."""
+    return shuffle_tasks(spark, V.table(spark, sf_dir, "lineitem").count())
+
+
+def _kept(spark, sf_dir, view) -> DataFrame:
+    with _sized(spark, sf_dir):
+        return keep_rows(view(spark, sf_dir))
+
+
 # ---------------------------------------------------------------------------
 # Minimum slice: business view -> features -> KPIs -> health by region
 # ---------------------------------------------------------------------------
@@ -51,7 +61,9 @@ def region_health(spark: SparkSession, sf_dir: str) -> DataFrame:
     quality = profile.quality_score(bv, mapping, by=["region"], counted=counted).select("region", "data_quality_score")
     fe, m = kpi.synthesize_profit(counted, mapping)
     k = kpi.compute_kpis(fe, m, by=["region"], order_by=V.BV_ORDER, weight="_n")
-    return kpi.health_score(k.join(quality, "region"), by=["region"],
+    with _sized(spark, sf_dir):
+        k = cut_lineage(k.join(quality, "region"))  # a row a region
+    return kpi.health_score(k, by=["region"],
                             keep=["total_revenue", "total_profit", "net_profit_margin", "revenue_growth"])
 
 
@@ -130,7 +142,7 @@ def q_d1(spark, sf_dir):
 @register("D2")
 def q_d2(spark, sf_dir):
     # the counts and the result both read the rows
-    return D.drop_empty_columns(keep_rows(V.view_holes(spark, sf_dir)))
+    return D.drop_empty_columns(_kept(spark, sf_dir, V.view_holes))
 
 
 @register("D3")
@@ -374,9 +386,10 @@ from bizlens.operators import series as S  # noqa: E402
 
 
 def _finance_kpis(spark, sf_dir, fv=None):
+    stored = fv is not None  # given rows are those of ``_kept``
     fv = fv if fv is not None else V.finance_view(spark, sf_dir)
     fe, m = kpi.synthesize_profit(fv, V.FINANCE_MAPPING)
-    return kpi.compute_kpis(fe, m, by=["region"], order_by=V.BV_ORDER)
+    return kpi.compute_kpis(fe, m, by=["region"], order_by=V.BV_ORDER, stored=stored)
 
 
 @register("K1_balance")
@@ -437,7 +450,8 @@ def q_k1_rollup(spark, sf_dir):
 def _daily(spark, sf_dir, bv=None):
     bv = bv if bv is not None else V.business_view(spark, sf_dir)
     # a row a region and day, read several times: worked out once
-    return cut_lineage(bv.groupBy("region", "date").agg(F.sum("revenue").alias("revenue"), F.sum("expenses").alias("expenses")))
+    with _sized(spark, sf_dir):
+        return cut_lineage(bv.groupBy("region", "date").agg(F.sum("revenue").alias("revenue"), F.sum("expenses").alias("expenses")))
 
 
 @register("A1")
@@ -473,7 +487,8 @@ def monthly_series(spark, sf_dir):
     m = R.monthly_rollup(bv, "date", by=["region"], columns=["revenue", "expenses"])
     # Cents: the series every forecaster sees is exact in any engine. A row a region and month,
     # read by every fit, split and metric: worked out once.
-    return cut_lineage(m.select("region", F.col("month").cast("timestamp_ntz").alias("ts"), F.round("revenue", 2).alias("y")))
+    with _sized(spark, sf_dir):
+        return cut_lineage(m.select("region", F.col("month").cast("timestamp_ntz").alias("ts"), F.round("revenue", 2).alias("y")))
 
 
 _H = 6
@@ -541,7 +556,8 @@ def q_v8(spark, sf_dir):
 def _monthly(spark, sf_dir, bv=None):
     bv = bv if bv is not None else V.business_view(spark, sf_dir)
     # a row a region and month, read for the fit and again for its residuals
-    return cut_lineage(R.monthly_rollup(bv, "date", by=["region"], columns=["revenue", "expenses"]))
+    with _sized(spark, sf_dir):
+        return cut_lineage(R.monthly_rollup(bv, "date", by=["region"], columns=["revenue", "expenses"]))
 
 
 @register("M1")
@@ -762,7 +778,7 @@ from bizlens.operators import insight as J  # noqa: E402
 
 
 def _insight_inputs(spark, sf_dir, bv=None):
-    bv = bv if bv is not None else keep_rows(V.business_view(spark, sf_dir))  # five passes read them
+    bv = bv if bv is not None else _kept(spark, sf_dir, V.business_view)  # five passes read them
     pairs = R.ranked_pairs(bv, by=["region"], columns=_RCOLS)
     imp = R.feature_importance(bv, "revenue", by=["region"], columns=["quantity", "revenue", "expenses", "customer"])
     order = F.create_map(*[x for i, c in enumerate(_RCOLS) for x in (F.lit(c), F.lit(i))])
@@ -815,7 +831,7 @@ def q_j5(spark, sf_dir):
 def _rules(spark, sf_dir, fv=None):
     # the finance view has the rows and columns of the business view and more: it is joined once,
     # and its KPIs (a row a region) are worked out once
-    fv = fv if fv is not None else keep_rows(V.finance_view(spark, sf_dir))
+    fv = fv if fv is not None else _kept(spark, sf_dir, V.finance_view)
     k = cut_lineage(_finance_kpis(spark, sf_dir, fv))
     cust = fv.groupBy("region").agg(F.count_distinct("customer").alias("total_customers"))
     dash = kpi.build_dashboard(k, by=["region"], customers=cust).join(k.select("region", "marketing_roi"), "region")
@@ -841,7 +857,7 @@ def q_j7(spark, sf_dir):
 
 @register("J8")
 def q_j8(spark, sf_dir):
-    bv = keep_rows(V.finance_view(spark, sf_dir))
+    bv = _kept(spark, sf_dir, V.finance_view)
     dash, _ = _rules(spark, sf_dir, bv)
     drivers = R.driver_analysis(bv, "revenue", by=["region"], columns=["quantity", "revenue", "expenses", "customer"])
     proj = M.linear_trend_forecast(_monthly(spark, sf_dir, bv), by=["region"])
@@ -854,7 +870,7 @@ def q_j8(spark, sf_dir):
 @register("J9_summary")
 def q_j9_summary(spark, sf_dir):
     from bizlens.operators import context as CX
-    bv = keep_rows(V.business_view(spark, sf_dir))
+    bv = _kept(spark, sf_dir, V.business_view)
     pairs, imp, tr, reasons = _reasons(spark, sf_dir, bv)
     context = CX.business_context(bv, C.type_partition(bv), R.ranked_pairs(bv, columns=_RCOLS))
     rows = bv.groupBy("region").agg(F.count(F.lit(1)).alias("rows"))
@@ -1003,7 +1019,8 @@ def _csv_roundtrip(spark, sf_dir, sep):
         F.date_format("date", "yyyy-MM-dd").alias("date"), "region", "segment", "product", "customer",
         F.round("revenue", 2).alias("revenue"), F.round("expenses", 2).alias("expenses"), "quantity")
     path = _scratch(spark, "csv")
-    bv.write.option("header", True).option("sep", sep).csv(path)
+    with _sized(spark, sf_dir):
+        bv.write.option("header", True).option("sep", sep).csv(path)
     return path
 
 

@@ -76,6 +76,23 @@ def keep_rows(df):
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+@contextmanager
+def shuffle_tasks(spark: SparkSession, rows: int, *, rows_per_task: int = 500_000):
+    """Run with a shuffle partition per ``rows_per_task`` of ``rows`` at least, then restore: what a
+    task sorts and hashes does not grow with the table. Where these are more than the session's, AQE
+    merges them to 16 MB only."""
+    key, merged = "spark.sql.shuffle.partitions", "spark.sql.adaptive.advisoryPartitionSizeInBytes"
+    old, tasks = {k: spark.conf.get(k) for k in (key, merged)}, -(-rows // rows_per_task)
+    if tasks > int(old[key]):
+        spark.conf.set(key, str(tasks))
+        spark.conf.set(merged, "16m")
+    try:
+        yield spark
+    finally:
+        for k, v in old.items():
+            spark.conf.set(k, v)
+
+
 @contextmanager
 def utc_session(spark: SparkSession):
     """Run with the session time zone at UTC (streams cast ``timestamp_ntz`` to

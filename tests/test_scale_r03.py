@@ -133,3 +133,72 @@ def test_payment_timer_costs_few_state_calls_and_a_second_one_reads_only():
     state.calls = 0
     assert not list(p.handleExpiredTimer((7,), TimerValues(-1, 5000), ExpiredTimerInfo(2000)))
     assert state.calls == 2 and len(state.timers) == 2
+
+
+def test_number_test_casts_only_what_has_the_shape_of_a_number(spark):
+    """The same verdict as the cast, on odd strings too; a text that is no number is never cast."""
+    from pyspark.sql import functions as F
+
+    from bizlens.operators import schema
+    odd = ["1", " 1.5 ", "-.5", "+5.", "1e5", "1E-3", "1e", ".", "", " ", None, "nan", "NaN", "-Infinity", "inf", "+INF", "infin", "1f",
+           "2.5D", "0x1p3", "0x.8P-1", "0x", "1996-01-02", "12/3", "1,000", "$5", "x1", "1 2", "\t7\n", " 7", "٣", "1_0", "--1",
+           "1.2.3", "9" * 400, "d", "e5", "+", "1e5f", "tru"]
+    df = spark.createDataFrame([(x,) for x in odd], "x string")
+    got = df.select("x", schema._is_number(F.col("x")).alias("n"), F.trim("x").try_cast("double").isNotNull().alias("c")).collect()
+    assert [(r.x, r.n) for r in got] == [(r.x, r.c) for r in got]
+    told = str(schema._is_number(F.col("x"))._jc)
+    assert told.index("CASE WHEN") < told.lower().index("cast(")
+
+
+def test_inference_tries_the_formats_it_decides_by(spark, monkeypatch):
+    from bizlens.operators import schema
+    asked, real = [], schema.parse_stats
+    monkeypatch.setattr(schema, "parse_stats", lambda *a, **k: asked.append(k.get("formats")) or real(*a, **k))
+    rows = [("1996-01-02", "02/01/1996", "a-b", "1.5", "-3")] * 8 + [(None, "5", "2/3", "x", None)] * 2
+    typed = schema.infer_types(spark.createDataFrame(rows, "iso string, day string, txt string, num string, neg string"))
+    assert [t for _, t in typed.dtypes] == ["timestamp_ntz", "timestamp_ntz", "string", "double", "double"]
+    assert [sorted(f) for f in asked] == [sorted(f for _, f in schema.STRICT_DATE_FORMATS)]
+
+
+@pytest.mark.parametrize("by", [["g"], []])
+def test_last_values_of_stored_rows_need_no_sort_of_all_rows(spark, by):
+    from bizlens.operators import kpi
+    day = [dt.datetime(1997, 1 + k % 3, 1 + k % 5) for k in range(60)]
+    rows = [((None, "a", "b", "c")[k % 4], None if k % 4 == 2 and k % 3 == 0 or k % 4 == 3 else day[k], 10.0 + k,
+             float("nan") if k % 7 == 0 else 5.0 * k, 2.0 * k) for k in range(60)]
+    df = spark.createDataFrame(rows, "g string, date timestamp_ntz, revenue double, cash double, debt double")
+    m = {"date": "date", "revenue": "revenue", "cash_balance": "cash", "debt": "debt"}
+    one, two = (kpi.compute_kpis(df, m, by=by, order_by=["revenue"], stored=s) for s in (False, True))
+    assert sorted(map(str, one.collect())) == sorted(map(str, two.collect()))
+    # all rows (by group and month) meet hash aggregates only; the sort is left to the rows of the last dates
+    sorts = [any("SortAggregate" in line and "_groupingexpression" in line for line in _plan(df, "executed").splitlines())
+             for df in (one, two)]
+    assert sorts == [True, False]
+
+
+@pytest.mark.parametrize("name", ["H1", "J9", "M6", "J8", "S2"])
+def test_joins_have_tasks_by_the_rows(spark, tables, monkeypatch, name):
+    """The joined rows go to a task per so many lines, whatever the session's number of partitions."""
+    from bizlens.plans import catalog
+    real, seen = catalog.shuffle_tasks, []
+
+    def counted(session, rows):
+        seen.append(rows)
+        return real(session, rows, rows_per_task=10)
+    monkeypatch.setattr(catalog, "shuffle_tasks", counted)
+    df = catalog.REGISTRY[name](spark, tables)
+    assert seen and set(seen) == {300}
+    assert "l_extendedprice" not in _plan(df, "optimized")
+    assert spark.conf.get("spark.sql.shuffle.partitions") == "8"
+    assert df.count() > 0
+
+
+def test_shuffle_tasks_grow_with_the_rows_and_are_restored(spark):
+    from bizlens.session import shuffle_tasks
+    key = "spark.sql.shuffle.partitions"
+    with pytest.raises(ValueError), shuffle_tasks(spark, 4_500_001):
+        assert spark.conf.get(key) == "10"
+        raise ValueError
+    with shuffle_tasks(spark, 300):
+        assert spark.conf.get(key) == "8"
+    assert spark.conf.get(key) == "8"
