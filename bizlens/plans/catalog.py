@@ -1111,11 +1111,12 @@ def q_w1(spark, sf_dir):
 
 
 def _w1(spark, sf_dir, files: int = 3):
-    # payment events derived from orders land as a few files; each is a micro-batch
+    # payment events derived from orders land as a few files, in parts of 500,000 orders; each file is a micro-batch
     src = _scratch(spark, "payments")
-    WP.write_in_files(WP.payment_events(spark, sf_dir), src, files)
+    parts = max(1, -(-V.table(spark, sf_dir, "orders").count() // (files * 500_000)))
+    WP.write_in_files(WP.payment_events(spark, sf_dir), src, files * parts)
     schema = "event string, transaction_id long, tx_ref string, status string, event_time timestamp"
-    stream = spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).parquet(src)
+    stream = spark.readStream.schema(schema).option("maxFilesPerTrigger", parts).parquet(src)
     subs = TN.subscriptions(spark, sf_dir)
     with WP.rocksdb_state(spark):
         out = WS.run_available(WP.subscription_state(stream, subs), kind="subscriptions")

@@ -15,15 +15,22 @@ waiting event, the end of the grace period and the end of the term. State goes
 when nothing waits and no term or grace period runs: it is bounded by the
 subscriptions that are running, and by the events within the watermark's delay.
 
-State is per subscription (``transformWithState`` on rows) in RocksDB, and survives
-restarts through the checkpoint.
+State is kept in RocksDB and survives restarts through the checkpoint. Subscriptions
+share a grouping key in blocks (:class:`SubscriptionBlocks`): a timer, a state call and an
+Arrow batch serve a block, where one state a subscription (:class:`Subscriptions`) pays
+some 25 state calls for each.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
 from contextlib import contextmanager
+from itertools import groupby
+from operator import itemgetter
 
+import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Row, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -47,6 +54,16 @@ STATE_SCHEMA = T.StructType([
 CHANGE = Row(*OUTPUT_SCHEMA.names)
 NONE = ("none", "Starter", None, None)
 
+# Subscriptions are dealt to so many blocks by a hash. It holds for the life of a checkpoint.
+BLOCKS = 1024
+PANDAS_TIMES = ("1678-01-01 00:00:00", "2262-01-01 00:00:00")
+# A block's waiting events and running states, one Arrow stream a piece.
+PACKED_SCHEMA = T.StructType([T.StructField("packed", T.BinaryType())])
+WAITING = pa.schema([("subscription_id", pa.int64()), ("ms", pa.int64()), ("transaction_id", pa.int64()),
+                     ("status", pa.string()), ("plan", pa.string())])
+RUNNING = pa.schema([("subscription_id", pa.int64()), ("status", pa.string()), ("plan", pa.string()),
+                     ("expiry_ms", pa.int64()), ("past_due_ms", pa.int64())])
+
 
 def payment_events(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Batch payment events derived from ``orders``: one charge per order (status
@@ -68,7 +85,8 @@ def payment_events(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def write_in_files(events: DataFrame, path: str, files: int) -> None:
     """Write ``events`` as ``files`` Parquet files in the order of time, as a source
-    that appends would leave them: modification times follow the order of the files."""
+    that appends would leave them: modification times follow the order of the files,
+    whichever was written last."""
     spark = events.sparkSession
     events.repartitionByRange(files, "event_time").write.parquet(path)
     jvm = spark._jvm
@@ -76,8 +94,9 @@ def write_in_files(events: DataFrame, path: str, files: int) -> None:
     fs = folder.getFileSystem(spark._jsc.hadoopConfiguration())
     parts = sorted((f for f in fs.listStatus(folder) if f.getPath().getName().startswith("part-")),
                    key=lambda f: f.getPath().getName())
+    first = min((f.getModificationTime() for f in parts), default=0)
     for k, f in enumerate(parts):
-        fs.setTimes(f.getPath(), f.getModificationTime() - 1000 * (len(parts) - k), -1)
+        fs.setTimes(f.getPath(), first - 1000 * (len(parts) - k), -1)
 
 
 def apply_events(state: tuple, events: list[tuple], upto: int) -> tuple[tuple, list[tuple]]:
@@ -107,6 +126,27 @@ def apply_events(state: tuple, events: list[tuple], upto: int) -> tuple[tuple, l
     return (status, plan, expiry, past_due), rows
 
 
+def end_of(state: tuple) -> int | None:
+    """When a running term or grace period ends."""
+    status, _, expiry, past_due = state
+    return past_due + GRACE_MS if status == "past_due" else expiry if status == "active" else None
+
+
+def packed(t: pa.Table) -> bytes:
+    out = pa.BufferOutputStream()
+    with pa.ipc.new_stream(out, t.schema) as w:
+        w.write_table(t)
+    return out.getvalue().to_pybytes()
+
+
+def unpacked(b: bytes) -> pa.Table:
+    return pa.ipc.open_stream(b).read_all()
+
+
+def rows_of(t: pa.Table) -> Iterator[tuple]:
+    return zip(*(c.to_pandas(integer_object_nulls=True).tolist() for c in t.columns))
+
+
 class Subscriptions(StatefulProcessor):
     """The waiting events and the state of one subscription."""
 
@@ -140,7 +180,7 @@ class Subscriptions(StatefulProcessor):
                 self.state.update(state)
         # a second timer of the same watermark finds nothing due: what it would set stands already
         if due or state != before:
-            ends = [state[3] + GRACE_MS] if state[0] == "past_due" else [state[2]] if state[0] == "active" else []
+            ends = [end for end in [end_of(state)] if end is not None]
             if later or ends:
                 self.handle.registerTimer(min([e[0] for e in later[:1]] + ends))
         return iter([CHANGE(key[0], *r) for r in rows])
@@ -149,6 +189,73 @@ class Subscriptions(StatefulProcessor):
         pass
 
 
+class SubscriptionBlocks(StatefulProcessor):
+    """The waiting events and the running states of a block of subscriptions. Ids come as text:
+    pandas has no integers beside nulls."""
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.handle = handle
+        self.waiting = handle.getListState("waiting", PACKED_SCHEMA)
+        self.running = handle.getValueState("running", PACKED_SCHEMA)
+        self.done: set[tuple] = set()  # (block, watermark)
+
+    def _wake(self, times: list[int]) -> None:
+        if times:  # a timer fires when the watermark is above it; what is due at the watermark is taken too
+            self.handle.registerTimer(min(times) - 1)
+
+    def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
+        first = []
+        for pdf in rows:
+            t = pa.table([pa.array(pdf[f.name], pa.int64() if f.name == "ms" else pa.string(), from_pandas=True).cast(f.type)
+                          for f in WAITING], schema=WAITING)
+            self.waiting.appendValue((packed(t),))
+            first.append(pc.min(t["ms"]).as_py())
+        self._wake(first)
+        self.done.clear()
+        return iter([])
+
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
+        upto = int(timerValues.getCurrentWatermarkInMs())
+        if (key, upto) in self.done:  # a second timer of the same watermark
+            return
+        self.done.add((key, upto))
+        every = pa.concat_tables([WAITING.empty_table(), *(unpacked(b) for (b,) in self.waiting.get())])
+        due, later = every.filter(pc.less_equal(every["ms"], upto)), every.filter(pc.greater(every["ms"], upto))
+        before = self.running.get()
+        states = {sub: tuple(state) for sub, *state in rows_of(unpacked(before[0]))} if before else {}
+        ended = [sub for sub, state in states.items() if end_of(state) <= upto]
+        changes = []
+
+        def change(sub: int | None, events: list[tuple]) -> None:
+            state, rows = apply_events(states.pop(sub, NONE), events, upto)
+            if state != NONE:
+                states[sub] = state
+            changes.extend((sub, *r) for r in rows)
+
+        for sub, events in groupby(rows_of(due.sort_by([(c, "ascending") for c in WAITING.names])), itemgetter(0)):
+            change(sub, [e[1:] for e, _ in groupby(events)])  # a redelivered event is the same tuple
+        for sub in ended:
+            if sub in states:
+                change(sub, [])
+        if due.num_rows:
+            if later.num_rows:
+                self.waiting.put([(packed(later),)])
+            else:
+                self.waiting.clear()
+        if due.num_rows or ended:
+            if states:
+                columns = zip(*((sub, *state) for sub, state in states.items()))
+                self.running.update((packed(pa.table([pa.array(c, f.type) for c, f in zip(columns, RUNNING)], schema=RUNNING)),))
+            elif before:
+                self.running.clear()
+        self._wake([pc.min(later["ms"]).as_py()] * (later.num_rows > 0) + [end_of(state) for state in states.values()])
+        if changes:
+            yield pd.DataFrame(changes, columns=OUTPUT_SCHEMA.names, dtype=object)
+
+    def close(self) -> None:
+        pass
+
+
 @contextmanager
 def rocksdb_state(spark: SparkSession) -> Iterator[None]:
     """The state store that ``transformWithState`` needs, for queries started inside."""
@@ -161,15 +268,30 @@ def rocksdb_state(spark: SparkSession) -> Iterator[None]:
         spark.conf.unset(key) if old is None else spark.conf.set(key, old)
 
 
-def subscription_state(events: DataFrame, subscriptions: DataFrame, *, watermark: str = "1 day") -> DataFrame:
+def subscription_state(events: DataFrame, subscriptions: DataFrame, *, watermark: str = "1 day",
+                       blocks: int | None = BLOCKS) -> DataFrame:
     """W1 on a stream: one output row per state change, final when it is emitted.
-    Start it inside :func:`rocksdb_state`."""
+    Start it inside :func:`rocksdb_state`. ``blocks`` None keeps a state a subscription."""
     subs = subscriptions.select(F.col("tx_ref"), F.col("user_tenant_id").alias("subscription_id"), "plan")
+    # A charge of any status moves the watermark: a test of the status alone would be moved below it.
+    # One without a time is passed by no watermark.
+    paid = F.col("status").isin("successful", "failed").cast("int") + F.col("event_time").isNotNull().cast("int") == 2
     e = (events.filter((F.col("event") == "charge.completed"))
          .withWatermark("event_time", watermark)
-         .filter(F.col("status").isin("successful", "failed"))
+         .filter(paid)
          .join(subs, "tx_ref"))  # unknown references drop out here
-    changes = e.select("subscription_id", "event_time", F.unix_millis("event_time").alias("ms"), "transaction_id", "status", "plan") \
-        .groupBy("subscription_id").transformWithState(Subscriptions(), OUTPUT_SCHEMA, "Append", "EventTime")
+    ms = F.unix_millis("event_time").alias("ms")
+    if blocks is None:
+        changes = e.select("subscription_id", "event_time", ms, "transaction_id", "status", "plan") \
+            .groupBy("subscription_id").transformWithState(Subscriptions(), OUTPUT_SCHEMA, "Append", "EventTime")
+    else:
+        # The column by which Spark drops late events; pandas has no times beyond PANDAS_TIMES (past them nothing is late).
+        low, high = (F.lit(t).cast("timestamp") for t in PANDAS_TIMES)
+        time = F.when(F.col("event_time") <= high, F.greatest("event_time", low)) \
+            .alias("event_time", metadata=e.schema["event_time"].metadata)
+        block = F.pmod(F.xxhash64("subscription_id"), F.lit(blocks)).cast("int").alias("block")
+        changes = e.select(block, F.col("subscription_id").cast("string").alias("subscription_id"), time, ms,
+                           F.col("transaction_id").cast("string").alias("transaction_id"), "status", "plan") \
+            .groupBy("block").transformWithStateInPandas(SubscriptionBlocks(), OUTPUT_SCHEMA, "Append", "EventTime")
     return changes.select("subscription_id", F.timestamp_millis("ms").alias("event_time"), "transaction_id", "status", "plan",
                           F.timestamp_millis("expiry_ms").alias("expiry"))
